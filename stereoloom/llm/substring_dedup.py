@@ -108,7 +108,7 @@ class _Runs:
     def __init__(self, texts: list[bytes], window: int):
         self.words = w = c.Words(texts, c.SPACE)
         n = len(w.hashes)
-        self.start = self.count = np.empty(0, dtype=np.int64)
+        self.start = self.count = self.doc = self.local = np.empty(0, dtype=np.int64)
         self.anchor = self.content = np.empty(0, dtype=np.uint64)
         if n < window:
             return
@@ -130,10 +130,8 @@ class _Runs:
         self.anchor = grams[own[head]]
         shape = (own[head] - self.start).astype(np.uint64) * np.uint64(1 << 20) + self.count.astype(np.uint64)
         self.content = c.mix(w.spans(self.start, self.start + self.count + window - 1) ^ c.mix(shape))
-
-    @property
-    def doc(self) -> np.ndarray:
-        return self.words.doc[self.start]
+        self.doc = w.doc[self.start]
+        self.local = self.start - w.first[self.doc]
 
 
 def _ids(column) -> list[int]:
@@ -192,17 +190,15 @@ def _repeated_runs(window: int, shards: int):
         hashes = np.unique(np.asarray(anchors.column("anchor")).view(np.uint64))
         best: dict[tuple[int, int], tuple] = {}
         for i, _, texts, ids, r, hit in _pick(docs, hashes, window):
-            w = r.words
-            local = r.start - w.first[r.doc] if len(r.start) else r.start
-            for x in hit.tolist():
-                key = (int(r.anchor[x]), int(r.content[x]))
-                d = int(r.doc[x])
-                place = (int(ids[i + d]), int(local[x]))
+            w, doc = r.words, r.doc[hit]
+            left, right = w.starts[r.start[hit]].tolist(), w.ends[r.start[hit] + r.count[hit] + window - 2].tolist()
+            places = zip(ids[i + doc].tolist(), r.local[hit].tolist(), strict=True)
+            for key, place, d, a, b in zip(zip(r.anchor[hit].tolist(), r.content[hit].tolist(), strict=True), places, doc.tolist(), left, right, strict=True):
                 known = best.get(key)
-                if known is None or place < known[0]:
-                    s = int(r.start[x])
-                    text = texts[i + d][int(w.starts[s]) : int(w.ends[s + int(r.count[x]) + window - 2])]
-                    best[key] = (place, text if known is None else known[1])
+                if known is None:
+                    best[key] = (place, texts[i + d][a:b])
+                elif place < known[0]:
+                    best[key] = (place, known[1])
         keys = np.array(list(best), dtype=np.uint64).reshape(-1, 2)
         return pa.table([
             pa.array((keys[:, 0] % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(best), grp, dtype=np.int32)),
@@ -282,33 +278,33 @@ def _remove(window: int):
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         wanted = []
         for i, j, texts, ids, r, hit in _pick(docs, hashes, window):  # where each run comes first in this group
-            local = r.start - r.words.first[r.doc] if len(r.start) else r.start
             rows = []
-            for x in hit.tolist():
-                key = (int(c.signed(r.anchor[x : x + 1])[0]), int(c.signed(r.content[x : x + 1])[0]))
+            places = zip(ids[i + r.doc[hit]].tolist(), r.local[hit].tolist(), strict=True)
+            keys = zip(c.signed(r.anchor[hit]).tolist(), c.signed(r.content[hit]).tolist(), strict=True)
+            for key, place, start, count in zip(keys, places, r.start[hit].tolist(), r.count[hit].tolist(), strict=True):
                 if key not in masks:
                     continue
-                place = (int(ids[i + int(r.doc[x])]), int(local[x]))
-                rows.append((key, place, int(r.start[x]), int(r.count[x])))
+                rows.append((key, place, start, count))
                 if key not in seen or place < seen[key]:
                     seen[key] = place
-            wanted.append((i, j, rows))
+            wanted.append((i, j, rows, r.words.first, len(r.words.hashes)))
         text_out, words_out, gone_out = [], [], []
-        for (i, j, rows), (_, _, texts, ids, r, _) in zip(wanted, _pick(docs, hashes[:0], window), strict=True):
-            w = r.words
-            cover = np.zeros(len(w.hashes) + 1, dtype=np.int32)
+        texts = c.utf8(docs.column("text"))
+        for i, j, rows, first, total in wanted:
+            cover = np.zeros(total + 1, dtype=np.int32)
             for key, place, start, count in rows:
                 if place == seen[key]:
                     flags = np.unpackbits(np.frombuffer(masks[key], dtype=np.uint8))[:count]
-                    at = start + np.flatnonzero(flags)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    if flags.any():
+                        at = start + np.flatnonzero(flags)
+                        cover[at] += 1
+                        cover[at + window] -= 1
                 else:  # the same run starts earlier in this group
                     cover[start] += 1
                     cover[start + 1 + window - 1 + count - 1] -= 1
             gone = np.cumsum(cover[:-1]) > 0
             for d in range(j - i):
-                a, b = int(w.first[d]), int(w.first[d + 1])
+                a, b = int(first[d]), int(first[d + 1])
                 words = texts[i + d].split()
                 dead = gone[a:b]
                 if dead.any():
