@@ -26,6 +26,7 @@ its automata are broadcast after a check of their size.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -223,16 +224,16 @@ def _match(window: int):
             for word in words:
                 automaton.extend(word)
             automaton.extend(n)  # an end that no text contains
-        base = np.array(base)
         for (key, run), words in zip(items, sequences, strict=True):
-            ends = np.array(automaton.first_ends(words, window)[window - 1 :], dtype=np.int64)
-            source = np.searchsorted(base, ends, side="right") - 1
-            docs = np.array([items[x][1][0] for x in source.tolist()], dtype=np.int64)
-            starts = np.array([items[x][1][1] for x in source.tolist()], dtype=np.int64) + (ends - base[source] - window + 1)
-            for grp, doc, at in run[3]:
-                mine = at + np.arange(len(ends))
-                earlier = (docs < doc) | ((docs == doc) & (starts < mine))
-                yield grp, key[0], key[1], np.packbits(earlier).tobytes()
+            doc, at = first = run[0], run[1]
+            mask = bytearray()
+            for k, end in enumerate(automaton.first_ends(words, window)[window - 1 :]):
+                source = bisect_right(base, end) - 1
+                there = items[source][1]
+                mask.append((there[0], there[1] + end - base[source] - window + 1) < (doc, at + k))
+            mask, later = bytes(mask), b"\1" * len(mask)
+            for grp, doc, at in run[3]:  # elsewhere, every window of the run starts earlier in its first occurrence
+                yield grp, key[0], key[1], mask if (doc, at) == first else later
 
     def run(batches):
         known: dict[tuple[int, int], list] = {}
@@ -294,9 +295,8 @@ def _remove(window: int):
             cover = np.zeros(total + 1, dtype=np.int32)
             for key, place, start, count in rows:
                 if place == seen[key]:
-                    flags = np.unpackbits(np.frombuffer(masks[key], dtype=np.uint8))[:count]
-                    if flags.any():
-                        at = start + np.flatnonzero(flags)
+                    if 1 in masks[key]:
+                        at = start + np.flatnonzero(np.frombuffer(masks[key], dtype=np.uint8))
                         cover[at] += 1
                         cover[at + window] -= 1
                 else:  # the same run starts earlier in this group
