@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stereoloom.functions.numeric import clamp, col, is_finite
+from stereoloom.functions.numeric import bind, clamp, col, is_finite
 
 Vector = tuple[Column, Column, Column]
 
@@ -110,8 +110,10 @@ def rotation_of(w: Column, x: Column, y: Column, z: Column) -> list[list[Column]
 
 def colmap_pose(pose: Column | str) -> Column:
     """struct<qw,qx,qy,qz,tx,ty,tz>, world to camera in the CV convention."""
-    inverse = rigid_inverse(flip_camera(pose))
-    q = quaternion(inverse)
+    return bind(rigid_inverse(flip_camera(pose)), lambda inverse: bind(quaternion(inverse), lambda q: _colmap(inverse, q)))
+
+
+def _colmap(inverse: Column, q: Column) -> Column:
     return F.struct(q["w"].alias("qw"), q["x"].alias("qx"), q["y"].alias("qy"), q["z"].alias("qz"), element(inverse, 0, 3).alias("tx"), element(inverse, 1, 3).alias("ty"), element(inverse, 2, 3).alias("tz"))
 
 

@@ -62,3 +62,8 @@ def hash_uniform(*key: Column | str) -> Column:
     """A repeatable uniform number in (0, 1) for a key; partitioning does not matter."""
     h = F.shiftrightunsigned(F.xxhash64(*[col(k) for k in key]), 11)
     return (h.cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: large expressions that name it often stay small."""
+    return F.transform(F.array(value), use)[0]

@@ -41,7 +41,7 @@ def triangulate(rays: DataFrame, least_degrees: float = 1.0) -> DataFrame:
         sums.append(F.sum(sum((((1.0 if i == k else 0.0) - d[i] * d[k]) * o[k] for k in range(1, 3)), ((1.0 if i == 0 else 0.0) - d[i] * d[0]) * o[0])).alias(f"b{i}"))
     for c in "xyz":
         for f, name in ((F.min, "l"), (F.max, "h")):
-            sums.append(f(F.struct(f"d{c}", "dx", "dy", "dz")).alias(f"{name}{c}"))
+            sums.append(f(F.struct(F.col(f"d{c}").alias("lead"), "dx", "dy", "dz")).alias(f"{name}{c}"))
     s = rays.groupBy("track_id").agg(*sums)
     m = lambda i, j: F.col(f"m{min(i, j)}{max(i, j)}")
 

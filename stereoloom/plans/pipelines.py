@@ -14,3 +14,26 @@ def surface_accuracy(test: DataFrame, truth: DataFrame, cap: float = 0.10) -> Da
     own = test.select("scan_id", "ordinal").join(near, ["scan_id", "ordinal"], "left").withColumn("d", F.coalesce("d", F.lit(cap)))
     within = [F.avg((F.col("d") <= cm / 100).cast("int")).alias(f"within{cm}") for cm in (1, 2, 5)]
     return own.agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), *within)
+
+
+def valid_frames(frames: DataFrame) -> DataFrame:
+    """frames of 16 finite pose values, positive sizes and focal lengths, a plain file name, and an id and a name of their own within the scan.
+
+    Ids and names that repeat are counted first, so a hot one is a sum, not a
+    window.
+    """
+    from stereoloom.functions.numeric import is_finite
+
+    k = F.col("intrinsics")
+    plain = F.col("imageFile").rlike(r"^[^/\\]+$") & ~F.col("imageFile").isin(".", "..")
+    ok = (F.size("transform") == 16) & F.forall("transform", is_finite) & (k["fx"] > 0) & (k["fy"] > 0) & (k["width"] > 0) & (k["height"] > 0) & plain
+    good = frames.filter(F.coalesce(ok, F.lit(False)))
+    for key in ("id", "imageFile"):
+        twice = frames.groupBy("scan_id", key).agg(F.count("*").alias("n")).filter("n > 1")
+        good = good.join(twice, ["scan_id", key], "left_anti")
+    return good
+
+
+def usable(frames: DataFrame, training: bool = False) -> DataFrame:
+    """frames that no verdict drops; for training also none that it demotes."""
+    return frames.filter(~F.col("verdict").isin("drop", *(["demote"] if training else [])))
