@@ -37,3 +37,325 @@ def valid_frames(frames: DataFrame) -> DataFrame:
 def usable(frames: DataFrame, training: bool = False) -> DataFrame:
     """frames that no verdict drops; for training also none that it demotes."""
     return frames.filter(~F.col("verdict").isin("drop", *(["demote"] if training else [])))
+
+
+def blur_verdicts(frames: DataFrame, distance: float = 0.5, degrees: float = 30.0, drop: float = 25.0, demote: float = 10.0, soft: float = 0.5, peers: int = 2, share: float = 0.3) -> DataFrame:
+    """``verdict`` keep, demote or drop of each frame with at least ``peers`` sharp neighbours.
+
+    Dropped above ``drop`` px of blur; demoted above ``demote`` px of
+    exposure blur or below ``soft`` of the neighbours' p75 sharpness. At most
+    ``share`` of a scan is rejected, drops first, then the most severe.
+    frames: + blur, exposure_blur, sharpness.
+    """
+    from stereoloom.functions.numeric import nearest_rank
+    from stereoloom.operators.sampling import capped_rejection
+
+    near = spatial.neighbour_frames(frames, distance, degrees)
+    sharp = frames.select("scan_id", F.col("id").alias("b"), F.col("sharpness").alias("s")).filter("s > 0")
+    facts = near.join(sharp, ["scan_id", "b"]).groupBy("scan_id", F.col("a").alias("id")).agg(F.count("*").alias("peers"), nearest_rank(F.col("s"), 0.75).alias("p75"))
+    own = frames.join(facts, ["scan_id", "id"], "left")
+    judged = F.coalesce(F.col("peers"), F.lit(0)) >= peers
+    blurred = F.when(judged & (F.col("blur") > drop), "drop").when(judged & ((F.col("exposure_blur") > demote) | (F.col("sharpness") < soft * F.col("p75"))), "demote")
+    severity = F.greatest(F.col("blur") / drop, F.coalesce(1 - F.col("sharpness") / F.col("p75"), F.lit(0.0)))
+    return capped_rejection(own.withColumns({"verdict": blurred, "severity": severity}), share)
+
+
+def training_selection(frames: DataFrame, distance: float = 0.04, degrees: float = 3.0, difference: float = 0.06, clearer: float = 0.65) -> DataFrame:
+    """Which frames train: best detail first, each kept frame bars near and alike ones.
+
+    Gives ``scan_id, id, selected, reason, replacement``: a barred frame's
+    replacement is its best-ranked kept neighbour, the reason says whether
+    its detail is far below. frames: + detail, signature, verdict (frames
+    with one other than keep do not train).
+    """
+    from stereoloom.operators.graph import greedy_independent, ranked
+
+    own = frames.filter("verdict = 'keep'")
+    edges = spatial.near_duplicate_views(own, distance, degrees, difference)
+    node = lambda n: F.struct("scan_id", F.col(n).alias("id"))
+    order = ranked(own, [F.desc("detail"), F.asc("id")], ["scan_id"])
+    state = greedy_independent(order.select(node("id").alias("id"), "rank"), edges.select(node("a").alias("a"), node("b").alias("b")))
+    kept = state.select("id.scan_id", "id.id", F.col("kept").alias("selected"))
+    both = edges.select("scan_id", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select("scan_id", F.col("b").alias("id"), F.col("a").alias("other")))
+    best = both.join(kept.filter("selected").select("scan_id", F.col("id").alias("other")), ["scan_id", "other"]).join(order.select("scan_id", F.col("id").alias("other"), "rank", F.col("detail").alias("other_detail")), ["scan_id", "other"])
+    replacement = best.groupBy("scan_id", "id").agg(F.min(F.struct("rank", "other", "other_detail")).alias("r"))
+    out = frames.select("scan_id", "id", "verdict", "detail").join(kept, ["scan_id", "id"], "left").join(replacement, ["scan_id", "id"], "left")
+    reason = F.when(F.col("verdict") != "keep", F.concat(F.lit("verdict:"), F.col("verdict"))).when(F.col("selected"), "selected").when(F.col("detail") < clearer * F.col("r.other_detail"), "clearer view").otherwise("similar view")
+    return out.select("scan_id", "id", F.coalesce("selected", F.lit(False)).alias("selected"), reason.alias("reason"), F.when(~F.coalesce("selected", F.lit(False)), F.col("r.other")).alias("replacement"))
+
+
+def reference_views(frames: DataFrame, near: float = 0.06, far: float = 0.4, cos: float = 0.85, seconds: float = 0.25, ideal: float = 0.15, apart: float = 0.06, most: int = 4) -> DataFrame:
+    """Up to ``most`` reference views of each frame: ``scan_id, a, b, place``.
+
+    Candidates lie between ``near`` and ``far``, look alike and were taken
+    ``seconds`` apart; nearest the ``ideal`` distance first, each at least
+    ``apart`` from those taken. The greedy choice is made per frame over its
+    candidates, whose number the capture's density bounds.
+    """
+    import math
+
+    import pandas as pd
+
+    pairs = spatial.neighbour_frames(frames, far, math.degrees(math.acos(cos))).filter(F.col("d") >= near)
+    info = lambda n: frames.select("scan_id", F.col("id").alias(n), F.col("timestamp").alias(f"t{n}"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
+    own = pairs.join(info("a"), ["scan_id", "a"]).join(info("b"), ["scan_id", "b"]).filter(F.abs(F.col("ta") - F.col("tb")) >= seconds)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(r=(pdf.d - ideal).abs()).sort_values(["r", "b"])
+        taken = []
+        for row in pdf.itertuples():
+            if all((row.bx - o.bx) ** 2 + (row.by - o.by) ** 2 + (row.bz - o.bz) ** 2 >= apart * apart for o in taken):
+                taken.append(row)
+                if len(taken) == most:
+                    break
+        return pd.DataFrame({"scan_id": [t.scan_id for t in taken], "a": [t.a for t in taken], "b": [t.b for t in taken], "place": range(len(taken))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    return own.select("scan_id", "a", "b", "d", "bx", "by", "bz").groupBy("scan_id", "a").applyInPandas(pick, f"scan_id {kinds['scan_id']}, a {kinds['a']}, b {kinds['b']}, place int")
+
+
+def spaced_references(frames: DataFrame, seconds: float = 0.25, apart: float = 0.08, most: int = 64) -> DataFrame:
+    """Frames in capture order, each ``seconds`` after the last kept and ``apart`` from all kept; then at most ``most``, evenly.
+
+    One scan's frames are walked in order; a scan is one capture session.
+    """
+    import pandas as pd
+
+    from stereoloom.operators.sampling import evenly_spaced
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["timestamp", "id"])
+        cells: dict[tuple, list] = {}
+        keep, last = [], -float("inf")
+        for row in pdf.itertuples():
+            cell = tuple(int(v // apart) for v in (row.x, row.y, row.z))
+            near = (p for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for p in cells.get((cell[0] + a, cell[1] + b, cell[2] + c), ()))
+            ok = row.timestamp - last >= seconds and all((row.x - p[0]) ** 2 + (row.y - p[1]) ** 2 + (row.z - p[2]) ** 2 >= apart * apart for p in near)
+            keep.append(ok)
+            if ok:
+                last = row.timestamp
+                cells.setdefault(cell, []).append((row.x, row.y, row.z))
+        return pdf[keep]
+
+    own = frames.select("scan_id", "id", "timestamp", "x", "y", "z")
+    return evenly_spaced(own.groupBy("scan_id").applyInPandas(walk, own.schema), most, ["timestamp", "id"], ["scan_id"])
+
+
+def separated_revisits(candidates: DataFrame, gap: int = 10, most: int = 64) -> DataFrame:
+    """J8, second part: revisit pairs, nearest first, whose ends both lie ``gap`` ids from those of any kept pair; at most ``most`` a scan."""
+    import pandas as pd
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: list = []
+        for row in pdf.sort_values(["d", "a", "b"]).itertuples():
+            if len(taken) < most and all(abs(row.a - t.a) >= gap or abs(row.b - t.b) >= gap for t in taken):
+                taken.append(row)
+        return pdf.loc[[t.Index for t in taken]]
+
+    return candidates.groupBy("scan_id").applyInPandas(pick, candidates.schema)
+
+
+def sources_apart(scores: DataFrame, frames: DataFrame, apart: float = 0.02, most: int = 4) -> DataFrame:
+    """J13, second part: the best-scored source views of each frame, ``apart`` from one another."""
+    import pandas as pd
+
+    own = scores.join(frames.select("scan_id", F.col("id").alias("b"), "x", "y", "z"), ["scan_id", "b"])
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: list = []
+        for row in pdf.sort_values(["score", "b"], ascending=[False, True]).itertuples():
+            if len(taken) < most and all((row.x - t.x) ** 2 + (row.y - t.y) ** 2 + (row.z - t.z) ** 2 >= apart * apart for t in taken):
+                taken.append(row)
+        return pdf.loc[[t.Index for t in taken]]
+
+    return own.groupBy("scan_id", "a").applyInPandas(pick, own.schema)
+
+
+def _check(df: DataFrame, name: str, value, ok) -> DataFrame:
+    return df.agg(F.lit(name).alias("name"), value.cast("double").alias("value"), ok.alias("ok"))
+
+
+def dataset_checks(frames: DataFrame, jump: float = 0.5) -> DataFrame:
+    """Check table (name, value, ok) of a dataset's frames (+ pose, imageFile, width, height of the image)."""
+    from stereoloom.functions.geometry import is_rigid
+    from stereoloom.operators.sequence import adjacent_differences
+
+    steps = adjacent_differences(frames)
+    parts = [
+        _check(frames, "frames", F.count("*"), F.count("*") > 0),
+        _check(frames, "missing images", F.count_if(F.col("imageFile").isNull()), F.count_if(F.col("imageFile").isNull()) == 0),
+        _check(frames, "poses not rigid", F.count_if(~is_rigid("pose")), F.count_if(~is_rigid("pose")) == 0),
+        _check(frames, "repeated ids", F.count("*") - F.count_distinct("scan_id", "id"), F.count("*") == F.count_distinct("scan_id", "id")),
+        _check(steps, "time not forward", F.count_if("backwards"), F.count_if("backwards") == 0),
+        _check(steps, "jumps", F.count_if("jump"), F.count_if("jump") == 0),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def capture_checks(frames: DataFrame, longest: float = 1 / 60 * 1.05, iso: float = 1600, rejected: float = 0.28, blur: float = 10.0, breathing: float = 0.02) -> DataFrame:
+    """Check table of capture quality (frames: exposure, iso, blur, verdict, fx)."""
+    bad = F.avg((F.col("verdict") != "keep").cast("int"))
+    breathe = (F.max("fx") - F.min("fx")) / F.avg("fx")
+    parts = [
+        _check(frames, "longest exposure", F.max("exposure"), F.max("exposure") <= longest), _check(frames, "highest iso", F.max("iso"), F.max("iso") <= iso),
+        _check(frames, "rejected share", bad, bad <= rejected), _check(frames, "mean blur", F.avg("blur"), F.avg("blur") <= blur), _check(frames, "focal breathing", breathe, breathe <= breathing),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def scan_accuracy(points: DataFrame, frames: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Floor and ceiling, wall angle, wall bands, ghost error and trajectory of each scan, in one row."""
+    from stereoloom.operators import metrics as m
+
+    bands = m.wall_bands(points, "x", cell)
+    out = m.floor_and_ceiling(points, cell).join(m.wall_angle(points, cell).withColumnRenamed("score", "angle_score"), "scan_id", "left")
+    return out.join(m.error_budget(bands).select("scan_id", "ghost"), "scan_id", "left").join(m.trajectory(frames), "scan_id", "left")
+
+
+def coverage_comparison(a: DataFrame, b: DataFrame, cell: float = 0.05, far: float = 0.03, reach: float = 0.5) -> DataFrame:
+    """Nearest distances both ways (count beyond ``far``, p95, capped at ``reach``) and components of the occupied cells at two grid phases."""
+    from stereoloom.operators.fusion import keyed
+    from stereoloom.operators.graph import cell_components, component_summary
+
+    def way(test, truth, name):
+        near = spatial.radius_join(test, truth, reach).groupBy("scan_id", F.col("a").alias("ordinal")).agg(F.min("d").alias("d"))
+        own = test.select("scan_id", "ordinal").join(near, ["scan_id", "ordinal"], "left").withColumn("d", F.coalesce("d", F.lit(reach)))
+        return own.groupBy("scan_id").agg(F.lit(name).alias("part"), F.count_if(F.col("d") > far).alias("n"), F.percentile("d", F.lit(0.95)).alias("value"))
+
+    def islands(points, phase, name):
+        moved = points.withColumns({c: F.col(c) + phase for c in "xyz"})
+        s = component_summary(cell_components(keyed(moved, cell).select("scan_id", "key")))
+        return s.select("scan_id", F.lit(name).alias("part"), F.col("components").alias("n"), F.col("largest").cast("double").alias("value"))
+
+    return way(a, b, "a to b").unionByName(way(b, a, "b to a")).unionByName(islands(a, 0.0, "islands a")).unionByName(islands(a, cell / 2, "islands a, half a cell on"))
+
+
+def metric_scales(references: DataFrame, most: float = 0.02, share: float = 0.01) -> DataFrame:
+    """Scale of each scan from its valid references (scan_id, start, end, knownMeters): median of known over measured, residuals, status."""
+    from stereoloom.functions.capture import reference_valid
+    from stereoloom.functions.numeric import middle_median
+
+    length = F.sqrt(F.aggregate(F.zip_with("start", "end", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    own = references.filter(reference_valid("knownMeters")).withColumn("measured", length).filter("measured > 0")
+    s = own.groupBy("scan_id").agg(middle_median(F.col("knownMeters") / F.col("measured")).alias("scale"), F.count("*").alias("references"))
+    residual = F.abs(F.col("measured") * F.col("scale") - F.col("knownMeters"))
+    worst = own.join(s, "scan_id").groupBy("scan_id", "scale", "references").agg(F.max(residual).alias("residual"), F.bool_and(residual <= F.greatest(F.lit(most), share * F.col("knownMeters"))).alias("consistent"))
+    return worst.withColumn("status", F.when(F.col("references") < 2, "single").when(F.col("consistent"), "verified").otherwise("inconsistent"))
+
+
+def stale(scale: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Whether the geometry's fingerprint (scan_id, content) is still the one the scale was measured on (``fingerprint``)."""
+    now = geometry.select("scan_id", F.sha2("content", 256).alias("now"))
+    return scale.join(now, "scan_id", "left").withColumn("stale", ~F.col("fingerprint").eqNullSafe(F.col("now"))).drop("now")
+
+
+def dataset_preparation(raw: DataFrame, corrected: DataFrame, columns: list[str], holdout: int = 8) -> DataFrame:
+    """C20: saved records merged, judged for blur, selected for training, split: frames with ``selected``, ``holdout`` and ``ev``."""
+    from stereoloom.functions.capture import exposure_value
+    from stereoloom.operators.sequence import holdout_every
+
+    merged = spatial.merged_records(raw, corrected, columns).drop("incomplete", "corrected")
+    judged = blur_verdicts(merged)
+    chosen = training_selection(judged).filter("selected").select("scan_id", "id")
+    kept = judged.join(chosen, ["scan_id", "id"], "left_semi")
+    return holdout_every(kept, holdout).withColumn("ev", exposure_value("exposure", "iso"))
+
+
+def refusion(samples: DataFrame, views: DataFrame, size: float, lookups: DataFrame | None = None, near: float = 3.0, least: int = 3) -> DataFrame:
+    """Accepted samples to world points, consensus shift along the ray, near and far fusion, isolated cells removed.
+
+    samples: F3's output with scan_id, frame_id, ordinal, u, v, z, weight;
+    views: scan_id, frame_id, pose, intrinsics. lookups: J6's answers, if
+    there are reference views.
+    """
+    from stereoloom.functions import geometry as g
+    from stereoloom.operators import fusion
+    from stereoloom.operators.raster import depth_consensus
+
+    own = samples
+    if lookups is not None:
+        shift = depth_consensus(lookups).select("scan_id", "ordinal", "shift")
+        own = own.join(shift, ["scan_id", "ordinal"]).withColumn("z", F.col("z") + F.col("shift"))
+    placed = own.join(views, ["scan_id", "frame_id"])
+    x, y, z = g.unproject(g.Camera.of("intrinsics"), "pose", F.col("u"), F.col("v"), F.col("z").cast("double"))
+    points = placed.select("scan_id", "ordinal", x.alias("x"), y.alias("y"), z.alias("z"), F.col("weight").alias("score"), (F.col("z") > near).alias("far"))
+    cells = fusion.fuse(points, size, keys=("scan_id", "far"))
+    return fusion.isolated_removed(cells, least, keys=("scan_id", "far"))
+
+
+def tsdf_surface(points: DataFrame, fallback: DataFrame, size: float, share: float = 0.35) -> tuple[DataFrame, bool]:
+    """Zero crossings of the signed distance, plus fallback points where no cell supports a surface; taken only if they reach ``share`` of the fallback.
+
+    The flag says whether the surface was taken.
+    """
+    from stereoloom.functions import voxels as vx
+    from stereoloom.operators import fusion
+    from stereoloom.plans.durable import durable
+
+    cells = durable(fusion.tsdf_integrate(points, size))
+    surface = durable(fusion.tsdf_crossings(cells, size).select("scan_id", "x", "y", "z"))
+    if surface.count() < share * fallback.count():
+        return fallback.select("scan_id", "x", "y", "z"), False
+    masked = cells.filter("views >= 2").select("scan_id", F.explode(vx.neighbour_keys("key")).alias("key")).distinct()
+    lone = fallback.withColumn("key", vx.voxel_key("x", "y", "z", size)).join(masked, ["scan_id", "key"], "left_anti")
+    return surface.unionByName(lone.select("scan_id", "x", "y", "z")), True
+
+
+def far_coverage(far: DataFrame, near: DataFrame) -> DataFrame:
+    """Far points without those that a like near patch covers."""
+    return far.join(spatial.covered_by(far, near), ["scan_id", "ordinal"], "left_anti")
+
+
+def floor_plan(points: DataFrame, cell: float, low: float, high: float, gap: int = 2) -> DataFrame:
+    """Wall runs of a scan: spanning columns, rotated to the wall angle, joined along their longer direction.
+
+    Gives ``scan_id, direction, line, first, last, cells, component`` in cells
+    of the rotated grid.
+    """
+    from stereoloom.operators import graph
+    from stereoloom.operators import metrics as m
+    from stereoloom.operators import sequence as s
+    from stereoloom.plans.durable import durable
+
+    angle = m.wall_angle(points, cell)
+    a = F.radians(F.col("angle") * 0.5)
+    turned = points.join(F.broadcast(angle.select("scan_id", "angle")), "scan_id")  # a row a scan
+    turned = turned.select("scan_id", "ordinal", (F.cos(a) * F.col("x") + F.sin(a) * F.col("z")).alias("x"), "y", (F.cos(a) * F.col("z") - F.sin(a) * F.col("x")).alias("z"))
+    columns = m.column_spans(turned, cell, low, high).withColumn("span", F.col("high") - F.col("low"))
+    limit = columns.groupBy("scan_id").agg((0.6 * F.percentile("span", F.lit(0.9))).alias("limit"))
+    walls = s.run_direction(columns.join(limit, "scan_id").filter("span >= limit").select("scan_id", "i", "j"))
+    flat = s.runs(walls.filter("direction = 'horizontal'"), "j", "i", gap).select("scan_id", F.lit("horizontal").alias("direction"), F.col("j").alias("line"), "first", "last", "cells")
+    up = s.runs(walls.filter("direction = 'vertical'"), "i", "j", gap).select("scan_id", F.lit("vertical").alias("direction"), F.col("i").alias("line"), "first", "last", "cells")
+    runs = durable(flat.unionByName(up))
+    node = F.struct("scan_id", "direction", "line", "first")
+    joined = graph.connected_components(
+        runs.select(node.alias("a"), "scan_id", "direction", "first", "last", F.explode(F.array(F.col("line"), F.col("line") + 1)).alias("line"))
+        .join(runs.select(node.alias("b"), "scan_id", "direction", F.col("first").alias("f2"), F.col("last").alias("l2"), "line"), ["scan_id", "direction", "line"])
+        .filter((F.col("a") != F.col("b")) & (F.col("first") <= F.col("l2") + gap) & (F.col("f2") <= F.col("last") + gap)).select("a", "b"),
+        runs.select(node.alias("node")))
+    named = joined.select("node.*", F.hash("component").alias("component"))
+    return runs.join(named, ["scan_id", "direction", "line", "first"])
+
+
+def sharpness_replay(frames: DataFrame, decay: float = 0.97, frozen: float = 0.25) -> DataFrame:
+    """Ratio of each frame's sharpness to a peak that decays at 60 Hz steps, in time order; the peak rests while ``severe``.
+
+    Ordered fold per scan; the same rule as the streaming operator.
+    """
+    row = F.struct("timestamp", "id", "sharpness", "severe")
+    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("peak"), F.array().cast("array<struct<id:bigint,ratio:double>>").alias("out"))
+
+    def step(acc, r):
+        dt = F.least(F.greatest(F.coalesce(r["timestamp"] - acc["t"], F.lit(0.0)), F.lit(0.0)), F.lit(frozen))
+        peak = F.when(r["severe"], acc["peak"]).otherwise(F.greatest(r["sharpness"], acc["peak"] * F.pow(F.lit(decay), 60 * dt)))
+        ratio = F.when(peak > 0, r["sharpness"] / peak).otherwise(F.lit(1.0))
+        return F.struct(r["timestamp"].alias("t"), peak.alias("peak"), F.concat(acc["out"], F.array(F.struct(r["id"].cast("bigint").alias("id"), ratio.alias("ratio")))).alias("out"))
+
+    folded = frames.groupBy("scan_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("f", F.aggregate("rows", zero, step))
+    return folded.select("scan_id", F.explode("f.out").alias("o")).select("scan_id", "o.id", "o.ratio")
