@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from stereoloom.functions.numeric import clamp, col, is_finite
 
@@ -72,7 +73,7 @@ def logit(p) -> Column:
     return F.log(col(p) / (1 - col(p)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash_rank(key: pd.Series) -> pd.Series:
     """SplitMix64 of the key; wraps, so it is computed on unsigned words and returned as signed."""
     with np.errstate(over="ignore"):

@@ -33,7 +33,7 @@ def forward(pose: Column | str) -> Vector:
     """P10: unit viewing direction, minus the third axis."""
     axis = [-element(pose, r, 2) for r in range(3)]
     norm = F.sqrt(sum((a * a for a in axis[1:]), axis[0] * axis[0]))
-    return tuple(a / norm for a in axis)
+    return tuple(F.try_divide(a, norm) for a in axis)
 
 
 def dot(a, b) -> Column:
@@ -191,7 +191,7 @@ def project(camera: Camera, pose: Column | str, p) -> Column:
     """struct<u,v,z> of a world point in the GL convention; null behind the camera or outside the image."""
     x, y, back = to_camera(pose, p)
     z = -back
-    u, v = camera.fx * x / z + camera.cx, camera.cy - camera.fy * y / z
+    u, v = F.try_divide(camera.fx * x, z) + camera.cx, camera.cy - F.try_divide(camera.fy * y, z)
     inside = (z > 0) & (u >= 0) & (v >= 0) & (u < camera.width) & (v < camera.height)
     return F.when(inside, F.struct(u.alias("u"), v.alias("v"), z.alias("z")))
 
@@ -199,4 +199,4 @@ def project(camera: Camera, pose: Column | str, p) -> Column:
 def project_cv(camera: Camera, p) -> Column:
     """struct<u,v,z> of a point in camera axes with +Z forward; null behind the camera."""
     x, y, z = p
-    return F.when(z > 0, F.struct((camera.fx * x / z + camera.cx).alias("u"), (camera.fy * y / z + camera.cy).alias("v"), z.alias("z")))
+    return F.when(z > 0, F.struct((F.try_divide(camera.fx * x, z) + camera.cx).alias("u"), (F.try_divide(camera.fy * y, z) + camera.cy).alias("v"), z.alias("z")))

@@ -19,7 +19,8 @@ def cell_index(x: Column | str, size: float | Column) -> Column:
 
 def pack3(ix: Column, iy: Column, iz: Column) -> Column:
     """21 bits an axis in one long; null if any index is null."""
-    return F.shiftleft(ix + HALF, 42).bitwiseOR(F.shiftleft(iy + HALF, 21)).bitwiseOR(iz + HALF)
+    a, b, c = ((i + HALF).cast("long") for i in (ix, iy, iz))
+    return F.shiftleft(a, 42).bitwiseOR(F.shiftleft(b, 21)).bitwiseOR(c)
 
 
 def unpack3(key: Column | str) -> tuple[Column, Column, Column]:
@@ -72,14 +73,14 @@ def shard_of(key: Column | str, shards: int = 16) -> Column:
 
 def pack2(i: Column, j: Column) -> Column:
     """Two signed 21-bit indices in one long."""
-    return F.shiftleft(i + HALF, 21).bitwiseOR(j + HALF)
+    return F.shiftleft((i + HALF).cast("long"), 21).bitwiseOR((j + HALF).cast("long"))
 
 
 def oct_encode(nx, ny, nz) -> Column:
     """Unit normal as two 8-bit octahedral coordinates, at least 1; 0 for no normal."""
     nx, ny, nz = col(nx), col(ny), col(nz)
     norm = F.abs(nx) + F.abs(ny) + F.abs(nz)
-    px, py = nx / norm, ny / norm
+    px, py = F.try_divide(nx, norm), F.try_divide(ny, norm)
     side = lambda v: F.when(v >= 0, 1.0).otherwise(-1.0)
     u = F.when(nz >= 0, px).otherwise((1 - F.abs(py)) * side(px))
     v = F.when(nz >= 0, py).otherwise((1 - F.abs(px)) * side(py))

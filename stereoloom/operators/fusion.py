@@ -189,12 +189,14 @@ def tsdf_updates(points: DataFrame, size: float, steps: int = 6) -> DataFrame:
     """Half-voxel steps along the normal on both sides, one update a cell and frame (the first).
 
     Needs scan_id, frame_id, ordinal, x, y, z, nx, ny, nz, score. Gives the
-    signed distance of each cell's sample in units of the truncation.
+    distance of the cell's centre from the sample's plane along the normal, in
+    units of the truncation.
     """
     stepped = points.withColumn("k", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("t", F.col("k") * F.lit(size / 2))
     at = stepped.withColumn("key", vx.voxel_key(F.col("x") + F.col("nx") * F.col("t"), F.col("y") + F.col("ny") * F.col("t"), F.col("z") + F.col("nz") * F.col("t"), size))
-    first = F.min(F.struct("ordinal", "k", "t", "score")).alias("f")
-    return at.filter("key is not null").groupBy("scan_id", "frame_id", "key").agg(first).select("scan_id", "frame_id", "key", (-F.col("f.t") / F.lit(size * steps / 2)).alias("sdf"), F.greatest(F.col("f.score").cast("double"), F.lit(LEAST_WEIGHT)).alias("w"))
+    first = F.min(F.struct("ordinal", "k", "x", "y", "z", "nx", "ny", "nz", "score")).alias("f")
+    away = sum(((c - F.col(f"f.{n}")) * F.col(f"f.n{n}") for c, n in zip(vx.voxel_centre("key", size)[1:], "yz", strict=True)), (vx.voxel_centre("key", size)[0] - F.col("f.x")) * F.col("f.nx"))
+    return at.filter("key is not null").groupBy("scan_id", "frame_id", "key").agg(first).select("scan_id", "frame_id", "key", (away / F.lit(size * steps / 2)).alias("sdf"), F.greatest(F.col("f.score").cast("double"), F.lit(LEAST_WEIGHT)).alias("w"))
 
 
 def tsdf_integrate(points: DataFrame, size: float, cap: float = 24.0, steps: int = 6) -> DataFrame:

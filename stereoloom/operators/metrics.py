@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stereoloom.functions import voxels as vx
 from stereoloom.functions.numeric import clamp, nearest_rank, upper_median
@@ -96,7 +97,7 @@ def plane_moments(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *second)
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double,rms:double>")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("nx", "ny", "nz", "rms")]))
 def plane_of(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     """Normal (positive largest part) and RMS distance of the plane with these second moments."""
     m = np.stack([np.stack(r, axis=-1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-2).astype(float)
@@ -226,7 +227,7 @@ def allot(shares: DataFrame, total: int, key: str, cap: str | None = None) -> Da
     while left > 0:
         open_ = F.when(F.col("allotted") < limit, F.col("share")).otherwise(0.0)
         w = Window.partitionBy()
-        part = out.withColumn("__o", open_).withColumn("__x", F.col("__o") / F.sum("__o").over(w) * left)
+        part = out.withColumn("__o", open_).withColumn("__x", F.coalesce(F.try_divide(F.col("__o"), F.sum("__o").over(w)), F.lit(0.0)) * left)
         part = part.withColumns({"__f": F.floor("__x"), "__g": F.col("__x") - F.floor("__x")})
         part = part.withColumns({"__rest": F.lit(left) - F.sum("__f").over(w), "__r": F.row_number().over(w.orderBy(F.desc("__g"), key))})
         more = F.col("__f") + F.when((F.col("__r") <= F.col("__rest")) & (F.col("__o") > 0), 1).otherwise(0)

@@ -36,7 +36,7 @@ def frame_velocity(frames: DataFrame, gap: float = 0.3, change: float = 0.8, fas
     """
     w = by_scan("timestamp", "id")
     back_dt, next_dt = F.col("timestamp") - F.lag("timestamp").over(w), F.lead("timestamp").over(w) - F.col("timestamp")
-    out = frames.withColumns({"bt": back_dt, "nt": next_dt, **{f"b{c}": (F.col(c) - F.lag(c).over(w)) / back_dt for c in "xyz"}, **{f"n{c}": (F.lead(c).over(w) - F.col(c)) / next_dt for c in "xyz"}})
+    out = frames.withColumns({"bt": back_dt, "nt": next_dt, **{f"b{c}": F.try_divide(F.col(c) - F.lag(c).over(w), back_dt) for c in "xyz"}, **{f"n{c}": F.try_divide(F.lead(c).over(w) - F.col(c), next_dt) for c in "xyz"}})
     speed = lambda p: F.sqrt(F.col(f"{p}x") ** 2 + F.col(f"{p}y") ** 2 + F.col(f"{p}z") ** 2)
     b_ok = F.coalesce((F.col("bt") > 0) & (F.col("bt") < gap) & (speed("b") <= fastest), F.lit(False))
     n_ok = F.coalesce((F.col("nt") > 0) & (F.col("nt") < gap) & (speed("n") <= fastest), F.lit(False))

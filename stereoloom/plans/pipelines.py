@@ -56,7 +56,7 @@ def blur_verdicts(frames: DataFrame, distance: float = 0.5, degrees: float = 30.
     own = frames.join(facts, ["scan_id", "id"], "left")
     judged = F.coalesce(F.col("peers"), F.lit(0)) >= peers
     blurred = F.when(judged & (F.col("blur") > drop), "drop").when(judged & ((F.col("exposure_blur") > demote) | (F.col("sharpness") < soft * F.col("p75"))), "demote")
-    severity = F.greatest(F.col("blur") / drop, F.coalesce(1 - F.col("sharpness") / F.col("p75"), F.lit(0.0)))
+    severity = F.greatest(F.coalesce(F.try_divide("blur", F.lit(drop)), F.lit(0.0)), F.coalesce(1 - F.try_divide("sharpness", "p75"), F.lit(0.0)))
     return capped_rejection(own.withColumns({"verdict": blurred, "severity": severity}), share)
 
 

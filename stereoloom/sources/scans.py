@@ -32,9 +32,9 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """IO2: lines a file that do not parse."""
+    """IO2: lines a file that ``read_poses`` leaves out: those that do not parse and those without an id."""
     rows = spark.read.schema(FRAME + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("_corrupt_record").alias("bad"))
+    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count_if(F.col("_corrupt_record").isNotNull() | F.col("id").isNull()).alias("bad"))
 
 
 def read_sessions(spark: SparkSession, current: str, legacy: str | None = None) -> DataFrame:
