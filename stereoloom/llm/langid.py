@@ -38,6 +38,9 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
+    """Runs of n characters; word ends are marked where a run has room for more than the mark."""
+    if n == 1:
+        return list(word)
     marked = f"\x02{word}\x03"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
