@@ -22,7 +22,7 @@ depthFormat string, lidarAvailable boolean, lidarEnabled boolean, rgbReconstruct
 
 
 def _scan_of(path):
-    return F.regexp_extract(path, r"(scan_[^/]+)/", 1)
+    return F.regexp_extract(path, r".*/(scan_[^/]+)/", 1)
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
