@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stereoloom.llm.common import utf8
 
 #: Distinct pieces that a Python worker remembers; beyond them it starts afresh.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 700_000
 #: Characters from which a text's pieces are not listed at once.
 LONG_TEXT = 1 << 20
 _NONE = 1 << 62
@@ -124,6 +124,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+_held: dict[str, Codec] = {}
+
+
+def held_codec(name: str, ranks, pattern: str) -> Codec:
+    """The worker's codec: Spark's Python workers outlive their tasks, so pieces met in one task are known in the next."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Codec(ranks.value, pattern)
+    return _held[name]
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", id_column: str = "doc_id",
                with_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
@@ -136,10 +147,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_column: str
     broadcast: its size is the tokenizer's, whatever the corpus.
     """
     spark: SparkSession = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    table = load_ranks(ranks_path)
+    ranks, name = spark.sparkContext.broadcast(table), hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
 
     def run(batches):
-        codec = Codec(ranks.value, pattern)
+        codec = held_codec(name, ranks, pattern)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             count, digest, back, lists = [], [], [], []
