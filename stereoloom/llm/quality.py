@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stereoloom.llm import common as c
 from stereoloom.llm.sampling import first_by_hash
 
 #: Labelled rows that the model is fitted on.
@@ -27,34 +28,68 @@ SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS = 8
+#: Few rows are gone over until they have given this many steps.
+LEAST_STEPS = 16_000
 RATE = 2.0
 GRAM_LENGTHS = (2, 3, 4)
-#: Longer tokens are cut into pieces of this many characters, each with its own n-grams.
-TOKEN_CHARS = 64
 CACHE_TOKENS = 200_000
+#: Texts whose unseen tokens are scored together.
+TEXTS = 256
+_POWERS = c.PowerTable(0x9E3779B97F4A7C15)
 #: Features of a pair of neighbouring tokens that are equal, beside those of the tokens themselves.
 SAME_PAIR = tuple(xxhash.xxh3_64_intdigest(f"same pair {i}") % BUCKETS for i in range(8))
 
 
-def token_features(token: str) -> list[int]:
-    """Buckets of the token and of its character n-grams."""
-    out = []
-    for at in range(0, len(token), TOKEN_CHARS):
-        marked = f"<{token[at : at + TOKEN_CHARS]}>"
-        parts = [marked] + [marked[i : i + n] for n in GRAM_LENGTHS for i in range(len(marked) - n + 1)]
-        out += [xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts]
-    return out
+def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(token index, bucket) of every feature of the tokens: each token, and its character n-grams with ends marked.
+
+    Hashes are polynomials over code points, all tokens at once.
+    """
+    owners, buckets = [], []
+    for i, j in _parts(tokens):
+        marked = [f"<{t}>" for t in tokens[i:j]]
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        ends = np.cumsum([len(m) for m in marked])
+        starts = np.concatenate([[0], ends[:-1]])
+        owner = np.repeat(np.arange(i, j), ends - starts)
+        owners.append(np.arange(i, j))
+        buckets.append(c.span_hashes(codes, starts, ends, _POWERS) % np.uint64(BUCKETS))
+        for n in GRAM_LENGTHS:
+            if len(codes) < n:
+                continue
+            h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+            for k in range(n):
+                h *= np.uint64(0x100000001B3)
+                h += codes[k : len(codes) - n + 1 + k]
+            whole = owner[: len(h)] == owner[n - 1 :]
+            owners.append(owner[: len(h)][whole])
+            buckets.append(c.mix(h[whole]) % np.uint64(BUCKETS))
+    if not owners:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
+
+
+def _parts(tokens: list[str], most: int = 1 << 18):
+    """Index ranges of about ``most`` characters."""
+    i = 0
+    while i < len(tokens):
+        j, size = i, 0
+        while j < len(tokens) and (j == i or size + len(tokens[j]) <= most):
+            size += len(tokens[j]) + 2
+            j += 1
+        yield i, j
+        i = j
 
 
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
-    total = np.zeros(BUCKETS, dtype=np.float32)
     tokens = text.split()
-    for token, n in Counter(tokens).items():
-        np.add.at(total, token_features(token), n)
+    counted = Counter(tokens)
+    owner, bucket = token_features(list(counted))
+    total = np.bincount(bucket, np.array(list(counted.values()), dtype=np.float64)[owner] if len(owner) else None, BUCKETS)
     np.add.at(total, list(SAME_PAIR), sum(map(eq, tokens, islice(tokens, 1, None))))
     at = np.flatnonzero(total)
-    return at.astype(np.int32), total[at]
+    return at.astype(np.int32), total[at].astype(np.float32)
 
 
 @dataclass
@@ -73,8 +108,9 @@ class QualityModel:
         random = np.random.default_rng(seed)
         vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
         layer, bias = np.zeros((2, DIMENSIONS), dtype=np.float32), np.zeros(2, dtype=np.float32)
-        steps, done = EPOCHS * len(rows), 0
-        for _ in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS // len(rows)))
+        steps, done = epochs * len(rows), 0
+        for _ in range(epochs):
             for i in random.permutation(len(rows)):
                 label, at, n = rows[i]
                 rate = np.float32(RATE * (1 - done / steps))
@@ -116,31 +152,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Q
     chosen = first_by_hash(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id", sample_rows)
     # the sample has a fixed size bound, so it can be sent to the documents
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in features(rows).toLocalIterator(prefetchPartitions=False)]
+    found = c.durable(features(rows), "features")
+    got = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in found.toLocalIterator()]
     return QualityModel.fit(sorted(got, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
 
 
 class _Tokens(dict):
+    """Token to its row in a table of (sum of odds, number of features); unseen tokens are scored together."""
+
     def __init__(self, odds: np.ndarray, most: int):
-        self.odds, self.most = odds, most
+        self.odds, self.most = odds.astype(np.float64), most
         self.same = float(odds[list(SAME_PAIR)].sum())
-        self.sums = np.empty((1024, 2), dtype=np.float64)
+        self.sums, self.fresh = np.empty((0, 2), dtype=np.float64), []
 
     def __missing__(self, token: str) -> int:
         at = self[token] = len(self)
-        if at >= len(self.sums):
-            self.sums = np.concatenate([self.sums, np.empty_like(self.sums)])
-        found = token_features(token)
-        self.sums[at] = self.odds[found].sum(dtype=np.float64), len(found)
+        self.fresh.append(token)
         return at
 
-    def mean(self, tokens: list[str]) -> float:
+    def means(self, texts: list[str]) -> list[float | None]:
+        """Mean odds of each text's features, None for a text without tokens."""
         if len(self) > self.most:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        odds, n = self.sums[at].sum(axis=0)
-        same = int((at[1:] == at[:-1]).sum())
-        return (odds + same * self.same) / (n + same * len(SAME_PAIR))
+            self.sums = self.sums[:0]
+        places = []
+        for text in texts:
+            tokens = text.split()
+            places.append(np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+        if self.fresh:
+            owner, bucket = token_features(self.fresh)
+            new = np.stack([np.bincount(owner, self.odds[bucket], len(self.fresh)), np.bincount(owner, minlength=len(self.fresh))], axis=1)
+            self.sums, self.fresh = np.concatenate([self.sums, new]), []
+        out = []
+        for at in places:
+            if not len(at):
+                out.append(None)
+                continue
+            odds, n = self.sums[at].sum(axis=0)
+            same = int((at[1:] == at[:-1]).sum())
+            out.append(float((odds + same * self.same) / (n + same * len(SAME_PAIR))))
+        return out
 
 
 def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -155,11 +206,11 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
     def run(batches):
         tokens = _Tokens(held.value.odds, CACHE_TOKENS)
         for batch in batches:
-            out = []
-            for raw in batch.column(0):
-                found = (raw.as_py() or "").split()
-                z = held.value.offset + (tokens.mean(found) if found else 0.0)
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+            out, texts = [], [x or "" for x in batch.column(0).to_pylist()]
+            for i in range(0, len(texts), TEXTS):
+                for mean in tokens.means(texts[i : i + TEXTS]):
+                    z = held.value.offset + (mean or 0.0)
+                    out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())], names=[*batch.schema.names[1:], "score", "predicted"])
 
     chosen = docs.select(F.col("text").alias("__text"), *keep)
