@@ -69,9 +69,10 @@ def training_selection(frames: DataFrame, distance: float = 0.04, degrees: float
     with one other than keep do not train).
     """
     from stereoloom.operators.graph import greedy_independent, ranked
+    from stereoloom.plans.durable import durable
 
     own = frames.filter("verdict = 'keep'")
-    edges = spatial.near_duplicate_views(own, distance, degrees, difference)
+    edges = durable(spatial.near_duplicate_views(own, distance, degrees, difference))
     node = lambda n: F.struct("scan_id", F.col(n).alias("id"))
     order = ranked(own, [F.desc("detail"), F.asc("id")], ["scan_id"])
     state = greedy_independent(order.select(node("id").alias("id"), "rank"), edges.select(node("a").alias("a"), node("b").alias("b")))
@@ -259,9 +260,10 @@ def dataset_preparation(raw: DataFrame, corrected: DataFrame, columns: list[str]
     """C20: saved records merged, judged for blur, selected for training, split: frames with ``selected``, ``holdout`` and ``ev``."""
     from stereoloom.functions.capture import exposure_value
     from stereoloom.operators.sequence import holdout_every
+    from stereoloom.plans.durable import durable
 
     merged = spatial.merged_records(raw, corrected, columns).drop("incomplete", "corrected")
-    judged = blur_verdicts(merged)
+    judged = durable(blur_verdicts(merged))
     chosen = training_selection(judged).filter("selected").select("scan_id", "id")
     kept = judged.join(chosen, ["scan_id", "id"], "left_semi")
     return holdout_every(kept, holdout).withColumn("ev", exposure_value("exposure", "iso"))
