@@ -361,3 +361,45 @@ def sharpness_replay(frames: DataFrame, decay: float = 0.97, frozen: float = 0.2
 
     folded = frames.groupBy("scan_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("f", F.aggregate("rows", zero, step))
     return folded.select("scan_id", F.explode("f.out").alias("o")).select("scan_id", "o.id", "o.ratio")
+
+
+def desktop_points(samples: DataFrame, views: DataFrame, size: float, most: int, confidence: int = 2, near: float = 0.15, far: float = 6.0) -> DataFrame:
+    """The desktop depth rebuild: confident samples in range to world points, the first of each voxel by frame, at most ``most`` in that order."""
+    from stereoloom.functions import geometry as g
+    from stereoloom.operators.sampling import first_per_voxel
+
+    own = samples.filter((F.col("conf") >= confidence) & (F.col("z") > near) & (F.col("z") < far)).join(views, ["scan_id", "frame_id"])
+    x, y, z = g.unproject(g.Camera.of("intrinsics"), "pose", F.col("u"), F.col("v"), F.col("z").cast("double"))
+    points = own.select("scan_id", "frame_id", (F.col("v") * 100_000 + F.col("u")).alias("ordinal"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return first_per_voxel(points, size).orderBy("scan_id", "frame_id", "ordinal").limit(most)
+
+
+def desktop_conversion(frames: DataFrame, max_blur: float | None, keep: int, portrait: bool = False) -> DataFrame:
+    """Records filtered in order, spread to ``keep``, poses for COLMAP, intrinsics turned for portrait images."""
+    from stereoloom.functions import geometry as g
+    from stereoloom.operators.sampling import evenly_spaced
+    from stereoloom.operators.sequence import strictly_later
+
+    chosen = evenly_spaced(strictly_later(frames, max_blur), keep, ["id"], ["scan_id"])
+    camera = g.Camera.of("intrinsics")
+    return chosen.withColumns({"colmap": g.colmap_pose("pose"), "intrinsics": (camera.portrait() if portrait else camera).struct()})
+
+
+def optimised_entry(frames: DataFrame, refine, gate, path: str, least: int = 1) -> str:
+    """A new history entry from a scan's frames: judged, refined if the gate accepts, selected, published whole.
+
+    The source is never written; an empty selection raises ValueError and
+    publishes nothing.
+    """
+    from stereoloom.operators.kernels import staged_refinement
+    from stereoloom.plans.durable import durable
+    from stereoloom.sources.scans import publish
+
+    refined, _ = staged_refinement([("refine", refine)], gate, frames)
+    judged = durable(blur_verdicts(refined))
+    chosen = training_selection(judged).filter("selected").select("scan_id", "id")
+    out = durable(judged.join(chosen, ["scan_id", "id"], "left_semi"))
+    if out.count() < least:
+        raise ValueError("nothing is left to publish")
+    publish(out, path)
+    return path
