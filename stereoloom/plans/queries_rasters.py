@@ -40,7 +40,7 @@ LOOK = f"""{P}, {PIX}, ask AS (SELECT ordinal, view_id, x, y, -1+z AS z, 8*x/(1-
  look AS (SELECT a.ordinal, a.view_id, m.d + a.z AS residual, CASE WHEN coalesce(n,0) < 4 THEN 'unobserved' WHEN abs(d + a.z) <= 0.015::DOUBLE + 0.005::DOUBLE * -a.z THEN 'supported' WHEN d + a.z < 0 THEN 'occluded' ELSE 'contradicted' END AS state FROM ask a LEFT JOIN m ON m.ordinal = a.ordinal AND m.view_id = a.view_id)"""
 
 
-@query("j6_depth_consistency", f"WITH {LOOK} SELECT view_id, state, count(*) AS n FROM look GROUP BY view_id, state")
+@query("j6_depth_consistency", f"WITH {LOOK} SELECT CAST(view_id AS INT) AS view_id, state, count(*) AS n FROM look GROUP BY view_id, state")
 def j6(spark, sf):
     return lookups(spark, sf)[1].groupBy("view_id", "state").agg(F.count("*").alias("n"))
 
