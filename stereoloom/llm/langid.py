@@ -45,51 +45,65 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class ScoreTable:
+    """Keys and their centred log frequencies, a row a key and a column a language."""
+
+    rows: dict[str, int]
+    scores: np.ndarray
+
+    @classmethod
+    def of(cls, counts: list[Counter], keep: int | None = None) -> ScoreTable:
+        """From one counter a language: log frequency within each language with half a count added, centred over languages.
+
+        With ``keep`` only the most frequent keys stay; ties go to the first
+        in alphabetical order.
+        """
+        total: Counter = Counter()
+        for c in counts:
+            total.update(c)
+        keys = sorted(total, key=lambda k: (-total[k], k))[:keep]
+        n = np.array([[c[k] for c in counts] for k in keys], dtype=np.float64).reshape(len(keys), len(counts))
+        x = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(keys))))
+        return cls({k: i for i, k in enumerate(keys)}, (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if counts else n)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    word_scores: dict[str, np.ndarray]
-    gram_scores: dict[int, dict[str, np.ndarray]]
-    floor: np.ndarray
+    words: ScoreTable
+    grams: dict[int, ScoreTable]
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]]) -> LanguageModel:
         """From (language, word, count) rows; ties and order of rows do not matter."""
         languages = sorted({x[0] for x in counts})
-        at = {x: i for i, x in enumerate(languages)}
-        by_word: dict[str, np.ndarray] = {}
-        by_gram: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, LONGEST_GRAM + 1)}
-        for lang, word, n in sorted(counts):
-            by_word.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
-            for size in by_gram:
-                for g in grams(word, size):
-                    by_gram[size].setdefault(g, np.zeros(len(languages)))[at[lang]] += n
-        kept = {}
-        for size, table in by_gram.items():
-            best = sorted(table, key=lambda g: (-table[g].sum(), g))[: GRAMS_PER_LENGTH * max(1, len(languages))]
-            kept[size] = {g: table[g] for g in best}
-        score = lambda table: _logs(table, len(languages))
-        return cls(languages, score(by_word), {n: score(t) for n, t in kept.items()}, np.zeros(len(languages)))
+        by_word = {x: Counter() for x in languages}
+        for lang, word, n in counts:
+            by_word[lang][word] += n
+        by_gram = {}
+        for size in range(1, LONGEST_GRAM + 1):
+            found = []
+            for lang in languages:
+                c: Counter = Counter()
+                for word, n in by_word[lang].items():
+                    for g in grams(word, size):
+                        c[g] += n
+                found.append(c)
+            by_gram[size] = ScoreTable.of(found, GRAMS_PER_LENGTH * max(1, len(languages)))
+        return cls(languages, ScoreTable.of([by_word[x] for x in languages]), by_gram)
 
     def word(self, word: str) -> np.ndarray:
-        known = self.word_scores.get(word)
+        """Scores of one word in every language."""
+        known = self.words.rows.get(word)
         if known is not None:
-            return known
+            return self.words.scores[known]
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [s for g in grams(word, n) if (s := self.gram_scores[n].get(g)) is not None]
+            rows = self.grams[n].rows
+            found = [at for g in grams(word, n) if (at := rows.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return self.floor
-
-
-def _logs(table: dict[str, np.ndarray], languages: int) -> dict[str, np.ndarray]:
-    """Log frequency within each language with half a count added, centred over languages."""
-    total = sum(table.values(), np.zeros(languages)) + 0.5 * max(1, len(table))
-    out = {}
-    for key, n in table.items():
-        x = np.log((n + 0.5) / total)
-        out[key] = (x - x.mean()).astype(np.float32)
-    return out
+                return self.grams[n].scores[found].mean(axis=0)
+        return np.zeros(len(self.languages))
 
 
 class _Cache(dict):
