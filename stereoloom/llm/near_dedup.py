@@ -27,7 +27,8 @@ from stereoloom.llm.components import components
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Distinct texts that one task compares within a bucket. A larger bucket is dealt out by hash, with common centres in every part.
+#: Distinct texts that one task compares within a bucket. A larger bucket is dealt out by hash, with common centres in every part;
+#: members that are then still in different components meet in tasks of two blocks each.
 BUCKET_TEXTS = 16_384
 BUCKET_CENTRES = 64
 _COUNT_BITS = 16
@@ -225,6 +226,55 @@ def _edges(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "similarity"])
 
 
+def _packed(source: DataFrame, texts: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, shingles) of the given contents, each from a row of its least doc_id."""
+    wanted = contents.join(texts, "content").select("content", F.col("first").alias("doc_id"))
+    rows = source.join(wanted, "doc_id").select("content", "text").mapInArrow(_pack, "content long, shingles binary")
+    return rows.groupBy("content").agg(F.min("shingles").alias("shingles"))
+
+
+def _compared(dealt: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Edges within each (bucket, part) of ``dealt``."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(packed, "content").select("bucket", "part", "content", "shingles")
+    return rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_links(threshold), "a long, b long, similarity double")
+
+
+def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, part, content): tasks in which all members of a bucket meet that ``labels`` has not connected.
+
+    The largest component of a bucket and the rest are dealt into blocks of
+    half a task. Each block of the rest meets each other block; two blocks of
+    the largest component need not meet, as it is connected already.
+    """
+    placed = members.join(labels.select(F.col("node").alias("content"), "label"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
+    half = max(1, BUCKET_TEXTS // 2)
+    blocks = lambda k: F.ceil(k / half).cast("long")
+    sizes = sizes.filter("all > top.k").select("bucket", F.col("top.label").alias("main"), blocks(F.col("top.k")).alias("p"), blocks(F.col("all") - F.col("top.k")).alias("q"))
+    p, q, wide = F.col("p"), F.col("q"), F.col("p") + F.col("q")
+    code, rest = F.xxhash64("content", F.lit(3)), F.sequence(p, wide - 1)
+    placed = placed.join(sizes, "bucket").withColumn("block", F.when(F.col("label") == F.col("main"), F.pmod(code, p)).otherwise(p + F.pmod(code, q)))
+    block = F.col("block")
+    others = F.when(block < p, rest).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), wide - 1), block))
+    return placed.select("bucket", F.explode(F.transform(others, lambda x: F.least(x, block) * wide + F.greatest(x, block))).alias("part"), "content")
+
+
+def _labels(source: DataFrame, texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of the contents that exact links within buckets connect."""
+    packed = _packed(source, texts, members.select("content").distinct())
+    centre = F.pmod(F.xxhash64("content", F.lit(2)), F.ceil(F.col("n") / BUCKET_CENTRES)) == 0
+    part = F.explode(F.when((F.col("parts") > 1) & centre, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))))
+    edges = _compared(members.select("bucket", part.alias("part"), "content"), packed, threshold).select("a", "b")
+    large = members.filter("parts > 1").select("bucket", "content")
+    if large.isEmpty():
+        return components(edges)
+    edges = c.durable(edges, "links")
+    dealt = c.durable(_across(large, components(edges)), "across")
+    more = _compared(dealt, _packed(source, texts, dealt.select("content").distinct()), threshold)
+    return components(edges.unionAll(more.select("a", "b")))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Class of every row: ``doc_id``, ``class_id``, ``class_rows``.
 
@@ -236,7 +286,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     their own doc_id. Null doc_ids count as the largest id; rows that repeat a
     doc_id with other text get a row each. Other columns are left out.
     """
-    spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(c.MAX_ID)).alias("doc_id"), "text")
     sketch = c.durable(source.mapInArrow(_sketch, "doc_id long, content long, bands array<long>"), "sketch")
     texts = sketch.filter("content != 0").groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
@@ -245,17 +294,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("m1"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("m2")).filter("n > 1")
     buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
     members = c.durable(entries.join(buckets.select("bucket", "n"), "bucket").withColumn("parts", F.ceil(F.col("n") / BUCKET_TEXTS).cast("int")), "members")
-    wanted = members.select("content").distinct().join(texts, "content").select("content", F.col("first").alias("doc_id"))
-    packed = (
-        source.join(wanted, "doc_id").select("content", "text").mapInArrow(_pack, "content long, shingles binary")
-        .groupBy("content").agg(F.min("shingles").alias("shingles"))
-    )
-    centre = F.pmod(F.xxhash64("content", F.lit(2)), F.ceil(F.col("n") / BUCKET_CENTRES)) == 0
-    part = F.explode(F.when((F.col("parts") > 1) & centre, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))))
-    dealt = members.select("bucket", part.alias("part"), "content").join(packed, "content").select("bucket", "part", "content", "shingles")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_links(threshold), "a long, b long, similarity double")
-    labels = components(edges.select("a", "b"))
+    labels = _labels(source, texts, members, threshold)
     named = texts.join(labels.select(F.col("node").alias("content"), "label"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     classes = named.join(named.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_rows")), "label").select("content", "class_id", "class_rows")
     return sketch.select("doc_id", "content").join(classes, "content", "left").select(

@@ -253,6 +253,16 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id) for r in got) == classes_by_force(rows)
 
 
+def test_parts_of_a_large_bucket_meet(spark, monkeypatch):
+    """Pairs of texts that differ in a last word share all their buckets but one or two; each text is a part, and few are centres."""
+    monkeypatch.setattr(near_dedup, "BUCKET_TEXTS", 1)
+    monkeypatch.setattr(near_dedup, "BUCKET_CENTRES", 1)
+    rows = [(2 * i + k, " ".join(f"{i}x{j}" for j in range(90)) + f" end{k}") for i in range(30) for k in range(2)] + near_copies()
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = near_dedup.near_duplicate_classes(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == classes_by_force(rows)
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     out = {r.node: r.label for r in components.components(e).collect()}
