@@ -26,7 +26,7 @@ LEADING_TOKENS = 3
 MIN_TOKENS = 4
 MIN_DOCUMENTS = 10
 SIMILARITY = 0.7
-#: Distinct lines that one node of the tree compares with one another; a fuller node splits by its next token.
+#: Templates of one leaf that a line is compared with one by one; among more, candidates are looked up by blocks of positions.
 NODE_LINES = 2_048
 _FIELD = np.uint64(0x5EED_F1E1D)
 _DIGIT = np.zeros(256, dtype=np.int64)
@@ -128,51 +128,100 @@ def _frequent_lines(leading: int, least: int, shards: int):
     return run
 
 
-def templates(lines: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+class _Blocks:
+    """Finds the templates that can agree with a line in enough positions, without looking at all of them.
+
+    A line that joins a template disagrees in ``spare`` positions at most. Of
+    ``spare + 1`` blocks of positions one then agrees whole, so templates are
+    kept by the tokens of each block. Positions in which all lines are equal
+    tell nothing and are in no block.
+    """
+
+    def __init__(self, lines: np.ndarray, similarity: float):
+        width = lines.shape[1]
+        agree = np.flatnonzero(np.arange(width + 1) >= similarity * width)
+        equal = (lines == lines[0]).all(axis=0)
+        free = np.flatnonzero(~equal)
+        # an equal position of variable fields agrees in no line but one of fields only, which is always a candidate
+        spare = width - int(agree[0]) - int((equal & (lines[0] == _FIELD)).sum()) if len(agree) else 0
+        self.usable = spare < len(free)
+        if self.usable and spare >= 0:
+            kinds = np.array([len(np.unique(lines[:, p])) for p in free])
+            free = free[np.argsort(-kinds, kind="stable")]
+            blocks = [free[k :: spare + 1] for k in range(spare + 1)]
+        else:
+            blocks = []
+        self.blocks = [(p, c.span_hashes(lines[:, p].reshape(-1), np.arange(len(lines)) * len(p), (np.arange(len(lines)) + 1) * len(p), c._gram_powers), (lines[:, p] != _FIELD).all(axis=1)) for p in blocks]
+        self.kept: list[dict[int, list[int]]] = [{} for _ in self.blocks]
+        self.always: list[int] = []
+
+    def add(self, i: int, template: int, fields_only: bool) -> None:
+        if fields_only:
+            self.always.append(template)
+            return
+        for kept, (_, code, whole) in zip(self.kept, self.blocks, strict=True):
+            if whole[i]:
+                kept.setdefault(int(code[i]), []).append(template)
+
+    def near(self, i: int) -> np.ndarray:
+        """Candidates in order of template number."""
+        found = set(self.always)
+        for kept, (_, code, whole) in zip(self.kept, self.blocks, strict=True):
+            if whole[i]:
+                found.update(kept.get(int(code[i]), ()))
+        return np.array(sorted(found), dtype=np.int64)
+
+
+def templates(lines: np.ndarray, similarity: float = SIMILARITY, node_lines: int = NODE_LINES) -> np.ndarray:
     """Template number of every row of ``lines`` (distinct token rows of one leaf, in order of first place).
 
     A line joins the template that agrees with it in most positions, if those
     are ``similarity`` of all (variable positions never count); the first of
-    equal ones. Positions that disagree become variable.
+    equal ones. Positions that disagree become variable. Beyond ``node_lines``
+    templates only those that can be near enough are compared, which finds the
+    same one.
     """
     n, width = lines.shape
     known = np.zeros((min(n, 64), width), dtype=np.uint64)
     fixed = np.zeros((min(n, 64), width), dtype=bool)
     used, out = 0, np.empty(n, dtype=np.int64)
+    first: list[int] = []  # the line each template began with
+    blocks = None
     for i, line in enumerate(lines):
+        if used > node_lines and blocks is None:
+            blocks = _Blocks(lines, similarity)
+            for t, at in enumerate(first):
+                blocks.add(at, t, bool((lines[at] == _FIELD).all()))
         if used:
-            same = (known[:used] == line) & fixed[:used]
+            at = blocks.near(i) if blocks is not None and blocks.usable else None
+            if at is None:
+                same = (known[:used] == line) & fixed[:used]
+            else:
+                same = (known[at] == line) & fixed[at]
             agree = same.sum(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= similarity * width:
-                fixed[best] &= same[best]
-                out[i] = best
+            best = int(agree.argmax()) if len(agree) else 0
+            if len(agree) and agree[best] >= similarity * width:
+                t = best if at is None else int(at[best])
+                fixed[t] &= same[best]
+                out[i] = t
                 continue
         if used == len(known):
             known, fixed = np.concatenate([known, np.zeros_like(known)]), np.concatenate([fixed, np.zeros_like(fixed)])
         known[used], fixed[used] = line, line != _FIELD
-        if not fixed[used].any():
+        fields_only = not fixed[used].any()
+        if fields_only:
             fixed[used] = True  # a line of variable fields only is its own template
+        first.append(i)
+        if blocks is not None:
+            blocks.add(i, used, fields_only)
         out[i] = used
         used += 1
     return out
 
 
 def leaf_templates(lines: np.ndarray, leading: int, similarity: float = SIMILARITY, node_lines: int = NODE_LINES) -> np.ndarray:
-    """``templates`` of a leaf; a node with more lines than ``node_lines`` has a child for each next token."""
-    out = np.zeros(len(lines), dtype=np.int64)
-    todo, used = [(np.arange(len(lines)), leading)], 0
-    while todo:
-        rows, depth = todo.pop()
-        if len(rows) > node_lines and depth < lines.shape[1]:
-            token = lines[rows, depth]
-            order = np.argsort(token, kind="stable")
-            todo += [(rows[part], depth + 1) for part in np.split(order, np.flatnonzero(np.diff(token[order].astype(np.uint64))) + 1)]
-            continue
-        got = templates(lines[rows], similarity)
-        out[rows] = got + used
-        used += int(got.max()) + 1
-    return out
+    """``templates`` of a leaf, by one rule whatever its size; its first ``leading`` tokens are equal."""
+    return templates(lines, similarity, node_lines)
 
 
 def _judge(leading: int, documents: int, similarity: float):

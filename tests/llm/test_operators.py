@@ -404,6 +404,26 @@ def test_full_nodes_of_the_tree_split():
     assert len(set(out.tolist())) == len(lines)  # at similarity 1 every line is its own template, split or not
 
 
+def test_full_leaves_give_the_same_templates():
+    r = np.random.default_rng(2)
+    for width, kinds in ((4, 3), (5, 40), (7, 4), (10, 3), (12, 30), (20, 2)):
+        lines = r.integers(1, kinds + 1, (600, width)).astype(np.uint64)
+        lines[r.random(lines.shape) < 0.1] = line_dedup._FIELD
+        lines[:, 0], lines[:, 1] = 7, line_dedup._FIELD
+        lines = r.permutation(np.unique(lines, axis=0))
+        assert (line_dedup.leaf_templates(lines, 3, 0.7, node_lines=3) == line_dedup.templates(lines, 0.7, node_lines=len(lines))).all()
+    fields = np.full((1, 6), line_dedup._FIELD, dtype=np.uint64)
+    lines = np.concatenate([fields, r.integers(1, 5, (80, 6)).astype(np.uint64)])
+    lines[40:, :5] = np.where(r.random((41, 5)) < 0.8, line_dedup._FIELD, lines[40:, :5])
+    lines = r.permutation(np.unique(lines, axis=0))
+    assert (line_dedup.leaf_templates(lines, 3, 0.7, node_lines=3) == line_dedup.templates(lines, 0.7, node_lines=len(lines))).all()
+
+
+def test_a_template_with_a_name_recurs_beyond_a_full_leaf():
+    lines = np.array([[1, 2, 3, 100 + i, 5, 6, 7] for i in range(50)], dtype=np.uint64)
+    assert len(set(line_dedup.leaf_templates(lines, 3, 0.7, node_lines=10).tolist())) == 1
+
+
 @pytest.mark.parametrize("most", [64, 1 << 20])
 def test_words_do_not_depend_on_slices(monkeypatch, most):
     r = random.Random(6)
