@@ -38,6 +38,7 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "reserved": "All rights reserved.",
 }
 # Licence rules in order of preference; each lists sentences that must follow one another.
@@ -47,6 +48,7 @@ RULES = [
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
     ("Apache-2.0", ("apache-header", "apache-copy")),
     ("Apache-2.0", ("apache-notice",)),
     ("MIT", ("mit-notice",)),
@@ -64,64 +66,104 @@ _END = np.zeros(256, dtype=bool)
 _END[[0x21, 0x2E, 0x3A, 0x3B, 0x3F]] = True  # ! . : ; ?
 
 
-def sentence_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and hash of every sentence.
+#: Words that mark a comment line; other marks are punctuation and count for nothing anyway.
+_LEADER = re.compile(rb"^[ \t]*@?(?:rem|dnl)(?=[ \t\r]|$)", re.MULTILINE)
 
-    A sentence is a run of lower-case words without ASCII punctuation; it ends
-    at a line's end or at ``. ! ? : ;`` before white space or the text's end.
+
+def _pieces(texts: list[bytes]) -> tuple[c.Words, np.ndarray, np.ndarray]:
+    """Words of the texts, first word of every piece, and whether a sentence must begin there.
+
+    Words are lower-case without ASCII punctuation and comment leaders. A
+    piece ends at a line's end or at ``. ! ? : ;`` before white space or the
+    text's end; a sentence ends at such a mark, a blank line or the text's end.
     """
     lower = [t.decode().lower().encode() for t in texts]
+    lower = [_LEADER.sub(b"", t) if b"rem" in t or b"dnl" in t else t for t in lower]
     w = c.Words(lower, c.PLAIN)
-    if not len(w.hashes):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    sentence = np.zeros(len(w.hashes), dtype=np.int64)
+    n = len(w.hashes)
+    lines, marks = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for d, text in enumerate(lower):
         a, b = int(w.first[d]), int(w.first[d + 1])
         if a == b:
             continue
         raw = np.frombuffer(text, dtype=np.uint8)
-        stop = raw == 0x0A
+        stop = np.zeros(len(raw), dtype=bool)
         stop[:-1] |= _END[raw[:-1]] & c.SPACE[raw[1:]]
-        sentence[a:b] = np.searchsorted(np.flatnonzero(stop), w.starts[a:b])
-    new = np.ones(len(sentence), dtype=bool)
-    new[1:] = (w.doc[1:] != w.doc[:-1]) | (sentence[1:] != sentence[:-1])
+        lines[a:b] = np.searchsorted(np.flatnonzero(raw == 0x0A), w.starts[a:b])
+        marks[a:b] = np.searchsorted(np.flatnonzero(stop), w.starts[a:b])
+    hard, new = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+    hard[1:] = (w.doc[1:] != w.doc[:-1]) | (marks[1:] != marks[:-1]) | (lines[1:] > lines[:-1] + 1)
+    new[1:] = hard[1:] | (lines[1:] != lines[:-1])
     start = np.flatnonzero(new)
-    return w.doc[start], w.spans(start, np.append(start[1:], len(sentence)))
+    return w, start, hard[start]
 
 
 @dataclass
 class SentenceRules:
-    """Known sentences as hashes, rules as sequences of their numbers."""
+    """Known sentences as hashes, their lengths in words, rules as sequences of their numbers."""
 
     hashes: np.ndarray
     numbers: list[int]
+    lengths: list[int]
     rules: list[tuple[str, tuple[int, ...]]]
 
     @classmethod
     def build(cls, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> SentenceRules:
-        """A known text of several sentences (it has a colon inside, say) is told by its first one, if that is its own."""
+        """A known text of several sentences (it has a colon inside, say) is told by its first one too, if no other begins so."""
         number = {name: i for i, name in enumerate(sentences)}
-        known = {}
+        known, heads, lengths = {}, {}, set()
         for name, text in sentences.items():
-            flat = re.sub(r"[^\w\s]|_", " ", text)  # one sentence whatever its punctuation
-            _, h = sentence_hashes([flat.encode()])
-            _, parts = sentence_hashes([text.encode()])
-            for x in (int(h[0]), int(parts[0])):
-                known.setdefault(x, number[name])
+            w, start, _ = _pieces([text.encode()])
+            n = len(w.hashes)
+            known[int(w.spans(np.array([0]), np.array([n]))[0])] = number[name]
+            lengths.add(n)
+            if len(start) > 1:
+                head = int(w.spans(np.array([0]), start[1:2])[0])
+                heads.setdefault(head, []).append((number[name], int(start[1])))
+        for head, owners in heads.items():
+            if len(owners) == 1 and head not in known:
+                known[head] = owners[0][0]
+                lengths.add(owners[0][1])
         order = sorted(known)
-        return cls(np.array(order, dtype=np.uint64), [known[h] for h in order], [(name, tuple(number[s] for s in seq)) for name, seq in rules])
+        return cls(np.array(order, dtype=np.uint64), [known[h] for h in order], sorted(lengths, reverse=True), [(name, tuple(number[s] for s in seq)) for name, seq in rules])
 
     def sequences(self, texts: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-        """Text index to its (sentence position, identifier) pairs, in order."""
-        doc, h = sentence_hashes(texts)
+        """Text index to its (sentence position, identifier) pairs, in order.
+
+        A known sentence may run over any number of whole pieces, so wrapped
+        lines are joined and a line can still be a sentence of its own. Where
+        several begin, the longest counts; they do not overlap.
+        """
+        w, start, hard = _pieces(texts)
         out: dict[int, list[tuple[int, int]]] = {}
-        if not len(h):
+        if not len(start):
             return out
-        first = np.searchsorted(doc, np.arange(len(texts)))
-        near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        for x in np.flatnonzero(self.hashes[near] == h).tolist():
-            d = int(doc[x])
-            out.setdefault(d, []).append((x - int(first[d]), self.numbers[near[x]]))
+        ends = np.append(start[1:], len(w.hashes))
+        last = np.append(w.first[1:], len(w.hashes))[w.doc[start]]  # where each piece's text ends
+        runs: dict[int, tuple[int, int]] = {}  # first piece to (last piece, identifier)
+        for size in self.lengths:  # longest first
+            to = start + size
+            piece = np.searchsorted(ends, to)
+            at = np.flatnonzero((to <= last) & (ends[np.minimum(piece, len(ends) - 1)] == to))
+            h = w.spans(start[at], to[at])
+            near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            for k in np.flatnonzero(self.hashes[near] == h).tolist():
+                runs.setdefault(int(at[k]), (int(piece[at[k]]), self.numbers[near[k]]))
+        begin, inside, taken, free = hard.copy(), np.zeros(len(start), dtype=bool), [], 0
+        for a in sorted(runs):
+            if a < free:
+                continue
+            b, identifier = runs[a]
+            begin[a], inside[a + 1 : b + 1], free = True, True, b + 1
+            if free < len(begin):
+                begin[free] = True
+            taken.append((a, identifier))
+        begin &= ~inside
+        place = np.cumsum(begin)
+        first = np.searchsorted(w.doc[start], np.arange(len(texts)))
+        for a, identifier in taken:
+            d = int(w.doc[start[a]])
+            out.setdefault(d, []).append((int(place[a] - place[first[d]]), identifier))
         return out
 
     def match(self, sequence: list[tuple[int, int]]) -> list[tuple[str, int, int]]:

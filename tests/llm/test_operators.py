@@ -3,6 +3,7 @@
 import array
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -191,6 +192,26 @@ def jaccard(a, b):
     return sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
 
 
+def test_wrapped_licenses():
+    t = licenses.SENTENCES
+    wrap = lambda mark, *names: "\n".join(mark + x for n in names for x in [*textwrap.wrap(t[n], 60), ""])
+    apache = "Copyright 2020 A Name\n\n" + wrap("", "apache-header") + "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by law"
+    texts = {
+        "MIT": [wrap(m, "mit-title") + "Copyright (c) 2020 A Name\n\n" + wrap(m, "mit-grant", "mit-condition", "mit-warranty") for m in ("", "// ", " * ", "# ", "REM ")],
+        "BSD-3-Clause": [wrap("", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), wrap("", "bsd-grant") + "1. " + wrap("   ", "bsd-source") + "2. " + wrap("", "bsd-binary") + "3. " + wrap("", "bsd-name")],
+        "GPL-3.0-or-later": [wrap("# ", "gpl-free", "gpl-hope")],
+        "GPL-2.0-or-later": [wrap("# ", "gpl2-free", "gpl-hope")],
+        "Apache-2.0": [apache, "\n".join("# " + x for x in apache.split("\n"))],
+        "": [wrap("", "gpl-free").replace("General", "Affero General") + wrap("", "gpl-hope"), wrap("", "mit-grant") + "a.\nb.\nc.\n" + wrap("", "mit-condition", "mit-warranty")],
+    }
+    known = licenses.SentenceRules.build()
+    for name, some in texts.items():
+        for i, x in enumerate(some):
+            got = known.sequences([b"other words", x.encode(), b""])
+            assert ",".join(m[0] for m in known.match(got.get(1, []))) == name, (name, i, got)
+            assert set(got) <= {1}
+
+
 def test_probability_jaccard_and_signatures():
     r = random.Random(1)
     pack = lambda d: np.array(sorted(k | v for k, v in d.items()), dtype=np.uint64)
