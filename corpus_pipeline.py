@@ -31,11 +31,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with its least doc_id. A null doc_id counts as the largest."""
-    classes = near_dedup.near_duplicate_classes(docs).select("doc_id", "class_id")
-    first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    one = docs.join(first, F.coalesce(docs["doc_id"], F.lit(common.MAX_ID)) == F.col("kept"), "left_semi")
-    return one.select(*COLUMNS)
+    """One row of each near-duplicate class: the one with its least doc_id, of repeated ids the least by hash, of repeated rows any one.
+
+    A null doc_id counts as the largest. Rows are numbered once in a durable
+    cut. Texts without words are no copies of one another and all stay.
+    """
+    rows = common.durable(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("code"), F.monotonically_increasing_id().alias("row")), "rows")
+    return rows.join(near_dedup.first_rows(rows, "code", "row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

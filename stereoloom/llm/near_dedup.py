@@ -139,7 +139,7 @@ def _probability_jaccard(ha, wa, hb, wb, near, common) -> float:
 
 
 def _sketch(batches):
-    """(content, bands) of each row; content 0 has no bands."""
+    """(content, bands) of each row, then its columns beyond the second; content 0 has no bands."""
     for batch in batches:
         ids, texts = batch.column(0), c.utf8(batch.column(1))
         contents, bands = [], []
@@ -154,7 +154,7 @@ def _sketch(batches):
             bands.append(key)
         flat = np.concatenate(bands) if bands else np.empty((0, BANDS), dtype=np.uint64)
         lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, BANDS, dtype=np.int32), pa.array(c.signed(flat.reshape(-1))))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(c.signed(np.concatenate(contents) if contents else np.empty(0, dtype=np.uint64))), lists], names=["doc_id", "content", "bands"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(c.signed(np.concatenate(contents) if contents else np.empty(0, dtype=np.uint64))), lists, *batch.columns[2:]], names=["doc_id", "content", "bands", *batch.schema.names[2:]])
 
 
 def _pack(batches):
@@ -275,6 +275,20 @@ def _labels(source: DataFrame, texts: DataFrame, members: DataFrame, threshold:
     return components(edges.unionAll(more.select("a", "b")))
 
 
+def _labelled(docs: DataFrame, threshold: float, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, content, ``extra`` columns of longs) and texts (content, first, rows, least row, label)."""
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(c.MAX_ID)).alias("doc_id"), "text", *extra)
+    sketch = c.durable(source.mapInArrow(_sketch, "doc_id long, content long, bands array<long>" + "".join(f", {k} long" for k in extra)), "sketch")
+    texts = sketch.filter("content != 0").groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.min(F.struct("doc_id", *extra)).alias("least"))
+    entries = sketch.filter("content != 0").select("content", F.explode("bands").alias("bucket")).groupBy("bucket", "content").agg(F.lit(1).alias("one")).drop("one")
+    # 128 bits name a bucket's members, order aside
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("m1"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("m2")).filter("n > 1")
+    buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
+    members = c.durable(entries.join(buckets.select("bucket", "n"), "bucket").withColumn("parts", F.ceil(F.col("n") / BUCKET_TEXTS).cast("int")), "members")
+    labels = _labels(source, texts, members, threshold)
+    return sketch, texts.join(labels.select(F.col("node").alias("content"), "label"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Class of every row: ``doc_id``, ``class_id``, ``class_rows``.
 
@@ -286,16 +300,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     their own doc_id. Null doc_ids count as the largest id; rows that repeat a
     doc_id with other text get a row each. Other columns are left out.
     """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(c.MAX_ID)).alias("doc_id"), "text")
-    sketch = c.durable(source.mapInArrow(_sketch, "doc_id long, content long, bands array<long>"), "sketch")
-    texts = sketch.filter("content != 0").groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    entries = sketch.filter("content != 0").select("content", F.explode("bands").alias("bucket")).groupBy("bucket", "content").agg(F.lit(1).alias("one")).drop("one")
-    # 128 bits name a bucket's members, order aside
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("m1"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("m2")).filter("n > 1")
-    buckets = buckets.groupBy("n", "m1", "m2").agg(F.min("bucket").alias("bucket"))
-    members = c.durable(entries.join(buckets.select("bucket", "n"), "bucket").withColumn("parts", F.ceil(F.col("n") / BUCKET_TEXTS).cast("int")), "members")
-    labels = _labels(source, texts, members, threshold)
-    named = texts.join(labels.select(F.col("node").alias("content"), "label"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+    sketch, named = _labelled(docs, threshold)
     classes = named.join(named.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_rows")), "label").select("content", "class_id", "class_rows")
     return sketch.select("doc_id", "content").join(classes, "content", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+
+
+def first_rows(docs: DataFrame, code: str, row: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``row`` of the rows that lead their class: the least (doc_id, ``code``, ``row``), exactly one a class.
+
+    ``row`` is unique and ``code`` a long that orders rows of one doc_id. A row without words leads its own class.
+    """
+    sketch, named = _labelled(docs, threshold, (code, row))
+    first = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col(f"least.{row}").alias(row))
+    return first.unionAll(sketch.filter("content = 0").select(row))

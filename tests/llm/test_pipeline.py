@@ -45,6 +45,16 @@ def test_one_document_of_each_class_stays(spark, stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(classes.values()))
 
 
+def test_one_row_of_each_class_stays_when_ids_repeat(spark):
+    a, b, d = ("these words are one of the texts " + x for x in ("about apples and so on", "about pears and so on", "about plums and so on"))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, d), (None, a), (None, d), (None, d), (3, None), (3, None), (None, "")]
+    rows += [(None, "a text of its own under no id"), (None, "a text of its own under no id"), (None, "another text with no id here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_duplicates(spark, docs, DATA).collect()
+    want = [(1, a), (1, b), (2, d), (3, None), (3, None), (None, ""), (None, "a text of its own under no id"), (None, "another text with no id here")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got])) == sorted(map(str, want))
+
+
 def test_no_benchmark_is_left(spark, stages):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert decontaminate.contamination(stages[3], bench).count() == 0
