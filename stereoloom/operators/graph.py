@@ -9,14 +9,16 @@ from stereoloom.functions import voxels as vx
 from stereoloom.plans.durable import durable
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable. Nodes without edges are their own component.
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the least node reachable. Nodes without edges are their own component; without ``nodes`` only those with edges count.
 
     Least labels spread along edges and then jump to their label's label, so
     rounds grow with the logarithm of a path's length; every round is durable
     and only a changed-flag reaches the driver.
     """
     both = durable(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if nodes is None:
+        nodes = both.select(F.col("a").alias("node"))
     labels = durable(nodes.select("node").distinct().withColumn("component", F.col("node")))
     while True:
         offer = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
