@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stereoloom.plans import durable as durable_cuts
+
 MAX_ID = (1 << 63) - 1
 #: Text that one grouped task holds at a time, as compressed input bytes.
 GROUP_BYTES = 8 << 20
@@ -24,17 +25,8 @@ _BYTE_CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        import tempfile
-
-        configured = f"file://{tempfile.gettempdir()}/stereoloom-checkpoints"
-    sc.setCheckpointDir(configured)
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The folder all executors share. Where none is configured, a local session gets a local one (tests); a cluster raises."""
+    return durable_cuts.shared_dir(spark)
 
 
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -43,18 +35,16 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     The files outlive any executor, so later stages never recompute what is
     upstream, and a re-read gives the same rows however tasks are retried.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return durable_cuts.durable(df, name)
 
 
 def input_bytes(df: DataFrame, text_column: str = "text") -> int:
-    """Catalyst's size of the plan's input: file sizes, known without a job.
+    """File sizes of the scans that the plan rests on, known without a job; a plan's own estimate multiplies joined sides.
 
     Rows that come from no file have no estimate; their text is summed then.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     if size < 1 << 55:
         return size
     return df.agg(F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0))).first()[0]
@@ -67,8 +57,8 @@ def group_count(df: DataFrame, per_group: int = GROUP_BYTES) -> int:
     return max(least, -(-input_bytes(df) // per_group))
 
 
-def group_of(column, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def group_of(*columns, n: int):
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

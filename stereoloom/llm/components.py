@@ -3,27 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from stereoloom.llm.common import durable
+from stereoloom.operators.graph import connected_components
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges(a long, b long)``; the label is the component's least node.
 
-    Each round every node takes the least label among its neighbours and
-    itself, then its label's label. Rounds are written to the shared folder,
-    so lineage stays short; the driver sees one number a round. Ends when no
-    label changes. An empty edge table gives an empty result.
+    An empty edge table gives an empty result.
     """
-    both = durable(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        nearer = labels.join(offered, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = durable(nearer.join(hop, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        changed = moved.filter("label < old").count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
+    return connected_components(edges).withColumnRenamed("component", "label")
