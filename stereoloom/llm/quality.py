@@ -1,9 +1,11 @@
 """Quality classifier by supervised subword embeddings.
 
-Every token, its character n-grams and the fact that it repeats the token
-before it hash into a table of learned vectors; a document is the mean of its
-features' vectors, a softmax layer over it gives the class. Trained by plain numpy stochastic gradient descent on the driver
-over a bounded sample of labelled rows.
+Every token and its character n-grams hash into a table of learned vectors; a
+document is the mean of its features' vectors, a softmax layer over it gives
+the class. A token that repeats the one before it is read as one common token,
+so runs of any word look alike. Trained by plain numpy stochastic gradient
+descent on the driver over a sample of labelled rows that is bounded in rows
+and in bytes.
 """
 
 from __future__ import annotations
@@ -11,20 +13,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereoloom.llm import common as c
 from stereoloom.llm.sampling import first_by_hash
 
-#: Labelled rows that the model is fitted on.
+#: Labelled rows that the model is fitted on, and bytes of their packed features; rows beyond either are left out, largest hash first.
 SAMPLE_ROWS = 4_000
+SAMPLE_BYTES = 128 << 20
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS = 8
@@ -36,8 +36,8 @@ CACHE_TOKENS = 200_000
 #: Texts whose unseen tokens are scored together.
 TEXTS = 256
 _POWERS = c.PowerTable(0x9E3779B97F4A7C15)
-#: Features of a pair of neighbouring tokens that are equal, beside those of the tokens themselves.
-SAME_PAIR = tuple(xxhash.xxh3_64_intdigest(f"same pair {i}") % BUCKETS for i in range(8))
+#: What a token that equals the one before it is read as; it holds white space, so no token of a text is written so.
+REPEAT = " repeat "
 
 
 def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +84,9 @@ def _parts(tokens: list[str], most: int = 1 << 18):
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
     tokens = text.split()
-    counted = Counter(tokens)
+    counted = Counter(REPEAT if a == b else b for a, b in zip([None, *tokens], tokens, strict=False))
     owner, bucket = token_features(list(counted))
     total = np.bincount(bucket, np.array(list(counted.values()), dtype=np.float64)[owner] if len(owner) else None, BUCKETS)
-    np.add.at(total, list(SAME_PAIR), sum(map(eq, tokens, islice(tokens, 1, None))))
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at].astype(np.float32)
 
@@ -131,29 +130,36 @@ class QualityModel:
 
 
 def features(docs: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> DataFrame:
-    """Buckets and counts (packed) of every row's text; a null text has none."""
+    """Buckets and counts (packed) of every row's text, after its id (a long) as ``h`` and its label; a null text has none."""
 
     def run(batches):
         for batch in batches:
-            out = [document_features(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([a.tobytes() for a, _ in out], pa.binary()), pa.array([n.tobytes() for _, n in out], pa.binary())], names=["label", "at", "n"])
+            out = [document_features(x.as_py() or "") for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([a.tobytes() for a, _ in out], pa.binary()), pa.array([n.tobytes() for _, n in out], pa.binary())], names=["h", "label", "at", "n"])
 
-    return docs.select(label_column, "text").mapInArrow(run, "label int, at binary, n binary")
+    return docs.select(F.col(id_column).cast("long"), label_column, "text").mapInArrow(run, "h long, label int, at binary, n binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """Fit on at most ``sample_rows`` labels (doc_id, quality), chosen by hash of doc_id, and their documents' texts.
 
     Labels other than 0 and 1 are left out, labels without a document teach
-    nothing. At most ``sample_rows`` packed feature lists of at most
-    ``BUCKETS`` entries reach the driver (rows that repeat a doc_id add
-    theirs); their order does not matter.
+    nothing, and of documents that repeat a doc_id the first text teaches.
+    What reaches the driver are the packed feature lists of those rows, at
+    most ``sample_bytes`` of them in order of hash; their order does not
+    matter.
     """
-    chosen = first_by_hash(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id", sample_rows)
+    chosen = first_by_hash(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct(), "doc_id", sample_rows)
     # the sample has a fixed size bound, so it can be sent to the documents
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = c.durable(features(rows), "features")
-    got = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in found.toLocalIterator()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    hashed = rows.select("quality", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    found = c.durable(features(hashed, "h"), "features")
+    size = F.octet_length("at") + F.octet_length("n")
+    within = Window.orderBy("h", "label").rowsBetween(Window.unboundedPreceding, 0)  # over sample_rows rows
+    keys = found.select("h", "label", F.sum(size).over(within).alias("bytes")).filter(F.col("bytes") <= sample_bytes).agg(F.max("h")).first()[0]
+    if keys is None:
+        return QualityModel.fit([])
+    got = [(r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in found.filter(F.col("h") <= keys).toLocalIterator()]
     return QualityModel.fit(sorted(got, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
 
 
@@ -162,7 +168,6 @@ class _Tokens(dict):
 
     def __init__(self, odds: np.ndarray, most: int):
         self.odds, self.most = odds.astype(np.float64), most
-        self.same = float(odds[list(SAME_PAIR)].sum())
         self.sums, self.fresh = np.empty((0, 2), dtype=np.float64), []
 
     def __missing__(self, token: str) -> int:
@@ -175,10 +180,14 @@ class _Tokens(dict):
         if len(self) > self.most:
             self.clear()
             self.sums = self.sums[:0]
-        places = []
+        places, repeat = [], self[REPEAT]
         for text in texts:
             tokens = text.split()
-            places.append(np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+            at = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            if len(at):
+                same = at[1:] == at[:-1]
+                at[1:][same] = repeat
+            places.append(at)
         if self.fresh:
             owner, bucket = token_features(self.fresh)
             new = np.stack([np.bincount(owner, self.odds[bucket], len(self.fresh)), np.bincount(owner, minlength=len(self.fresh))], axis=1)
@@ -189,8 +198,7 @@ class _Tokens(dict):
                 out.append(None)
                 continue
             odds, n = self.sums[at].sum(axis=0)
-            same = int((at[1:] == at[:-1]).sum())
-            out.append(float((odds + same * self.same) / (n + same * len(SAME_PAIR))))
+            out.append(float(odds / n))
         return out
 
 
