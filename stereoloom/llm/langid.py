@@ -10,31 +10,44 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stereoloom.llm.sampling import first_by_hash
-
-#: Labelled rows that the frequencies are counted over, and words kept a language.
-SAMPLE_ROWS = 10_000
-WORDS_PER_LANGUAGE = 50_000
-GRAMS_PER_LENGTH = 60_000
+#: Labelled doc_ids of each language whose words are counted; all their words and n-grams are kept.
+SAMPLE_ROWS = 1_500
 LONGEST_GRAM = 5
 UNKNOWN = "und"
 #: Unseen words that a Python worker remembers.
 CACHE_WORDS = 200_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(kinds: str) -> str:
+    """Inside of a character class of all characters whose Unicode category begins with one of ``kinds``."""
+    runs = groupby(enumerate(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds), lambda x: x[1] - x[0])
+    ends = [(run[0][1], run[-1][1]) for run in (list(g) for _, g in runs)]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ends)
+
+
+#: A word begins with a letter; letters and combining marks (vowel signs, accents) go on with it.
+_LETTERS = re.compile(f"[{_class('L')}][{_class('LM')}]*")
+#: Where none of these occurs, Python's own letters are all there is, and faster to find.
+_ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or (c.isalnum() and not c.isalpha() and not c.isdecimal()))
+_PLAIN_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters and the marks after them, lower case."""
+    text = text.lower()
+    return (_PLAIN_LETTERS if _ODD.isdisjoint(text) else _LETTERS).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -53,17 +66,10 @@ class ScoreTable:
     scores: np.ndarray
 
     @classmethod
-    def of(cls, counts: list[Counter], keep: int | None = None) -> ScoreTable:
-        """From one counter a language: log frequency within each language with half a count added, centred over languages.
-
-        With ``keep`` only the most frequent keys stay; ties go to the first
-        in alphabetical order.
-        """
-        total: Counter = Counter()
-        for c in counts:
-            total.update(c)
-        keys = sorted(total, key=lambda k: (-total[k], k))[:keep]
-        n = np.array([[c[k] for c in counts] for k in keys], dtype=np.float64).reshape(len(keys), len(counts))
+    def of(cls, counts: list[Counter]) -> ScoreTable:
+        """From one counter a language: log frequency within each language with half a count added, centred over languages."""
+        keys = sorted(set().union(*counts))
+        n = np.array([[c[k] for k in keys] for c in counts], dtype=np.float64).reshape(len(counts), len(keys)).T
         x = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(keys))))
         return cls({k: i for i, k in enumerate(keys)}, (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if counts else n)
 
@@ -90,7 +96,7 @@ class LanguageModel:
                     for g in grams(word, size):
                         c[g] += n
                 found.append(c)
-            by_gram[size] = ScoreTable.of(found, GRAMS_PER_LENGTH * max(1, len(languages)))
+            by_gram[size] = ScoreTable.of(found)
         return cls(languages, ScoreTable.of([by_word[x] for x in languages]), by_gram)
 
     def word(self, word: str) -> np.ndarray:
@@ -127,14 +133,28 @@ class _Cache(dict):
         return self.rows[at].mean(axis=0, dtype=np.float64)
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, words_per_language: int = WORDS_PER_LANGUAGE) -> LanguageModel:
-    """Count words on at most ``sample_rows`` rows that have text and lang; rows are chosen by hash of doc_id.
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """The rows (doc_id, text, lang) of the ``per_language`` doc_ids of each language with the smallest hashes.
 
-    Words are counted on the executors; the driver receives at most
-    ``words_per_language`` of the most frequent words of each language.
+    Rows are thinned by a bound on the hash that leaves about twice as many,
+    so that the ranking sees a bounded number a language whatever the corpus.
+    """
+    keyed = labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.col("h") / 2.0**64 + 0.5  # even between 0 and 1
+    thinned = keyed.select("lang", "h").join(counts, "lang").filter(F.col("n") * place <= 2.0 * per_language + 100).select("lang", "h").distinct()
+    chosen = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language).drop("rank")
+    return keyed.join(F.broadcast(chosen), ["lang", "h"])  # per_language rows a language
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Count words on the rows of at most ``sample_rows`` doc_ids of each language that have text and lang, chosen by hash of doc_id.
+
+    So a rare language is learned from all its rows. Words are counted on the
+    executors; the driver receives each distinct (lang, word) of the sample.
+    Rows that repeat a chosen doc_id all count; null ids count as one id.
     """
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample = first_by_hash(labelled.select("doc_id", "text", "lang"), "doc_id", sample_rows)
 
     def count(batches):
         for batch in batches:
@@ -143,11 +163,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, words_per_language: int
                 found.update((lang, w) for w in words(text.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    from pyspark.sql import Window
-
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    return LanguageModel.fit([(r[0], r[1], r[2]) for r in ranked.filter(F.col("rank") <= words_per_language).select("lang", "word", "n").collect()])
+    counted = sample(labelled, sample_rows).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return LanguageModel.fit([(r[0], r[1], r[2]) for r in counted.collect()])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
