@@ -3,7 +3,7 @@
 An item of n words may differ in k = floor(rate * n) words. Cut into k + 1
 pieces, at least one piece of every occurrence is unedited, so exact hits of
 piece hashes find all candidates; Myers' bit-parallel distance over the words
-around a hit decides.
+around a hit decides. Short items have k = 0 and must occur exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from stereoloom.llm import common as c
 
 EDIT_RATE = 0.2
-MIN_WORDS = 5
-#: Benchmark text that is held (and broadcast) at a time; a larger benchmark is read in several passes.
+#: Benchmark text that is held (and broadcast) at a time; a larger benchmark is read in several passes, one after the other.
 BLOCK_BYTES = 16 << 20
 
 
@@ -56,17 +55,32 @@ def best_distance(masks: dict[int, int], m: int, text: list[int]) -> tuple[int,
     return best, end
 
 
+def _stretches(origins: list[int], budget: int, size: int, first: int, last: int):
+    """Word ranges in which an item that may begin at one of the sorted ``origins`` lies whole; ranges that overlap become one."""
+    a = b = None
+    for origin in origins:
+        low, high = max(first, origin - budget), min(last, origin + size + budget)
+        if b is not None and low <= b:
+            b = max(b, high)
+            continue
+        if b is not None:
+            yield a, b
+        a, b = low, high
+    if b is not None:
+        yield a, b
+
+
 class ItemIndex:
     """Pieces of the items by length and hash."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE, least: int = MIN_WORDS):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE):
         self.ids, self.masks, self.sizes, self.budgets = [], [], [], []
         pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         w = words_lower([t for _, t in items])
         for n, (item, _) in enumerate(items):
             a, b = int(w.first[n]), int(w.first[n + 1])
             size = b - a
-            if size < least:
+            if not size:
                 continue
             budget = int(rate * size)
             cuts = [a + size * x // (budget + 1) for x in range(budget + 2)]
@@ -110,14 +124,7 @@ class ItemIndex:
             size, budget = self.sizes[own], self.budgets[own]
             first, last = int(w.first[d]), int(w.first[d + 1])
             best = (budget + 1, 0)
-            done = -1
-            for origin in sorted(origins):
-                a, b = max(first, origin - budget), min(last, origin + size + budget)
-                if b <= done:
-                    continue
-                for later in sorted(x for x in origins if origin < x <= origin + budget):
-                    b = min(last, later + size + budget)
-                done = b
+            for a, b in _stretches(sorted(origins), budget, size, first, last):
                 distance, end = best_distance(self.masks[own], size, w.hashes[a:b].tolist())
                 best = min(best, (distance, a + end - first))
             if best[0] <= budget:
@@ -138,48 +145,68 @@ def _blocks(benchmark: DataFrame):
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, min_words: int = MIN_WORDS) -> DataFrame:
+def _index(held, rate: float) -> ItemIndex:
+    return ItemIndex(held.value, rate)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """One row for each document row and item within ``rate`` word edits of some passage.
 
     Columns: ``doc_id``, ``item_id``, ``distance`` (least number of word
     edits), ``end_word`` (first such end). Words are compared in lower case
-    without ASCII punctuation. Null texts hold nothing; items of fewer than
-    ``min_words`` words, null ones among them, are not looked for. Repeated
-    rows give repeated results. A benchmark beyond ``BLOCK_BYTES`` takes one
-    pass over the documents for each block.
+    without ASCII punctuation. Null and empty texts hold nothing, items
+    without words, null ones among them, are not looked for. Repeated rows
+    and items give repeated results; other columns are left out. A benchmark
+    beyond ``BLOCK_BYTES`` takes one pass over the documents for each block;
+    each pass is written before the next block is read, so the driver and
+    the executors hold one block at a time.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for block in _blocks(benchmark):
+    parts = []
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
-            index = ItemIndex(held.value, rate, min_words)
+            index = _index(held, rate)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), c.utf8(batch.column(1))
                 rows = [(ids[i + d], item, distance, end) for i, j in c.chunks(texts) for d, item, distance, end in index.matches(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "distance", "end_word"])
 
         part = source.mapInArrow(run, "doc_id long, item_id long, distance long, end_word long")
-        out = part if out is None else out.unionAll(part)
+        if parts or after is not None:
+            part = c.durable(part, "hits")
+            held.destroy()
+        parts.append(part)
+        block = after
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay.
 
-    Decided row by row in one pass without a join, so rows with equal or null
-    doc_id are judged by their own text.
+    Decided row by row without a join, so rows with equal or null doc_id are
+    judged by their own text; null and empty texts stay. A benchmark beyond
+    ``BLOCK_BYTES`` takes a pass for each block over what the one before left,
+    each written before the next.
     """
     spark = docs.sparkSession
-    out = docs
-    for block in _blocks(benchmark):
+    out, where = docs, docs.columns.index("text")
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         held = spark.sparkContext.broadcast(block)
-        where = docs.columns.index("text")
 
-        def run(batches, held=held, where=where):
-            index = ItemIndex(held.value, rate)
+        def run(batches, held=held):
+            index = _index(held, rate)
             for batch in batches:
                 texts = c.utf8(batch.column(where))
                 clean = np.ones(len(texts), dtype=bool)
@@ -189,4 +216,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
+        if after is not None:
+            out = c.durable(out, "clean")
+            held.destroy()
+        block = after
     return out
