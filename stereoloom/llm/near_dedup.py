@@ -11,7 +11,8 @@ Registers form bands, documents that share a band form a bucket. Equal word
 sequences are one vertex from the start, buckets with equal members are
 looked at once. In a bucket exact similarity is computed from a centre to all
 members that no centre has reached yet, so a bucket of copies costs one pass
-instead of all its pairs, and nothing that could link is left out.
+instead of all its pairs. A large bucket is dealt out and its parts meet
+afterwards where they are not connected yet, so no link in a bucket is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 24, 4
 #: members that are then still in different components meet in tasks of two blocks each.
 BUCKET_TEXTS = 16_384
 BUCKET_CENTRES = 64
+#: Two sets whose similarity is that much below the threshold still link: what float sums of equal fractions may differ by.
+ROUNDING = 1e-9
 _COUNT_BITS = 16
 _LOW = np.uint64((1 << _COUNT_BITS) - 1)
 
@@ -88,8 +91,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(_against(a, [b])[0])
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed & ~_LOW, (packed & _LOW).astype(np.float64)
+def pack(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Shingles (hash above, count in the low 16 bits); a larger count takes several entries of its hash."""
+    most = int(_LOW)
+    entries = -(-count // most)
+    if not len(count) or entries.max() == 1:
+        return value | count.astype(np.uint64)
+    last = np.cumsum(entries) - 1
+    out = np.repeat(value, entries) | _LOW
+    out[last] = value | (count - (entries - 1) * most).astype(np.uint64)
+    return out
+
+
+def _unpack(packed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, weight, owner) with the entries of one owner's hash added up."""
+    value, weight = packed & ~_LOW, (packed & _LOW).astype(np.float64)
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    if new.all():
+        return value, weight, owner
+    at = np.flatnonzero(new)
+    return value[at], np.add.reduceat(weight, at), owner[at]
 
 
 def _against(centre: np.ndarray, others: list[np.ndarray], threshold: float = 0.0) -> np.ndarray:
@@ -98,10 +120,9 @@ def _against(centre: np.ndarray, others: list[np.ndarray], threshold: float = 0.
     It is at most the sum of the smaller of the two normalised weights; where
     that is below ``threshold``, this bound is given instead.
     """
-    ha, wa = _unpack(centre)
-    sizes = np.array([len(o) for o in others])
-    hb, wb = _unpack(np.concatenate(others))
-    which = np.repeat(np.arange(len(others)), sizes)
+    ha, wa, _ = _unpack(centre, np.zeros(len(centre), dtype=np.int64))
+    hb, wb, which = _unpack(np.concatenate(others), np.repeat(np.arange(len(others)), [len(o) for o in others]))
+    sizes = np.bincount(which, minlength=len(others))
     near = np.minimum(np.searchsorted(ha, hb), len(ha) - 1)
     common = np.flatnonzero(ha[near] == hb)
     owner = which[common]
@@ -165,9 +186,8 @@ def _pack(batches):
         for i, j in c.chunks(texts):
             doc, value, count, own = weighted_shingles(texts[i:j])
             same[i:j] = c.signed(own) == wanted[i:j]
-            packed = value | np.minimum(count, int(_LOW)).astype(np.uint64)
             cuts = np.searchsorted(doc, np.arange(j - i + 1))
-            out += [packed[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            out += [pack(value[a:b], count[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["content", "shingles"]).filter(pa.array(same))
 
 
@@ -178,6 +198,7 @@ def bucket_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, in
     become centres in turn, so whatever is connected is connected in the
     result, while each found member is compared as a target only once.
     """
+    threshold -= ROUNDING
     distinct = np.array([len(s) for s in sets])
     flat = np.array([bool(((s & _LOW) == 1).all()) for s in sets])
     waiting = np.arange(len(sets))
@@ -293,7 +314,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     """Class of every row: ``doc_id``, ``class_id``, ``class_rows``.
 
     Texts are linked at a probability Jaccard similarity of ``threshold`` or
-    more over five-word shingles weighted by count (lower-case words without
+    more (to ``ROUNDING``, so that equal fractions link) over five-word shingles weighted by count (lower-case words without
     ASCII punctuation); classes are connected components of links, named by
     their least doc_id. Equal word sequences always share a class. Null
     texts and texts without words are each in a class of their own, named by
