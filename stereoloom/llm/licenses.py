@@ -39,6 +39,55 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "gpl2-only-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-title-3": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-title-2": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-title-3": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-title-21": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl-title-3": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "epl2-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-work": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-work": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-work": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-work": "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-work": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-work": "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nd-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-code": "Creative Commons Attribution 4.0 International Public License",
+    "cc-by-sa-code": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc0-code": "CC0 1.0 Universal",
+    "cc-bound": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\").",
+    "cc-sa-bound": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\").",
+    "cc0-statement": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\").",
     "reserved": "All rights reserved.",
 }
 # Licence rules in order of preference; each lists sentences that must follow one another.
@@ -49,11 +98,49 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("GPL-3.0-only", ("gpl3-only", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl2-only-2", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-program", "gpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope")),
+    ("GPL-3.0", ("gpl-title-3", "gnu-verbatim")),
+    ("GPL-2.0", ("gpl-title-2", "gnu-verbatim")),
+    ("LGPL-3.0", ("lgpl-title-3", "gnu-verbatim")),
+    ("LGPL-2.1", ("lgpl-title-21", "gnu-verbatim")),
+    ("AGPL-3.0", ("agpl-title-3", "gnu-verbatim")),
+    ("MPL-2.0", ("mpl-header", "mpl-copy")),
+    ("MPL-2.0", ("mpl-header", "mpl-copy-2")),
+    ("MPL-2.0", ("mpl-title",)),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant-2", "isc-warranty")),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-domain", "unlicense-grant")),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("Zlib", ("zlib-warranty", "zlib-liable", "zlib-grant")),
+    ("EPL-2.0", ("epl2-header",)),
+    ("Apache-2.0", ("apache-title", "apache-terms")),
+    ("Apache-2.0", ("apache-header", "apache-copy", "apache-basis")),
     ("Apache-2.0", ("apache-header", "apache-copy")),
     ("Apache-2.0", ("apache-notice",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
+    ("GPL-2.0-only", ("gpl2-notice",)),
+    ("CC-BY-4.0", ("cc-by-code", "cc-bound")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-code", "cc-sa-bound")),
+    ("CC0-1.0", ("cc0-code", "cc0-statement")),
+    ("CC-BY-4.0", ("cc-by-work",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-notice",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-notice",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
@@ -109,21 +196,13 @@ class SentenceRules:
 
     @classmethod
     def build(cls, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> SentenceRules:
-        """A known text of several sentences (it has a colon inside, say) is told by its first one too, if no other begins so."""
         number = {name: i for i, name in enumerate(sentences)}
-        known, heads, lengths = {}, {}, set()
+        known, lengths = {}, set()
         for name, text in sentences.items():
-            w, start, _ = _pieces([text.encode()])
+            w, _, _ = _pieces([text.encode()])
             n = len(w.hashes)
             known[int(w.spans(np.array([0]), np.array([n]))[0])] = number[name]
             lengths.add(n)
-            if len(start) > 1:
-                head = int(w.spans(np.array([0]), start[1:2])[0])
-                heads.setdefault(head, []).append((number[name], int(start[1])))
-        for head, owners in heads.items():
-            if len(owners) == 1 and head not in known:
-                known[head] = owners[0][0]
-                lengths.add(owners[0][1])
         order = sorted(known)
         return cls(np.array(order, dtype=np.uint64), [known[h] for h in order], sorted(lengths, reverse=True), [(name, tuple(number[s] for s in seq)) for name, seq in rules])
 
@@ -167,33 +246,45 @@ class SentenceRules:
         return out
 
     def match(self, sequence: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """(licence, first sentence, last sentence); the first rule that fits takes its sentences."""
-        free = list(sequence)
+        """(licence, first sentence, last sentence); rules go in order, each from left to right, over sentences no match has taken.
+
+        A rule's sentences follow one another with ``GAP`` others at most
+        between two of them; of several places for the next one the nearest
+        counts. Untaken sentences form a linked list, and from each start a
+        rule looks ``GAP`` sentences ahead for each of its own, so the work
+        is linear in the sequence.
+        """
+        n = len(sequence)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        taken = [False] * n
+        starts: dict[int, list[int]] = {}
+        for k, (_, identifier) in enumerate(sequence):
+            starts.setdefault(identifier, []).append(k)
         out = []
         for name, rule in self.rules:
-            i = 0
-            while i < len(free):
-                took = self._fit(free, i, rule)
+            for i in starts.get(rule[0], ()):
+                took = None if taken[i] else self._fit(sequence, after, i, rule)
                 if took:
-                    out.append((name, free[took[0]][0], free[took[-1]][0]))
-                    free = [x for k, x in enumerate(free) if k not in took]
-                else:
-                    i += 1
+                    out.append((name, sequence[took[0]][0], sequence[took[-1]][0]))
+                    for k in took:
+                        taken[k] = True
+                        if before[k] >= 0:
+                            after[before[k]] = after[k]
+                        if after[k] < n:
+                            before[after[k]] = before[k]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     @staticmethod
-    def _fit(free, i, rule):
-        took = []
-        for k in range(i, len(free)):
-            if took and free[k][0] - free[took[-1]][0] > GAP + 1:
-                return None
-            if free[k][1] == rule[len(took)]:
-                took.append(k)
-                if len(took) == len(rule):
-                    return took
-            elif not took:
+    def _fit(sequence, after, i, rule):
+        took, k = [i], i
+        for wanted in rule[1:]:
+            k = after[took[-1]]
+            while k < len(sequence) and sequence[k][0] - sequence[took[-1]][0] <= GAP + 1 and sequence[k][1] != wanted:
+                k = after[k]
+            if k >= len(sequence) or sequence[k][0] - sequence[took[-1]][0] > GAP + 1:
                 return None
-        return None
+            took.append(k)
+        return took
 
 
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
