@@ -11,7 +11,11 @@ each shard's automaton lives in the task that the matching text is routed to.
 2. Anchors that occur once in the whole corpus are set aside (no window of
    theirs repeats). The others send their runs' words to the shard that the
    anchor's hash names. Identical runs of one group of documents travel once,
-   identical runs of a shard are one reference text.
+   runs of a shard with identical words are one reference text.
+   An anchor with very many different runs (the edge of a passage that many
+   documents share, each going on in its own way) would fill one task. Its
+   runs are cut into single windows, each its own anchor; windows that occur
+   once are set aside in turn, and the others go to shards of their own.
 3. Each shard builds suffix automata over its reference texts in order of
    (document, start) and streams every text through: at each word, the
    matching statistic is cut to ``window`` words and the state's first end
@@ -30,6 +34,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +42,10 @@ from stereoloom.llm import common as c
 
 WINDOW = 20
 GRAM = 8
-#: Words of reference text in one automaton; an anchor's texts stay together whatever their number.
+#: Words of reference text in one automaton; an anchor's texts stay together.
 AUTOMATON_WORDS = 20_000
+#: Different runs of one anchor that stay together; the runs of an anchor with more are cut into windows.
+ANCHOR_RUNS = 2_048
 
 
 class SuffixAutomaton:
@@ -134,47 +141,94 @@ class _Runs:
         self.doc = w.doc[self.start]
         self.local = self.start - w.first[self.doc]
 
+    def windows_of(self, hot: np.ndarray, window: int) -> _Runs:
+        """The same runs, but those of the sorted anchors ``hot`` cut into windows that are their own anchors."""
+        cut = _among(hot, self.anchor)
+        if not cut.any():
+            return self
+        rest, w = ~cut, self.words
+        count = self.count[cut]
+        start = np.repeat(self.start[cut], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        content = w.spans(start, start + window)
+        self.start = np.concatenate([self.start[rest], start])
+        self.count = np.concatenate([self.count[rest], np.ones(len(start), dtype=np.int64)])
+        self.anchor = np.concatenate([self.anchor[rest], c.mix(content ^ _WINDOW_KEY)])
+        self.content = np.concatenate([self.content[rest], content])
+        self.doc = w.doc[self.start]
+        self.local = self.start - w.first[self.doc]
+        return self
+
+
+_WINDOW_KEY = np.uint64(0x1F83D9ABFB41BD6B)
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted array ``known``."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _hashes(column) -> np.ndarray:
+    return np.unique(np.asarray(column).astype(np.int64).view(np.uint64))
+
 
 def _ids(column) -> list[int]:
     return [c.MAX_ID if x is None else x for x in column.to_pylist()]
 
 
-def _anchors(window: int):
-    """(group, anchor) pairs; ``twice`` says that the group itself holds the anchor more than once."""
+def _counted(anchors: list[np.ndarray], contents: list[np.ndarray], groups: list[np.ndarray]) -> pa.RecordBatch:
+    """(anchor, grp, twice, variants): whether the anchor occurs more than once, and with how many contents."""
+    a, k, g = np.concatenate(anchors), np.concatenate(contents), np.concatenate(groups)
+    order = np.lexsort((k, a, g))
+    a, k, g = a[order], k[order], g[order]
+    head = np.ones(len(a), dtype=bool)
+    head[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
+    other = head.copy()
+    other[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(head)
+    many = np.diff(np.append(at, len(a))) > 1
+    variants = np.add.reduceat(other.astype(np.int64), at) if len(at) else np.empty(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c.signed(a[at])), pa.array(g[at].astype(np.int32)), pa.array(many), pa.array(variants)], schema=_COUNT_SCHEMA)
+
+
+_COUNT_SCHEMA = pa.schema([("anchor", pa.int64()), ("grp", pa.int32()), ("twice", pa.bool_()), ("variants", pa.int64())])
 
+
+def _anchors(window: int):
     def run(batches):
         for batch in batches:
             texts, group = c.utf8(batch.column(0)), np.asarray(batch.column(1))
-            anchors, groups = [], []
-            for i, j in c.chunks(texts):
-                r = _Runs(texts[i:j], window)
-                anchors.append(r.anchor)
-                groups.append(group[i:j][r.doc])
-            if not anchors:
-                continue
-            a, g = np.concatenate(anchors), np.concatenate(groups)
-            order = np.lexsort((a, g))
-            a, g = a[order], g[order]
-            head = np.ones(len(a), dtype=bool)
-            head[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
-            at = np.flatnonzero(head)
-            many = np.diff(np.append(at, len(a))) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(c.signed(a[at])), pa.array(g[at].astype(np.int32)), pa.array(many)], names=["anchor", "grp", "twice"])
+            runs = [(i, j, _Runs(texts[i:j], window)) for i, j in c.chunks(texts)]
+            if runs:
+                yield _counted([r.anchor for _, _, r in runs], [r.content for _, _, r in runs], [group[i:j][r.doc] for i, j, r in runs])
+
+    return run
+
+
+def _hot_windows(window: int):
+    """The windows that a group's documents have at hot anchors, as anchors of their own."""
+
+    def run(docs: pa.Table, hot: pa.Table) -> pa.Table:
+        if not hot.num_rows or not docs.num_rows:
+            return _COUNT_SCHEMA.empty_table()
+        grp, hashes, texts = hot.column("grp")[0].as_py(), _hashes(hot.column("anchor")), c.utf8(docs.column("text"))
+        anchors = []
+        for i, j in c.chunks(texts):
+            r = _Runs(texts[i:j], window)
+            plain = len(r.anchor) - int(_among(hashes, r.anchor).sum())
+            anchors.append(r.windows_of(hashes, window).anchor[plain:])
+        return pa.Table.from_batches([_counted(anchors, anchors, [np.full(len(a), grp) for a in anchors])])
 
     return run
 
 
-def _pick(docs: pa.Table, hashes: np.ndarray, window: int):
+def _pick(docs: pa.Table, hashes: np.ndarray, hot: np.ndarray, window: int):
     """Runs of one group's documents whose anchor is in the sorted ``hashes``; also each chunk's runs and texts."""
     texts, ids = c.utf8(docs.column("text")), np.array(_ids(docs.column("doc_id")), dtype=np.int64)
     for i, j in c.chunks(texts):
-        r = _Runs(texts[i:j], window)
-        if len(hashes) and len(r.anchor):
-            near = np.minimum(np.searchsorted(hashes, r.anchor), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[near] == r.anchor)
-        else:
-            hit = np.empty(0, dtype=np.int64)
-        yield i, j, texts, ids, r, hit
+        r = _Runs(texts[i:j], window).windows_of(hot, window)
+        yield i, j, texts, ids, r, np.flatnonzero(_among(hashes, r.anchor))
 
 
 _RUN_SCHEMA = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()),
@@ -188,9 +242,10 @@ def _repeated_runs(window: int, shards: int):
         if not anchors.num_rows or not docs.num_rows:
             return _RUN_SCHEMA.empty_table()
         grp = anchors.column("grp")[0].as_py()
-        hashes = np.unique(np.asarray(anchors.column("anchor")).view(np.uint64))
+        is_hot = anchors.column("hot")
+        hot, hashes = _hashes(anchors.filter(is_hot).column("anchor")), _hashes(anchors.filter(pc.invert(is_hot)).column("anchor"))
         best: dict[tuple[int, int], tuple] = {}
-        for i, _, texts, ids, r, hit in _pick(docs, hashes, window):
+        for i, _, texts, ids, r, hit in _pick(docs, hashes, hot, window):
             w, doc = r.words, r.doc[hit]
             left, right = w.starts[r.start[hit]].tolist(), w.ends[r.start[hit] + r.count[hit] + window - 2].tolist()
             places = zip(ids[i + doc].tolist(), r.local[hit].tolist(), strict=True)
@@ -205,7 +260,7 @@ def _repeated_runs(window: int, shards: int):
             pa.array((keys[:, 0] % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(best), grp, dtype=np.int32)),
             pa.array(c.signed(keys[:, 0].copy())), pa.array(c.signed(keys[:, 1].copy())),
             pa.array([p[0] for p, _ in best.values()], pa.int64()), pa.array([p[1] for p, _ in best.values()], pa.int64()),
-            pa.array([t for _, t in best.values()], pa.binary())], schema=_RUN_SCHEMA)
+            pa.array([b" ".join(t.split()) for _, t in best.values()], pa.binary())], schema=_RUN_SCHEMA)
 
     return run
 
@@ -214,11 +269,11 @@ def _match(window: int):
     """One shard: suffix automata over the distinct runs, every run streamed through, answers for each sender."""
 
     def answers(items: list):
-        """items: ((anchor, content), [first doc, first at, words, senders])."""
+        """items: ((anchor, content, words), [first doc, first at, senders])."""
         items.sort(key=lambda x: (x[1][0], x[1][1]))
         automaton, base, sequences = SuffixAutomaton(), [], []
-        for n, (_, run) in enumerate(items):
-            words = run[2].split()
+        for n, (key, _) in enumerate(items):
+            words = key[2].split()
             sequences.append(words)
             base.append(automaton.size)
             for word in words:
@@ -232,19 +287,19 @@ def _match(window: int):
                 there = items[source][1]
                 mask.append((there[0], there[1] + end - base[source] - window + 1) < (doc, at + k))
             mask, later = bytes(mask), b"\1" * len(mask)
-            for grp, doc, at in run[3]:  # elsewhere, every window of the run starts earlier in its first occurrence
+            for grp, doc, at in run[2]:  # elsewhere, every window of the run starts earlier in its first occurrence
                 yield grp, key[0], key[1], mask if (doc, at) == first else later
 
     def run(batches):
-        known: dict[tuple[int, int], list] = {}
+        known: dict[tuple[int, int, bytes], list] = {}
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(1, 7)]
             for grp, anchor, content, doc, at, words in zip(*cols, strict=True):
-                entry = known.get((anchor, content))
+                entry = known.get((anchor, content, words))
                 if entry is None:
-                    known[anchor, content] = [doc, at, words, [(grp, doc, at)]]
+                    known[anchor, content, words] = [doc, at, [(grp, doc, at)]]
                 else:
-                    entry[3].append((grp, doc, at))
+                    entry[2].append((grp, doc, at))
                     if (doc, at) < (entry[0], entry[1]):
                         entry[0], entry[1] = doc, at
         keys = sorted(known)
@@ -252,7 +307,7 @@ def _match(window: int):
         while i < len(keys):
             j, size = i, 0
             while j < len(keys) and (size < AUTOMATON_WORDS or keys[j][0] == keys[j - 1][0]):
-                size += known[keys[j]][2].count(b" ") + 1
+                size += keys[j][2].count(b" ") + 1
                 j += 1
             out.extend(answers([(k, known.pop(k)) for k in keys[i:j]]))
             i = j
@@ -273,12 +328,14 @@ def _remove(window: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _KEPT_SCHEMA.empty_table()
+        is_hot = marks.column("earlier").is_null()
+        hot, marks = _hashes(marks.filter(is_hot).column("anchor")), marks.filter(pc.invert(is_hot))
         masks = dict(zip(zip(marks.column("anchor").to_pylist(), marks.column("content").to_pylist(), strict=True), marks.column("earlier").to_pylist(), strict=True))
-        hashes = np.unique(np.array([k[0] for k in masks], dtype=np.int64).view(np.uint64))
+        hashes = _hashes(marks.column("anchor"))
         raw_ids = docs.column("doc_id").to_pylist()
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         wanted = []
-        for i, j, texts, ids, r, hit in _pick(docs, hashes, window):  # where each run comes first in this group
+        for i, j, texts, ids, r, hit in _pick(docs, hashes, hot, window):  # where each run comes first in this group
             rows = []
             places = zip(ids[i + r.doc[hit]].tolist(), r.local[hit].tolist(), strict=True)
             keys = zip(c.signed(r.anchor[hit]).tolist(), c.signed(r.content[hit]).tolist(), strict=True)
@@ -331,21 +388,28 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     do not remove each other. Other columns are left out.
     """
     n = c.group_count(docs)
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), c.group_of(F.col("doc_id"), n).alias("grp"))
-    by_anchor = Window.partitionBy("anchor")
-    anchors = placed.select("text", "grp").mapInArrow(_anchors(window), "anchor long, grp int, twice boolean")
-    anchors = anchors.groupBy("anchor", "grp").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
-    repeated = (
-        anchors.withColumn("many", (F.count("*").over(by_anchor) > 1) | F.max((F.col("n") > 1) | F.col("twice")).over(by_anchor))
-        .filter("many").select("anchor", "grp")
-    )
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), c.group_of(F.col("doc_id"), F.col("text"), n=n).alias("grp"))
+    anchors = placed.select("text", "grp").mapInArrow(_anchors(window), "anchor long, grp int, twice boolean, variants long")
+    repeated = c.durable(_repeated(anchors).withColumn("hot", F.col("all") > ANCHOR_RUNS).drop("all"), "anchors")
     grouped = placed.groupBy("grp")
-    shards = n
-    runs = grouped.cogroup(repeated.groupBy("grp")).applyInArrow(_repeated_runs(window, shards), "shard int, grp int, anchor long, content long, doc long, at long, words binary")
-    marks = runs.repartition(shards, "shard").mapInArrow(_match(window), "grp int, anchor long, content long, earlier binary")
+    hot = repeated.filter("hot")
+    if not hot.isEmpty():
+        windows = grouped.cogroup(hot.groupBy("grp")).applyInArrow(_hot_windows(window), "anchor long, grp int, twice boolean, variants long")
+        repeated = repeated.unionAll(_repeated(windows).select("anchor", "grp", F.lit(False).alias("hot")))
+    runs = grouped.cogroup(repeated.groupBy("grp")).applyInArrow(_repeated_runs(window, n), "shard int, grp int, anchor long, content long, doc long, at long, words binary")
+    marks = runs.repartition(n, "shard").mapInArrow(_match(window), "grp int, anchor long, content long, earlier binary")
+    marks = marks.unionAll(hot.select("grp", "anchor", F.col("anchor").alias("content"), F.lit(None).cast("binary").alias("earlier")))
     return grouped.cogroup(marks.groupBy("grp")).applyInArrow(_remove(window), "doc_id long, text string, n_words long, n_removed long")
 
 
+def _repeated(anchors: DataFrame) -> DataFrame:
+    """(anchor, grp, all) of the anchors that occur more than once; a window of a task has a row for each group of documents at most."""
+    by_anchor = Window.partitionBy("anchor")
+    anchors = anchors.groupBy("anchor", "grp").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.sum("variants").alias("variants"))
+    many = (F.count("*").over(by_anchor) > 1) | F.max((F.col("n") > 1) | F.col("twice")).over(by_anchor)
+    return anchors.withColumns({"many": many, "all": F.sum("variants").over(by_anchor)}).filter("many").select("anchor", "grp", "all")
+
+
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Remove from each ``text`` the maximal spans of ``window`` words or more that occur in ``reference.text``.
 
