@@ -7,8 +7,9 @@ Templates that recur in enough documents are dropped, all but the first line.
 
 The tree is built shard by shard: leaves seen in too few documents are set
 aside by a count, the lines of the others are collapsed to distinct masked
-lines within each group of documents, and only those, with their counts, go
-to the leaf's shard. Verdicts go back to the groups that hold the lines.
+lines within each group of documents and then over all groups, and only
+those, with their counts, go to the leaf's shard. Verdicts go back to the
+groups that hold the lines.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _leaves(leading: int, least: int):
     return run
 
 
-_LINE_SCHEMA = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("leaf", pa.int64()), ("content", pa.int64()), ("documents", pa.int64()), ("doc", pa.int64()), ("number", pa.int64()), ("tokens", pa.binary())])
+_LINE_SCHEMA = pa.schema([("grp", pa.int32()), ("leaf", pa.int64()), ("content", pa.int64()), ("documents", pa.int64()), ("doc", pa.int64()), ("number", pa.int64()), ("tokens", pa.binary())])
 
 
 def _known(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def _ids(table: pa.Table) -> list[int]:
     return [c.MAX_ID if x is None else x for x in table.column("doc_id").to_pylist()]
 
 
-def _frequent_lines(leading: int, least: int, shards: int):
+def _frequent_lines(leading: int, least: int):
     """Distinct masked lines of one group in the frequent leaves, with their documents and first place."""
 
     def run(docs: pa.Table, leaves: pa.Table) -> pa.Table:
@@ -122,7 +123,7 @@ def _frequent_lines(leading: int, least: int, shards: int):
         keys = np.array(list(found), dtype=np.uint64).reshape(-1, 2)
         rows = list(found.values())
         return pa.table([
-            pa.array((keys[:, 0] % np.uint64(shards)).astype(np.int32)), pa.array(np.full(len(rows), grp, dtype=np.int32)), pa.array(c.signed(keys[:, 0].copy())), pa.array(c.signed(keys[:, 1].copy())),
+            pa.array(np.full(len(rows), grp, dtype=np.int32)), pa.array(c.signed(keys[:, 0].copy())), pa.array(c.signed(keys[:, 1].copy())),
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2][0] for r in rows], pa.int64()), pa.array([r[2][1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], schema=_LINE_SCHEMA)
 
     return run
@@ -225,41 +226,39 @@ def leaf_templates(lines: np.ndarray, leading: int, similarity: float = SIMILARI
 
 
 def _judge(leading: int, documents: int, similarity: float):
-    """Per shard: the masked lines whose template recurs, told to each group that holds them, with the place to keep."""
+    """Per shard: the masked lines whose template recurs, with the place to keep. Rows come sorted by leaf; one leaf is held at a time."""
+
+    def judged(leaf: int | None, items: list[tuple]) -> list[tuple]:
+        """items: (place, content, documents, tokens)."""
+        if not items:
+            return []
+        items.sort()
+        which = leaf_templates(np.stack([np.frombuffer(x[3], dtype=np.uint64) for x in items]), leading, similarity).tolist()
+        total, first = defaultdict(int), {}
+        for t, (place, _, n, _) in zip(which, items, strict=True):
+            total[t] += n
+            first.setdefault(t, place)
+        return [(leaf, content, *first[t]) for t, (_, content, _, _) in zip(which, items, strict=True) if total[t] >= documents]
 
     def run(batches):
-        leaves: dict[int, dict[int, list]] = defaultdict(dict)
+        here, items, out = None, [], []
         for batch in batches:
-            for grp, leaf, content, n, doc, number, tokens in zip(*(batch.column(k).to_pylist() for k in range(1, 8)), strict=True):
-                entry = leaves[leaf].get(content)
-                if entry is None:
-                    leaves[leaf][content] = [n, (doc, number), tokens, [grp]]
-                else:
-                    entry[0] += n
-                    entry[1] = min(entry[1], (doc, number))
-                    entry[3].append(grp)
-        out: list[tuple] = []
-        for leaf in sorted(leaves):
-            items = sorted(leaves[leaf].items(), key=lambda x: (x[1][1], x[0]))
-            which = leaf_templates(np.stack([np.frombuffer(x[1][2], dtype=np.uint64) for x in items]), leading, similarity)
-            total, first = defaultdict(int), {}
-            for t, (_, entry) in zip(which.tolist(), items, strict=True):
-                total[t] += entry[0]
-                first[t] = min(first.get(t, entry[1]), entry[1])
-            for t, (content, entry) in zip(which.tolist(), items, strict=True):
-                if total[t] >= documents:
-                    out += [(g, leaf, content, *first[t]) for g in entry[3]]
+            for leaf, content, n, doc, number, tokens in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if leaf != here:
+                    out += judged(here, items)
+                    here, items = leaf, []
+                items.append(((doc, number), content, n, tokens))
             if len(out) >= 50_000:
                 yield _verdicts(out)
                 out = []
-        yield _verdicts(out)
+        yield _verdicts(out + judged(here, items))
 
     return run
 
 
 def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["grp", "leaf", "content", "doc", "number"])
+    names = ["leaf", "content", "doc", "number"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
 
 
 def _drop(leading: int, least: int, keep_first: bool):
@@ -305,14 +304,19 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_tokens:
     """
     n = c.group_count(docs)
     renamed = [F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)]
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *renamed, c.group_of(F.col("doc_id"), n).alias("grp"))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *renamed, c.group_of(F.col("doc_id"), F.col("text"), n=n).alias("grp"))
     leaves = placed.select("text", "grp").mapInArrow(_leaves(leading_tokens, min_tokens), "leaf long, grp int, n long")
     leaves = leaves.groupBy("leaf", "grp").agg(F.sum("n").alias("n"))
     # a leaf has a row for each group of documents at most
     frequent = leaves.withColumn("all", F.sum("n").over(Window.partitionBy("leaf"))).filter(F.col("all") >= min_documents).select("leaf", "grp")
     grouped = placed.groupBy("grp")
-    lines = grouped.cogroup(frequent.groupBy("grp")).applyInArrow(_frequent_lines(leading_tokens, min_tokens, n), "shard int, grp int, leaf long, content long, documents long, doc long, number long, tokens binary")
-    verdicts = lines.repartition(n, "shard").mapInArrow(_judge(leading_tokens, min_documents, similarity), "grp int, leaf long, content long, doc long, number long")
+    lines = grouped.cogroup(frequent.groupBy("grp")).applyInArrow(_frequent_lines(leading_tokens, min_tokens), "grp int, leaf long, content long, documents long, doc long, number long, tokens binary")
+    lines = c.durable(lines, "lines")
+    place = F.min(F.struct("doc", "number"))
+    distinct = lines.groupBy("leaf", "content").agg(F.sum("documents").alias("documents"), place.alias("place"), F.min("tokens").alias("tokens"))
+    distinct = distinct.select("leaf", "content", "documents", "place.doc", "place.number", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf")
+    recurring = distinct.mapInArrow(_judge(leading_tokens, min_documents, similarity), "leaf long, content long, doc long, number long")
+    verdicts = lines.select("grp", "leaf", "content").join(recurring, ["leaf", "content"])
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", k_{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
     out = grouped.cogroup(verdicts.groupBy("grp")).applyInArrow(_drop(leading_tokens, min_tokens, keep_first), schema)
     return out.select("doc_id", "text", "n_lines", "n_dropped", *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)])
