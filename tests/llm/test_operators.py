@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import math
 import random
 import textwrap
 import zlib
@@ -102,6 +103,24 @@ def test_substring_dedup_on_the_documents(spark):
     assert got == {i: w for (i, _), w in zip(rows, substring_dedup.brute_force(rows), strict=True)}
 
 
+def test_hot_anchors_are_cut_into_windows(spark, monkeypatch):
+    """One passage in many documents that each go on in their own way, some alike, some with one word of the passage changed."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(45)]
+    rows = []
+    for i in range(150):
+        body = list(passage)
+        if i % 3 == 0:
+            body[r.randrange(45)] = f"v{i % 9}"
+        rows.append((r.randrange(120), " ".join([f"a{i % 40}x{j}" for j in range(25)] + body + [f"b{i % 50}x{j}" for j in range(25)])))
+    rows += [(None, rows[0][1]), (7, None)]
+    monkeypatch.setattr(substring_dedup, "ANCHOR_RUNS", 3)
+    got = substring_dedup.digest(substring_dedup.substring_dedup(table(spark, rows))).collect()
+    want = substring_dedup.brute_force(rows)
+    assert sorted((x.doc_id or -1, x.n_words, x.n_removed, x.kept_sha256) for x in got) == sorted((i or -1, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert sum(w[1] for w in want) > 1000
+
+
 def test_reference_spans(spark):
     ref = spark.createDataFrame([(" ".join(f"r{i}" for i in range(50)),), (None,)], "text string")
     docs = table(spark, [(1, "a b " + " ".join(f"r{i}" for i in range(10, 35)) + " c"), (2, " ".join(f"r{i}" for i in range(19))), (3, None)])
@@ -152,13 +171,30 @@ def test_contamination_equals_brute_force(spark):
         norm = t.lower().replace(",", "").split()
         for i, text in items:
             p = (text or "").split()
-            if len(p) >= 5 and (k := levenshtein_in(p, norm)) <= int(0.2 * len(p)):
+            if p and (k := levenshtein_in(p, norm)) <= int(0.2 * len(p)):
                 want[d, i] = k
     assert got == want and len(want) > 15
     clean = {x.doc_id for x in decontaminate.decontaminate(table(spark, docs), bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_short_items_must_occur_exactly(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "one two three four"), (4, " , "), (5, "alpha beta")], "item_id long, text string")
+    rows = [(1, "Alpha, beta."), (2, "beta alpha"), (3, "x one two three four y"), (4, "one two tree four"), (5, None), (6, "")]
+    assert {(x.doc_id, x.item_id, x.distance) for x in decontaminate.contamination(table(spark, rows), bench).collect()} == {(1, 1, 0), (1, 2, 0), (1, 5, 0), (2, 1, 0), (3, 3, 0)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(table(spark, rows), bench).collect()) == [4, 5, 6]
+
+
+def test_contamination_hostile_and_long(spark):
+    bench = spark.createDataFrame([(1, "word word word word word word"), (2, None)], "item_id long, text string")
+    rows = HOSTILE + [(20, "word other " * 20_000)]
+    got = {(x.doc_id, x.item_id, x.distance) for x in decontaminate.contamination(table(spark, rows), bench).collect()}
+    assert got == {(7, 1, 0)}
+    kept = decontaminate.decontaminate(table(spark, rows + rows[:3]), bench)
+    assert kept.count() == len(rows) + 3 - 1 and kept.columns == table(spark, rows).columns
+    assert decontaminate.contamination(table(spark, []), bench).count() == 0
+
+
 def test_contamination_in_blocks(spark, monkeypatch):
     whole = queries.op3_benchmark_decontamination(spark, DATA).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
@@ -192,6 +228,57 @@ def jaccard(a, b):
     return sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
 
 
+def test_every_rule_is_told_from_its_own_sentences():
+    known = licenses.SentenceRules.build()
+    for name, rule in licenses.RULES:
+        for lines in ([licenses.SENTENCES[k] for k in rule], [x for k in rule for x in textwrap.wrap(licenses.SENTENCES[k], 50)]):
+            assert [x[0] for x in known.match(known.sequences(["\n".join(lines).encode()])[0])] == [name]
+        if len(rule) > 1:  # a rule's last sentence alone is not it
+            got = known.match(known.sequences([licenses.SENTENCES[rule[-1]].encode()]).get(0, []))
+            assert name not in [x[0] for x in got]
+
+
+def rules_by_force(sequence, rules, gap):
+    """Rules in order; each takes its leftmost fit among untaken sentences, again and again."""
+    taken, out = set(), []
+    for name, rule in rules:
+        for i in range(len(sequence)):
+            picked = []
+            for k in range(i, len(sequence)):
+                if k in taken:
+                    continue
+                if picked and sequence[k][0] - sequence[picked[-1]][0] > gap + 1:
+                    break
+                if sequence[k][1] == rule[len(picked)]:
+                    picked.append(k)
+                    if len(picked) == len(rule):
+                        break
+                elif not picked:
+                    break
+            if len(picked) == len(rule):
+                taken.update(picked)
+                out.append((name, sequence[picked[0]][0], sequence[picked[-1]][0]))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_rule_matching_equals_brute_force():
+    r = random.Random(8)
+    for _ in range(400):
+        rules = [(f"r{k}", tuple(r.randrange(4) for _ in range(r.randint(1, 3)))) for k in range(4)]
+        places = sorted(r.sample(range(40), r.randint(0, 20)))
+        sequence = [(p, r.randrange(4)) for p in places]
+        own = licenses.SentenceRules(np.array([], dtype=np.uint64), [], [], rules)
+        assert own.match(sequence) == rules_by_force(sequence, rules, licenses.GAP)
+
+
+def test_licenses_hostile_long_and_empty(spark):
+    rows = HOSTILE + [(30, "Released under the MIT License.\n" * 20_000), (31, "Released under the MIT License."), (31, "Released under the MIT License.")]
+    out = licenses.license_scan(table(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert sorted((r.doc_id or -1, r.n_matches) for r in out if r.n_matches) == [(30, 20_000), (31, 1), (31, 1)]
+    assert licenses.license_scan(table(spark, [])).count() == 0
+
+
 def test_wrapped_licenses():
     t = licenses.SENTENCES
     wrap = lambda mark, *names: "\n".join(mark + x for n in names for x in [*textwrap.wrap(t[n], 60), ""])
@@ -202,7 +289,8 @@ def test_wrapped_licenses():
         "GPL-3.0-or-later": [wrap("# ", "gpl-free", "gpl-hope")],
         "GPL-2.0-or-later": [wrap("# ", "gpl2-free", "gpl-hope")],
         "Apache-2.0": [apache, "\n".join("# " + x for x in apache.split("\n"))],
-        "": [wrap("", "gpl-free").replace("General", "Affero General") + wrap("", "gpl-hope"), wrap("", "mit-grant") + "a.\nb.\nc.\n" + wrap("", "mit-condition", "mit-warranty")],
+        "AGPL-3.0-or-later": [wrap("", "gpl-free").replace("General", "Affero General") + wrap("", "gpl-hope"), wrap("// ", "agpl-free", "gpl-hope")],
+        "": [wrap("", "gpl-free").replace("General", "Other General") + wrap("", "gpl-hope"), wrap("", "mit-grant") + "a.\nb.\nc.\n" + wrap("", "mit-condition", "mit-warranty")],
     }
     known = licenses.SentenceRules.build()
     for name, some in texts.items():
@@ -248,6 +336,21 @@ def classes_by_force(rows):
     return sorted((ids[i], least[find(i)]) for i in range(len(rows)))
 
 
+def test_large_counts_and_exact_ties():
+    value, count = np.array([1 << 16, 2 << 16, 3 << 16], dtype=np.uint64), np.array([1, 200_000, 65_535])
+    packed = near_dedup.pack(value, count)
+    got = near_dedup._unpack(packed, np.zeros(len(packed), dtype=int))
+    assert got[0].tolist() == value.tolist() and got[1].tolist() == count.tolist()
+    a, b = {1 << 16: 200_000, 2 << 16: 7}, {1 << 16: 100_000, 2 << 16: 7, 3 << 16: 90_000}
+    arrays = [near_dedup.pack(np.array(sorted(x), dtype=np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+    assert near_dedup.similarity(*arrays) == pytest.approx(jaccard(a, b))
+    for shared, of in ((4, 5), (8, 10), (16, 20), (12, 15)):  # exactly 0.8, each shingle once or twice
+        for n in (1, 2, 3):
+            x, y = {i << 16: n for i in range(shared)}, {i << 16: n for i in range(of)}
+            arrays = [near_dedup.pack(np.array(sorted(k), dtype=np.uint64), np.array(list(k.values()))) for k in (x, y)]
+            assert len(near_dedup.bucket_links(arrays, 0.8)) == 1 and not near_dedup.bucket_links(arrays, 0.801)
+
+
 def near_copies():
     r = random.Random(9)
     base = [[f"{r.choice('abcdefgh')}{r.randint(0, 99)}" for _ in range(r.randint(60, 160))] for _ in range(12)]
@@ -302,6 +405,68 @@ def test_language_id_held_out(spark):
     assert langid.predict(table(spark, [(1, "a")]), langid.LanguageModel.fit([])).first().lang_pred == "und"
 
 
+def test_words_are_letters_with_their_marks():
+    assert langid.words("½ ² ⅷ 12 _") == [] and langid.words("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and langid.words("ภาษาไทย ดี") == ["ภาษาไทย", "ดี"]
+    assert langid.words("x² Straße\u0301a don't") == ["x", "straße\u0301a", "don", "t"] and langid.words("\u0301abc") == ["abc"]
+
+
+def test_language_id_of_a_rare_language_and_of_other_scripts(spark):
+    rows = [(i, f"the cat number {chr(97 + i % 26)} sat", "en") for i in range(400)] + [(1000 + i, "हिन्दी भाषा अच्छी है", "hi") for i in range(5)] + [(2000, None, "xx"), (2001, "no lang", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_rows=20)
+    assert model.languages == ["en", "hi"]
+    got = {r.doc_id: r for r in langid.predict(table(spark, [(1, "यह हिन्दी भाषा है"), (2, "½ ² ⅷ"), (3, "the cat"), (4, "the cat " * 50_000), (4, "the cat")]), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["hi", "und", "en", "en"] and got[2].score == 0
+    assert langid.fit(docs.limit(0)).languages == [] and langid.predict(table(spark, []), model).count() == 0
+
+
+def test_language_sample_takes_a_bounded_number_of_each_language(spark):
+    rows = [(i, f"w{i}", "en" if i % 10 else "fr") for i in range(3000)] + [(i, f"w{i}", "de") for i in range(3)] + [(5000, "same", "es")] * 40
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50).groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()
+    assert {r.lang: r.n for r in got} == {"en": 50, "fr": 50, "de": 3, "es": 1}
+
+
+def test_language_scores_equal_a_plain_computation(spark):
+    counts = [("en", "the", 9), ("en", "house", 2), ("en", "a", 4), ("de", "das", 9), ("de", "haus", 2), ("fr", "la", 3), ("fr", "the", 1)]
+    model, langs = langid.LanguageModel.fit(counts), ["de", "en", "fr"]
+
+    def logs(tables):  # tables: one dictionary a language
+        keys = set().union(*tables)
+        raw = {k: [math.log((t.get(k, 0) + 0.5) / (sum(t.values()) + 0.5 * len(keys))) for t in tables] for k in keys}
+        return {k: [x - sum(v) / len(v) for x in v] for k, v in raw.items()}
+
+    words = [{w: n for l, w, n in counts if l == lang} for lang in langs]
+    known, by_size = logs(words), {}
+    for n in range(1, 6):
+        tables = []
+        for t in words:
+            found = {}
+            for w, k in t.items():
+                marked = w if n == 1 else f"\x02{w}\x03"
+                for i in range(len(marked) - n + 1):
+                    found[marked[i : i + n]] = found.get(marked[i : i + n], 0) + k
+            tables.append(found)
+        by_size[n] = logs(tables)
+
+    def word(w):
+        if w in known:
+            return known[w]
+        for n in range(5, 0, -1):
+            marked = w if n == 1 else f"\x02{w}\x03"
+            hits = [by_size[n][g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in by_size[n]]
+            if hits:
+                return [sum(h[k] for h in hits) / len(hits) for k in range(3)]
+        return [0.0, 0.0, 0.0]
+
+    rows = [(1, "the houses"), (2, "das hau la"), (3, "ZZZ qqq"), (4, "a a the la"), (5, "laus thé")]
+    for r in langid.predict(table(spark, rows), model).collect():
+        found = langid.words(dict(rows)[r.doc_id])
+        z = [sum(word(w)[k] for w in found) / math.sqrt(len(found)) for k in range(3)]
+        p = [math.exp(x - max(z)) for x in z]
+        best = z.index(max(z))
+        assert r.lang_pred == langs[best] and r.score == pytest.approx(p[best] / sum(p), abs=1e-5)
+
+
 def test_language_is_not_an_input_of_its_prediction(spark):
     docs = documents(spark)
     model = langid.fit(docs)
@@ -333,6 +498,26 @@ def test_sharding_order_is_a_hilbert_curve_and_groups_are_runs(spark):
     assert "Python" not in queries.op8_hilbert_sharding(spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sharding_cells_follow_whole_names(spark):
+    rows = [(i, f"t{i:03d}", "en", f"common-source-{k}", 1) for i, k in enumerate("abcd" * 30 + "b" * 60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sharding.name_cuts(df, "source", 5) == [f"common-source-{k}" for k in "bcd"] and sharding.name_cuts(df.limit(0), "source", 5) == []
+    out = sharding.hilbert_shards(df, 8).join(df.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert sum(r.n for r in out) <= 8 + 3  # each source is one run of rows: a shard holds two where a source ends
+    many = spark.createDataFrame([(i, "t", "en", f"s{i:05d}", 1) for i in range(1000)], SCHEMA)
+    cuts = sharding.name_cuts(many, "source", 3)
+    assert len(cuts) == 7 and all(abs(int(x[1:]) - 125 * (k + 1)) <= 1 for k, x in enumerate(cuts))
+
+
+def test_sharding_frequent_texts_lie_together(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 40}", "en" if i % 2 else None, f"s{i % 7}", 1) for i in range(300)]
+    for hot in (1, 1_000):
+        monkeypatch.setattr(sharding, "HOT_PARTS", hot)
+        out = sharding.hilbert_shards(spark.createDataFrame(rows, SCHEMA), 5).orderBy("shard", "slot").collect()
+        runs = [k for i, k in enumerate(r.text_crc32 for r in out) if i == 0 or out[i - 1].text_crc32 != k]
+        assert len(runs) == len(set(runs)) and len(out) == 300
+
+
 def test_quality_held_out_and_hostile(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -345,6 +530,53 @@ def test_quality_held_out_and_hostile(spark):
         assert len(got) == len(HOSTILE) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_quality_scores_equal_a_plain_computation(spark):
+    """Mean of the odds of every token's and n-gram's bucket, a token that repeats the one before read as the common token."""
+    r = np.random.default_rng(4)
+    model = quality.QualityModel(r.normal(0, 3, quality.BUCKETS).astype(np.float32), 0.25)
+    rows = HOSTILE + [(20, "a a a b b a"), (21, "x y z " * 20_000), (22, "é é 日本 日本")]
+
+    def buckets(token):
+        marked = [ord(ch) for ch in f"<{token}>"]
+        base, out = quality._POWERS.base, []
+        whole = sum(x * pow(base, i, 1 << 64) for i, x in enumerate(marked)) + len(marked)
+        mix = lambda h: int(common.mix(np.array([h % (1 << 64)], dtype=np.uint64))[0])
+        out.append(mix(whole) % quality.BUCKETS)
+        for n in (2, 3, 4):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for x in marked[i : i + n]:
+                    h = (h * 0x100000001B3 + x) % (1 << 64)
+                out.append(mix(h) % quality.BUCKETS)
+        return out
+
+    table_of = {}
+    for got in quality.score(table(spark, rows).drop("score"), model, ("doc_id", "text")).collect():
+        tokens = (got.text or "").split()
+        tokens = [quality.REPEAT if i and t == tokens[i - 1] else t for i, t in enumerate(tokens)]
+        for t in set(tokens) - set(table_of):
+            table_of[t] = [float(model.odds[b]) for b in buckets(t)]
+        found = [x for t in tokens for x in table_of[t]]
+        z = 0.25 + (sum(found) / len(found) if found else 0)
+        assert got.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), got.doc_id
+    assert quality.score(table(spark, []).drop("score"), model).count() == 0
+
+
+def test_quality_fit_is_bounded_in_bytes_and_takes_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(i, f"good{i} words" if i % 2 else f"bad{i} text") for i in range(40)] + [(1, "another text")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1)] * 5, "doc_id long, quality int")
+    seen = []
+    own = quality.QualityModel.fit
+    try:
+        quality.QualityModel.fit = classmethod(lambda cls, rows: seen.append(len(rows)) or own(rows))
+        quality.fit(docs, labels)
+        quality.fit(docs, labels, sample_bytes=500)
+        quality.fit(docs, labels, sample_bytes=1)
+    finally:
+        quality.QualityModel.fit = own
+    assert seen[0] == 40 and 0 < seen[1] < 10 and seen[2] == 0
+
+
 def test_quality_sample_is_bounded_and_repeatable(spark):
     docs = documents(spark).select("doc_id", "text")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
