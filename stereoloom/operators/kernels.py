@@ -79,39 +79,50 @@ def pose_comparison(pairs: DataFrame) -> DataFrame:
     return own.groupBy("scan_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.percentile("e", F.lit(0.5)).alias("median"), F.max("e").alias("largest"))
 
 
-def revisit_verification(matches: DataFrame, trials: int = 96, inlier: float = 0.05, least: int = 8, shift: float = 0.15, degrees: float = 5.0, holdout: int = 5) -> DataFrame:
+def revisit_verification(matches: DataFrame, trials: int = 64, inlier: float = 0.025, least_matches: int = 40, least: int = 24, share: float = 0.6, holdout: int = 5, close: float = 0.04) -> DataFrame:
     """Rigid motion of each revisit pair by RANSAC over 3-D matches (pair_id, x, y, z, rx, ry, rz), refitted on the inliers.
 
-    Every ``holdout``-th match judges only: accepted if the motion is within
-    the limits and brings the held-out matches nearer. Trials are seeded by
-    the pair.
+    A pair needs ``least_matches``. Every ``holdout``-th match, from the first
+    in order of place, only judges. Of the others ``least`` and a ``share``
+    must lie within ``inlier``; the held-out matches must have been over 5 mm
+    apart (median) and come within ``inlier`` and under 0.8 of that, three
+    quarters of them within ``close``. Trials are seeded by the pair; a
+    rejected pair keeps the identity.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "z", "rx"])
+        pdf = pdf.sort_values(["x", "y", "z", "rx", "ry", "rz"])
         a, b = pdf[["x", "y", "z"]].to_numpy(), pdf[["rx", "ry", "rz"]].to_numpy()
-        test = np.arange(len(a)) % holdout == holdout - 1
-        fit, random = np.flatnonzero(~test), np.random.default_rng(int(pdf.pair_id.iloc[0]))
-        best = np.empty(0, dtype=int)
-        for _ in range(trials if len(fit) >= 3 else 0):
-            r, t = _sample(a, b, fit, random)
-            hit = fit[np.linalg.norm(a[fit] @ r.T + t - b[fit], axis=1) < inlier]
-            if len(hit) > len(best):
-                best = hit
-        ok, r, t = len(best) >= least, np.eye(3), np.zeros(3)
-        if ok:
-            r, t = horn(a[best], b[best])
-            ok = np.linalg.norm(rotation_vector(r)) <= np.radians(degrees) and np.linalg.norm((a[best] @ r.T + t - a[best]).mean(0)) <= shift
-        before = np.linalg.norm(a[test] - b[test], axis=1)
-        after = np.linalg.norm(a[test] @ r.T + t - b[test], axis=1)
-        ok = bool(ok and test.any() and np.median(after) < np.median(before))
-        return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "inliers": [len(best)], "accepted": [ok], "motion": [[*r.reshape(-1), *t]]})
+        held = np.arange(len(a)) % holdout == 0
+        fit, best = np.flatnonzero(~held), np.empty(0, dtype=int)
+        motion, ok = (np.eye(3), np.zeros(3)), False
+        if len(a) >= least_matches:
+            random = np.random.default_rng(int(pdf.pair_id.iloc[0]))
+            for _ in range(trials):
+                guess = _sample(a, b, fit, random)
+                hit = fit[_apart(a[fit], b[fit], guess) < inlier] if guess else best
+                best = hit if len(hit) > len(best) else best
+            if len(best) >= least and len(best) >= share * len(fit):
+                found = horn(a[best], b[best])
+                before, after = _apart(a[held], b[held], motion), _apart(a[held], b[held], found)
+                was, now = np.median(before), np.median(after)
+                ok = bool(was > 0.005 and now < inlier and now < 0.8 * was and (after < close).mean() >= 0.75)
+                motion = found if ok else motion
+        return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "inliers": [len(best)], "accepted": [ok], "motion": [[*motion[0].reshape(-1), *motion[1]]]})
 
     return matches.groupBy("pair_id").applyInPandas(solve, "pair_id long, inliers int, accepted boolean, motion array<double>")
 
 
-def _sample(a, b, fit, random):
+def _apart(a: np.ndarray, b: np.ndarray, motion: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.linalg.norm(a @ motion[0].T + motion[1] - b, axis=1)
+
+
+def _sample(a, b, fit, random, least_area: float = 0.01):
+    """Motion of three matches, None if they are nearly in line."""
     three = random.choice(fit, 3, replace=False)
+    around = b[three] - b[three].mean(0)
+    if max(np.linalg.norm(np.cross(around[i], around[j])) for i, j in ((0, 1), (0, 2), (1, 2))) <= least_area:
+        return None
     return horn(a[three], b[three])
 
 
@@ -133,41 +144,64 @@ def conjugate_gradients(apply, right: np.ndarray, rounds: int = 200, tolerance:
     return x
 
 
-def pose_graph(frames: DataFrame, loops: DataFrame, loop_weight: float = 10.0, anchor: float = 1e3) -> DataFrame:
-    """Six-axis corrections of a scan's frames from loop edges (scan_id, a, b, c0..c5): chain plus loop Laplacian, first frame fixed.
+def pose_graph(frames: DataFrame, loops: DataFrame, chain_weight: float = 100.0, loop_weight: float = 200.0, damping: float = 0.002) -> DataFrame:
+    """Six-axis corrections (rotation vector, shift) of a scan's frames from loop edges (scan_id, a, b, c0..c5).
 
-    frames: scan_id, id. A loop says by how much b should move relative to a.
+    Neighbours in time should move alike, the ends of a loop as it says (b
+    relative to a), and everything little; the first frame stays. frames:
+    scan_id, id, and if they are there timestamp (else the id orders) and
+    usable: frames that are not usable take no part and get what lies between
+    their usable neighbours, turns by slerp, shifts linear; before the first
+    and after the last the nearest one's.
     """
 
     def solve(key, fr: pd.DataFrame, lo: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(fr.id.to_numpy())
-        at = {v: i for i, v in enumerate(ids.tolist())}
+        fr = fr.assign(t=fr.timestamp if "timestamp" in fr else fr.id).sort_values(["t", "id"])
+        base = fr[fr.usable.fillna(False).astype(bool)] if "usable" in fr else fr
+        at = {v: i for i, v in enumerate(base.id.tolist())}
         lo = lo[lo.a.isin(at) & lo.b.isin(at)]
         a, b = np.array([at[v] for v in lo.a], dtype=int), np.array([at[v] for v in lo.b], dtype=int)
         want = lo[[f"c{i}" for i in range(6)]].to_numpy(dtype=float).reshape(-1, 6)
-
-        def apply(x):
-            out = np.zeros_like(x)
-            d = x[1:] - x[:-1]
-            out[1:] += d
-            out[:-1] -= d
-            e = loop_weight * (x[b] - x[a])
-            np.add.at(out, b, e)
-            np.add.at(out, a, -e)
-            out[0] += anchor * x[0]
-            return out
-
-        right = np.zeros((len(ids), 6))
-        np.add.at(right, b, loop_weight * want)
-        np.add.at(right, a, -loop_weight * want)
-        x = conjugate_gradients(apply, right, 20 * len(ids)) if len(ids) else right
-        return pd.DataFrame({"scan_id": [key[0]] * len(ids), "id": ids} | {f"c{i}": x[:, i] for i in range(6)})
+        n = len(base)
+        a, b = np.concatenate([np.arange(max(n - 1, 0)), a]), np.concatenate([np.arange(1, max(n, 1)), b])
+        want = np.concatenate([np.zeros((max(n - 1, 0), 6)), want])
+        w = np.where(np.arange(len(a)) < n - 1, chain_weight, loop_weight)[:, None]
+        free = np.ones((n, 1))
+        free[:1] = 0.0
+
+        def spread(pull):
+            out = np.zeros((n, 6))
+            np.add.at(out, b, pull)
+            np.add.at(out, a, -pull)
+            return out * free
+
+        x = conjugate_gradients(lambda x: spread(w * (x[b] - x[a])) + damping * x, spread(w * want), 2 * n + 50) if len(lo) else np.zeros((n, 6))
+        c = _between(base.t.to_numpy(dtype=float), x, fr.t.to_numpy(dtype=float))
+        return pd.DataFrame({"scan_id": [key[0]] * len(fr), "id": fr.id.to_numpy()} | {f"c{i}": c[:, i] for i in range(6)})
 
     kind = frames.schema["scan_id"].dataType.simpleString()
     loops = loops.toDF(*loops.columns)  # new column identities, in case both come from one table
     return frames.groupBy("scan_id").cogroup(loops.groupBy("scan_id")).applyInPandas(solve, f"scan_id {kind}, id long, " + ", ".join(f"c{i} double" for i in range(6)))
 
 
+def _between(times: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Corrections at the ``wanted`` times from those at the ascending ``times``."""
+    out = np.zeros((len(wanted), 6))
+    if not len(times):
+        return out
+    for i, t in enumerate(wanted):
+        b = min(int(np.searchsorted(times, t)), len(times) - 1)
+        if times[b] == t or b == 0:
+            out[i] = x[b]
+            continue
+        a = b - 1
+        f = min(1.0, (t - times[a]) / (times[b] - times[a]))
+        ra, rb = rotation(x[a, :3]), rotation(x[b, :3])
+        out[i, :3] = rotation_vector(ra @ rotation(f * rotation_vector(ra.T @ rb)))
+        out[i, 3:] = (1 - f) * x[a, 3:] + f * x[b, 3:]
+    return out
+
+
 def _residuals(points, poses, obs, k):
     """Pixel errors of observations (frame, track, u, v) under world-to-camera rotation vectors and shifts (GL axes)."""
     r = np.stack([rotation(p[:3]) for p in poses])
@@ -176,45 +210,78 @@ def _residuals(points, poses, obs, k):
     return np.stack([k[0] * cam[:, 0] / z + k[2] - obs[:, 2], k[3] - k[1] * cam[:, 1] / z - obs[:, 3]], axis=1)
 
 
-def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float = 2.0, prior: float = 1e2, improve: float = 0.03) -> DataFrame:
-    """Refined poses of each scan by Gauss-Newton over poses with Huber weights and a motion prior, points re-solved in between.
+def _jacobians(points, poses, obs, k, base):
+    """How the pixel errors change with each observation's pose (n, 2, 6) and point (n, 2, 3)."""
+    frame, track = obs[:, 0].astype(int), obs[:, 1].astype(int)
+    jp, jx = np.empty((len(obs), 2, 6)), np.empty((len(obs), 2, 3))
+    for d in range(6):
+        moved = poses.copy()
+        moved[:, d] += 1e-6
+        jp[:, :, d] = (_residuals(points, moved, obs, k) - base) / 1e-6
+    for d in range(3):
+        moved = points.copy()
+        moved[:, d] += 1e-6
+        jx[:, :, d] = (_residuals(moved, poses, obs, k) - base) / 1e-6
+    return frame, track, jp, jx
+
+
+def _gathered(index, values, n):
+    out = np.zeros((n, *values.shape[1:]))
+    np.add.at(out, index, values)
+    return out
+
+
+def _robust(e, huber):
+    """Huber weights of pixel errors, and their cost."""
+    size = np.linalg.norm(e, axis=1)
+    cost = np.where(size <= huber, size**2 / 2, huber * (size - huber / 2)).sum()
+    return np.minimum(1.0, huber / np.maximum(size, 1e-9)), float(cost)
 
-    observations: scan_id, frame_id, track_id, u, v, pose (6 numbers, world to
-    camera: rotation vector and shift), px, py, pz (track's start), fx, fy, cx,
-    cy. Tracks 4 modulo 5 never optimise; the result is accepted if their
-    median error falls by ``improve``, else the input poses come back.
+
+def _solved_points(points, poses, obs, k, huber, prior, rounds=8):
+    """Places of the tracks under given poses, each by itself."""
+    start, points = points, points.copy()
+    for _ in range(rounds):
+        base = _residuals(points, poses, obs, k)
+        _, track, _, jx = _jacobians(points, poses, obs, k, base)
+        w = _robust(base, huber)[0][:, None, None]
+        h = _gathered(track, np.swapaxes(jx, 1, 2) @ (w * jx), len(points)) + prior * np.eye(3)
+        g = _gathered(track, (np.swapaxes(jx, 1, 2) @ (w * base[:, :, None]))[:, :, 0], len(points)) + prior * (points - start)
+        points = points - np.linalg.solve(h, g[:, :, None])[:, :, 0]
+    return points
+
+
+def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float = 2.0, prior: float = 1e-4, improve: float = 0.03, holdout: int = 5) -> DataFrame:
+    """Poses and points of each scan solved together by damped Gauss-Newton with Huber weights; points are eliminated in each step.
+
+    A weak pull to the start holds what the images leave open (scale), the
+    first frame holds place and direction. observations: scan_id, frame_id,
+    track_id, u, v, pose (6 numbers, world to camera: rotation vector and
+    shift), px, py, pz (track's start), fx, fy, cx, cy. Tracks of remainder
+    ``holdout - 1`` take no part; their points are solved anew under the old
+    and the new poses, and the result stands if their median error falls by
+    ``improve``, else the input poses come back.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_id", "track_id", "u", "v"])
         frames, fi = np.unique(pdf.frame_id, return_inverse=True)
         tracks, ti = np.unique(pdf.track_id, return_inverse=True)
-        start = np.stack([np.asarray(pdf.pose.iloc[np.flatnonzero(fi == i)[0]], dtype=float) for i in range(len(frames))])
-        points = np.stack([pdf[["px", "py", "pz"]].to_numpy()[np.flatnonzero(ti == i)[0]] for i in range(len(tracks))])
+        start = np.stack([np.asarray(pdf.pose.iloc[i], dtype=float) for i in np.unique(fi, return_index=True)[1]])
+        given = pdf[["px", "py", "pz"]].to_numpy(dtype=float)[np.unique(ti, return_index=True)[1]]
         obs = np.stack([fi, ti, pdf.u, pdf.v], axis=1).astype(float)
         k = pdf[["fx", "fy", "cx", "cy"]].iloc[0].to_numpy(dtype=float)
-        test = tracks[ti] % 5 == 4
-        train, poses = obs[~test], start.copy()
-        median = lambda p: float(np.median(np.linalg.norm(_residuals(points, p, obs[test], k), axis=1))) if test.any() else np.inf
-        before = median(start)
-        for _ in range(rounds):
-            base = _residuals(points, poses, train, k)
-            w = np.minimum(1.0, huber / np.maximum(np.linalg.norm(base, axis=1), 1e-9))
-            step = np.zeros_like(poses)
-            jac = np.empty((len(train), 2, 6))
-            for d in range(6):
-                bumped = poses.copy()
-                bumped[:, d] += 1e-6
-                jac[:, :, d] = (_residuals(points, bumped, train, k) - base) / 1e-6
-            for i in range(1, len(frames)):  # the first frame holds the gauge
-                own = train[:, 0] == i
-                j, e, ww = jac[own].reshape(-1, 6), base[own].reshape(-1), np.repeat(w[own], 2)
-                h = (j * ww[:, None]).T @ j + prior * 1e-6 * np.eye(6)
-                step[i] = -np.linalg.solve(h, (j * ww[:, None]).T @ e + prior * 1e-6 * (poses[i] - start[i]))
-            poses = poses + step
-            if np.abs(step).max(initial=0.0) < 1e-9:
-                break
-        after = median(poses)
-        ok = bool(np.isfinite(poses).all() and after <= (1 - improve) * before)
+        test = tracks[ti] % holdout == holdout - 1
+
+        def judged(poses):
+            if not test.any():
+                return np.inf
+            points = _solved_points(given, poses, obs[test], k, huber, prior)
+            return float(np.median(np.linalg.norm(_residuals(points, poses, obs[test], k), axis=1)))
+
+        poses = _adjusted(start, given, obs[~test], k, rounds, huber, prior)
+        before, after = judged(start), judged(poses)
+        ok = bool(np.isfinite(poses).all() and after <= (1 - improve) * before and np.isfinite(before))
         out = poses if ok else start
         return pd.DataFrame({"scan_id": [pdf.scan_id.iloc[0]] * len(frames), "frame_id": frames.astype(np.int64), "pose": list(out), "accepted": ok, "before": before, "after": after})
 
@@ -222,6 +289,53 @@ def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float =
     return observations.groupBy("scan_id").applyInPandas(solve, f"scan_id {kind}, frame_id long, pose array<double>, accepted boolean, before double, after double")
 
 
+def _adjusted(start, given, obs, k, rounds, huber, prior):
+    """The joint solve: normal equations of poses and points, points eliminated track by track."""
+    poses, points, damping, n = start.copy(), given.copy(), 1e-6, len(start)
+
+    def cost(poses, points):
+        return _robust(_residuals(points, poses, obs, k), huber)[1] + prior / 2 * float(((poses - start) ** 2).sum() + ((points - given) ** 2).sum())
+
+    now = cost(poses, points)
+    order = np.argsort(obs[:, 1], kind="stable")
+    obs = obs[order]
+    cuts = np.flatnonzero(np.diff(obs[:, 1])) + 1
+    for _ in range(rounds if len(obs) and n > 1 else 0):
+        base = _residuals(points, poses, obs, k)
+        frame, track, jp, jx = _jacobians(points, poses, obs, k, base)
+        w = _robust(base, huber)[0][:, None, None]
+        tp, tx, e = np.swapaxes(jp, 1, 2), np.swapaxes(jx, 1, 2), base[:, :, None]
+        u = _gathered(frame, tp @ (w * jp), n) + (prior + damping) * np.eye(6)
+        v = np.linalg.inv(_gathered(track, tx @ (w * jx), len(points)) + (prior + damping) * np.eye(3))
+        gp = _gathered(frame, (tp @ (w * e))[:, :, 0], n) + prior * (poses - start)
+        gx = _gathered(track, (tx @ (w * e))[:, :, 0], len(points)) + prior * (points - given)
+        cross = tp @ (w * jx)
+        s, right = np.zeros((n, 6, n, 6)), gp.copy()
+        s[np.arange(n), :, np.arange(n), :] = u
+        for some in np.split(np.arange(len(obs)), cuts):
+            t = track[some[0]]
+            c = _gathered(frame[some], cross[some], n)
+            seen = np.unique(frame[some])
+            half = c[seen] @ v[t]
+            s[seen[:, None], :, seen[None, :], :] -= np.einsum("aij,bkj->abik", half, c[seen])
+            right[seen] -= half @ gx[t]
+        step = np.zeros_like(poses)
+        step[1:] = -np.linalg.solve(s[1:, :, 1:, :].reshape(6 * (n - 1), -1), right[1:].reshape(-1)).reshape(-1, 6)
+        pull = gx + _gathered(track, (np.swapaxes(cross, 1, 2) @ step[frame][:, :, None])[:, :, 0], len(points))
+        moved = points - (v @ pull[:, :, None])[:, :, 0]
+        then = cost(poses + step, moved)
+        if then < now:
+            done = now - then <= 1e-12 * max(now, 1e-12)
+            poses, points, now, damping = poses + step, moved, then, max(damping / 4, 1e-9)
+            if done:
+                break
+        else:
+            damping *= 16
+            if damping > 1e6:
+                break
+    return poses
+
+
 def plane_icp(matches: DataFrame, rounds: int = 10, holdout: int = 5) -> DataFrame:
     """C11: point-to-plane motion of each window from matched points and target normals; every ``holdout``-th match only judges.
 

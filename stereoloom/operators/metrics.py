@@ -390,11 +390,11 @@ def render_report(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return own.groupBy(*keys).agg(F.avg((F.col("transmittance") > 0.5).cast("int")).alias("uncovered"), F.percentile("e", F.lit(0.5)).alias("median"), F.percentile("e", F.lit(0.9)).alias("p90"), F.avg((F.col("e") > 0.05).cast("int")).alias("large"))
 
 
-def extrapolation(frames: DataFrame, rings: int = 8, start: float = 0.25) -> DataFrame:
+def extrapolation(frames: DataFrame, start: float = 0.25) -> DataFrame:
     """Distance and angle to the nearest training frame of each held-out frame (frames: + holdout)."""
     from stereoloom.operators.spatial import nearest
 
-    found = nearest(frames.filter("holdout"), frames.filter("not holdout").withColumnRenamed("id", "ordinal"), 1, start, rings, left_id="id")
+    found = nearest(frames.filter("holdout"), frames.filter("not holdout").withColumnRenamed("id", "ordinal"), 1, start, left_id="id")
     own = lambda n: frames.select("scan_id", F.col("id").alias(n), *[F.col(f"d{c}").alias(f"{n}{c}") for c in "xyz"])
     cos = sum((F.col(f"a{c}") * F.col(f"b{c}") for c in "yz"), F.col("ax") * F.col("bx"))
     return found.join(own("a"), ["scan_id", "a"]).join(own("b"), ["scan_id", "b"]).select("scan_id", F.col("a").alias("id"), F.col("b").alias("nearest"), "d", F.degrees(F.acos(clamp(cos, -1.0, 1.0))).alias("degrees"))

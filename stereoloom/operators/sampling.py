@@ -123,16 +123,20 @@ def cap_far(points: DataFrame, limit: int, order: list[str]) -> DataFrame:
 def interval_hash_sample(df: DataFrame, keep: int, shards: int = 16) -> DataFrame:
     """K7: per shard of the key space, rows in key order fall into intervals; the least hash rank of each stays.
 
-    Ranks compare as unsigned. ``keep`` is shared out by shard size.
+    Ranks compare as unsigned. ``keep`` is shared out by shard size. Rows are
+    numbered over the whole table, so shards are not tasks.
     """
     own = df.withColumn("shard", vx.shard_of("key", shards))
     total = df.count()
     if total <= keep:
         return df
-    ranked = numbered(own.withColumn("__h", hash_rank("key").bitwiseXOR(F.lit(-(1 << 63)))), ["key"], ["shard"])
-    mine = F.greatest(F.lit(1), F.floor(F.col("__n") * keep / total))
-    slots = ranked.withColumn("__slot", F.floor(F.col("__i") * mine / F.col("__n")))
-    return first_per(slots, ["shard", "__slot"], [F.asc("__h"), F.asc("key")]).drop("shard", "__h", "__i", "__n", "__slot")
+    sizes = own.groupBy("shard").agg(F.count("*").alias("__m"))  # a row a shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+    ranked = numbered(own.withColumn("__h", hash_rank("key").bitwiseXOR(F.lit(-(1 << 63)))), ["shard", "key"]).join(F.broadcast(sizes), "shard")
+    mine = F.greatest(F.lit(1), F.floor(F.col("__m") * keep / total))
+    slots = ranked.withColumn("__slot", F.floor((F.col("__i") - F.col("__before")) * mine / F.col("__m")))
+    return first_per(slots, ["shard", "__slot"], [F.asc("__h"), F.asc("key")]).drop("shard", "__h", "__i", "__n", "__slot", "__m", "__before")
 
 
 def hash_sample(df: DataFrame, k: int, *key: str) -> DataFrame:

@@ -18,6 +18,28 @@ def _d2(a: str, b: str) -> Column:
     return dx * dx + dy * dy + dz * dz
 
 
+def _d(radius: float) -> float:
+    return radius * (1 + 1e-6)  # float32 cell edges never hide a pair at the rim
+
+
+def near_pairs(points: DataFrame, radius: float, carry: tuple[str, ...] = (), on: str = "scan_id", id_column: str = "id") -> DataFrame:
+    """Pairs of two points of one table within ``radius``, each once with a < b: ``scan_id, a, b, d`` and the columns of ``carry`` as a_..., b_....
+
+    A point meets its own cell and the half of the 26 around it that follow,
+    so a pair is found once; what is known of its ends goes through the one
+    join with it.
+    """
+    own = points.select(F.col(on), F.struct(F.col(id_column).alias("id"), "x", "y", "z", *carry).alias("p"), vx.voxel_key("x", "y", "z", _d(radius)).alias("own"))
+    here = own.filter("own is not null").select(F.col(on), F.col("p").alias("left"), F.col("own").alias("key"))
+    there = own.select(F.col(on), F.col("p").alias("right"), "own", F.explode(F.filter(vx.neighbour_keys("own"), lambda k: k >= F.col("own"))).alias("key"))
+    met = here.join(there, [on, "key"]).filter((F.col("key") != F.col("own")) | (F.col("left.id") < F.col("right.id"))).filter("left.id <> right.id")
+    d2 = sum(((F.col(f"left.{c}") - F.col(f"right.{c}")) ** 2 for c in "yz"), (F.col("left.x") - F.col("right.x")) ** 2)
+    first = F.col("left.id") < F.col("right.id")
+    a, b = F.when(first, F.col("left")).otherwise(F.col("right")), F.when(first, F.col("right")).otherwise(F.col("left"))
+    close = met.withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(on, a.alias("a"), b.alias("b"), F.sqrt("d2").alias("d"))
+    return close.select(on, F.col("a.id").alias("a"), F.col("b.id").alias("b"), "d", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in carry])
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, on: str = "scan_id", left_id: str = "ordinal", right_id: str = "ordinal") -> DataFrame:
     """Pairs of points of one scan within ``radius``: ``scan_id, a, b, d``.
 
@@ -25,49 +47,59 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: str = "sca
     stays in its own: one equi-join whose cost follows the density, never a
     product of the tables.
     """
-    cell = radius * (1 + 1e-6)  # float32 cell edges never hide a pair at the rim
+    cell = _d(radius)
     a = left.select(F.col(on), F.col(left_id).alias("id"), "x", "y", "z", vx.voxel_key("x", "y", "z", cell).alias("key")).filter("key is not null").alias("a")
     b = right.select(F.col(on), F.col(right_id).alias("id"), "x", "y", "z", F.explode(vx.neighbour_keys(vx.voxel_key("x", "y", "z", cell))).alias("key")).alias("b")
     pairs = a.join(b, (F.col(f"a.{on}") == F.col(f"b.{on}")) & (F.col("a.key") == F.col("b.key")))
     return pairs.withColumn("d2", _d2("a", "b")).filter(F.col("d2") <= radius * radius).select(F.col(f"a.{on}").alias(on), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.sqrt("d2").alias("d"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int = 6, same_table: bool = False, left_id: str = "ordinal") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int | None = None, same_table: bool = False, left_id: str = "ordinal") -> DataFrame:
     """The k nearest points of ``right`` for each of ``left``: ``scan_id, a, b, d, rank``.
 
-    Rows with fewer than k hits search again with twice the radius, up to
-    ``rings`` times; rows with no more candidates keep what they have.
+    Rows with fewer than k hits search again with twice the radius, until
+    each has k or all that its scan holds (or ``rings`` searches are done);
+    ``radius`` decides the cost and not the result. Points that are not finite have no neighbours and are none.
     """
+    from stereoloom.functions.numeric import all_finite
     from stereoloom.plans.durable import durable
 
-    out, todo = None, left
-    for ring in range(rings):
+    right = right.filter(all_finite("x", "y", "z"))
+    held = right.groupBy("scan_id").agg((F.count("*") - int(same_table)).alias("n")).filter("n > 0")
+    todo = left.filter(all_finite("x", "y", "z")).join(held.select("scan_id", F.least("n", F.lit(k)).alias("__k")), "scan_id")
+    out, ring = None, 0
+    while True:
         pairs = radius_join(todo, right, radius * 2**ring, left_id=left_id)
         if same_table:
             pairs = pairs.filter("a <> b")
         w = Window.partitionBy("scan_id", "a").orderBy("d", "b")
         found = durable(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-        full = found.filter(F.col("rank") == k).select("scan_id", F.col("a").alias(left_id))
+        counts = found.groupBy("scan_id", F.col("a").alias(left_id)).agg(F.count("*").alias("__n"))
+        full = todo.join(counts, ["scan_id", left_id]).filter("__n >= __k").select("scan_id", left_id)
         rest = durable(todo.join(full, ["scan_id", left_id], "left_anti"))
-        last = ring == rings - 1 or rest.isEmpty()
+        last = ring + 1 == rings or rest.isEmpty()
         part = found if last else found.join(full.withColumnRenamed(left_id, "a"), ["scan_id", "a"], "left_semi")
         out = part if out is None else out.unionByName(part)
         if last:
             return out
-        todo = rest
-    return out
+        todo, ring = rest, ring + 1
 
 
-def neighbour_frames(frames: DataFrame, distance: float = 0.5, degrees: float = 30.0) -> DataFrame:
+def neighbour_frames(frames: DataFrame, distance: float = 0.5, degrees: float = 30.0, carry: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """Ordered pairs of other frames of the scan, near in place and viewing direction.
 
-    frames: scan_id, id, x, y, z, dx, dy, dz (unit direction). Gives
-    ``scan_id, a, b, d, cos``.
+    frames: scan_id, id (unique in a scan), x, y, z, dx, dy, dz (unit
+    direction). Gives ``scan_id, a, b, d, cos`` and the ``carry`` columns of
+    both as a_..., b_...; each pair in both orders, or without ``ordered`` once with
+    a < b. The pairs are never joined to the frames again.
     """
-    pairs = radius_join(frames, frames, distance, left_id="id", right_id="id").filter("a <> b")
-    own = lambda n: frames.select("scan_id", F.col("id").alias(n), *[F.col(f"d{c}").alias(f"{n}_{c}") for c in "xyz"])
-    cos = F.col("a_x") * F.col("b_x") + F.col("a_y") * F.col("b_y") + F.col("a_z") * F.col("b_z")
-    return pairs.join(own("a"), ["scan_id", "a"]).join(own("b"), ["scan_id", "b"]).withColumn("cos", cos).filter(F.col("cos") >= math.cos(math.radians(degrees))).select("scan_id", "a", "b", "d", "cos")
+    pairs = near_pairs(frames, distance, ("dx", "dy", "dz", *carry))
+    cos = F.col("a_dx") * F.col("b_dx") + F.col("a_dy") * F.col("b_dy") + F.col("a_dz") * F.col("b_dz")
+    pairs = pairs.withColumn("cos", cos).filter(F.col("cos") >= math.cos(math.radians(degrees)))
+    ends = lambda a, b: [F.col(a).alias("a"), F.col(b).alias("b"), "d", "cos", *[F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in ((a, "a"), (b, "b")) for c in carry]]
+    if not ordered:
+        return pairs.select("scan_id", *ends("a", "b"))
+    return pairs.select("scan_id", F.explode(F.array(F.struct(*ends("a", "b")), F.struct(*ends("b", "a")))).alias("pair")).select("scan_id", "pair.*")
 
 
 def signature_distance(a: Column, b: Column) -> Column:
@@ -77,9 +109,8 @@ def signature_distance(a: Column, b: Column) -> Column:
 
 def near_duplicate_views(frames: DataFrame, distance: float = 0.04, degrees: float = 3.0, difference: float = 0.06) -> DataFrame:
     """Neighbouring frames (a < b) whose signatures hardly differ."""
-    pairs = neighbour_frames(frames, distance, degrees).filter("a < b")
-    sig = lambda n: frames.select("scan_id", F.col("id").alias(n), F.col("signature").alias(f"{n}_sig"))
-    return pairs.join(sig("a"), ["scan_id", "a"]).join(sig("b"), ["scan_id", "b"]).withColumn("difference", signature_distance(F.col("a_sig"), F.col("b_sig"))).filter(F.col("difference") < difference).select("scan_id", "a", "b", "d", "difference")
+    pairs = neighbour_frames(frames, distance, degrees, ("signature",), ordered=False)
+    return pairs.withColumn("difference", signature_distance(F.col("a_signature"), F.col("b_signature"))).filter(F.col("difference") < difference).select("scan_id", "a", "b", "d", "difference")
 
 
 def time_pairs(frames: DataFrame, least: float, most: float) -> DataFrame:
@@ -102,10 +133,9 @@ def revisit_candidates(frames: DataFrame, distance: float = 0.8, cos: float = 0.
     w = Window.partitionBy("scan_id").orderBy("id")
     own = cumulative_travel(frames).withColumn("i", F.row_number().over(w))
     degrees = math.degrees(math.acos(cos))
-    pairs = neighbour_frames(own, distance, degrees)
-    info = lambda n: own.select("scan_id", F.col("id").alias(n), F.col("i").alias(f"{n}_i"), F.col("timestamp").alias(f"{n}_t"), F.col("travel").alias(f"{n}_s"))
-    ok = (F.col("b_i") - F.col("a_i") > gap) & (F.col("b_t") - F.col("a_t") >= seconds) & (F.col("b_s") - F.col("a_s") >= travel) & (F.col("d") < distance)
-    found = pairs.join(info("a"), ["scan_id", "a"]).join(info("b"), ["scan_id", "b"]).filter(ok)
+    pairs = neighbour_frames(own, distance, degrees, ("i", "timestamp", "travel"), ordered=False)  # the earlier frame has the smaller id
+    between = lambda c: F.col(f"b_{c}") - F.col(f"a_{c}")
+    found = pairs.filter((between("i") > gap) & (between("timestamp") >= seconds) & (between("travel") >= travel) & (F.col("d") < distance))
     return first_per(found, ["scan_id", "b"], [F.asc("d"), F.asc("a")]).select("scan_id", "a", "b", "d", "cos")
 
 

@@ -117,6 +117,15 @@ def transient_mask(blocks: DataFrame, keys: list[str], factor: float = 3.0, leas
 
 
 def dataset_signature(frames: DataFrame) -> DataFrame:
-    """SP12: one SHA-256 over all frames' digests in id order (in place of a 64-bit FNV): the digests are combined per scan."""
-    own = frames.withColumn("__d", F.sha2(F.to_json(F.struct(*sorted(frames.columns))), 256))
-    return own.groupBy("scan_id").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("id", "__d"))), lambda s: s["__d"])), 256).alias("signature"))
+    """SP12: one SHA-256 a scan over all frames' digests (in place of a 64-bit FNV).
+
+    Digests are combined in order of id within blocks of 4,096 ids, and the
+    blocks' digests within the scan, so no row holds a whole scan's.
+    """
+
+    def combined(order: str):
+        return F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(order, "__d"))), lambda s: s["__d"])), 256).alias("__d")
+
+    own = frames.withColumns({"__d": F.sha2(F.to_json(F.struct(*sorted(frames.columns))), 256), "__block": F.floor(F.col("id") / 4096)})
+    blocks = own.groupBy("scan_id", "__block").agg(combined("id"))
+    return blocks.groupBy("scan_id").agg(combined("__block")).withColumnRenamed("__d", "signature")

@@ -28,14 +28,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames from events: scan by user, place and direction from the vector of the event's number modulo 500."""
-    v = _read(spark, sf_dir, "embeddings").filter("vec_id < 500")
+    """Frames from events: scan by user, place and direction from the vector of the event's number modulo that of vectors, a metre on each time round."""
+    v = _read(spark, sf_dir, "embeddings")
+    n = max(v.count(), 1)  # read from the files' footers
     norm = F.sqrt(_e(5) * _e(5) + _e(6) * _e(6) + _e(7) * _e(7))
     v = v.select("vec_id", *[(_e(i) * 4).alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))], *[(_e(i) / norm).alias(c) for i, c in ((5, "dx"), (6, "dy"), (7, "dz"))], F.slice("embedding", 1, 16).alias("signature"))
     own = _read(spark, sf_dir, "events").select(
         F.col("user_id").alias("scan_id"), F.col("event_id").alias("id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000000D").alias("timestamp"),
-        (F.col("value") / 10).alias("blur"), F.col("event_type").alias("kind"), (F.col("event_id") % 500).alias("vec_id"))
-    return own.join(v, "vec_id")
+        (F.col("value") / 10).alias("blur"), F.col("event_type").alias("kind"), (F.col("event_id") % n).alias("vec_id"), F.expr(f"event_id div {n}").alias("lap"))
+    return own.join(v, "vec_id").withColumn("x", F.col("x") + F.col("lap")).drop("lap")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,10 @@ CTES = {
  CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, abs(CAST(embedding[4] AS DOUBLE)) + 0.01::DOUBLE AS score,
  vec_id % 3 <> 0 AS measured, CAST(embedding[5] AS DOUBLE) > 0.1::DOUBLE AS far FROM embeddings)""",
     "frames": """vec AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE)*4 AS x, CAST(embedding[2] AS DOUBLE)*4 AS y, CAST(embedding[3] AS DOUBLE)*4 AS z,
- CAST(embedding[5] AS DOUBLE) AS e5, CAST(embedding[6] AS DOUBLE) AS e6, CAST(embedding[7] AS DOUBLE) AS e7, embedding[1:16] AS signature FROM embeddings WHERE vec_id < 500),
- frames AS (SELECT user_id AS scan_id, event_id AS id, epoch_us(ts)/1000000::DOUBLE AS timestamp, value/10 AS blur, event_type AS kind, x, y, z,
- e5/sqrt(e5*e5+e6*e6+e7*e7) AS dx, e6/sqrt(e5*e5+e6*e6+e7*e7) AS dy, e7/sqrt(e5*e5+e6*e6+e7*e7) AS dz, signature FROM events JOIN vec ON event_id % 500 = vec_id)""",
+ CAST(embedding[5] AS DOUBLE) AS e5, CAST(embedding[6] AS DOUBLE) AS e6, CAST(embedding[7] AS DOUBLE) AS e7, embedding[1:16] AS signature FROM embeddings),
+ nv AS (SELECT greatest(count(*), 1) AS n FROM embeddings),
+ frames AS (SELECT user_id AS scan_id, event_id AS id, epoch_us(ts)/1000000::DOUBLE AS timestamp, value/10 AS blur, event_type AS kind, x + event_id // (SELECT n FROM nv) AS x, y, z,
+ e5/sqrt(e5*e5+e6*e6+e7*e7) AS dx, e6/sqrt(e5*e5+e6*e6+e7*e7) AS dy, e7/sqrt(e5*e5+e6*e6+e7*e7) AS dz, signature FROM events JOIN vec ON event_id % (SELECT n FROM nv) = vec_id)""",
     "observations": "observations AS (SELECT l_orderkey AS frame_id, l_partkey AS track_id, l_linenumber AS line, l_quantity AS u, l_extendedprice AS v, l_discount AS depth FROM lineitem)",
     "poses": """raw AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  unit AS (SELECT id, sqrt(e[8]*e[8]+e[9]*e[9]+e[10]*e[10]+e[11]*e[11]) AS n, e FROM raw),
@@ -81,3 +83,11 @@ def key_sql(i: str, j: str, k: str) -> str:
 
 def voxel_sql(size: float, columns: tuple[str, str, str] = ("x", "y", "z")) -> str:
     return key_sql(*[cell_sql(c, size) for c in columns])
+
+
+def split_mix_sql(table: str, key: str) -> str:
+    """CTEs that end in ``mixed``: the table's rows with h, SplitMix64's output for the key, as unsigned 64 bits."""
+    word = 18446744073709551616
+    times = lambda x, c: f"CAST((({x})::UHUGEINT * {c}::UHUGEINT) % {word}::UHUGEINT AS UBIGINT)"
+    return f"""mx0 AS (SELECT *, CAST(({key}::HUGEINT + CASE WHEN {key} < 0 THEN {word}::HUGEINT ELSE 0 END + {0x9E3779B97F4A7C15}::HUGEINT) % {word}::HUGEINT AS UBIGINT) AS h0 FROM {table}),
+ mx1 AS (SELECT *, {times('xor(h0, h0 >> 30)', 0xBF58476D1CE4E5B9)} AS h1 FROM mx0), mx2 AS (SELECT *, {times('xor(h1, h1 >> 27)', 0x94D049BB133111EB)} AS h2 FROM mx1), mixed AS (SELECT *, xor(h2, h2 >> 31) AS h FROM mx2)"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stereoloom.operators import spatial
+from stereoloom.operators.sampling import numbered
 
 
 def surface_accuracy(test: DataFrame, truth: DataFrame, cap: float = 0.10) -> DataFrame:
@@ -13,7 +16,16 @@ def surface_accuracy(test: DataFrame, truth: DataFrame, cap: float = 0.10) -> Da
     near = spatial.radius_join(test, truth, cap).groupBy("scan_id", F.col("a").alias("ordinal")).agg(F.min("d").alias("d"))
     own = test.select("scan_id", "ordinal").join(near, ["scan_id", "ordinal"], "left").withColumn("d", F.coalesce("d", F.lit(cap)))
     within = [F.avg((F.col("d") <= cm / 100).cast("int")).alias(f"within{cm}") for cm in (1, 2, 5)]
-    return own.agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), *within)
+    # percentiles by place in the sorted distances, so that no task holds them all
+    placed = numbered(own.select("d"), ["d"])
+    last = F.col("__n") - 1
+
+    def at(share: float):
+        low, high = F.floor(last * share), F.ceil(last * share)
+        value = lambda place: F.max(F.when(F.col("__i") == place, F.col("d")))
+        return value(low) + (value(high) - value(low)) * F.max(last * share - low)
+
+    return placed.agg(F.count("*").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), *within)
 
 
 def valid_frames(frames: DataFrame) -> DataFrame:
@@ -50,9 +62,8 @@ def blur_verdicts(frames: DataFrame, distance: float = 0.5, degrees: float = 30.
     from stereoloom.functions.numeric import nearest_rank
     from stereoloom.operators.sampling import capped_rejection
 
-    near = spatial.neighbour_frames(frames, distance, degrees)
-    sharp = frames.select("scan_id", F.col("id").alias("b"), F.col("sharpness").alias("s")).filter("s > 0")
-    facts = near.join(sharp, ["scan_id", "b"]).groupBy("scan_id", F.col("a").alias("id")).agg(F.count("*").alias("peers"), nearest_rank(F.col("s"), 0.75).alias("p75"))
+    near = spatial.neighbour_frames(frames, distance, degrees, ("sharpness",)).filter("b_sharpness > 0")
+    facts = near.groupBy("scan_id", F.col("a").alias("id")).agg(F.count("*").alias("peers"), nearest_rank(F.col("b_sharpness"), 0.75).alias("p75"))
     own = frames.join(facts, ["scan_id", "id"], "left")
     judged = F.coalesce(F.col("peers"), F.lit(0)) >= peers
     blurred = F.when(judged & (F.col("blur") > drop), "drop").when(judged & ((F.col("exposure_blur") > demote) | (F.col("sharpness") < soft * F.col("p75"))), "demote")
@@ -172,8 +183,11 @@ def sources_apart(scores: DataFrame, frames: DataFrame, apart: float = 0.02, mos
     return own.groupBy("scan_id", "a").applyInPandas(pick, own.schema)
 
 
-def _check(df: DataFrame, name: str, value, ok) -> DataFrame:
-    return df.agg(F.lit(name).alias("name"), value.cast("double").alias("value"), ok.alias("ok"))
+def _checks(df: DataFrame, checks: list[tuple]) -> DataFrame:
+    """(name, value, ok) of each (name, aggregate, what it must satisfy), all in one pass over ``df``."""
+    row = df.agg(*[value.cast("double").alias(f"v{i}") for i, (_, value, _) in enumerate(checks)])
+    parts = [F.struct(F.lit(name).alias("name"), F.col(f"v{i}").alias("value"), ok(F.col(f"v{i}")).alias("ok")) for i, (name, _, ok) in enumerate(checks)]
+    return row.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
 
 
 def dataset_checks(frames: DataFrame, jump: float = 0.5) -> DataFrame:
@@ -181,33 +195,21 @@ def dataset_checks(frames: DataFrame, jump: float = 0.5) -> DataFrame:
     from stereoloom.functions.geometry import is_rigid
     from stereoloom.operators.sequence import adjacent_differences
 
-    steps = adjacent_differences(frames)
-    parts = [
-        _check(frames, "frames", F.count("*"), F.count("*") > 0),
-        _check(frames, "missing images", F.count_if(F.col("imageFile").isNull()), F.count_if(F.col("imageFile").isNull()) == 0),
-        _check(frames, "poses not rigid", F.count_if(~is_rigid("pose")), F.count_if(~is_rigid("pose")) == 0),
-        _check(frames, "repeated ids", F.count("*") - F.count_distinct("scan_id", "id"), F.count("*") == F.count_distinct("scan_id", "id")),
-        _check(steps, "time not forward", F.count_if("backwards"), F.count_if("backwards") == 0),
-        _check(steps, "jumps", F.count_if("jump"), F.count_if("jump") == 0),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    none = lambda v: v == 0
+    return _checks(adjacent_differences(frames), [
+        ("frames", F.count("*"), lambda v: v > 0), ("missing images", F.count_if(F.col("imageFile").isNull()), none), ("poses not rigid", F.count_if(~is_rigid("pose")), none),
+        ("repeated ids", F.count("*") - F.count_distinct("scan_id", "id"), none), ("time not forward", F.count_if("backwards"), none), ("jumps", F.count_if("jump"), none),
+    ])
 
 
 def capture_checks(frames: DataFrame, longest: float = 1 / 60 * 1.05, iso: float = 1600, rejected: float = 0.28, blur: float = 10.0, breathing: float = 0.02) -> DataFrame:
     """Check table of capture quality (frames: exposure, iso, blur, verdict, fx)."""
     bad = F.avg((F.col("verdict") != "keep").cast("int"))
     breathe = (F.max("fx") - F.min("fx")) / F.avg("fx")
-    parts = [
-        _check(frames, "longest exposure", F.max("exposure"), F.max("exposure") <= longest), _check(frames, "highest iso", F.max("iso"), F.max("iso") <= iso),
-        _check(frames, "rejected share", bad, bad <= rejected), _check(frames, "mean blur", F.avg("blur"), F.avg("blur") <= blur), _check(frames, "focal breathing", breathe, breathe <= breathing),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _checks(frames, [
+        ("longest exposure", F.max("exposure"), lambda v: v <= longest), ("highest iso", F.max("iso"), lambda v: v <= iso), ("rejected share", bad, lambda v: v <= rejected),
+        ("mean blur", F.avg("blur"), lambda v: v <= blur), ("focal breathing", breathe, lambda v: v <= breathing),
+    ])
 
 
 def scan_accuracy(points: DataFrame, frames: DataFrame, cell: float = 0.05) -> DataFrame:
@@ -345,22 +347,28 @@ def floor_plan(points: DataFrame, cell: float, low: float, high: float, gap: int
     return runs.join(named, ["scan_id", "direction", "line", "first"])
 
 
-def sharpness_replay(frames: DataFrame, decay: float = 0.97, frozen: float = 0.25) -> DataFrame:
-    """Ratio of each frame's sharpness to a peak that decays at 60 Hz steps, in time order; the peak rests while ``severe``.
+def sharpness_replay(frames: DataFrame, decay: float = 0.97, longest: float = 0.25, dark: float = 1e-6) -> DataFrame:
+    """Ratio of each frame's sharpness to a peak that decays at 60 Hz steps, in time order; severe motion stops the decay.
 
-    Ordered fold per scan; the same rule as the streaming operator.
+    The same rule as ``SharpnessReference``, without a fold: with the decay
+    since the start as a running sum s of logarithms, the peak is the running
+    maximum of log(sharpness) + s, less s. Values that are no numbers or below
+    zero give 1 and take no part.
     """
-    row = F.struct("timestamp", "id", "sharpness", "severe")
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("peak"), F.array().cast("array<struct<id:bigint,ratio:double>>").alias("out"))
+    from pyspark.sql import Window
 
-    def step(acc, r):
-        dt = F.least(F.greatest(F.coalesce(r["timestamp"] - acc["t"], F.lit(0.0)), F.lit(0.0)), F.lit(frozen))
-        peak = F.when(r["severe"], acc["peak"]).otherwise(F.greatest(r["sharpness"], acc["peak"] * F.pow(F.lit(decay), 60 * dt)))
-        ratio = F.when(peak > 0, r["sharpness"] / peak).otherwise(F.lit(1.0))
-        return F.struct(r["timestamp"].alias("t"), peak.alias("peak"), F.concat(acc["out"], F.array(F.struct(r["id"].cast("bigint").alias("id"), ratio.alias("ratio")))).alias("out"))
+    from stereoloom.functions.numeric import is_finite
 
-    folded = frames.groupBy("scan_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("f", F.aggregate("rows", zero, step))
-    return folded.select("scan_id", F.explode("f.out").alias("o")).select("scan_id", "o.id", "o.ratio")
+    good = F.coalesce(is_finite(F.col("sharpness")) & (F.col("sharpness") >= 0), F.lit(False))
+    w = Window.partitionBy("scan_id").orderBy("timestamp", "id")
+    since = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.least(F.greatest(F.col("timestamp") - F.lag("timestamp").over(w), F.lit(0.0)), F.lit(longest))
+    fall = F.when(F.col("severe"), 0.0).otherwise(-60 * math.log(decay) * F.coalesce(step, F.lit(0.0)))
+    own = frames.filter(good).withColumn("fall", fall).withColumn("fallen", F.sum("fall").over(since))
+    top = F.max(F.log(F.when(F.col("sharpness") > 0, F.col("sharpness"))) + F.col("fallen")).over(since)
+    own = own.withColumn("peak", F.coalesce(F.exp(top - F.col("fallen")), F.lit(0.0)))
+    ratio = F.when(F.col("peak") > dark, F.least(F.col("sharpness") / F.col("peak"), F.lit(1.0))).otherwise(1.0)
+    return own.select("scan_id", F.col("id").cast("long").alias("id"), ratio.alias("ratio")).unionAll(frames.filter(~good).select("scan_id", F.col("id").cast("long"), F.lit(1.0)))
 
 
 def desktop_points(samples: DataFrame, views: DataFrame, size: float, most: int, confidence: int = 2, near: float = 0.15, far: float = 6.0) -> DataFrame:

@@ -262,35 +262,57 @@ def a42(spark, sf):
     return metrics.diversity_bands(own, ["region"], 5.0).select("region", "band")
 
 
-@query("a44_extrapolation", None)
+@query("a44_extrapolation", f"""WITH {FR}, h AS (SELECT *, (row_number() OVER (PARTITION BY scan_id ORDER BY id) - 1) % 8 = 4 AS holdout FROM frames),
+ p AS (SELECT a.scan_id, a.id, b.id AS nearest, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM h a JOIN h b ON a.scan_id = b.scan_id AND a.holdout AND NOT b.holdout), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, id ORDER BY d, nearest) AS n FROM p)
+ SELECT scan_id, id, nearest, round(d,6) AS d FROM r WHERE n = 1""")
 def a44(spark, sf):
-    own = ad.frames(spark, sf).filter("scan_id < 20")
-    return metrics.extrapolation(sequence.holdout_every(own, 8), start=1.0, rings=5).select("scan_id", "id", "nearest", r6(F.col("d")).alias("d"))
+    own = ad.frames(spark, sf)
+    return metrics.extrapolation(sequence.holdout_every(own, 8), start=1.0).select("scan_id", "id", "nearest", r6(F.col("d")).alias("d"))
 
 
-@query("a32_cell_energy", None)
+#: Byte images and their gradients: one-sided at the rim, central inside.
+BYTES = f"""{PIX}, px AS (SELECT frame_id, u, v, CAST(trunc(least(greatest(luma, 0), 255)) AS DOUBLE) AS l FROM pix),
+ gr AS (SELECT frame_id, u, v, l, CASE WHEN u = 0 THEN lead(l) OVER a - l WHEN u = 7 THEN l - lag(l) OVER a ELSE (lead(l) OVER a - lag(l) OVER a)/2 END AS gx, CASE WHEN v = 0 THEN lead(l) OVER d - l WHEN v = 7 THEN l - lag(l) OVER d ELSE (lead(l) OVER d - lag(l) OVER d)/2 END AS gy
+ FROM px WINDOW a AS (PARTITION BY frame_id, v ORDER BY u), d AS (PARTITION BY frame_id, u ORDER BY v))"""
+ENERGY = f"""{BYTES}, s3 AS (SELECT frame_id, u, v, l, lag(l) OVER a + lead(l) OVER a - 2*l AS across FROM px WINDOW a AS (PARTITION BY frame_id, v ORDER BY u)),
+ lap AS (SELECT frame_id, u, v, lag(across) OVER d + lead(across) OVER d - 2*across AS x FROM s3 WINDOW d AS (PARTITION BY frame_id, u ORDER BY v)),
+ sg AS (SELECT frame_id, sqrt(pi()/2)/6*avg(abs(x)) AS sigma FROM lap WHERE x IS NOT NULL GROUP BY frame_id),
+ ce AS (SELECT frame_id, v // 4 AS i, u // 4 AS j, avg(l) AS mean, avg(gx*gx+gy*gy) AS raw, avg(CASE WHEN l >= 250 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS clipped FROM gr GROUP BY frame_id, v // 4, u // 4),
+ energy AS (SELECT frame_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN clipped > 0.1::DOUBLE OR mean < 16 THEN 0 ELSE greatest(0, raw - sigma*sigma)/(greatest(mean, 1)*greatest(mean, 1)) END AS energy FROM ce JOIN sg USING (frame_id))"""
+CORNER = f"""{BYTES}, o AS (SELECT unnest([-1, 0, 1]) AS o), bx AS (SELECT g.frame_id, g.u, g.v, sum(n.gx*n.gx)/65025 AS a, sum(n.gx*n.gy)/65025 AS b, sum(n.gy*n.gy)/65025 AS c
+ FROM gr g, o du, o dv JOIN gr n ON n.frame_id = g.frame_id AND n.u = least(greatest(g.u + du.o, 0), 7) AND n.v = least(greatest(g.v + dv.o, 0), 7) WHERE g.u % 2 = 0 AND g.v % 2 = 0 GROUP BY g.frame_id, g.u, g.v),
+ corner AS (SELECT frame_id, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, (a+c)/2 - sqrt((a-c)/2*(a-c)/2 + b*b) AS response FROM bx)"""
+
+
+@query("a32_cell_energy", f"WITH {ENERGY} SELECT frame_id, i, j, round(energy,6) AS energy FROM energy")
 def a32(spark, sf):
     return raster.cell_energies(luma(spark, sf), 4).withColumn("energy", r6(F.col("energy")))
 
 
-@query("a39_corner_response", None)
+@query("a39_corner_response", f"WITH {CORNER} SELECT frame_id, u, v, round(response,6) AS response FROM corner")
 def a39(spark, sf):
     return raster.corner_responses(luma(spark, sf)).withColumn("response", r6(F.col("response")))
 
 
-@query("k18_non_maximum", None)
+@query("k18_non_maximum", f"""WITH {CORNER}, pk AS (SELECT p.* FROM corner p WHERE response >= 1e-6::DOUBLE AND NOT EXISTS (SELECT 1 FROM corner q WHERE q.frame_id = p.frame_id AND abs(q.u-p.u) <= 2 AND abs(q.v-p.v) <= 2 AND q.response > p.response)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY response DESC, v, u) AS n FROM pk) SELECT frame_id, u, v, round(response,6) AS response FROM r WHERE n <= 5""")
 def k18(spark, sf):
     return raster.suppressed(raster.corner_responses(luma(spark, sf)), 1e-6, 1.5, 5).withColumn("response", r6(F.col("response")))
 
 
-def luma(spark, sf):
-    rows = pixels(spark, sf).select("frame_id", (F.col("v") * 8 + F.col("u")).alias("i"), F.least(F.greatest(F.col("luma"), F.lit(0.0)), F.lit(255.0)).cast("int").alias("b"))
+def luma(spark, sf, shift: bool = False):
+    """Eight by eight luma bytes of each vector; with ``shift`` all one pixel to the right."""
+    own = pixels(spark, sf)
+    if shift:
+        to = F.when(F.col("u") == 0, F.array(F.lit(0), F.lit(1))).when(F.col("u") < 7, F.array(F.col("u") + 1)).otherwise(F.array().cast("array<int>"))
+        own = own.withColumn("u", F.explode(to))
+    rows = own.select("frame_id", (F.col("v") * 8 + F.col("u")).alias("i"), F.least(F.greatest(F.col("luma"), F.lit(0.0)), F.lit(255.0)).cast("int").alias("b"))
     joined = rows.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda s: F.lpad(F.hex(s["b"]), 2, "0")), "").alias("h"))
     return joined.select("frame_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex("h").alias("luma"))
 
 
-@query("f3_depth_acceptance", f"""WITH {PIX}, n AS (SELECT p.frame_id, p.u, p.v FROM pix p JOIN pix l ON l.frame_id=p.frame_id AND l.v=p.v AND l.u=p.u-1 JOIN pix r ON r.frame_id=p.frame_id AND r.v=p.v AND r.u=p.u+1 JOIN pix t ON t.frame_id=p.frame_id AND t.u=p.u AND t.v=p.v-1 JOIN pix b ON b.frame_id=p.frame_id AND b.u=p.u AND b.v=p.v+1
- WHERE p.z > 0.15::DOUBLE AND p.z < 5 AND abs(l.z-p.z) <= 0.2::DOUBLE*p.z AND abs(r.z-p.z) <= 0.2::DOUBLE*p.z AND abs(t.z-p.z) <= 0.2::DOUBLE*p.z AND abs(b.z-p.z) <= 0.2::DOUBLE*p.z) SELECT frame_id, u, v FROM n""")
+@query("f3_depth_acceptance", f"""WITH {PIX}, n AS (SELECT *, lag(z) OVER across AS l, lead(z) OVER across AS r, lag(z) OVER down AS t, lead(z) OVER down AS b FROM pix WINDOW across AS (PARTITION BY frame_id, v ORDER BY u), down AS (PARTITION BY frame_id, u ORDER BY v))
+ SELECT frame_id, u, v FROM n WHERE z > 0.15::DOUBLE AND z < 5 AND abs(l-z) <= 0.2::DOUBLE*z AND abs(r-z) <= 0.2::DOUBLE*z AND abs(t-z) <= 0.2::DOUBLE*z AND abs(b-z) <= 0.2::DOUBLE*z""")
 def f3(spark, sf):
     """With every sample confident and no limit on the slope; slopes and weights have a NumPy oracle in the tests."""
     from stereoloom.functions.geometry import Camera
@@ -307,11 +329,12 @@ def f13(spark, sf):
     return raster.textured(own, ["frame_id"], one_way=0.3).select("frame_id")
 
 
-@query("cc1_run_components", f"""WITH RECURSIVE {CELLS2}, s AS (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY scan_id, i ORDER BY j) > 1 THEN 1 ELSE 0 END AS st FROM c2 WHERE scan_id = '0'), g AS (SELECT *, sum(st) OVER (PARTITION BY i ORDER BY j) AS run FROM s), runs AS (SELECT i AS line, min(j) AS f, max(j) AS l, i*1000 + min(j) AS id FROM g GROUP BY i, run),
+@query("cc1_run_components", f"""WITH RECURSIVE {CELLS2}, s AS (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY scan_id, i ORDER BY j) > 1 THEN 1 ELSE 0 END AS st FROM c2), g AS (SELECT *, sum(st) OVER (PARTITION BY scan_id, i ORDER BY j) AS run FROM s), runs AS (SELECT CAST(scan_id AS BIGINT)*10000 + i AS line, min(j) AS f, max(j) AS l, (CAST(scan_id AS BIGINT)*10000 + i)*1000 + min(j) AS id FROM g GROUP BY scan_id, i, run),
  e AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON abs(a.line-b.line) <= 1 AND a.f <= b.l + 2 AND b.f <= a.l + 2), reach AS (SELECT id, id AS root FROM runs UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id) SELECT id AS node, min(root) AS component FROM reach GROUP BY id""")
 def cc1(spark, sf):
-    own = sequence.runs(cells2(spark, sf).filter("scan_id = '0'"), "i", "j", gap=0)
-    return graph.run_components(own.select((F.col("i") * 1000 + F.col("first")).alias("id"), F.col("i").alias("line"), "first", "last"))
+    """Each scan's lines have numbers of their own, ten thousand apart."""
+    own = sequence.runs(cells2(spark, sf), "i", "j", gap=0).withColumn("line", F.col("scan_id").cast("long") * 10_000 + F.col("i"))
+    return graph.run_components(own.select((F.col("line") * 1000 + F.col("first")).alias("id"), "line", "first", "last"))
 
 
 @query("w8_pose_continuity", f"WITH {STEP}, t AS (SELECT scan_id, id, dt/1000000 AS dt, step FROM st) SELECT scan_id, id, coalesce(dt > 0 AND dt <= 0.25::DOUBLE AND step <= greatest(0.08::DOUBLE, 3*dt), false) AS continuous FROM t")
@@ -345,7 +368,10 @@ def c22(spark, sf):
     return pl.capture_checks(own).select("name", r6(F.col("value")).alias("value"))
 
 
-@query("c29_sharpness_replay", None)
+@query("c29_sharpness_replay", f"""WITH RECURSIVE {FR}, ev AS (SELECT scan_id, id, timestamp AS t, abs(dx) AS sharp, kind = 'error' AS severe, row_number() OVER (PARTITION BY scan_id ORDER BY timestamp, id) AS n FROM frames),
+ s AS (SELECT scan_id, n, id, t, sharp AS peak, sharp FROM ev WHERE n = 1
+ UNION ALL SELECT e.scan_id, e.n, e.id, e.t, greatest(e.sharp, s.peak * CASE WHEN e.severe THEN 1 ELSE pow(0.97::DOUBLE, 60*greatest(0, least(0.25::DOUBLE, e.t - s.t))) END), e.sharp FROM s JOIN ev e ON e.scan_id = s.scan_id AND e.n = s.n + 1)
+ SELECT scan_id, id, round(CASE WHEN peak > 1e-6::DOUBLE THEN sharp/peak ELSE 1 END, 6) AS ratio FROM s""")
 def c29(spark, sf):
     own = ad.frames(spark, sf).withColumns({"sharpness": F.abs("dx"), "severe": F.col("kind") == "error"})
     return pl.sharpness_replay(own).withColumn("ratio", r6(F.col("ratio")))

@@ -99,21 +99,21 @@ def a5(spark, sf):
     return fusion.reduce_to(cells, VOXEL, 100, rounds=0)[0].select("scan_id", "key", "samples")
 
 
-@query("a6_tiled_fusion", f"""WITH {P}, tiles AS (SELECT vec_id AS tile_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy, CAST(embedding[3] AS DOUBLE) AS oz FROM embeddings WHERE vec_id < 20),
+@query("a6_tiled_fusion", f"""WITH {P}, tiles AS (SELECT vec_id AS tile_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy, CAST(embedding[3] AS DOUBLE) AS oz FROM embeddings),
  c AS (SELECT p.scan_id, p.ordinal, p.x, p.y, p.z, p.score, t.tile_id, t.ox, t.oy, t.oz, row_number() OVER (PARTITION BY p.ordinal ORDER BY (p.x-ox)*(p.x-ox)+(p.y-oy)*(p.y-oy)+(p.z-oz)*(p.z-oz), tile_id) AS rn
  FROM points p JOIN tiles t ON abs(p.x-ox) <= 0.15::DOUBLE AND abs(p.y-oy) <= 0.15::DOUBLE AND abs(p.z-oz) <= 0.15::DOUBLE)
  SELECT scan_id, tile_id, CAST(count(*) AS BIGINT) AS samples FROM c WHERE rn = 1 GROUP BY scan_id, tile_id""")
 def a6(spark, sf):
-    tiles = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 20").select(F.col("vec_id").alias("tile_id"), *[F.col("embedding")[i].cast("double").alias(f"o{c}") for i, c in enumerate("xyz")])
+    tiles = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("tile_id"), *[F.col("embedding")[i].cast("double").alias(f"o{c}") for i, c in enumerate("xyz")])
     cells = fusion.fuse_tiled(plain(spark, sf), tiles, 0.05, edge=0.3)
     return cells.filter("tile_id >= 0").groupBy("scan_id", "tile_id").agg(F.sum("samples").alias("samples"))
 
 
-@query("j7_tile_containment", f"""WITH {P}, tiles AS (SELECT vec_id AS tile_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy, CAST(embedding[3] AS DOUBLE) AS oz FROM embeddings WHERE vec_id < 20),
+@query("j7_tile_containment", f"""WITH {P}, tiles AS (SELECT vec_id AS tile_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy, CAST(embedding[3] AS DOUBLE) AS oz FROM embeddings),
  c AS (SELECT p.ordinal, t.tile_id, row_number() OVER (PARTITION BY p.ordinal ORDER BY (x-ox)*(x-ox)+(y-oy)*(y-oy)+(z-oz)*(z-oz), tile_id) AS rn FROM points p JOIN tiles t ON abs(x-ox) <= 0.15::DOUBLE AND abs(y-oy) <= 0.15::DOUBLE AND abs(z-oz) <= 0.15::DOUBLE)
  SELECT p.ordinal, c.tile_id FROM points p LEFT JOIN c ON c.ordinal = p.ordinal AND c.rn = 1""")
 def j7(spark, sf):
-    tiles = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 20").select(F.col("vec_id").alias("tile_id"), *[F.col("embedding")[i].cast("double").alias(f"o{c}") for i, c in enumerate("xyz")])
+    tiles = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("tile_id"), *[F.col("embedding")[i].cast("double").alias(f"o{c}") for i, c in enumerate("xyz")])
     return fusion.tile_of(ad.points(spark, sf), tiles, edge=0.3).select("ordinal", "tile_id")
 
 
@@ -186,7 +186,9 @@ def k6(spark, sf):
     return sampling.thin_proportionally(ad.points(spark, sf), 70, ["ordinal"]).select("ordinal")
 
 
-@query("k7_interval_hash_sample", None)
+@query("k7_interval_hash_sample", f"""WITH {KEYED}, u AS (SELECT DISTINCT key, xor(xor(key, key >> 21), key >> 42) & 15 AS shard FROM keyed), {ad.split_mix_sql('u', 'key')},
+ n AS (SELECT key, shard, h, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n, count(*) OVER () AS total FROM mixed), s AS (SELECT *, (i * greatest(1, n*100 // total)) // n AS slot FROM n),
+ r AS (SELECT *, row_number() OVER (PARTITION BY shard, slot ORDER BY h, key) AS best FROM s) SELECT key FROM r WHERE best = 1 OR total <= 100""")
 def k7(spark, sf):
     cells = fusion.fuse(plain(spark, sf), VOXEL).select("key").distinct()
     return sampling.interval_hash_sample(cells, 100)
@@ -238,7 +240,7 @@ def j1(spark, sf):
 @query("j2_nearest_neighbours", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM pairs WHERE a <> b) SELECT scan_id, a, b, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2")
 def j2(spark, sf):
     p = ad.points(spark, sf)
-    return spatial.nearest(p, p, 2, 0.1, rings=6, same_table=True).select("scan_id", "a", "b", r6(F.col("d")).alias("d"), F.col("rank").cast("int").alias("rank"))
+    return spatial.nearest(p, p, 2, 0.1, same_table=True).select("scan_id", "a", "b", r6(F.col("d")).alias("d"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("j16_supplement", f"""WITH {KEYED}, dense AS (SELECT scan_id, {UNPACK} FROM keyed WHERE measured), sparse AS (SELECT scan_id, ordinal, {UNPACK} FROM keyed WHERE NOT measured)
@@ -260,7 +262,17 @@ def cc2(spark, sf):
     return graph.cell_components(fusion.fuse(plain(spark, sf), VOXEL))
 
 
-@query("g2_kmeans", None)
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds written out: centres from the first distinct points, then means of those nearest."""
+    parts = [f"c0 AS (SELECT row_number() OVER (ORDER BY f) - 1 AS i, x, y, z FROM (SELECT x, y, z, min(ordinal) AS f FROM points GROUP BY x, y, z ORDER BY f LIMIT {k}))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT p.ordinal, p.x, p.y, p.z, c.i FROM points p, c{r} c QUALIFY row_number() OVER (PARTITION BY p.ordinal ORDER BY (p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z), c.i) = 1)")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS (SELECT c.i, coalesce(avg(a.x), any_value(c.x)) AS x, coalesce(avg(a.y), any_value(c.y)) AS y, coalesce(avg(a.z), any_value(c.z)) AS z FROM c{r} c LEFT JOIN a{r} a ON a.i = c.i GROUP BY c.i)")
+    return f"WITH {P}, {', '.join(parts)} SELECT ordinal AS row, CAST(i AS INT) AS cluster FROM a{rounds}"
+
+
+@query("g2_kmeans", _kmeans_sql(8, 3))
 def g2(spark, sf):
     rows, _ = graph.kmeans(ad.points(spark, sf).withColumnRenamed("ordinal", "row"), 8, 3, ["x", "y", "z"])
     return rows.select("row", "cluster")

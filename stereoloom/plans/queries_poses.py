@@ -134,7 +134,7 @@ def p27(spark, sf):
     return ad.poses(spark, sf).select("id", r6(cp.sigmoid("a")).alias("s"), r6(cp.logit(cp.sigmoid("a"))).alias("back"), r6(F.exp("b")).alias("scale"))
 
 
-@query("p28_hash_rank", None)
+@query("p28_hash_rank", f"WITH {Q}, {ad.split_mix_sql('poses', 'id')} SELECT id, CAST(CASE WHEN h >= 9223372036854775808::UBIGINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END AS BIGINT) AS rank FROM mixed")
 def p28(spark, sf):
     return ad.poses(spark, sf).select("id", cp.hash_rank("id").alias("rank"))
 

@@ -8,7 +8,7 @@ from stereoloom.functions import geometry as g
 from stereoloom.operators import fusion, graph, kernels, raster, spatial, splats
 from stereoloom.plans import adapters as ad
 from stereoloom.plans import pipelines as pl
-from stereoloom.plans.queries_frames import NB, PIX, luma, pixels
+from stereoloom.plans.queries_frames import ENERGY, NB, PIX, luma, pixels
 from stereoloom.plans.registry import query, r6
 from stereoloom.sources import colmap, scans
 
@@ -26,16 +26,17 @@ def oriented(spark, sf):
 
 
 def lookups(spark, sf):
-    """Points before an eight by eight depth image of one vector's frame, as every view sees them."""
+    """Points before eight by eight depth images, each as the five frames from its own number on see it."""
+    n = max(spark.read.parquet(f"{sf}/embeddings.parquet").count(), 1)
     k = F.struct(F.lit(8.0).alias("fx"), F.lit(8.0).alias("fy"), F.lit(3.5).alias("cx"), F.lit(3.5).alias("cy"), F.lit(7).alias("width"), F.lit(7).alias("height"))
-    views = spark.range(5).select(F.lit("s").alias("scan_id"), F.col("id").cast("int").alias("view_id"), F.array(*[F.lit(v) for v in IDENTITY]).alias("pose"), k.alias("intrinsics"))
+    views = spark.range(n).select(F.lit("s").alias("scan_id"), F.col("id").cast("int").alias("view_id"), F.array(*[F.lit(v) for v in IDENTITY]).alias("pose"), k.alias("intrinsics"))
     p = ad.points(spark, sf).select(F.lit("s").alias("scan_id"), "ordinal", "x", "y", (-1 + F.col("z")).alias("z"))
-    asked = p.withColumn("view_id", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-    samples = pixels(spark, sf).filter("frame_id < 5").withColumn("frame_id", F.col("frame_id").cast("int"))
+    asked = p.withColumn("view_id", F.explode(F.array(*[((F.col("ordinal") + i) % n).cast("int") for i in range(5)])))
+    samples = pixels(spark, sf).withColumn("frame_id", F.col("frame_id").cast("int"))
     return p, raster.raster_lookup(asked, views, samples)
 
 
-LOOK = f"""{P}, {PIX}, ask AS (SELECT ordinal, view_id, x, y, -1+z AS z, 8*x/(1-z)+3.5::DOUBLE AS u, 3.5::DOUBLE-8*y/(1-z) AS v FROM points, (SELECT unnest(range(5)) AS view_id) w), seen AS (SELECT *, floor(u) AS iu, floor(v) AS iv FROM ask WHERE z < 0 AND u >= 0 AND v >= 0 AND u < 7 AND v < 7),
+LOOK = f"""{P}, {PIX}, ask AS (SELECT ordinal, (ordinal + view) % (SELECT count(*) FROM embeddings) AS view_id, x, y, -1+z AS z, 8*x/(1-z)+3.5::DOUBLE AS u, 3.5::DOUBLE-8*y/(1-z) AS v FROM points, (SELECT unnest(range(5)) AS view) w), seen AS (SELECT *, floor(u) AS iu, floor(v) AS iv FROM ask WHERE z < 0 AND u >= 0 AND v >= 0 AND u < 7 AND v < 7),
  m AS (SELECT s.ordinal, s.view_id, s.z, count(*) AS n, sum(p.z * CASE WHEN p.u = iu THEN 1-(s.u-iu) ELSE s.u-iu END * CASE WHEN p.v = iv THEN 1-(s.v-iv) ELSE s.v-iv END) AS d FROM seen s JOIN pix p ON p.frame_id = s.view_id AND p.u BETWEEN iu AND iu+1 AND p.v BETWEEN iv AND iv+1 GROUP BY s.ordinal, s.view_id, s.z),
  look AS (SELECT a.ordinal, a.view_id, m.d + a.z AS residual, CASE WHEN coalesce(n,0) < 4 THEN 'unobserved' WHEN abs(d + a.z) <= 0.015::DOUBLE + 0.005::DOUBLE * -a.z THEN 'supported' WHEN d + a.z < 0 THEN 'occluded' ELSE 'contradicted' END AS state FROM ask a LEFT JOIN m ON m.ordinal = a.ordinal AND m.view_id = a.view_id)"""
 
@@ -75,12 +76,23 @@ def f12(spark, sf):
     return raster.feature_depths(features, own, 0.5).select("frame_id", r6(F.col("depth")).alias("depth"))
 
 
-@query("a9_tsdf_integration", None)
+#: Signed distances: cells that each sample touches on its normal, the first sample of a cell and frame, and a running mean in frame order.
+TSDF = f"""{P}, k AS (SELECT unnest(range(-6, 7)) AS k), un AS (SELECT *, x/sqrt(x*x+y*y+z*z) AS nx, y/sqrt(x*x+y*y+z*z) AS ny, z/sqrt(x*x+y*y+z*z) AS nz FROM points),
+ mv AS (SELECT *, x + nx*k*0.05::DOUBLE AS px, y + ny*k*0.05::DOUBLE AS py, z + nz*k*0.05::DOUBLE AS pz FROM un, k),
+ cl AS (SELECT *, {ad.cell_sql('px', 0.1)} AS ci, {ad.cell_sql('py', 0.1)} AS cj, {ad.cell_sql('pz', 0.1)} AS ck FROM mv),
+ up AS (SELECT *, {ad.key_sql('ci', 'cj', 'ck')} AS key, row_number() OVER (PARTITION BY scan_id, frame_id, ci, cj, ck ORDER BY ordinal, k) AS first FROM cl),
+ sd AS (SELECT scan_id, frame_id, key, ci, cj, ck, (((ci+0.5::DOUBLE)*0.1::DOUBLE - x)*nx + ((cj+0.5::DOUBLE)*0.1::DOUBLE - y)*ny + ((ck+0.5::DOUBLE)*0.1::DOUBLE - z)*nz)/0.3::DOUBLE AS sdf, greatest(score, 0.01::DOUBLE) AS w, row_number() OVER (PARTITION BY scan_id, key ORDER BY frame_id) AS n FROM up WHERE first = 1),
+ fold AS (SELECT scan_id, key, ci, cj, ck, n, sdf AS d, w FROM sd WHERE n = 1 UNION ALL SELECT s.scan_id, s.key, s.ci, s.cj, s.ck, s.n, (f.d*least(f.w, 24) + s.sdf*s.w)/(least(f.w, 24) + s.w), least(f.w, 24) + s.w FROM fold f JOIN sd s ON s.scan_id = f.scan_id AND s.key = f.key AND s.n = f.n + 1),
+ tsdf AS (SELECT scan_id, key, ci, cj, ck, n AS views, d AS sdf FROM fold QUALIFY row_number() OVER (PARTITION BY scan_id, key ORDER BY n DESC) = 1)"""
+
+
+@query("a9_tsdf_integration", f"WITH RECURSIVE {TSDF} SELECT scan_id, key, views, round(sdf,6) AS sdf FROM tsdf")
 def a9(spark, sf):
     return fusion.tsdf_integrate(oriented(spark, sf), 0.1).select("scan_id", "key", "views", r6(F.col("sdf")).alias("sdf"))
 
 
-@query("j22_tsdf_edges", None)
+@query("j22_tsdf_edges", f"""WITH RECURSIVE {TSDF}, ax AS (SELECT unnest([0, 1, 2]) AS axis), e AS (SELECT a.*, axis, b.sdf AS other FROM tsdf a, ax JOIN tsdf b ON b.scan_id = a.scan_id AND b.ci = a.ci + CAST(axis = 0 AS INT) AND b.cj = a.cj + CAST(axis = 1 AS INT) AND b.ck = a.ck + CAST(axis = 2 AS INT) WHERE a.sdf*b.sdf < 0)
+ SELECT scan_id, key, axis, round((ci+0.5::DOUBLE)*0.1::DOUBLE + CASE WHEN axis = 0 THEN sdf/(sdf-other)*0.1::DOUBLE ELSE 0 END,6) AS x FROM e""")
 def j22(spark, sf):
     return fusion.tsdf_crossings(fusion.tsdf_integrate(oriented(spark, sf), 0.1), 0.1, 1).select("scan_id", "key", "axis", r6(F.col("x")).alias("x"))
 
@@ -100,13 +112,21 @@ def c5(spark, sf):
     return pl.refusion(own, poses, 0.1).select("scan_id", "far", "key", "samples")
 
 
-@query("c8_far_coverage", None)
+#: Far points for which near points lie in all four quadrants of the tangent plane.
+COVERED = f"""{P}, un AS (SELECT *, x/sqrt(x*x+y*y+z*z) AS nx, y/sqrt(x*x+y*y+z*z) AS ny, z/sqrt(x*x+y*y+z*z) AS nz FROM points),
+ fa AS (SELECT *, CASE WHEN abs(nx) < 0.9::DOUBLE THEN 0 ELSE -nz END AS t0, CASE WHEN abs(nx) < 0.9::DOUBLE THEN nz ELSE 0 END AS t1, CASE WHEN abs(nx) < 0.9::DOUBLE THEN -ny ELSE nx END AS t2 FROM un WHERE far),
+ fr AS (SELECT *, ny*t2 - nz*t1 AS b0, nz*t0 - nx*t2 AS b1, nx*t1 - ny*t0 AS b2 FROM fa),
+ pr AS (SELECT a.scan_id, a.ordinal, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) AS d, a.nx*b.nx+a.ny*b.ny+a.nz*b.nz AS cos, ((b.x-a.x)*t0+(b.y-a.y)*t1+(b.z-a.z)*t2 >= 0) AS qa, ((b.x-a.x)*b0+(b.y-a.y)*b1+(b.z-a.z)*b2 >= 0) AS qb FROM fr a JOIN un b ON a.scan_id = b.scan_id AND NOT b.far)"""
+
+
+@query("c8_far_coverage", f"""WITH {COVERED}, cv AS (SELECT scan_id, ordinal FROM pr WHERE d <= 0.15::DOUBLE AND cos >= 0.94::DOUBLE GROUP BY scan_id, ordinal HAVING count(DISTINCT (qa, qb)) = 4 AND min(d) <= 0.035::DOUBLE)
+ SELECT scan_id, ordinal FROM points p WHERE far AND NOT EXISTS (SELECT 1 FROM cv WHERE cv.scan_id = p.scan_id AND cv.ordinal = p.ordinal)""")
 def c8(spark, sf):
     p = oriented(spark, sf)
     return pl.far_coverage(p.filter("far"), p.filter("not far")).select("scan_id", "ordinal")
 
 
-@query("j18_covered_by", None)
+@query("j18_covered_by", f"WITH {COVERED} SELECT scan_id, ordinal FROM pr WHERE d <= 0.4::DOUBLE AND cos >= -1 GROUP BY scan_id, ordinal HAVING count(DISTINCT (qa, qb)) = 4 AND min(d) <= 0.3::DOUBLE")
 def j18(spark, sf):
     p = oriented(spark, sf)
     return spatial.covered_by(p.filter("far"), p.filter("not far"), radius=0.4, closest=0.3, alike=-1.0)
@@ -142,16 +162,23 @@ def j11(spark, sf):
     return kernels.plane_warp_match(templates.withColumn("patch", F.substring("window", 1, 16)), reach=2, least=-1.0).withColumn("ncc", r6(F.col("ncc")))
 
 
-@query("j14_covisible_cells", None)
+DIFFER = f"{ENERGY}, df AS (SELECT a.frame_id, b.frame_id AS peer_id, ln(a.energy) - ln(b.energy) AS difference FROM energy a JOIN energy b ON b.frame_id = a.frame_id + 1 AND a.i = b.i AND a.j = b.j AND a.energy > 0 AND b.energy > 0)"
+
+
+@query("j14_covisible_cells", f"WITH {DIFFER} SELECT frame_id, peer_id, round(difference,6) AS difference FROM df")
 def j14(spark, sf):
+    return covisible(spark, sf).withColumn("difference", r6(F.col("difference")))
+
+
+def covisible(spark, sf):
     cells = raster.cell_energies(luma(spark, sf), 4)
-    targets = cells.filter("frame_id < 100").select("frame_id", "i", "j", (F.col("frame_id") + 1).alias("peer_id"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.lit(1.0).alias("depth"), F.lit(1.0).alias("peer_depth"), F.lit(1.0).alias("scale"))
-    return raster.covisible_differences(cells, targets).withColumn("difference", r6(F.col("difference")))
+    targets = cells.select("frame_id", "i", "j", (F.col("frame_id") + 1).alias("peer_id"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.lit(1.0).alias("depth"), F.lit(1.0).alias("peer_depth"), F.lit(1.0).alias("scale"))
+    return raster.covisible_differences(cells, targets)
 
 
-@query("c19_covisible_sharpness", None)
+@query("c19_covisible_sharpness", f"WITH {DIFFER}, pr AS (SELECT frame_id, list_sort(list(-difference)) AS s FROM df GROUP BY frame_id) SELECT frame_id, 1 AS peers, round(greatest(0.2::DOUBLE, exp(-greatest(s[len(s)//2+1], 0))),6) AS weight FROM pr")
 def c19(spark, sf):
-    return raster.covisible_weights(j14(spark, sf)).select("frame_id", "peers", r6(F.col("weight")).alias("weight"))
+    return raster.covisible_weights(covisible(spark, sf)).select("frame_id", "peers", r6(F.col("weight")).alias("weight"))
 
 
 @query("j20_room_labels", f"WITH {Q}, r AS (SELECT id, CASE WHEN abs(a) < 0.05::DOUBLE AND abs(b) < 0.05::DOUBLE THEN 'inner' WHEN abs(a) < 0.2::DOUBLE AND abs(b) < 0.2::DOUBLE THEN 'outer' END AS label FROM poses) SELECT id, label FROM r")
@@ -164,12 +191,12 @@ def j20(spark, sf):
     return smallest_room(pts, rooms).select("id", "label")
 
 
-@query("j23_depth_cross_check", f"WITH {PIX}, m AS (SELECT a.u, a.v, a.z AS depth, b.z AS other FROM pix a JOIN pix b ON a.u = b.u AND a.v = b.v AND a.frame_id = 0 AND b.frame_id BETWEEN 1 AND 60), c AS (SELECT u, v, depth, count(*) AS n, sum(other) AS s FROM m WHERE abs(other-depth) <= 0.01::DOUBLE*depth GROUP BY u, v, depth) SELECT u, v, n, round((s+depth)/(n+1),6) AS depth FROM c WHERE n >= 2")
+@query("j23_depth_cross_check", f"WITH {PIX}, m AS (SELECT a.frame_id, a.u, a.v, a.z AS depth, b.z AS other FROM pix a JOIN pix b ON a.u = b.u AND a.v = b.v AND b.frame_id BETWEEN a.frame_id + 1 AND a.frame_id + 20), c AS (SELECT frame_id, u, v, depth, count(*) AS n, sum(other) AS s FROM m WHERE abs(other-depth) <= 0.01::DOUBLE*depth GROUP BY frame_id, u, v, depth) SELECT frame_id, u, v, n, round((s+depth)/(n+1),6) AS depth FROM c WHERE n >= 2")
 def j23(spark, sf):
     p = pixels(spark, sf)
-    other = p.filter("frame_id between 1 and 60").select("u", "v", F.col("z").alias("other_depth"))
-    m = p.filter("frame_id = 0").select("u", "v", F.col("z").alias("depth")).join(other, ["u", "v"]).withColumn("reprojection_error", F.lit(1.0))
-    return raster.cross_checked(m, ["u", "v"]).withColumn("depth", r6(F.col("depth")))
+    other = p.select("u", "v", F.col("z").alias("other_depth"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.col("frame_id") - i)).alias("frame_id"))
+    m = p.select("frame_id", "u", "v", F.col("z").alias("depth")).join(other, ["frame_id", "u", "v"]).withColumn("reprojection_error", F.lit(1.0))
+    return raster.cross_checked(m, ["frame_id", "u", "v"]).withColumn("depth", r6(F.col("depth")))
 
 
 @query("c9_feature_tracks", None)
@@ -181,17 +208,18 @@ def c9(spark, sf):
 
 @query("c10_bundle_adjustment", None)
 def c10(spark, sf):
-    pts = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 60").select(F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"), (F.col("embedding")[2].cast("double") - 2).alias("pz"))
+    pts = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.expr("vec_id div 60").alias("scan_id"), F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"), (F.col("embedding")[2].cast("double") - 2).alias("pz"))
     seen = pts.withColumn("frame_id", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     x = F.col("px") + F.col("frame_id") * 0.1
-    obs = seen.select(F.lit("s").alias("scan_id"), F.col("frame_id").cast("long").alias("frame_id"), "track_id", (300 * x / -F.col("pz") + 160).alias("u"), (120 - 300 * F.col("py") / -F.col("pz")).alias("v"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("frame_id") * 0.12, F.lit(0.0), F.lit(0.0)).alias("pose"), "px", "py", "pz", F.lit(300.0).alias("fx"), F.lit(300.0).alias("fy"), F.lit(160.0).alias("cx"), F.lit(120.0).alias("cy"))
-    return kernels.bundle_adjustment(obs).select("frame_id", "accepted", F.round(F.col("pose")[3], 4).alias("tx"))
+    obs = seen.select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), "track_id", (300 * x / -F.col("pz") + 160).alias("u"), (120 - 300 * F.col("py") / -F.col("pz")).alias("v"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("frame_id") * 0.12, F.lit(0.0), F.lit(0.0)).alias("pose"), "px", "py", "pz", F.lit(300.0).alias("fx"), F.lit(300.0).alias("fy"), F.lit(160.0).alias("cx"), F.lit(120.0).alias("cy"))
+    return kernels.bundle_adjustment(obs).select("scan_id", "frame_id", "accepted", F.round(F.col("pose")[3], 4).alias("tx"))
 
 
 @query("c16_camera_tracking", None)
 def c16(spark, sf):
-    own = luma(spark, sf)
-    pairs = own.filter("frame_id < 50").select(F.col("frame_id").alias("pair_id"), "width", "height", F.col("luma").alias("luma_a"), F.col("luma").alias("luma_b"), F.array(F.struct(F.lit(0).cast("long").alias("id"), F.lit(4.0).alias("u"), F.lit(4.0).alias("v"))).alias("points"))
+    """Each image and itself, moved one pixel to the right."""
+    moved = luma(spark, sf, shift=True).select("frame_id", F.col("luma").alias("luma_b"))
+    pairs = luma(spark, sf).join(moved, "frame_id").select(F.col("frame_id").alias("pair_id"), "width", "height", F.col("luma").alias("luma_a"), "luma_b", F.array(F.struct(F.lit(0).cast("long").alias("id"), F.lit(4.0).alias("u"), F.lit(4.0).alias("v"))).alias("points"))
     return kernels.tracked(pairs).select("pair_id", "id", F.round("u", 3).alias("u"))
 
 
@@ -242,17 +270,19 @@ def io5(spark, sf):
     return raster.depth_samples(own).groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"))
 
 
-@query("io9_colmap_binary", None)
+@query("io9_colmap_binary", f"""WITH {P}, i AS (SELECT CAST(vec_id % 10 AS VARCHAR) AS scan_id, count(*) AS n, sum(length('f' || vec_id || '.jpg')) AS names FROM embeddings GROUP BY 1), p AS (SELECT scan_id, count(*) AS n FROM points GROUP BY scan_id)
+ SELECT CAST(s AS VARCHAR) AS scan_id, 'cameras.bin' AS name, CAST(8 + 24 + 4*8 AS INT) AS bytes FROM range(10) t(s) UNION ALL SELECT scan_id, 'images.bin', CAST(8 + n*(4 + 7*8 + 4 + 1 + 8) + names AS INT) FROM i UNION ALL SELECT scan_id, 'points3D.bin', CAST(8 + n*(8 + 3*8 + 3 + 8 + 8) AS INT) FROM p""")
 def io9(spark, sf):
     p = ad.points(spark, sf)
     pts = p.select("scan_id", F.col("ordinal").alias("point_id"), "x", "y", "z", *[F.lit(9).alias(c) for c in "rgb"], F.lit(0.5).alias("error"))
-    poses = ad.poses(spark, sf).select(F.lit("0").alias("scan_id"), F.col("id").alias("image_id"), g.colmap_pose("pose").alias("p"))
+    scan = (F.col("id") % 10).cast("string").alias("scan_id")
+    poses = ad.poses(spark, sf).select(scan, F.col("id").alias("image_id"), g.colmap_pose("pose").alias("p"))
     images = poses.select("scan_id", "image_id", *[F.col(f"p.{c}") for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")], F.lit(1).cast("long").alias("camera_id"), F.format_string("f%d.jpg", "image_id").alias("name"))
-    cameras = spark.range(1).select(F.lit("0").alias("scan_id"), F.lit(1).cast("long").alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array(*[F.lit(v) for v in (500.0, 500.0, 320.0, 240.0)]).alias("params"))
+    cameras = spark.range(10).select(F.col("id").cast("string").alias("scan_id"), F.lit(1).cast("long").alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array(*[F.lit(v) for v in (500.0, 500.0, 320.0, 240.0)]).alias("params"))
     return colmap.model_files(cameras, images, pts).select("scan_id", "name", F.length("content").alias("bytes"))
 
 
-@query("io11_nerf_transforms", None)
+@query("io11_nerf_transforms", f"WITH {Q} SELECT CAST(id % 5 AS VARCHAR) AS scan_id, CAST(count(*) + 1 AS INT) AS frames FROM poses GROUP BY 1")
 def io11(spark, sf):
     own = ad.poses(spark, sf).select((F.col("id") % 5).cast("string").alias("scan_id"), "id", F.col("pose").alias("transform"), "intrinsics", F.format_string("f%d.jpg", "id").alias("imageFile"))
     return scans.nerf_transforms(own).select("scan_id", F.size(F.split("json", "file_path")).alias("frames"))

@@ -72,7 +72,9 @@ def encode_points(rows) -> bytes:
     return struct.pack("<Q", len(rows)) + b"".join(struct.pack("<Q3d3BdQ", *row, 0) for row in rows)
 
 
-def _binary(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
+def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
+    """Records of binary model files (path, content)."""
+
     def run(batches):
         for batch in batches:
             for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -83,7 +85,7 @@ def _binary(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
                 names = [f.split()[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_arrow(schema))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -91,16 +93,28 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
 
+def cameras_of(files: DataFrame) -> DataFrame:
+    return _decoded(files, decode_cameras, CAMERA)
+
+
+def images_of(files: DataFrame) -> DataFrame:
+    return _decoded(files, decode_images, IMAGE)
+
+
+def points_of(files: DataFrame) -> DataFrame:
+    return _decoded(files, decode_points, POINT)
+
+
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, decode_cameras, CAMERA)
+    return cameras_of(spark.read.format("binaryFile").load(path))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, decode_images, IMAGE)
+    return images_of(spark.read.format("binaryFile").load(path))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, decode_points, POINT)
+    return points_of(spark.read.format("binaryFile").load(path))
 
 
 def _text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -130,7 +130,12 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """IO15: entries of archives (path, name, size, crc, content); broken archives are left out."""
+    """IO15: entries of archive files (path, name, size, crc, content); broken archives are left out."""
+    return entries_of(spark.read.format("binaryFile").load(path))
+
+
+def entries_of(archives: DataFrame) -> DataFrame:
+    """IO15: entries of archives (path, content)."""
 
     def run(batches):
         for batch in batches:
@@ -142,7 +147,7 @@ def zip_entries(spark: SparkSession, path: str) -> DataFrame:
                 for e in archive.infolist():
                     yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([e.filename]), pa.array([e.file_size], pa.int64()), pa.array([e.CRC], pa.int64()), pa.array([archive.read(e)], pa.binary())], names=["path", "name", "size", "crc", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, name string, size long, crc long, content binary")
+    return archives.select("path", "content").mapInArrow(run, "path string, name string, size long, crc long, content binary")
 
 
 def zip_bundle(files: DataFrame, key: str) -> DataFrame:
@@ -159,6 +164,48 @@ def zip_bundle(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, "name", "content").groupBy(key).applyInPandas(pack, f"{key} {files.schema[key].dataType.simpleString()}, archive binary")
 
 
+#: Splats whose quantised values lie in one file of a model.
+SOG_ROWS = 1 << 16
+
+
+def sog_files(quantised: DataFrame, codebooks: dict[str, list[float]], model: str = "m") -> DataFrame:
+    """IO17: files (model, name, content) of a quantised model: the JSON head, and low and high bytes of the means in planes.
+
+    A plane is raw bytes, x, y and z of one splat after the other in order of
+    ``row``, ``SOG_ROWS`` splats a file (``row`` counts from 0); image codecs are left out.
+    """
+
+    def planes(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row")
+        steps = np.stack([part.column(f"q{c}").to_numpy() for c in "xyz"], axis=1).astype("<u2")
+        at = part.column("part")[0].as_py()
+        return pa.table({"name": [f"means_{n}-{at:06d}" for n in "lu"], "content": pa.array([(steps & 255).astype(np.uint8).tobytes(), (steps >> 8).astype(np.uint8).tobytes()], pa.binary())})
+
+    spark = quantised.sparkSession
+    own = quantised.select("row", "qx", "qy", "qz", F.expr(f"row div {SOG_ROWS}").alias("part"))
+    files = own.groupBy("part").applyInArrow(planes, "name string, content binary")
+    head = spark.createDataFrame([("meta.json", bytearray(sog_metadata(quantised, codebooks).encode()))], "name string, content binary")
+    return files.unionAll(head).select(F.lit(model).alias("model"), "name", "content")
+
+
+def read_sog(files: DataFrame) -> DataFrame:
+    """IO17: ``row, x, y, z`` of the means of one model's files (name, content); the head is read on the driver."""
+    from stereoloom.operators.splats import dequantised_means
+
+    head = json.loads(bytes(files.filter("name = 'meta.json'").first()["content"]))
+    box = {f"{e}_{c}": head["means"][k][i] for e, k in (("lo", "mins"), ("hi", "maxs")) for i, c in enumerate("xyz")}
+
+    def steps(parts: pa.Table) -> pa.Table:
+        low, high = (np.frombuffer(x, dtype=np.uint8).astype(np.int32).reshape(-1, 3) for x in parts.sort_by("name").column("content").to_pylist())
+        q = low + 256 * high
+        first = parts.column("part")[0].as_py() * SOG_ROWS
+        return pa.table({"row": pa.array(np.arange(first, first + len(q))), **{f"q{c}": pa.array(q[:, i].copy(), pa.int32()) for i, c in enumerate("xyz")}})
+
+    own = files.filter("name like 'means%'").select("name", "content", F.substring_index("name", "-", -1).cast("long").alias("part"))
+    quantised = own.groupBy("part").applyInArrow(steps, "row long, qx int, qy int, qz int")
+    return dequantised_means(quantised.withColumns({k: F.lit(v) for k, v in box.items()})).select("row", "x", "y", "z")
+
+
 def sog_metadata(quantised: DataFrame, codebooks: dict[str, list[float]]) -> str:
     """IO17: the JSON head of a quantised model: count, means' box, codebooks."""
     box = quantised.agg(F.count("*").alias("n"), *[F.first(f"{e}_{c}").alias(f"{e}_{c}") for e in ("lo", "hi") for c in "xyz"]).first()

@@ -376,7 +376,64 @@ def test_pose_graph_spreads_a_loop(spark):
     fr = spark.createDataFrame([("s", i) for i in range(11)], "scan_id string, id long")
     lo = spark.createDataFrame([("s", 0, 10, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "scan_id string, a long, b long, c0 double, c1 double, c2 double, c3 double, c4 double, c5 double")
     c = [x.c0 for x in sorted(kernels.pose_graph(fr, lo).collect())]
-    assert abs(c[0]) < 1e-3 and c[10] == pytest.approx(100 / 101, abs=1e-2) and np.allclose(np.diff(c), np.diff(c)[0], atol=1e-3)
+    # ten links of weight 100 in a row against one loop of weight 200
+    assert c[0] == 0 and c[10] == pytest.approx(200 / 210, abs=1e-3) and np.allclose(np.diff(c), np.diff(c)[0], atol=1e-3)
+
+
+def test_pose_graph_equals_a_dense_solve_and_fills_gaps(spark):
+    r = np.random.default_rng(3)
+    rows = [("s", i, float(i) + 0.3 * (i % 3), i not in (0, 4, 5, 12)) for i in range(13)]
+    loops = [("s", 1, 9, *map(float, r.normal(0, 0.05, 6))), ("s", 3, 11, *map(float, r.normal(0, 0.05, 6))), ("s", 2, 5, *[9.0] * 6)]
+    fr = spark.createDataFrame(rows, "scan_id string, id long, timestamp double, usable boolean")
+    lo = spark.createDataFrame(loops, "scan_id string, a long, b long, " + ", ".join(f"c{i} double" for i in range(6)))
+    got = {x.id: np.array([x[f"c{i}"] for i in range(6)]) for x in kernels.pose_graph(fr, lo).collect()}
+    use = [x[1] for x in rows if x[3]]
+    h, g = 0.002 * np.eye(len(use)), np.zeros((len(use), 6))
+    for a, b, w, want in [(i, i + 1, 100, np.zeros(6)) for i in range(len(use) - 1)] + [(use.index(x[1]), use.index(x[2]), 200, np.array(x[3:])) for x in loops[:2]]:
+        for p, q in ((a, b), (b, a)):
+            h[p, p] += w
+            h[p, q] -= w
+        g[b] += w * want
+        g[a] -= w * want
+    want = np.zeros((len(use), 6))
+    want[1:] = np.linalg.solve(h[1:, 1:], g[1:])
+    assert all(np.allclose(got[i], want[k], atol=1e-6) for k, i in enumerate(use))
+    assert np.allclose(got[0], got[1]) and np.allclose(got[12], got[11])
+    f = (rows[4][2] - rows[3][2]) / (rows[6][2] - rows[3][2])
+    a, b = got[3], got[6]
+    assert np.allclose(got[4][3:], (1 - f) * a[3:] + f * b[3:]) and np.allclose(kernels.rotation(got[4][:3]), kernels.rotation(a[:3]) @ kernels.rotation(f * kernels.rotation_vector(kernels.rotation(a[:3]).T @ kernels.rotation(b[:3]))))
+
+
+def test_revisits_are_rejected_by_each_rule(spark):
+    r = np.random.default_rng(2)
+    pts = r.uniform(-1, 1, (200, 3))
+    moved = pts + [0.03, 0.0, 0.0]
+    far = pts + r.uniform(0.5, 1, pts.shape)
+    blend = lambda share: np.where((np.arange(200) % 10 < share * 10)[:, None], far, moved)
+    cases = [moved, moved[:39], pts + [0.004, 0, 0], blend(0.2), blend(0.5), far]
+    rows = [(k, *map(float, p), *map(float, q)) for k, case in enumerate(cases) for p, q in zip(pts, case, strict=False)]
+    out = {x.pair_id: x for x in kernels.revisit_verification(spark.createDataFrame(rows, "pair_id long, x double, y double, z double, rx double, ry double, rz double")).collect()}
+    assert [out[k].accepted for k in range(6)] == [True, False, False, True, False, False]
+    assert np.allclose(out[0].motion, [1, 0, 0, 0, 1, 0, 0, 0, 1, 0.03, 0, 0], atol=1e-6) and out[5].motion[9:] == [0, 0, 0]
+
+
+def test_bundle_adjustment_solves_points_with_poses(spark):
+    """Points start beside their places; the joint solve reaches the errors of the images alone."""
+    r = np.random.default_rng(5)
+    pts = np.c_[r.uniform(-1, 1, (60, 2)), r.uniform(-5, -3, 60)]
+    true = [np.array([0, 0.03 * f, 0.01 * f, 0.25 * f, 0.05 * f, 0]) for f in range(5)]
+    start = pts + r.normal(0, 0.05, pts.shape)
+    rows = []
+    for f, pose in enumerate(true):
+        cam = pts @ kernels.rotation(pose[:3]).T + pose[3:]
+        given = pose + (r.normal(0, 0.02, 6) if f else 0)
+        for t, c in enumerate(cam):
+            wrong = 80.0 if (f, t) in ((1, 3), (2, 7), (3, 30)) else 0.0
+            rows.append(("s", f, t, float(300 * c[0] / -c[2] + 160) + wrong, float(120 - 300 * c[1] / -c[2]), given.tolist(), *map(float, start[t]), 300.0, 300.0, 160.0, 120.0))
+    df = spark.createDataFrame(rows, "scan_id string, frame_id long, track_id long, u double, v double, pose array<double>, px double, py double, pz double, fx double, fy double, cx double, cy double")
+    out = {x.frame_id: x for x in kernels.bundle_adjustment(df).collect()}
+    assert out[1].accepted and out[1].after < 0.05 < 0.5 < out[1].before
+    assert all(np.allclose(out[f].pose[:3], true[f][:3], atol=0.01) for f in range(5)) and out[0].pose == [0.0] * 6
 
 
 def test_tracking_follows_a_shift():

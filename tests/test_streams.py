@@ -1,5 +1,9 @@
 """State machines: rules on hand-made streams, and streaming equal to replay."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 
 from stereoloom.streaming import state
@@ -41,13 +45,191 @@ def test_shutter_and_gate_and_continuity():
     assert [r["continuous"] for r in run(state.ContinuityGate(), [at(0, 0), at(0.1, 0.2), at(0.2, 2), at(0.9, 2), at(1.0, 2, 1.0)])] == [False, True, False, False, False]
 
 
+def test_severe_motion_stops_the_decay_but_not_a_sharper_frame():
+    e = lambda t, s, severe=False: {"timestamp": t, "sharpness": s, "severe": severe}
+    out = run(state.SharpnessReference(), [e(0.0, 1.0), e(0.1, 2.0, True), e(0.2, 2.0), e(0.3, float("nan")), e(0.4, 1.0, True)])
+    assert [r["ratio"] for r in out] == [1.0, 1.0, 1.0, 1.0, 0.5]
+
+
+def test_shutter_near_scenes_and_without_depth_sensor():
+    at = lambda t, x, depth=None, alone=False, yaw=0.0: {"timestamp": t, "x": x, "y": 0.0, "z": 0.0, "yaw": yaw, "depth": depth, "camera_only": alone}
+    pair = lambda x, *a: run(state.SmartShutter(), [at(0, 0), at(1, x, *a)])[1]["captured"]
+    assert [pair(0.03, 0.5), pair(0.024, 0.5), pair(0.021, 0.1), pair(0.019, 0.1), pair(0.049, 9.0), pair(0.05, 9.0)] == [True, False, True, False, False, True]
+    assert [pair(0.041, 0.5, True), pair(0.039, 0.5, True), pair(0.0, None, True, 1.0), pair(0.0, None, False, 1.0)] == [True, False, False, True]
+
+
+def fold(rule, events, state):
+    """Outputs of a plain function (state, event) -> (state, outputs)."""
+    out = []
+    for e in events:
+        state, rows = rule(state, e)
+        out += rows
+    return out
+
+
+def hostile_events(seed, n=400):
+    """Random walks with pauses, jumps and times that go back."""
+    r = random.Random(seed)
+    t = x = y = 0.0
+    out = []
+    for i in range(n):
+        t += r.choice([0.016, 0.033, 0.05, 0.11, 0.2, 0.7]) if r.random() > 0.04 else -r.random()
+        x, y = x + r.gauss(0, 0.05) + 0.03 * math.sin(i / 40), y + r.gauss(0, 0.02)
+        a = r.gauss(0, 0.3)
+        q = [math.cos(a / 2), math.sin(a / 2) * 0.6, math.sin(a / 2) * 0.8, 0.0]
+        d = [math.cos(i / 60), math.sin(i / 60), 0.0]
+        out.append({"timestamp": t, "x": x, "y": y, "z": 0.1 * x, "yaw": a, **dict(zip(("qw", "qx", "qy", "qz"), q, strict=True)), "gyro_rate": abs(r.gauss(0, 4)), "gyro_timestamp": t + r.gauss(0, 0.02), **dict(zip(("dx", "dy", "dz"), d, strict=True)), "photo": r.random() < 0.1})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_motion_equals_a_plain_fold(seed):
+    events = hostile_events(seed)
+    got = run(state.MotionEstimator(), events)
+    start, smooth = 0, 0.0
+    for i, e in enumerate(events):
+        t = e["timestamp"]
+        if i and not (0 < t - events[i - 1]["timestamp"] <= 0.25):
+            start, smooth = i, 0.0
+        rate, dt = 0.0, 1 / 60
+        if i > start:
+            p = events[i - 1]
+            dt = t - p["timestamp"]
+            dot = sum(p[k] * e[k] for k in ("qw", "qx", "qy", "qz"))
+            rate = 2 * math.acos(min(1.0, abs(dot))) / dt
+        if abs(e["gyro_timestamp"] - t) <= 0.02:
+            rate = max(rate, e["gyro_rate"])
+        smooth = smooth + (rate - smooth) * (1 - math.exp(-dt / 0.045))
+        old = [k for k in range(start, i) if events[k]["timestamp"] <= t - 0.08]
+        first = max([start, i - 31, *(old[-1:] if old else [])])
+        f = events[first]
+        far = math.sqrt(sum((e[k] - f[k]) ** 2 for k in "xyz"))
+        assert got[i]["speed"] == pytest.approx(far / (t - f["timestamp"]) if i > first else 0.0, abs=1e-9)
+        assert got[i]["angular"] == pytest.approx(max(rate, smooth), rel=1e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_revisit_guide_equals_a_plain_fold(seed):
+    events = hostile_events(seed, 1500)
+    for i, e in enumerate(events):  # a loop of 6 m that comes round again and again
+        e["x"], e["y"] = 3 * math.cos(i / 90), 3 * math.sin(i / 90)
+        if seed % 2:
+            e["dx"], e["dy"] = math.cos(i / 90 + (i // 566) * 1.0), math.sin(i / 90 + (i // 566) * 1.0)
+    got = run(state.RevisitGuide(), events)
+    clock = travel = next_check = since_t = since_s = 0.0
+    anchor = last = shown = None
+    asked, now, photos, want = False, "quiet", [], []
+    for e in events:
+        if last is not None:
+            clock += max(0.0, min(0.5, e["timestamp"] - last))
+        last = e["timestamp"]
+        p = (e["x"], e["y"], e["z"])
+        if anchor is None or math.dist(anchor, p) > 0.05:
+            travel += math.dist(anchor, p) if anchor else 0.0
+            anchor = p
+        if clock >= next_check:
+            next_check = clock + 0.2
+            if any(clock - t >= 8 and travel - s >= 2 and math.dist(q, p) < 0.8 and v[0] * e["dx"] + v[1] * e["dy"] + v[2] * e["dz"] > 0.9 for q, v, t, s in photos):
+                since_t, since_s = clock, travel
+                if asked:
+                    shown, asked = clock + 3, False
+        if shown is not None and clock < shown:
+            prompt = "returned"
+        else:
+            shown = None
+            if len(photos) >= 10 and clock - since_t >= 40 and travel - since_s >= 4:
+                asked = True
+            prompt = "prompt" if asked else "quiet"
+        if prompt != now:
+            want.append((e["timestamp"], prompt))
+            now = prompt
+        if e["photo"]:
+            photos.append((p, (e["dx"], e["dy"], e["dz"]), clock, travel))
+    assert [(r["timestamp"], r["event"]) for r in got] == want and (seed or want)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_landmarks_equal_a_plain_fold(seed):
+    r = random.Random(seed)
+    t, events = 0.0, []
+    for i in range(300):
+        t += r.choice([0.05, 0.17, 0.3, 0.3, 0.5, 2.5]) if r.random() > 0.03 else -0.4
+        events.append({"time": t, "epoch": i // 90, "x": r.gauss(0, 0.012), "y": 0.0, "z": -r.choice([1.5, 1.5, 1.5, 1.52, 7.0]), "cam_x": i * 0.002 + r.gauss(0, 0.02), "cam_y": 0.0, "cam_z": 0.0})
+    for cut in range(0, 300, 60):  # a fresh landmark from each point on
+        own = events[cut:]
+        samples, epoch, before, want = [], None, None, None
+        for e in own:
+            if e["epoch"] != epoch or e["time"] < before:
+                samples = []
+            epoch, before = e["epoch"], e["time"]
+            p, c = np.array([e["x"], e["y"], e["z"]]), np.array([e["cam_x"], e["cam_y"], e["cam_z"]])
+            depth = np.linalg.norm(p - c)
+            if not 0.15 <= depth <= 5:
+                continue
+            if samples and e["time"] - samples[-1][0] < 0.16:
+                continue
+            limit = 0.02 + 0.015 * depth
+            if samples and (e["time"] - samples[-1][0] > 2 or np.linalg.norm(p - samples[0][1]) > limit or np.linalg.norm(p - samples[-1][1]) > limit):
+                samples = []
+            samples.append((e["time"], p, c))
+            u, v = p - samples[0][2], p - c
+            turn = np.degrees(np.arccos(np.clip(u @ v / np.linalg.norm(u) / np.linalg.norm(v), -1, 1)))
+            if len(samples) >= 3 and e["time"] - samples[0][0] >= 0.36 and np.linalg.norm(c - samples[0][2]) >= 0.04 and turn >= 1.5:
+                want = (e["time"], e["x"])
+                break
+        got = run(state.LandmarkAdmission(), own)
+        assert [(g["time"], g["x"]) for g in got] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stride_equals_a_plain_fold(seed):
+    r = random.Random(seed)
+    events = [{"timestamp": float(i), "seconds": r.choice([0.01, 0.01, 0.01, 0.02, 0.05]) if i % 60 > 20 else 0.01, "width": r.choice([0, 256, 640]), "height": 192} for i in range(500)]
+    stride, quick, phase, want = 2, 0, 0, []
+    for e in events:
+        used = next(k for k in range(stride, 99) if math.ceil(e["width"] / k) * math.ceil(e["height"] / k) <= 6000)
+        cell = phase % (used * used)
+        want.append((used, cell % used, cell // used))
+        phase = (cell + 1) % (used * used)
+        ms = e["seconds"] * 1000
+        if ms > 35:
+            stride, quick = min(6, stride + 1), 0
+        elif ms < 17.5:
+            quick += 1
+            if quick >= 12:
+                stride, quick = max(2, stride - 1), 0
+        else:
+            quick = 0
+    assert [(g["stride"], g["x"], g["y"]) for g in run(state.AdaptiveStride(), events)] == want
+
+
+def test_sharpness_replay_equals_the_machine(spark):
+    from stereoloom.plans.pipelines import sharpness_replay
+
+    r = random.Random(3)
+    rows = []
+    for scan in range(3):
+        t = 0.0
+        for i in range(200):
+            t += r.choice([0.016, 0.03, 0.4]) if r.random() > 0.05 else -0.0
+            rows.append((scan, i, t, r.choice([0.0, float("nan"), -1.0]) if r.random() < 0.05 else r.random(), r.random() < 0.2))
+    df = spark.createDataFrame(rows, "scan_id long, id long, timestamp double, sharpness double, severe boolean")
+    got = {(x.scan_id, x.id): x.ratio for x in sharpness_replay(df).collect()}
+    for scan in range(3):
+        m = state.SharpnessReference()
+        for s, i, t, v, severe in rows:
+            if s == scan:
+                assert got[s, i] == pytest.approx(m.feed({"timestamp": t, "sharpness": v, "severe": severe})[0]["ratio"], abs=1e-9)
+    assert len(got) == 600
+
+
 def test_revisit_guide_asks_and_confirms():
     m, out = state.RevisitGuide(), []
     for i in range(1000):
         t = i * 0.1
         x = min(t, 45.0) * 0.2 if t <= 45 else max(0.0, 9.0 - (t - 45) * 0.4)
         out += m.feed({"timestamp": t, "x": x, "y": 0.0, "z": 0.0, "photo": i % 20 == 0})
-    assert [r["event"] for r in out][:2] == ["prompt", "returned"]
+    assert [r["event"] for r in out][:2] == ["prompt", "returned"] and out[2]["event"] == "quiet"
     away = state.RevisitGuide()
     assert [r["event"] for i in range(900) for r in away.feed({"timestamp": i * 0.1, "x": i * 0.02, "y": 0.0, "z": 0.0, "photo": i % 20 == 0})] == ["prompt"]
 
@@ -66,7 +248,9 @@ def test_queue_stride_and_fence():
     assert [(r["started"], r["replaced"]) for r in out] == [(1, 0), (3, 1)]
     s = lambda v: {"timestamp": 0.0, "seconds": v}
     assert run(state.AdaptiveStride(), [s(0.04)] * 9)[-1]["stride"] == 6
-    assert run(state.AdaptiveStride(), [s(0.04)] * 2 + [s(0.01)] * 12)[-1]["stride"] == 2
+    assert run(state.AdaptiveStride(), [s(0.04)] * 2 + [s(0.01)] * 13)[-1]["stride"] == 3  # the frame after the twelfth quick one
+    assert run(state.AdaptiveStride(), [s(0.01)] * 40)[-1]["stride"] == 2
+    assert run(state.AdaptiveStride(), [s(0.01) | {"width": 640, "height": 480}])[0]["stride"] == 8
     f = lambda e: {"timestamp": 0.0, "epoch": e}
     assert [r["epoch"] for r in run(state.EpochFence(), [f(0), f(2), f(1), f(2)])] == [0, 2, 2]
 
