@@ -14,6 +14,7 @@ import sys
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -24,30 +25,37 @@ from pyspark.sql import functions as F
 #: Labelled doc_ids of each language whose words are counted; all their words and n-grams are kept.
 SAMPLE_ROWS = 1_500
 LONGEST_GRAM = 5
+#: Most frequent languages whose rows are thinned before they are ranked; the choice is the same without.
+THINNED = 1_000
 UNKNOWN = "und"
 #: Unseen words that a Python worker remembers.
 CACHE_WORDS = 200_000
 
 
 
+_KINDS = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+#: Marks, and numbers that are no digits. Where none occurs, Python's own letters are all there is, and faster to find.
+_ODD = frozenset(chr(c) for c, kind in enumerate(_KINDS) if kind[0] == "M" or kind in ("Nl", "No"))
+_PLAIN_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _class(kinds: str) -> str:
     """Inside of a character class of all characters whose Unicode category begins with one of ``kinds``."""
-    runs = groupby(enumerate(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds), lambda x: x[1] - x[0])
+    runs = groupby(enumerate(c for c, kind in enumerate(_KINDS) if kind[0] in kinds), lambda x: x[1] - x[0])
     ends = [(run[0][1], run[-1][1]) for run in (list(g) for _, g in runs)]
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ends)
 
 
-#: A word begins with a letter; letters and combining marks (vowel signs, accents) go on with it.
-_LETTERS = re.compile(f"[{_class('L')}][{_class('LM')}]*")
-#: Where none of these occurs, Python's own letters are all there is, and faster to find.
-_ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or (c.isalnum() and not c.isalpha() and not c.isdecimal()))
-_PLAIN_LETTERS = re.compile(r"[^\W\d_]+")
+@cache
+def _letters() -> re.Pattern:
+    """A word begins with a letter; letters and combining marks (vowel signs, accents) go on with it."""
+    return re.compile(f"[{_class('L')}][{_class('LM')}]*")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and the marks after them, lower case."""
     text = text.lower()
-    return (_PLAIN_LETTERS if _ODD.isdisjoint(text) else _LETTERS).findall(text)
+    return (_PLAIN_LETTERS if _ODD.isdisjoint(text) else _letters()).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -136,13 +144,14 @@ class _Cache(dict):
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """The rows (doc_id, text, lang) of the ``per_language`` doc_ids of each language with the smallest hashes.
 
-    Rows are thinned by a bound on the hash that leaves about twice as many,
-    so that the ranking sees a bounded number a language whatever the corpus.
+    Rows of the more frequent languages are thinned by a bound on the hash
+    that leaves about twice as many, so that the ranking sees few of them.
     """
     keyed = labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    most = 2.0 * per_language + 100
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") > most).orderBy(F.desc("n"), "lang").limit(THINNED)
     place = F.col("h") / 2.0**64 + 0.5  # even between 0 and 1
-    thinned = keyed.select("lang", "h").join(counts, "lang").filter(F.col("n") * place <= 2.0 * per_language + 100).select("lang", "h").distinct()
+    thinned = keyed.select("lang", "h").join(F.broadcast(counts), "lang", "left").filter(F.col("n").isNull() | (F.col("n") * place <= most)).select("lang", "h").distinct()
     chosen = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language).drop("rank")
     return keyed.join(F.broadcast(chosen), ["lang", "h"])  # per_language rows a language
 
