@@ -53,6 +53,11 @@ def test_bpe_equals_the_library_and_decodes_back(spark, reference):
         assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
 
 
+def test_bpe_of_an_empty_table(spark):
+    assert bpe.bpe_encode(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.bpe_decode(bpe.bpe_encode(table(spark, []), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
 def test_bpe_merges_long_runs_like_the_library(reference):
     ranks = bpe.load_ranks(RANKS)
     r = random.Random(1)
@@ -214,6 +219,40 @@ def test_media_recall_and_hostile_rasters(spark):
     assert all(r.image_rows == 2 for r in media.copies(media.media_of(e.limit(3)), twice).collect())
 
 
+def test_media_recall_of_each_edit(spark):
+    """Of all edited copies of 70 images among 500, by kind, the share that the tables find, against all pairs of descriptors."""
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id")
+    vectors = np.array([r.embedding for r in e.collect()], dtype=np.float32)
+    rows, queries_ = [], []
+    for i in range(70):
+        kind = i % len(media.EDITS)
+        image = media.edited(media.render(vectors[7 * i])[0], kind, i)
+        queries_.append((7 * i, image.shape[0], image.tobytes(), kind))
+    rows = [(i, media.SIDE, bytes(x.tobytes())) for i, x in enumerate(media.render(vectors))]
+    q = spark.createDataFrame([x[:3] for x in queries_], "image_id long, side int, luma binary")
+    b = spark.createDataFrame(rows, "image_id long, side int, luma binary")
+    found = {(r.query_id, r.image_id) for r in media.copies(q, b).collect()}
+    kinds = {x[0]: x[3] for x in queries_}
+    hit = [np.mean([(i, i) in found for i, k in kinds.items() if k == kind]) for kind in range(len(media.EDITS))]
+    assert min(hit) >= 0.9 and len({p for p in found if p[0] != p[1]}) <= 3, dict(zip(media.EDITS, hit, strict=True))
+
+
+def test_hamming_tables_miss_none_that_they_must_meet(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").limit(60)
+    base, asked = media.descriptors(media.media_of(e)).collect(), media.descriptors(media.media_of(e.filter("vec_id % 4 = 0"), edit=True)).collect()
+    bits = lambda rows: np.array([[r[w] for w in media.WORDS] for r in rows], dtype=np.int64).view(np.uint64)
+    apart = np.bitwise_count(bits(asked)[:, None] ^ bits(base)[None]).sum(-1)
+    name = lambda r: (r.image_id, r.y, r.x, r.level)
+    got = {(name(r.q), name(r.b)) for r in media.descriptor_pairs(spark.createDataFrame(asked), spark.createDataFrame(base)).collect()}
+    pairs = lambda most: {(name(asked[i]), name(base[j])) for i, j in zip(*np.nonzero(apart <= most), strict=True)}
+    assert pairs(media.EXACT) <= got <= pairs(media.HAMMING) and len(got) >= 0.9 * len(pairs(media.HAMMING)) > 500
+
+
+def test_media_of_empty_tables(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert media.copies(media.media_of(none, edit=True), media.media_of(none)).count() == 0
+
+
 def test_licenses(spark):
     mit = "\n".join(licenses.SENTENCES[k] for k in ("mit-title", "mit-grant", "mit-condition", "mit-warranty"))
     rows = [(1, "x\nReleased under the MIT License.\nAll rights reserved."), (2, "Words. licensed under the apache license version 2.0!"), (3, mit), (4, "not released under the MIT License."), (5, None), (6, ""), (7, licenses.SENTENCES["bsd-grant"])]
@@ -677,6 +716,25 @@ def test_a_template_with_a_name_recurs_beyond_a_full_leaf():
     assert len(set(line_dedup.leaf_templates(lines, 3, 0.7, node_lines=10).tolist())) == 1
 
 
+def test_group_count_of_a_join_follows_its_inputs(spark):
+    docs = documents(spark)
+    joined = docs.join(docs.select("doc_id", F.col("text").alias("other")), "doc_id")
+    assert common.input_bytes(docs) <= common.input_bytes(joined) <= 4 * common.input_bytes(docs)
+    assert common.input_bytes(spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")) < 10_000
+
+
+def test_line_dedup_of_a_leaf_over_many_groups(spark):
+    """A template whose names differ in every document, with repeated, null and far ids, over more groups than rows a task."""
+    rows = [(i % 90 if i % 11 else None, f"Posted by user{chr(97 + i % 26)}{chr(97 + i // 26)} on our board today\nbody {i} of the text number {chr(97 + i % 26)} here") for i in range(200)]
+    got = line_dedup.line_dedup(table(spark, rows)).collect()
+    gone = sum(r.n_dropped for r in got)
+    masked = {}
+    for i, t in rows:
+        masked.setdefault(t.split("\n")[0], []).append(i)
+    kept = [r for r in got if "Posted" in r.text]
+    assert len({r.doc_id for r in kept}) <= 2 and gone >= 198 and len(got) == 200
+
+
 @pytest.mark.parametrize("most", [64, 1 << 20])
 def test_words_do_not_depend_on_slices(monkeypatch, most):
     r = random.Random(6)

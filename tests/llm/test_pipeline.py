@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline as cp
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from stereoloom.llm import decontaminate, near_dedup, queries
 
@@ -55,6 +56,27 @@ def test_one_row_of_each_class_stays_when_ids_repeat(spark):
     assert sorted(map(str, [(r.doc_id, r.text) for r in got])) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_hostile_and_empty_tables(spark, name):
+    """Nulls in any column, empty and long texts, repeated rows, columns that clash with a stage's own."""
+    stage = dict(cp.STAGES)[name]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id but some words", None, "s", 20), (3, "long text of words " * 20_000, "en", "s", 380_000), (4, "twice the same", "en", "s", 14), (4, "twice the same", "en", "s", 14), (5, "\x00 odd \x7f é 日本", "fr", "t", 12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit(1) for c in ("score", "predicted", "grp", "leaf", "content", "code", "row", "label", "bucket", "text_", "n_tokens")}
+    got = stage(spark, spark.createDataFrame(rows, schema).withColumns(clash), DATA)
+    ids = sorted(str(r.doc_id) for r in got.collect())
+    every = sorted(str(r[0]) for r in rows)
+    if name == "minhash near-dedup":
+        assert ids == sorted(set(every))
+    elif name == "quality classifier":
+        assert set(ids) <= set(every) and ids.count("4") in (0, 2)
+    else:
+        assert ids == every
+    assert stage(spark, spark.createDataFrame([], schema), DATA).count() == 0
+    if name != "byte-level bpe":
+        assert got.columns == cp.COLUMNS
+
+
 def test_no_benchmark_is_left(spark, stages):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert decontaminate.contamination(stages[3], bench).count() == 0
