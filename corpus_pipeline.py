@@ -19,13 +19,21 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.5 or more)."""
+    """Documents that the quality classifier does not reject (score of 0.5 or more).
+
+    Each row is scored by its own text, so repeated rows go or stay together
+    and null ids do not matter; null and empty texts get the model's offset.
+    """
     scored = quality.score(docs.select("text", *[F.col(x).alias(f"c_{x}") for x in COLUMNS]), fitted_quality(spark, docs, sf_dir), tuple(f"c_{x}" for x in COLUMNS))
     return scored.filter("predicted = 1").select(*[F.col(f"c_{x}").alias(x) for x in COLUMNS])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; every document stays."""
+    """Documents without the lines of recurring templates; every row stays, repeated ones too.
+
+    A null text stays null, with a null ``n_chars``; null ids come last where
+    a template's first line is looked for.
+    """
     kept = line_dedup.line_dedup(docs, keep=("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -41,12 +49,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within the edit budget."""
+    """Documents that hold no benchmark item within the edit budget; null and empty texts hold none, repeated rows go or stay together."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for each row; a null text counts as empty."""
     return production_codec(docs)
 
 
