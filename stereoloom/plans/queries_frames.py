@@ -256,10 +256,12 @@ def a41(spark, sf):
     return metrics.visible_features(own, 8, 8, least_central=4).select("frame_id", "features", "cells", "central")
 
 
-@query("a42_view_diversity", None)
+@query("a42_view_diversity", f"""WITH {FR}, b AS (SELECT DISTINCT id // 50 AS region, floor(acos(least(1, greatest(-1, dz)))/radians(5)) AS t, floor(atan2(dy, dx)/radians(5)) AS p FROM frames), s AS (SELECT region, (t+0.5::DOUBLE)*radians(5) AS t, (p+0.5::DOUBLE)*radians(5) AS p FROM b),
+ v AS (SELECT region, sin(t)*cos(p) AS x, sin(t)*sin(p) AS y, cos(t) AS z FROM s), w AS (SELECT a.region, degrees(acos(least(1, greatest(-1, min(a.x*b.x+a.y*b.y+a.z*b.z))))) AS span FROM v a JOIN v b ON a.region = b.region GROUP BY a.region)
+ SELECT region, CASE WHEN span < 10 THEN '<10' WHEN span < 30 THEN '<30' ELSE '>=30' END AS band, round(span, 4) AS span FROM w""")
 def a42(spark, sf):
-    own = ad.frames(spark, sf).withColumn("region", F.pmod("id", F.lit(50)))
-    return metrics.diversity_bands(own, ["region"], 5.0).select("region", "band")
+    own = ad.frames(spark, sf).withColumn("region", F.expr("id div 50"))
+    return metrics.diversity_bands(own, ["region"], 5.0).select("region", "band", F.round("span", 4).alias("span"))
 
 
 @query("a44_extrapolation", f"""WITH {FR}, h AS (SELECT *, (row_number() OVER (PARTITION BY scan_id ORDER BY id) - 1) % 8 = 4 AS holdout FROM frames),

