@@ -75,7 +75,7 @@ def pose_comparison(pairs: DataFrame) -> DataFrame:
     m = lambda i: F.col("m")[i]
     moved = [m(3 * r) * F.col("x") + m(3 * r + 1) * F.col("y") + m(3 * r + 2) * F.col("z") + m(9 + r) for r in range(3)]
     e2 = sum(((p - F.col(q)) ** 2 for p, q in zip(moved[1:], b[1:], strict=True)), (moved[0] - F.col("rx")) ** 2)
-    own = pairs.join(F.broadcast(fitted), "scan_id").withColumn("e", F.sqrt(e2))  # a row a scan
+    own = pairs.join(fitted, "scan_id").withColumn("e", F.sqrt(e2))
     return own.groupBy("scan_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.percentile("e", F.lit(0.5)).alias("median"), F.max("e").alias("largest"))
 
 

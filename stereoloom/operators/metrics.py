@@ -192,7 +192,7 @@ def robust_bounds(points: DataFrame, keys: list[str], most: int = 100_000) -> Da
 
 def region_statistics(splats: DataFrame, bounds: DataFrame, keys: list[str], grid: int = 24) -> DataFrame:
     """Sums of visibility and error and the most views per region of a grid over twice the extents; outside goes to the rim."""
-    own = splats.join(F.broadcast(bounds), keys)  # a row a model
+    own = splats.join(bounds, keys)
     cell = lambda c: clamp(F.floor((F.col(c) - F.col(f"c{c}") + 2 * F.col("extent")) / (4 * F.col("extent")) * grid), 0, grid - 1).cast("int")
     region = cell("x") + grid * (cell("y") + grid * cell("z"))
     return own.withColumn("region", region).groupBy(*keys, "region").agg(F.count("*").alias("n"), F.sum("visibility").alias("support"), F.sum("error").alias("error"), F.max("views").alias("views"))

@@ -25,16 +25,15 @@ def best_per_cell(points: DataFrame, size: float) -> DataFrame:
     return first_per(own, ["scan_id", "key"], [F.desc("score"), F.asc("ordinal")])
 
 
-def stratified_best(points: DataFrame, size: float, target: int, rounds: int = 12) -> DataFrame:
+def stratified_best(points: DataFrame, size: float, target: int) -> DataFrame:
     """K1: best point of each cell, with cells growing until at most ``target`` points remain.
 
     The cell grows by the root of the excess plus two per cent, at least by
-    three per cent. Each round is written to the shared folder.
+    three per cent, and ends when it is larger than all coordinates: then no
+    larger one joins more. Each round is written to the shared folder.
     """
-    n = points.count()
-    for _ in range(rounds):
-        if n <= target:
-            break
+    n, reach = points.agg(F.count("*"), F.max(F.greatest(*[F.abs(c) for c in "xyz"]))).first()
+    while n > target and size <= (reach or 0.0):
         size *= max(1.03, math.sqrt(n / target) * 1.02)
         points = durable(best_per_cell(points, size).drop("key"))
         n = points.count()

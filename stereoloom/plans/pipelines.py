@@ -329,7 +329,7 @@ def floor_plan(points: DataFrame, cell: float, low: float, high: float, gap: int
 
     angle = m.wall_angle(points, cell)
     a = F.radians(F.col("angle") * 0.5)
-    turned = points.join(F.broadcast(angle.select("scan_id", "angle")), "scan_id")  # a row a scan
+    turned = points.join(angle.select("scan_id", "angle"), "scan_id")
     turned = turned.select("scan_id", "ordinal", (F.cos(a) * F.col("x") + F.sin(a) * F.col("z")).alias("x"), "y", (F.cos(a) * F.col("z") - F.sin(a) * F.col("x")).alias("z"))
     columns = m.column_spans(turned, cell, low, high).withColumn("span", F.col("high") - F.col("low"))
     limit = columns.groupBy("scan_id").agg((0.6 * F.percentile("span", F.lit(0.9))).alias("limit"))
