@@ -232,6 +232,10 @@ def test_media_recall_of_each_edit(spark):
     q = spark.createDataFrame([x[:3] for x in queries_], "image_id long, side int, luma binary")
     b = spark.createDataFrame(rows, "image_id long, side int, luma binary")
     found = {(r.query_id, r.image_id) for r in media.copies(q, b).collect()}
+    once = ["image_id", "digest", "side", "y", "x", "level", "angle", *media.WORDS]
+    every = media.descriptors(q).select(once).distinct().alias("q").crossJoin(media.descriptors(b).select(once).distinct().alias("b")).filter(media.distance("q", "b") <= media.HAMMING)
+    force = {(r.query_id, r.image_id) for r in media.agreeing(every.select(F.struct("q.*").alias("q"), F.struct("b.*").alias("b"))).collect()}
+    assert len(found & force) >= 0.9 * len(force) and found <= force and len(force) >= 60
     kinds = {x[0]: x[3] for x in queries_}
     hit = [np.mean([(i, i) in found for i, k in kinds.items() if k == kind]) for kind in range(len(media.EDITS))]
     assert min(hit) >= 0.9 and len({p for p in found if p[0] != p[1]}) <= 3, dict(zip(media.EDITS, hit, strict=True))
@@ -239,13 +243,18 @@ def test_media_recall_of_each_edit(spark):
 
 def test_hamming_tables_miss_none_that_they_must_meet(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").limit(60)
-    base, asked = media.descriptors(media.media_of(e)).collect(), media.descriptors(media.media_of(e.filter("vec_id % 4 = 0"), edit=True)).collect()
-    bits = lambda rows: np.array([[r[w] for w in media.WORDS] for r in rows], dtype=np.int64).view(np.uint64)
-    apart = np.bitwise_count(bits(asked)[:, None] ^ bits(base)[None]).sum(-1)
+    base, asked = media.descriptors(media.media_of(e)), media.descriptors(media.media_of(e.filter("vec_id % 4 = 0"), edit=True))
+    marked = spark.sparkContext.broadcast(media.bitmap_of(asked))
     name = lambda r: (r.image_id, r.y, r.x, r.level)
-    got = {(name(r.q), name(r.b)) for r in media.descriptor_pairs(spark.createDataFrame(asked), spark.createDataFrame(base)).collect()}
-    pairs = lambda most: {(name(asked[i]), name(base[j])) for i, j in zip(*np.nonzero(apart <= most), strict=True)}
-    assert pairs(media.EXACT) <= got <= pairs(media.HAMMING) and len(got) >= 0.9 * len(pairs(media.HAMMING)) > 500
+    rows = [{name(r): [r[w] for w in media.WORDS] for r in t.collect()} for t in (asked, base)]
+    bits = [np.array(list(x.values()), dtype=np.int64).view(np.uint64) for x in rows]
+    apart = np.bitwise_count(bits[0][:, None] ^ bits[1][None]).sum(-1)
+    names = [list(x) for x in rows]
+    pairs = lambda most: {(names[0][i], names[1][j]) for i, j in zip(*np.nonzero(apart <= most), strict=True)}
+    for table_ in (base, media.descriptors(media.media_of(e), marked)):
+        got = {(name(r.q), name(r.b)) for r in media.descriptor_pairs(asked, table_).collect()}
+        assert pairs(media.EXACT) <= got <= pairs(media.HAMMING) and len(got) > 300
+    assert media.descriptors(media.media_of(e), marked).count() < 0.5 * base.count()
 
 
 def test_media_of_empty_tables(spark):
