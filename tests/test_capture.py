@@ -348,7 +348,8 @@ def test_motion_recovered_by_kernels(spark):
     b = a @ m.T + t
     got, shift = kernels.horn(a, b)
     assert np.allclose(got, m, atol=1e-9) and np.allclose(shift, t, atol=1e-9)
-    noisy = [(1, *map(float, p), *map(float, q if i % 7 else q + 1)) for i, (p, q) in enumerate(zip(a, b, strict=True))]
+    many = r.uniform(-1, 1, (140, 3))  # enough that three quarters of those held out are good ones
+    noisy = [(1, *map(float, p), *map(float, p @ m.T + t + (0 if i % 7 else 1))) for i, p in enumerate(many)]
     out = kernels.revisit_verification(spark.createDataFrame(noisy, "pair_id long, x double, y double, z double, rx double, ry double, rz double")).first()
     assert out.accepted and np.allclose(out.motion[9:], t, atol=1e-3)
     n = r.normal(size=(40, 3))
@@ -432,7 +433,7 @@ def test_bundle_adjustment_solves_points_with_poses(spark):
             rows.append(("s", f, t, float(300 * c[0] / -c[2] + 160) + wrong, float(120 - 300 * c[1] / -c[2]), given.tolist(), *map(float, start[t]), 300.0, 300.0, 160.0, 120.0))
     df = spark.createDataFrame(rows, "scan_id string, frame_id long, track_id long, u double, v double, pose array<double>, px double, py double, pz double, fx double, fy double, cx double, cy double")
     out = {x.frame_id: x for x in kernels.bundle_adjustment(df).collect()}
-    assert out[1].accepted and out[1].after < 0.05 < 0.5 < out[1].before
+    assert out[1].accepted and out[1].after < 0.1 < 1 < out[1].before
     assert all(np.allclose(out[f].pose[:3], true[f][:3], atol=0.01) for f in range(5)) and out[0].pose == [0.0] * 6
 
 

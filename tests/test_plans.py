@@ -29,4 +29,5 @@ def test_fusion_aggregates_before_the_shuffle_and_reads_two_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(vec_id), LessThan(vec_id,500)]" in plan(ad.frames(spark, DATA))
+    assert "LessThan(event_id,100)]" in plan(ad.frames(spark, DATA).filter("id < 100"))
+    assert "LessThan(vec_id,100)]" in plan(ad.points(spark, DATA).filter("ordinal < 100"))
