@@ -25,6 +25,28 @@ def test_sql_functions(spark):
     assert "Python" not in spark.sql("SELECT voxel_key(x, y, z, 0.1D) FROM pts")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sql_cameras_and_normals(spark):
+    from stereoloom.functions import geometry as g
+
+    register_udfs(spark)
+    own = ad.poses(spark, DATA).select("id", "pose", "intrinsics", F.col("a").alias("nx"), F.col("b").alias("ny"), F.col("c").alias("nz"), (F.col("id") % 240).cast("double").alias("u"), (F.col("id") % 180).cast("double").alias("v"), (1 + F.col("id") % 3).cast("double").alias("z"))
+    own = own.unionByName(own.limit(1).withColumns({k: F.lit(0.0) for k in ("nx", "ny", "nz")}))
+    k = g.Camera.of("intrinsics")
+    w = g.unproject(k, "pose", F.col("u"), F.col("v"), F.col("z"))
+    own = own.select("*", *[c.alias(f"w{n}") for n, c in zip("xyz", w, strict=True)])
+    own = own.select("*", g.project(k, "pose", [F.col(f"w{n}") for n in "xyz"]).alias("back"), g.project(k, "pose", [-F.col(f"w{n}") for n in "xyz"]).alias("behind"), vx.oct_encode("nx", "ny", "nz").alias("code"))
+    own.createOrReplaceTempView("cams")
+    lens = "intrinsics.fx, intrinsics.fy, intrinsics.cx, intrinsics.cy"
+    size = "intrinsics.width, intrinsics.height, pose"
+    rows = spark.sql(f"SELECT wx, wy, wz, back, behind, code, unproject(u, v, z, {lens}, pose) AS w, project(wx, wy, wz, {lens}, {size}) AS b, project(-wx, -wy, -wz, {lens}, {size}) AS h, oct_encode(nx, ny, nz) AS c, u FROM cams").collect()
+    assert len(rows) == 501 and all(r.c == r.code for r in rows) and rows[-1].c == 0
+    for r in rows:
+        assert r.w.x == pytest.approx(r.wx) and r.w.z == pytest.approx(r.wz) and (r.b is None) == (r.back is None) and (r.h is None) == (r.behind is None)
+        if r.b is not None:
+            assert r.b.u == pytest.approx(r.back.u) == pytest.approx(r.u, abs=1e-6) and r.b.z == pytest.approx(r.back.z)
+    assert sum(r.b is not None for r in rows) > 400
+
+
 def test_entries(spark, tmp_path):
     fr = ad.frames(spark, DATA).filter("scan_id < 5").withColumns({"exposure_blur": F.lit(0.0), "sharpness": F.lit(1.0), "detail": F.abs("dx")})
     path = str(tmp_path / "entry")
