@@ -65,20 +65,21 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int
     from stereoloom.plans.durable import durable
 
     right = right.filter(all_finite("x", "y", "z"))
-    held = right.groupBy("scan_id").agg((F.count("*") - int(same_table)).alias("n")).filter("n > 0")
-    todo = left.filter(all_finite("x", "y", "z")).join(held.select("scan_id", F.least("n", F.lit(k)).alias("__k")), "scan_id")
+    held = right.groupBy("scan_id").agg((F.count("*") - int(same_table)).alias("n")).filter("n > 0").select("scan_id", F.least("n", F.lit(k)).alias("need"))
+    held = durable(held)  # a row a scan
+    todo = left.filter(all_finite("x", "y", "z")).join(held, "scan_id", "left_semi")
     out, ring = None, 0
+    w = Window.partitionBy("scan_id", "a")
     while True:
         pairs = radius_join(todo, right, radius * 2**ring, left_id=left_id)
         if same_table:
             pairs = pairs.filter("a <> b")
-        w = Window.partitionBy("scan_id", "a").orderBy("d", "b")
-        found = durable(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-        counts = found.groupBy("scan_id", F.col("a").alias(left_id)).agg(F.count("*").alias("__n"))
-        full = todo.join(counts, ["scan_id", left_id]).filter("__n >= __k").select("scan_id", left_id)
+        ranked = pairs.withColumns({"rank": F.row_number().over(w.orderBy("d", "b")), "met": F.count("*").over(w)}).filter(F.col("rank") <= k)
+        found = durable(ranked.join(held, "scan_id").withColumn("full", F.col("met") >= F.col("need")).drop("met", "need"))
+        full = found.filter("full and rank = 1").select("scan_id", F.col("a").alias(left_id))
         rest = durable(todo.join(full, ["scan_id", left_id], "left_anti"))
         last = ring + 1 == rings or rest.isEmpty()
-        part = found if last else found.join(full.withColumnRenamed(left_id, "a"), ["scan_id", "a"], "left_semi")
+        part = (found if last else found.filter("full")).drop("full")
         out = part if out is None else out.unionByName(part)
         if last:
             return out
