@@ -734,14 +734,11 @@ def test_group_count_of_a_join_follows_its_inputs(spark):
 
 def test_line_dedup_of_a_leaf_over_many_groups(spark):
     """A template whose names differ in every document, with repeated, null and far ids, over more groups than rows a task."""
-    rows = [(i % 90 if i % 11 else None, f"Posted by user{chr(97 + i % 26)}{chr(97 + i // 26)} on our board today\nbody {i} of the text number {chr(97 + i % 26)} here") for i in range(200)]
+    rows = [(i % 90 if i % 11 else None, f"Posted here by user{chr(97 + i % 26)}{chr(97 + i // 26)} on our board today\nbody {i} of the text number {chr(97 + i % 26)} here") for i in range(200)]
     got = line_dedup.line_dedup(table(spark, rows)).collect()
-    gone = sum(r.n_dropped for r in got)
-    masked = {}
-    for i, t in rows:
-        masked.setdefault(t.split("\n")[0], []).append(i)
     kept = [r for r in got if "Posted" in r.text]
-    assert len({r.doc_id for r in kept}) <= 2 and gone >= 198 and len(got) == 200
+    # both lines are templates; two rows of the least id hold each on the same line, and both stay
+    assert [r.doc_id for r in kept] == [0, 0] and sum(r.n_dropped for r in got) == 2 * 198 and len(got) == 200
 
 
 @pytest.mark.parametrize("most", [64, 1 << 20])
