@@ -29,7 +29,7 @@ def near_pairs(points: DataFrame, radius: float, carry: tuple[str, ...] = (), on
     so a pair is found once; what is known of its ends goes through the one
     join with it.
     """
-    own = points.select(F.col(on), F.struct(F.col(id_column).alias("id"), "x", "y", "z", *carry).alias("p"), vx.voxel_key("x", "y", "z", _d(radius)).alias("own"))
+    own = points.select(F.col(on), F.struct(F.col(id_column).alias("id"), *dict.fromkeys(("x", "y", "z", *carry))).alias("p"), vx.voxel_key("x", "y", "z", _d(radius)).alias("own"))
     here = own.filter("own is not null").select(F.col(on), F.col("p").alias("left"), F.col("own").alias("key"))
     there = own.select(F.col(on), F.col("p").alias("right"), "own", F.explode(F.filter(vx.neighbour_keys("own"), lambda k: k >= F.col("own"))).alias("key"))
     met = here.join(there, [on, "key"]).filter((F.col("key") != F.col("own")) | (F.col("left.id") < F.col("right.id"))).filter("left.id <> right.id")

@@ -108,9 +108,8 @@ def reference_views(frames: DataFrame, near: float = 0.06, far: float = 0.4, cos
 
     import pandas as pd
 
-    pairs = spatial.neighbour_frames(frames, far, math.degrees(math.acos(cos))).filter(F.col("d") >= near)
-    info = lambda n: frames.select("scan_id", F.col("id").alias(n), F.col("timestamp").alias(f"t{n}"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
-    own = pairs.join(info("a"), ["scan_id", "a"]).join(info("b"), ["scan_id", "b"]).filter(F.abs(F.col("ta") - F.col("tb")) >= seconds)
+    pairs = spatial.neighbour_frames(frames, far, math.degrees(math.acos(cos)), ("timestamp", "x", "y", "z")).filter(F.col("d") >= near)
+    own = pairs.filter(F.abs(F.col("a_timestamp") - F.col("b_timestamp")) >= seconds).select("scan_id", "a", "b", "d", *[F.col(f"b_{c}").alias(f"b{c}") for c in "xyz"])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(r=(pdf.d - ideal).abs()).sort_values(["r", "b"])

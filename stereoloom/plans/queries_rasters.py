@@ -270,7 +270,7 @@ def sp10(spark, sf):
     return splats.transient_mask(own, ["f"], 1.5).filter("masked").select("f", F.col("window").alias("window_"), "i", "j")
 
 
-@query("io5_depth_rasters", None)
+@query("io5_depth_rasters", f"WITH {BYTES} SELECT CAST(frame_id AS INT) AS frame_id, count(*) AS n, CAST(sum(l) AS BIGINT) AS conf FROM px WHERE v < 2 GROUP BY frame_id")
 def io5(spark, sf):
     own = luma(spark, sf).select(F.lit("s").alias("scan_id"), F.col("frame_id").cast("int").alias("frame_id"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.substring("luma", 1, 64).alias("depth"), F.substring("luma", 1, 16).alias("conf"))
     return raster.depth_samples(own).groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"))
