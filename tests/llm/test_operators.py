@@ -435,6 +435,24 @@ def test_parts_of_a_large_bucket_meet(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id) for r in got) == classes_by_force(rows)
 
 
+def test_no_pair_at_the_threshold_misses_all_bands(spark):
+    """Every two different texts of a thousand documents that share a shingle, by exact similarity."""
+    texts = sorted({(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()})
+    doc, value, count, _ = near_dedup.weighted_shingles(texts)
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sets = [near_dedup.pack(value[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    bands = near_dedup.signatures(doc, value, count, len(texts)).reshape(len(texts), near_dedup.BANDS, near_dedup.ROWS)
+    found = 0
+    for i in range(len(texts)):
+        others = [j for j in range(i) if len(sets[j]) and 0.4 * len(sets[i]) <= len(sets[j]) <= 2.5 * len(sets[i])] if len(sets[i]) else []
+        if others:
+            alike = near_dedup._against(sets[i], [sets[j] for j in others], 0.8)
+            for j in np.array(others)[alike >= 0.8].tolist():
+                found += 1
+                assert (bands[i] == bands[j]).all(axis=1).any()
+    assert found >= 5
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     out = {r.node: r.label for r in components.components(e).collect()}
