@@ -33,7 +33,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding rendered as an image; edited copies of those whose id is divisible by 20 are searched among all."""
+    """Every embedding rendered as an image; edited copies of those whose id is divisible by 20 are searched among all.
+
+    A row for each query and image that are linked, with its class and number of links.
+    """
+    return media.copy_classes(image_copies(spark, sf_dir))
+
+
+def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return media.copies(media.media_of(rows.filter(F.col("vec_id") % 20 == 0), edit=True), media.media_of(rows))
 
