@@ -209,7 +209,7 @@ def test_contamination_in_blocks(spark, monkeypatch):
 
 def test_media_recall_and_hostile_rasters(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    found = queries.op4_local_descriptors(spark, DATA).collect()
+    found = queries.image_copies(spark, DATA).collect()
     asked = {r.vec_id for r in e.filter("vec_id % 20 = 0").collect()}
     hit = {r.query_id for r in found if r.query_id == r.image_id}
     assert len(hit) >= 0.9 * len(asked) and len(found) <= 1.2 * len(asked)
@@ -257,6 +257,25 @@ def test_hamming_tables_miss_none_that_they_must_meet(spark):
     assert media.descriptors(media.media_of(e), marked).count() < 0.5 * base.count()
 
 
+def test_copy_classes_count_links_and_join_groups(spark):
+    pairs = [(1, 10, 5), (1, 11, 9), (2, 11, 7), (3, 20, 6), (40, 3, 8), (40, 40, 30)]
+    got = {(r.kind, r.id): (r.class_id, r.links, r.votes) for r in media.copy_classes(spark.createDataFrame(pairs, "query_id long, image_id long, votes long")).collect()}
+    assert got == {("query", 1): (10, 2, 9), ("query", 2): (10, 1, 7), ("image", 10): (10, 1, 5), ("image", 11): (10, 2, 9), ("query", 3): (20, 1, 6), ("image", 20): (20, 1, 6), ("query", 40): (3, 2, 30), ("image", 3): (3, 1, 8), ("image", 40): (3, 1, 30)}
+    assert media.copy_classes(spark.createDataFrame([], "query_id long, image_id long, votes long")).count() == 0
+
+
+def test_a_group_of_near_copies_gives_a_row_each(spark):
+    """A query's links grow with its group, the result's rows with the images."""
+    r = np.random.default_rng(1)
+    base = r.normal(0, 0.125, 64)
+    rows = [(i, [float(x) for x in base + r.normal(0, 0.002, 64)]) for i in range(80)] + [(i, [float(x) for x in r.normal(0, 0.125, 64)]) for i in range(80, 120)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = media.copy_classes(media.copies(media.media_of(e.filter("vec_id % 20 = 0"), edit=True), media.media_of(e))).collect()
+    group = [x for x in got if x.class_id == 0]
+    assert sum(x.kind == "image" for x in group) >= 72 and sum(x.kind == "query" for x in group) == 4 and len(got) <= 80 + 4 + 4
+    assert all(x.links >= 60 for x in group if x.kind == "query")
+
+
 def test_media_of_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert media.copies(media.media_of(none, edit=True), media.media_of(none)).count() == 0
