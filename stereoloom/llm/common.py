@@ -19,9 +19,13 @@ SLICE_BYTES = 2 << 20
 
 _SPLIT = np.uint64(30), np.uint64(27), np.uint64(31)
 _MULT = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+PRIME = np.uint64((1 << 61) - 1)
 _WORD_BASE = 0x9E3779B97F4A7C15
 _GRAM_BASE = 0xD6E8FEB86659FD93
-_BYTE_CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_CODES = (np.random.default_rng(20240501).permutation(1 << 20)[:256] + 1).astype(np.uint64)
+#: Values that are multiplied at a time, so that the steps stay in a core's cache.
+_BLOCK = 1 << 14
+_HALF, _LOW_HALF = np.uint64(31), np.uint64((1 << 31) - 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,17 +75,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """An equal number modulo 2**61 - 1, at most 2**61 + 6."""
+    return (x & PRIME) + (x >> np.uint64(61))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """uint64 modulo the prime 2**61 - 1."""
+    x = folded(x)
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of folded numbers (the result is folded too), from halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _HALF, a & _LOW_HALF, b >> _HALF, b & _LOW_HALF
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a0 *= b0
+    return _joined(middle, a0 + (a1 << np.uint64(1)))
+
+
+def times_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``times`` where ``a`` is below 2**31."""
+    return _joined(a * (b >> _HALF), a * (b & _LOW_HALF))
+
+
+def _joined(middle: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    rest += middle >> np.uint64(30)
+    middle &= np.uint64((1 << 30) - 1)
+    middle <<= _HALF
+    rest += middle
+    return folded(rest)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 to base**(n - 1) modulo 2**61 - 1."""
+    out, step = np.ones(1, dtype=np.uint64), base % int(PRIME)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.uint64(step))])
+        step = step * step % int(PRIME)
+    return reduced(out[:n])
 
 
 class PowerTable:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo 2**61 - 1, grown on demand."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.base = base % int(PRIME)
+        self.inverse = pow(self.base, -1, int(PRIME))
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +137,26 @@ class PowerTable:
 _word_powers, _gram_powers = PowerTable(_WORD_BASE), PowerTable(_GRAM_BASE)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: PowerTable) -> np.ndarray:
-    """Mixed polynomial hash of ``values[start:end]`` for every span, by prefix sums modulo 2**64."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: PowerTable, small: bool = False) -> np.ndarray:
+    """Mixed polynomial hash of ``values[start:end]`` for every span, by prefix sums modulo 2**61 - 1.
+
+    The modulus is a prime: modulo a power of two, sequences that double by
+    their own complement (of 1,024 values, say) collide for every base.
+    ``small`` says that values are below 2**31.
+    """
     up, down = table.upto(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    high, low = np.zeros(len(values) + 1, dtype=np.uint64), np.zeros(len(values) + 1, dtype=np.uint64)
+    for i in range(0, len(values), _BLOCK):
+        some = values[i : i + _BLOCK]
+        j = i + len(some)
+        term = times_small(some, up[i:j]) if small else times(folded(some), up[i:j])
+        np.right_shift(term, np.uint64(32), out=high[i + 1 : j + 1])
+        np.bitwise_and(term, np.uint64(0xFFFFFFFF), out=low[i + 1 : j + 1])
+    np.cumsum(high, out=high)  # neither sum overflows below 2**32 values
+    np.cumsum(low, out=low)
+    high, low = high[ends] - high[starts], low[ends] - low[starts]
+    total = folded((((high << np.uint64(32)) & PRIME) | (high >> np.uint64(29))) + folded(low))
+    return mix(reduced(times(total, down[starts])) + (ends - starts).astype(np.uint64))
 
 
 def separator_table(kind: str) -> np.ndarray:
@@ -147,7 +204,7 @@ def _words_of_slice(raw: np.ndarray, separators: np.ndarray):
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return starts, ends, np.empty(0, dtype=np.uint64)
-    return starts, ends, span_hashes(_BYTE_CODES[raw], starts, ends, _word_powers)
+    return starts, ends, span_hashes(_BYTE_CODES[raw], starts, ends, _word_powers, small=True)
 
 
 class Words:

@@ -179,16 +179,15 @@ def _sketch(batches):
 
 
 def _pack(batches):
-    """(content, shingles) of each row whose text has that content; other rows only share its doc_id."""
+    """(doc_id, content, shingles) of each row."""
     for batch in batches:
-        texts, out = c.utf8(batch.column(1)), []
-        wanted, same = np.asarray(batch.column(0)), np.zeros(batch.num_rows, dtype=bool)
+        texts, out, contents = c.utf8(batch.column(1)), [], [np.empty(0, dtype=np.uint64)]
         for i, j in c.chunks(texts):
             doc, value, count, own = weighted_shingles(texts[i:j])
-            same[i:j] = c.signed(own) == wanted[i:j]
+            contents.append(own)
             cuts = np.searchsorted(doc, np.arange(j - i + 1))
             out += [pack(value[a:b], count[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["content", "shingles"]).filter(pa.array(same))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.signed(np.concatenate(contents))), pa.array(out, pa.binary())], names=["doc_id", "content", "shingles"])
 
 
 def bucket_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
@@ -248,10 +247,10 @@ def _edges(rows):
 
 
 def _packed(source: DataFrame, texts: DataFrame, contents: DataFrame) -> DataFrame:
-    """(content, shingles) of the given contents, each from a row of its least doc_id."""
-    wanted = contents.join(texts, "content").select("content", F.col("first").alias("doc_id"))
-    rows = source.join(wanted, "doc_id").select("content", "text").mapInArrow(_pack, "content long, shingles binary")
-    return rows.groupBy("content").agg(F.min("shingles").alias("shingles"))
+    """(content, shingles) of the given contents, each from a row of its least doc_id; every such row is packed once, however many share its id."""
+    wanted = contents.join(texts, "content").select("content", "first")
+    rows = source.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_pack, "doc_id long, content long, shingles binary")
+    return rows.join(wanted, "content").filter("doc_id = first").groupBy("content").agg(F.min("shingles").alias("shingles"))
 
 
 def _compared(dealt: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:

@@ -98,7 +98,7 @@ def _runs(rows: np.ndarray, upto: int) -> np.ndarray:
 def _prefix_codes(lang: bytes, rows: np.ndarray, names: list, hot: frozenset) -> np.ndarray:
     """The code by which each suffix is dealt: that of its first word, or of its shortest prefix that is not hot."""
     out = np.zeros(len(rows), np.int64)
-    root, todo = _code(0, lang), [(0, len(rows), 0, None)]
+    root, todo = _code(0, lang), [(0, len(rows), 0, None)] if len(rows) else []
     while todo:
         a, b, level, prefix = todo.pop()
         column = rows[a:b, level]

@@ -104,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others cannot be said in SQL at whole size; tests/llm holds them against brute force, round trips and held-out rows."""
-    return {"op11_url_filter": url_filter.sql(), "op12_phrase_mining": phrases.SQL, "op13_source_audit": source_audit.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op11_url_filter": url_filter.sql(), "op12_phrase_mining": phrases.SQL, "op13_source_audit": source_audit.SQL}

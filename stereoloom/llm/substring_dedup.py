@@ -477,3 +477,14 @@ def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW)
         kept = b" ".join(w for x, w in enumerate(words) if x not in dead)
         out.append((len(words), len(dead), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: DuckDB form of the digest over ``documents``: every window as a text, for tables whose windows fit one machine.
+SQL = r"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT d, i, array_to_string(words[i : i + 19], ' ') AS w FROM (SELECT d, words, unnest(range(1, len(words) - 18)) AS i FROM docs)),
+later AS (SELECT d, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY d, i) > 1),
+gone AS (SELECT DISTINCT d, unnest(range(i, i + 20)) AS place FROM later),
+kept AS (SELECT d, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM (SELECT d, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs) ANTI JOIN gone USING (d, place) GROUP BY d)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (d)
+"""
