@@ -30,8 +30,9 @@ CHUNK_BYTES = 8 << 20
 SAMPLE = 32
 
 _STOP, _STOPS = b"\xff", b".,;:!?\n\x0b\x0c\r"
-_SUFFIXES = "lang string, suffix binary, deal long, n long"
-_COUNTS = "lang string, phrase binary, n long"
+#: A key is the language in hexadecimal digits and the words behind it, each after a zero byte.
+_SUFFIXES = "key binary, deal long, n long"
+_DEPTH = MAX_WORDS + 1
 
 
 def _folded_byte(b: int) -> int:
@@ -82,12 +83,30 @@ def _distinct(words: list[bytes], whole: bool):
     names = [None, *[w for w in number if number[w]]]
     if not len(starts):
         return np.empty((0, MAX_WORDS), np.int64), np.empty(0, np.int64), names
-    rows = np.stack([ids[starts + j] for j in range(MAX_WORDS)], axis=1)
+    columns = [ids[starts]]
     for j in range(1, MAX_WORDS):  # nothing behind a piece's end
-        rows[rows[:, j - 1] == 0, j] = 0
-    rows = rows[np.lexsort(rows.T[::-1])]
-    edge = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return rows[edge], np.diff(np.append(edge, len(rows))), names
+        columns.append(np.where(columns[-1] == 0, 0, ids[starts + j]))
+    bits = max(len(names) - 1, 1).bit_length()
+    per_key = min(63 // bits, MAX_WORDS)
+    keys = []
+    for a in range(0, MAX_WORDS, per_key):  # several numbers to an integer
+        key = np.zeros(len(starts), np.int64)
+        for column in columns[a : a + per_key]:
+            key = key << bits | column
+        keys.append(key)
+    if len(keys) == 1:
+        keys[0].sort()
+    else:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+    new = np.ones(len(starts), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    edge = np.flatnonzero(new)
+    rows = np.empty((len(edge), MAX_WORDS), np.int64)
+    for j in range(MAX_WORDS):
+        last = min(j // per_key * per_key + per_key, MAX_WORDS) - 1
+        rows[:, j] = keys[j // per_key][edge] >> (bits * (last - j)) & ((1 << bits) - 1)
+    return rows, np.diff(np.append(edge, len(starts))), names
 
 
 def _runs(rows: np.ndarray, upto: int) -> np.ndarray:
@@ -121,7 +140,7 @@ def _by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
 
 def _suffixes(hot: frozenset):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("suffix", pa.binary()), ("deal", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("key", pa.binary()), ("deal", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             for lang, texts in _by_language(batch).items():
                 for words, whole in _tokens(texts):
@@ -131,8 +150,8 @@ def _suffixes(hot: frozenset):
                     for a in range(0, len(rows), 200_000):
                         some = slice(a, a + 200_000)
                         parts = [words_by_number.take(pa.array(rows[some, j])) for j in range(MAX_WORDS)]
-                        suffix = pc.binary_join_element_wise(*parts, pa.scalar(b"\0", pa.binary()), null_handling="skip")
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(suffix), pa.string()), suffix, pa.array(deal[some]), pa.array(n[some])], schema=schema)
+                        key = pc.binary_join_element_wise(pa.scalar(lang.encode().hex().encode(), pa.binary()), *parts, pa.scalar(b"\0", pa.binary()), null_handling="skip")
+                        yield pa.RecordBatch.from_arrays([key, pa.array(deal[some]), pa.array(n[some])], schema=schema)
 
     return work
 
@@ -178,74 +197,121 @@ def hot_prefixes(docs: DataFrame) -> frozenset:
     return frozenset(r.code for r in counts.filter((F.col("code") != -1) & (F.col("n") * 4 * tasks > F.col("all"))).select("code").collect())
 
 
-def _count_prefixes(hot: frozenset, least: int):
-    """Rows arrive by language and suffix, greatest first; the stack holds the words of the open prefix and their counts.
+class _PrefixStack:
+    """Counts of all prefixes of keys that arrive in reverse order.
 
-    The empty prefix counts all. A closed prefix leaves when it is frequent, or
-    hot and so shared with other tasks.
+    The open prefix and its counts are the stack. A batch of keys is taken in
+    one step: at each depth, a run of keys with equal first words is one
+    prefix; the first run may go on with the stack's, the last stays open.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, words, counts, codes, out = None, [], [0], [0], []
+    def __init__(self, hot: frozenset, least: int):
+        self.hot, self.least = hot, least
+        self.words: list[bytes] = []
+        self.counts: list[int] = []
+        self.out: list[tuple[bytes, int]] = []
+        self.codes: dict = {}
+
+    def _hot(self, parent: int | None, word: bytes) -> int:
+        """The prefix's code if it is hot, else 0. A parent of None is the root, whose word is a language."""
+        known = self.codes.get((parent, word))
+        if known is None:
+            if len(self.codes) > 200_000:
+                self.codes.clear()
+            known = _code(0, bytes.fromhex(word.decode())) if parent is None else _code(parent, word)
+            known = known if parent is None or known in self.hot else 0
+            self.codes[parent, word] = known
+        return known
+
+    def _closed(self, words: list[bytes], n: int) -> None:
+        """A prefix that is complete in this task leaves if it is frequent; a hot one, and the language itself, leave as a part."""
+        if n < self.least:
+            code = None
+            for w in words:
+                code = self._hot(code, w)
+                if not code:
+                    return
+        self.out.append((b"\0".join(words), n))
+
+    def close(self, depth: int = 0) -> None:
+        for j in range(len(self.words), depth, -1):
+            self._closed(self.words[:j], self.counts[j - 1])
+
+    def feed(self, keys: pa.Array, n: np.ndarray) -> None:
+        m = len(keys)
+        if not m:
+            return
+        split = pc.split_pattern(keys.cast(pa.string()), "\0")
+        starts = split.offsets.to_numpy()
+        flat = split.flatten()
+        ids = flat.dictionary_encode().indices.to_numpy()
+        depth = np.diff(starts)
+        table = np.full((m, _DEPTH), -1, np.int64)
+        for j in range(_DEPTH):
+            has = depth > j
+            table[has, j] = ids[starts[:-1][has] + j]
+        words = lambda i, j: [x.encode() for x in flat[starts[i] : starts[i] + j].to_pylist()]
+        same, first = np.empty(m, np.int64), words(0, int(depth[0]))
+        same[1:] = np.cumprod((table[1:] == table[:-1]) & (table[1:] >= 0), axis=1).sum(axis=1)
+        same[0] = next((k for k, (a, b) in enumerate(zip(self.words, first, strict=False)) if a != b), min(len(self.words), len(first)))
+        self.close(int(same[0]))
+        counts, code = [], np.zeros(m, np.int64)
+        for j in range(1, int(depth.max()) + 1):
+            at = np.flatnonzero(depth >= j)
+            goes_on = bool(at[0] == 0 and same[0] >= j)
+            run = np.flatnonzero((same[at] < j) | (at == 0))
+            size = np.add.reduceat(n[at], run)
+            if goes_on:
+                size[0] += self.counts[j - 1]
+            # only below hot prefixes can a prefix be hot
+            first_row = at[run]
+            hot = np.zeros(len(run), np.int64)
+            for k in (range(len(run)) if j == 1 else np.flatnonzero(code[first_row]).tolist()):
+                hot[k] = self._hot(None if j == 1 else int(code[first_row[k]]), words(first_row[k], j)[-1])
+            code[:] = 0
+            code[at] = np.repeat(hot, np.diff(np.append(run, len(at))))
+            still_open = depth[m - 1] >= j
+            if still_open:
+                counts.append(int(size[-1]))
+            for k in np.flatnonzero((size[: len(run) - still_open] >= self.least) | (hot[: len(run) - still_open] != 0)).tolist():
+                self.out.append((b"\0".join(words(first_row[k], j)), int(size[k])))
+        self.words, self.counts = words(m - 1, int(depth[m - 1])), counts
 
-        def close(depth: int) -> None:
-            while len(words) > depth:
-                n, code = counts.pop(), codes.pop()
-                counts[-1] += n
-                if n >= least or code is not None:
-                    out.append((lang, b"\0".join(words), n))
-                words.pop()
 
+def _count_prefixes(hot: frozenset, least: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = _PrefixStack(hot, least)
         for batch in batches:
-            for row_lang, suffix, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if row_lang != lang:
-                    close(0)
-                    if lang is not None:
-                        out.append((lang, b"", counts[0]))
-                    lang, counts[0], codes[0] = row_lang, 0, _code(0, row_lang.encode())
-                new = suffix.split(b"\0")
-                same, most = 0, min(len(new), len(words))
-                while same < most and new[same] == words[same]:
-                    same += 1
-                close(same)
-                for word in new[same:]:
-                    words.append(word)
-                    counts.append(0)
-                    code = codes[-1]
-                    if code is not None:  # only below hot prefixes
-                        code = _code(code, word)
-                        code = code if code in hot else None
-                    codes.append(code)
-                counts[-1] += n
-            if len(out) > 20_000:
-                yield _counted(out)
-                out.clear()
-        close(0)
-        if lang is not None:
-            out.append((lang, b"", counts[0]))
-        yield _counted(out)
+            stack.feed(batch.column(0), batch.column(1).to_numpy())
+            if len(stack.out) > 20_000:
+                yield _counted(stack.out)
+                stack.out = []
+        stack.close()
+        yield _counted(stack.out)
 
     return work
 
 
 def _counted(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["lang", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], names=["key", "n"])
 
 
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words as they were, joined by spaces."""
+    """Languages and words as they were, words joined by spaces."""
     for batch in batches:
-        phrase = [x.translate(_UNFOLD) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(phrase, pa.binary()).cast(pa.string()), batch.column(2)], names=["lang", "phrase", "n"])
+        parts = [x.partition(b"\0") for x in batch.column(0).to_pylist()]
+        lang = pa.array([bytes.fromhex(x[0].decode()) for x in parts], pa.binary()).cast(pa.string())
+        phrase = pa.array([x[2].translate(_UNFOLD) for x in parts], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([lang, phrase, batch.column(1)], names=["lang", "phrase", "n"])
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, n): every phrase of one to five words with ``n >= least`` occurrences, and each language's words under the empty phrase."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     hot = hot_prefixes(texts)
-    dealt = texts.mapInArrow(_suffixes(hot), _SUFFIXES).repartition("deal").drop("deal").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    parts = dealt.mapInArrow(_count_prefixes(hot, least), _COUNTS)
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.octet_length("phrase") == 0)).mapInArrow(_restored, "lang string, phrase string, n long")
+    dealt = texts.mapInArrow(_suffixes(hot), _SUFFIXES).repartition("deal").drop("deal").sortWithinPartitions(F.desc("key"))
+    parts = dealt.mapInArrow(_count_prefixes(hot, least), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return parts.mapInArrow(_restored, "lang string, phrase string, n long").filter((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:

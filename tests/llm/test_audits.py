@@ -75,8 +75,8 @@ def test_suffixes_do_not_depend_on_chunks(monkeypatch, most):
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
     got = Counter()
     for b in phrases._suffixes(frozenset())(iter([batch])):
-        for suffix, n in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-            got[suffix] += n
+        for suffix, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            got[suffix.removeprefix(b"656e\0")] += n
     want = Counter()
     for text in texts:
         for piece in re.split(r"[.,]", text):
@@ -85,6 +85,28 @@ def test_suffixes_do_not_depend_on_chunks(monkeypatch, most):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_prefix_counts_do_not_depend_on_batches(size):
+    r = random.Random(size)
+    keys = Counter(b"\0".join([b"656e" if r.random() < 0.7 else b"6465", *[r.choice([b"a", b"b", b"ab", b"\x01"]) for _ in range(r.randint(1, 5))]]) for _ in range(3000))
+    want = Counter()
+    for key, n in keys.items():
+        words = key.split(b"\0")
+        for j in range(1, len(words) + 1):
+            want[b"\0".join(words[:j])] += n
+    hot = {phrases._code(phrases._code(0, b"en"), b"a")}
+    hot.add(phrases._code(next(iter(hot)), b"ab"))
+    order = sorted(keys, reverse=True)
+    for hot_now in (frozenset(), frozenset(hot)):
+        stack = phrases._PrefixStack(hot_now, 20)
+        for i in range(0, len(order), size):
+            some = order[i : i + size]
+            stack.feed(pa.array(some, pa.binary()), np.array([keys[k] for k in some]))
+        stack.close()
+        always = {b"656e", b"6465"} | ({b"656e\0a", b"656e\0a\0ab"} if hot_now else set())
+        assert sorted(stack.out) == sorted((k, n) for k, n in want.items() if n >= 20 or k in always)
+
+
 def test_scores_beyond_64_bits(spark):
     """1000 a n passes 64 bits for large corpora; decimals carry it."""
     a, n, l, r = 3 * 10**11, 2 * 10**13, 10**12, 5 * 10**11
