@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stereoloom.operators import fusion, sampling
 from stereoloom.plans import adapters, registry
 
-for _part in ("points", "poses", "frames", "rasters", "streams", "files"):
+for _part in ("points", "poses", "frames", "rasters", "streams", "files", "tracks"):
     importlib.import_module(f"stereoloom.plans.queries_{_part}")
 
 
