@@ -19,10 +19,10 @@ SLICE_BYTES = 2 << 20
 
 _SPLIT = np.uint64(30), np.uint64(27), np.uint64(31)
 _MULT = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_PLACE_STEP = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64((1 << 61) - 1)
-_WORD_BASE = 0x9E3779B97F4A7C15
 _GRAM_BASE = 0xD6E8FEB86659FD93
-_BYTE_CODES = (np.random.default_rng(20240501).permutation(1 << 20)[:256] + 1).astype(np.uint64)
+_BYTE_CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Values that are multiplied at a time, so that the steps stay in a core's cache.
 _BLOCK = 1 << 14
 _HALF, _LOW_HALF = np.uint64(31), np.uint64((1 << 31) - 1)
@@ -97,11 +97,6 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _joined(middle, a0 + (a1 << np.uint64(1)))
 
 
-def times_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """As ``times`` where ``a`` is below 2**31."""
-    return _joined(a * (b >> _HALF), a * (b & _LOW_HALF))
-
-
 def _joined(middle: np.ndarray, rest: np.ndarray) -> np.ndarray:
     rest += middle >> np.uint64(30)
     middle &= np.uint64((1 << 30) - 1)
@@ -134,22 +129,22 @@ class PowerTable:
         return self.up, self.down
 
 
-_word_powers, _gram_powers = PowerTable(_WORD_BASE), PowerTable(_GRAM_BASE)
+_gram_powers = PowerTable(_GRAM_BASE)
+_place_codes = np.empty(0, dtype=np.uint64)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: PowerTable, small: bool = False) -> np.ndarray:
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: PowerTable) -> np.ndarray:
     """Mixed polynomial hash of ``values[start:end]`` for every span, by prefix sums modulo 2**61 - 1.
 
     The modulus is a prime: modulo a power of two, sequences that double by
     their own complement (of 1,024 values, say) collide for every base.
-    ``small`` says that values are below 2**31.
     """
     up, down = table.upto(len(values) + 1)
     high, low = np.zeros(len(values) + 1, dtype=np.uint64), np.zeros(len(values) + 1, dtype=np.uint64)
     for i in range(0, len(values), _BLOCK):
         some = values[i : i + _BLOCK]
         j = i + len(some)
-        term = times_small(some, up[i:j]) if small else times(folded(some), up[i:j])
+        term = times(folded(some), up[i:j])
         np.right_shift(term, np.uint64(32), out=high[i + 1 : j + 1])
         np.bitwise_and(term, np.uint64(0xFFFFFFFF), out=low[i + 1 : j + 1])
     np.cumsum(high, out=high)  # neither sum overflows below 2**32 values
@@ -204,7 +199,22 @@ def _words_of_slice(raw: np.ndarray, separators: np.ndarray):
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return starts, ends, np.empty(0, dtype=np.uint64)
-    return starts, ends, span_hashes(_BYTE_CODES[raw], starts, ends, _word_powers, small=True)
+    return starts, ends, _word_hashes(raw, starts, ends)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mixed sums over a word's bytes of the byte's code times the code of its place in the word; both are random, so no pattern of bytes cancels."""
+    global _place_codes
+    longest = int((ends - starts).max()) + 1
+    if len(_place_codes) < longest:
+        _place_codes = mix(np.arange(1, 2 * longest + 1, dtype=np.uint64) * _PLACE_STEP) | np.uint64(1)
+    begin = np.zeros(len(raw), dtype=np.int32)
+    begin[starts] = starts
+    place = np.arange(len(raw), dtype=np.int32) - np.maximum.accumulate(begin)
+    np.minimum(place, longest, out=place)  # gaps between words count for nothing
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[raw] * _place_codes[place], out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * _PLACE_STEP)
 
 
 class Words:
