@@ -17,44 +17,66 @@ def keyed(points: DataFrame, size: float, keys: tuple[str, ...] = ("scan_id",))
     return points.withColumn("key", vx.voxel_key("x", "y", "z", size)).filter("key is not null")
 
 
-def fold_mean(rows: Column, cap: float = WEIGHT_CAP) -> Column:
-    """Ordered fold of structs (o, x, y, z, w, measured) with the weight capped.
-
-    Each sample moves the mean by its share of the total weight; the stored
-    weight never exceeds ``cap``, so later samples keep a say. The array must
-    be sorted by arrival.
-    """
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "z", "w", "best")])
-
-    def step(acc, row):
-        w = F.greatest(row["w"], F.lit(LEAST_WEIGHT))
-        total = acc["w"] + w
-        move = lambda n: (acc[n] + (row[n] - acc[n]) * w / total).alias(n)
-        return F.struct(move("x"), move("y"), move("z"), F.least(total, F.lit(cap)).alias("w"), F.greatest(acc["best"], row["w"]).alias("best"))
-
-    return F.aggregate(rows, zero, step)
-
-
 def measured_first(points: DataFrame, keys: list[str]) -> DataFrame:
     """A3: if a cell has a measured sample, its inferred samples do not count."""
     any_measured = F.max(F.col("measured").cast("int")).over(Window.partitionBy(*keys))
     return points.withColumn("__m", any_measured).filter((F.col("__m") == 0) | F.col("measured")).drop("__m")
 
 
-def fuse_exact(points: DataFrame, size: float, cap: float = WEIGHT_CAP, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+#: Orders that one segment of a cell spans; a segment's samples are sorted in one task.
+SEGMENT = 1 << 16
+
+
+def capped_means(rows: DataFrame, keys: list[str], order: str, values: tuple[str, ...], weight: str, cap: float, precedence: str | None = None, segment: int = SEGMENT) -> DataFrame:
+    """keys, samples, weight (the sum), best (the largest weight) and each value's running mean in ``order``, where the old weight counts at most ``cap``.
+
+    As long as the old weight is below the cap this is the plain weighted
+    mean. From then on each sample is an affine map of the mean, m to
+    m (1 - a) + a x with a = w / (cap + w), and maps compose in any grouping.
+    So a cell is cut into segments of its order: their weights tell where each
+    begins, each is folded by itself (products as sums of logarithms), and
+    what follows a segment scales it. No row gathers a cell, however many
+    samples it has. With ``precedence`` only rows where it holds count in
+    cells that have any (A3). Samples of equal order are taken by their values.
+    """
+    seg = F.floor(F.col(order) / segment).alias("seg")
+    own = rows.select(*keys, F.col(order).alias("o"), *[F.col(v).cast("double").alias(f"v_{v}") for v in values], F.col(weight).cast("double").alias("w"), (F.col(precedence) if precedence else F.lit(True)).alias("first"), seg)
+    parts = own.groupBy(*keys, "seg").agg(F.sum(F.when(F.col("first"), F.col("w"))).alias("w1"), F.sum("w").alias("w0"))
+    cell, up_to = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    parts = parts.withColumn("strict", F.max(F.col("w1").isNotNull()).over(cell)).withColumn("mine", F.when(F.col("strict"), F.coalesce("w1", F.lit(0.0))).otherwise(F.col("w0")))
+    parts = parts.select(*[F.col(k).alias(f"k_{k}") for k in (*keys, "seg")], "strict", F.coalesce(F.sum("mine").over(cell.orderBy("seg").rowsBetween(*up_to)), F.lit(0.0)).alias("before"))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in (*keys, "seg")]
+    own = own.join(parts, same).filter(F.col("first") | ~F.col("strict"))
+
+    ties = ["o", *[f"v_{v}" for v in values], "w"]
+    within = Window.partitionBy(*keys, "seg")
+    old = F.col("before") + F.coalesce(F.sum("w").over(within.orderBy(*ties).rowsBetween(*up_to)), F.lit(0.0))
+    own = own.withColumn("old", old).withColumn("a", F.when(F.col("old") > cap, F.col("w") / (F.col("w") + cap)))
+    own = own.withColumn("l", F.coalesce(F.log1p(-F.col("a")), F.lit(0.0)))
+    own = own.withColumn("later", F.coalesce(F.sum("l").over(within.orderBy(*[F.desc(c) for c in ties]).rowsBetween(*up_to)), F.lit(0.0)))
+    plain, drawn = F.col("a").isNull(), F.col("a") * F.exp("later")
+    folded = own.groupBy(*keys, "seg").agg(
+        F.count("*").alias("n"), F.sum("w").alias("w"), F.max("w").alias("best"), F.sum("l").alias("l"), F.sum(F.when(plain, F.col("w"))).alias("pw"),
+        *[F.sum(F.when(plain, F.col("w") * F.col(f"v_{v}"))).alias(f"p_{v}") for v in values], *[F.coalesce(F.sum(drawn * F.col(f"v_{v}")), F.lit(0.0)).alias(f"q_{v}") for v in values])
+    folded = folded.withColumn("later", F.coalesce(F.sum("l").over(cell.orderBy(F.desc("seg")).rowsBetween(*up_to)), F.lit(0.0)))
+    mean = lambda v: (F.sum(f"p_{v}") / F.sum("pw") * F.exp(F.sum("l")) + F.sum(F.col(f"q_{v}") * F.exp("later"))).alias(v)
+    return folded.groupBy(*keys).agg(F.sum("n").alias("samples"), F.sum("w").alias("weight"), F.max("best").alias("best"), *[mean(v) for v in values])
+
+
+def fuse_exact(points: DataFrame, size: float, cap: float = WEIGHT_CAP, keys: tuple[str, ...] = ("scan_id",), segment: int = SEGMENT) -> DataFrame:
     """A1 (with A3 if there is a ``measured`` column): cells by the capped running mean in order of ``ordinal``.
 
-    Needs x, y, z, score, ordinal. A cell's samples meet in one row, so use
-    ``fuse`` where cells can hold unbounded numbers of samples.
+    Needs x, y, z, score, ordinal; folded in segments, see ``capped_means``.
     """
-    own = keyed(points, size)
+    own = keyed(points, size).withColumn("w", F.greatest(F.col("score").cast("double"), F.lit(LEAST_WEIGHT)))
     group = [*keys, "key"]
-    if "measured" in own.columns:
-        own = measured_first(own, group)
-    d = lambda n: F.col(n).cast("double")
-    rows = F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("o"), d("x").alias("x"), d("y").alias("y"), d("z").alias("z"), d("score").alias("w"))))
-    folded = own.groupBy(*group).agg(F.count("*").alias("samples"), rows.alias("rows")).withColumn("f", fold_mean(F.col("rows"), cap))
-    return folded.select(*group, "samples", F.col("f.x").alias("mx"), F.col("f.y").alias("my"), F.col("f.z").alias("mz"), F.col("f.w").alias("weight"), F.col("f.best").alias("best_score"))
+    precedence = "measured" if "measured" in own.columns else None
+    folded = capped_means(own, group, "ordinal", ("x", "y", "z"), "w", cap, precedence, segment)
+    # the largest score itself, which may lie below the least weight
+    best = own.groupBy(*group).agg(F.max(F.struct(F.col(precedence) if precedence else F.lit(True), F.col("score").cast("double").alias("score"))).alias("b"))
+    best = best.select(*[F.col(k).alias(f"k_{k}") for k in group], F.col("b.score").alias("best_score"))
+    return folded.join(best, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in group]).select(
+        *group, "samples", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("z").alias("mz"), F.least("weight", F.lit(cap)).alias("weight"), "best_score")
 
 
 def fuse(points: DataFrame, size: float, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
@@ -200,16 +222,9 @@ def tsdf_updates(points: DataFrame, size: float, steps: int = 6) -> DataFrame:
 
 
 def tsdf_integrate(points: DataFrame, size: float, cap: float = 24.0, steps: int = 6) -> DataFrame:
-    """Running weighted mean of the signed distance in frame order, the old weight capped."""
-    updates = tsdf_updates(points, size, steps)
-    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("w"))
-
-    def step(acc, row):
-        old = F.least(acc["w"], F.lit(cap))
-        return F.struct(((acc["d"] * old + row["sdf"] * row["w"]) / (old + row["w"])).alias("d"), (old + row["w"]).alias("w"))
-
-    rows = F.array_sort(F.collect_list(F.struct("frame_id", "sdf", "w")))
-    return updates.groupBy("scan_id", "key").agg(F.count("*").alias("views"), F.aggregate(rows, zero, step).alias("s")).select("scan_id", "key", "views", F.col("s.d").alias("sdf"), F.col("s.w").alias("weight"))
+    """Running weighted mean of the signed distance in frame order, the old weight capped; folded in segments of frames."""
+    folded = capped_means(tsdf_updates(points, size, steps), ["scan_id", "key"], "frame_id", ("sdf",), "w", cap)
+    return folded.select("scan_id", "key", F.col("samples").alias("views"), "sdf", "weight")
 
 
 def tsdf_crossings(cells: DataFrame, size: float, least_views: int = 2) -> DataFrame:

@@ -6,6 +6,8 @@ bounds; nothing here gathers a whole table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +37,61 @@ def rotation_vector(r: np.ndarray) -> np.ndarray:
     return np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]]) / (2 * np.sin(t)) * t
 
 
+def rotations(v: np.ndarray) -> np.ndarray:
+    """Rotation matrices of many rotation vectors."""
+    t = np.linalg.norm(v, axis=-1)
+    small = t < 1e-12
+    safe = np.where(small, 1.0, t)
+    k = np.zeros((*v.shape[:-1], 3, 3))
+    k[..., 0, 1], k[..., 0, 2], k[..., 1, 0], k[..., 1, 2], k[..., 2, 0], k[..., 2, 1] = -v[..., 2], v[..., 1], v[..., 2], -v[..., 0], -v[..., 1], v[..., 0]
+    a, b = np.where(small, 1.0, np.sin(t) / safe), np.where(small, 0.0, (1 - np.cos(t)) / safe**2)
+    return np.eye(3) + a[..., None, None] * k + b[..., None, None] * (k @ k)
+
+
+class BlockTridiagonal:
+    """Solver of a symmetric positive system of blocks that couple neighbours only.
+
+    Every second block is eliminated at a time, so a factor and a solution are
+    some array operations for each halving instead of a step for each block.
+    """
+
+    def __init__(self, diagonal: np.ndarray, upper: np.ndarray):
+        self.levels, self.n = [], len(diagonal)
+        while len(diagonal) > 1:
+            odd = np.arange(1, len(diagonal), 2)
+            inverse = np.linalg.inv(diagonal[odd])
+            left = upper[odd - 1]
+            has_right = odd + 1 < len(diagonal)
+            right = upper[odd[has_right]]
+            lower = np.swapaxes(left, 1, 2)
+            kept = diagonal[0::2].copy()
+            kept[: len(odd)] -= left @ inverse @ lower
+            kept[1 : 1 + len(right)] -= np.swapaxes(right, 1, 2) @ inverse[has_right] @ right
+            self.levels.append((inverse, left, right))
+            diagonal, upper = kept, -left[has_right] @ inverse[has_right] @ right
+        self.last = np.linalg.inv(diagonal) if len(diagonal) else diagonal
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        """The solution for one right side (n, size)."""
+        times = lambda m, x: (m @ x[..., None])[..., 0]
+        back = lambda m, x: (np.swapaxes(m, 1, 2) @ x[..., None])[..., 0]
+        sides = []
+        for inverse, left, right in self.levels:
+            sides.append(b)
+            own = times(inverse, b[1::2])
+            b = b[0::2].copy()
+            b[: len(own)] -= times(left, own)
+            b[1 : 1 + len(right)] -= back(right, own[: len(right)])
+        x = times(self.last, b) if self.n else b
+        for (inverse, left, right), b in zip(self.levels[::-1], sides[::-1], strict=True):
+            odd = b[1::2] - back(left, x[: len(left)])
+            odd[: len(right)] -= times(right, x[1 : 1 + len(right)])
+            whole = np.empty_like(b)
+            whole[0::2], whole[1::2] = x, times(inverse, odd)
+            x = whole
+        return x
+
+
 def horn(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rigid motion that takes points a to b in the least squares: largest eigenvector of Horn's 4x4 matrix."""
     ca, cb = a.mean(0), b.mean(0)
@@ -126,21 +183,26 @@ def _sample(a, b, fit, random, least_area: float = 0.01):
     return horn(a[three], b[three])
 
 
-def conjugate_gradients(apply, right: np.ndarray, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
-    """Solution of a symmetric positive system given as a function."""
+def conjugate_gradients(apply, right: np.ndarray, rounds: int = 200, tolerance: float = 1e-10, nearly=None) -> np.ndarray:
+    """Solution of a symmetric positive system given as a function; ``nearly`` solves a system like it and saves rounds.
+
+    Ends when the squared residual (weighed by ``nearly``) falls below ``tolerance``.
+    """
     x = np.zeros_like(right)
     r = right - apply(x)
-    p, rr = r.copy(), float((r * r).sum())
+    z = nearly(r) if nearly else r
+    p, rz = z.copy(), float((r * z).sum())
     for _ in range(rounds):
-        if rr < tolerance:
+        if rz < tolerance:
             break
         ap = apply(p)
-        alpha = rr / float((p * ap).sum())
+        alpha = rz / float((p * ap).sum())
         x += alpha * p
         r -= alpha * ap
-        new = float((r * r).sum())
-        p = r + new / rr * p
-        rr = new
+        z = nearly(r) if nearly else r
+        new = float((r * z).sum())
+        p = z + new / rz * p
+        rz = new
     return x
 
 
@@ -204,7 +266,7 @@ def _between(times: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> np.ndarray
 
 def _residuals(points, poses, obs, k):
     """Pixel errors of observations (frame, track, u, v) under world-to-camera rotation vectors and shifts (GL axes)."""
-    r = np.stack([rotation(p[:3]) for p in poses])
+    r = rotations(poses[:, :3])
     cam = np.einsum("nij,nj->ni", r[obs[:, 0].astype(int)], points[obs[:, 1].astype(int)]) + poses[obs[:, 0].astype(int), 3:]
     z = np.where(np.abs(cam[:, 2]) > 1e-9, -cam[:, 2], 1e-9)
     return np.stack([k[0] * cam[:, 0] / z + k[2] - obs[:, 2], k[3] - k[1] * cam[:, 1] / z - obs[:, 3]], axis=1)
@@ -226,9 +288,10 @@ def _jacobians(points, poses, obs, k, base):
 
 
 def _gathered(index, values, n):
-    out = np.zeros((n, *values.shape[1:]))
-    np.add.at(out, index, values)
-    return out
+    """Sums of ``values`` by index, a column at a time."""
+    flat = values.reshape(len(values), -1)
+    out = np.stack([np.bincount(index, flat[:, c], n) for c in range(flat.shape[1])], axis=1) if len(values) else np.zeros((n, flat.shape[1]))
+    return out.reshape(n, *values.shape[1:])
 
 
 def _robust(e, huber):
@@ -251,13 +314,32 @@ def _solved_points(points, poses, obs, k, huber, prior, rounds=8):
     return points
 
 
-def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float = 2.0, prior: float = 1e-4, improve: float = 0.03, holdout: int = 5) -> DataFrame:
+@dataclass(frozen=True)
+class MotionPrior:
+    """How far the motion between neighbouring frames, and each frame by itself, may stray from the input's: standard deviations, and the longest gap in seconds that still counts."""
+
+    metres: float = 0.0003
+    degrees: float = 0.01
+    longest_gap: float = 0.5
+    frame_metres: float = 0.05
+    frame_degrees: float = 1.0
+
+
+def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float = 2.0, prior: float = 1e-4, improve: float = 0.03, holdout: int = 5, motion: MotionPrior | None = None) -> DataFrame:
     """Poses and points of each scan solved together by damped Gauss-Newton with Huber weights; points are eliminated in each step.
 
+    The reduced system of the poses is never formed: conjugate gradients need
+    only its product with a vector, which goes through the observations, and
+    a block-tridiagonal system (each frame's own block and the motion between
+    neighbours) makes them short. So memory follows the observations, not the
+    square of the frames.
+
     A weak pull to the start holds what the images leave open (scale), the
-    first frame holds place and direction. observations: scan_id, frame_id,
-    track_id, u, v, pose (6 numbers, world to camera: rotation vector and
-    shift), px, py, pz (track's start), fx, fy, cx, cy. Tracks of remainder
+    first frame holds place and direction; with ``motion`` each frame's move
+    from the one before is held to the input's. observations: scan_id,
+    frame_id, track_id, u, v, pose (6 numbers, world to camera: rotation
+    vector and shift), px, py, pz (track's start), fx, fy, cx, cy, and for
+    ``motion`` timestamp. Frames are in order of frame_id. Tracks of remainder
     ``holdout - 1`` take no part; their points are solved anew under the old
     and the new poses, and the result stands if their median error falls by
     ``improve``, else the input poses come back.
@@ -267,7 +349,8 @@ def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float =
         pdf = pdf.sort_values(["frame_id", "track_id", "u", "v"])
         frames, fi = np.unique(pdf.frame_id, return_inverse=True)
         tracks, ti = np.unique(pdf.track_id, return_inverse=True)
-        start = np.stack([np.asarray(pdf.pose.iloc[i], dtype=float) for i in np.unique(fi, return_index=True)[1]])
+        first = np.unique(fi, return_index=True)[1]
+        start = np.stack([np.asarray(pdf.pose.iloc[i], dtype=float) for i in first])
         given = pdf[["px", "py", "pz"]].to_numpy(dtype=float)[np.unique(ti, return_index=True)[1]]
         obs = np.stack([fi, ti, pdf.u, pdf.v], axis=1).astype(float)
         k = pdf[["fx", "fy", "cx", "cy"]].iloc[0].to_numpy(dtype=float)
@@ -279,7 +362,8 @@ def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float =
             points = _solved_points(given, poses, obs[test], k, huber, prior)
             return float(np.median(np.linalg.norm(_residuals(points, poses, obs[test], k), axis=1)))
 
-        poses = _adjusted(start, given, obs[~test], k, rounds, huber, prior)
+        chain = _Chain(start, pdf.timestamp.to_numpy(dtype=float)[first], motion) if motion else None
+        poses = _adjusted(start, given, obs[~test], k, rounds, huber, prior, chain)
         before, after = judged(start), judged(poses)
         ok = bool(np.isfinite(poses).all() and after <= (1 - improve) * before and np.isfinite(before))
         out = poses if ok else start
@@ -289,17 +373,82 @@ def bundle_adjustment(observations: DataFrame, rounds: int = 30, huber: float =
     return observations.groupBy("scan_id").applyInPandas(solve, f"scan_id {kind}, frame_id long, pose array<double>, accepted boolean, before double, after double")
 
 
-def _adjusted(start, given, obs, k, rounds, huber, prior):
+class _Chain:
+    """The motion prior as residuals of neighbouring poses: turn and shift from frame to frame against the input's, in standard deviations."""
+
+    def __init__(self, start: np.ndarray, times: np.ndarray, motion: MotionPrior):
+        gap = np.diff(times)
+        self.at = np.flatnonzero((gap >= 0) & (gap <= motion.longest_gap))
+        self.scale = 1 / np.array([np.radians(motion.degrees)] * 3 + [motion.metres] * 3)
+        self.turn, self.shift = self._relative(start)
+        self.start, self.pull = start, 1 / np.array([np.radians(motion.frame_degrees)] * 3 + [motion.frame_metres] * 3) ** 2
+
+    def _relative(self, poses):
+        a, b = poses[self.at], poses[self.at + 1]
+        turn = rotations(b[:, :3]) @ np.swapaxes(rotations(a[:, :3]), 1, 2)
+        return turn, b[:, 3:] - (turn @ a[:, 3:, None])[:, :, 0]
+
+    def residuals(self, poses: np.ndarray) -> np.ndarray:
+        turn, shift = self._relative(poses)
+        d = turn @ np.swapaxes(self.turn, 1, 2)
+        # for the small turns that the prior allows, the skew part is the rotation vector
+        w = np.stack([d[:, 2, 1] - d[:, 1, 2], d[:, 0, 2] - d[:, 2, 0], d[:, 1, 0] - d[:, 0, 1]], axis=1) / 2
+        return np.concatenate([w, shift - self.shift], axis=1) * self.scale
+
+    def cost(self, poses: np.ndarray) -> float:
+        return float((self.residuals(poses) ** 2).sum() + (self.pull * (poses - self.start) ** 2).sum()) / 2
+
+    def blocks(self, poses: np.ndarray):
+        """Gradient (n, 6), diagonal blocks (n, 6, 6) and couplings to the next frame (n - 1, 6, 6)."""
+        base, n = self.residuals(poses), len(poses)
+        jacobian = np.zeros((2, len(self.at), 6, 6))
+        for d in range(6):
+            for side in (0, 1):  # every second frame moves at a time, so that a link sees one end move
+                for parity in (0, 1):
+                    moved = poses.copy()
+                    own = (self.at + side) % 2 == parity
+                    moved[(self.at + side)[own], d] += 1e-6
+                    jacobian[side, own, :, d] = ((self.residuals(moved) - base) / 1e-6)[own]
+        ja, jb = jacobian
+        ta, tb = np.swapaxes(ja, 1, 2), np.swapaxes(jb, 1, 2)
+        gradient, diagonal, upper = np.zeros((n, 6)), np.zeros((n, 6, 6)), np.zeros((max(n - 1, 0), 6, 6))
+        gradient[self.at] += (ta @ base[:, :, None])[:, :, 0]
+        gradient[self.at + 1] += (tb @ base[:, :, None])[:, :, 0]
+        diagonal[self.at] += ta @ ja
+        diagonal[self.at + 1] += tb @ jb
+        upper[self.at] = ta @ jb
+        return gradient + self.pull * (poses - self.start), diagonal + np.diag(self.pull), upper
+
+
+def _pose_step(u, v_inverse, cross, frame, track, gp, gx, upper, rounds=1000, tolerance=1e-22):
+    """Step of the free poses (all but the first) of the reduced system, by conjugate gradients over the observations."""
+    n = len(u)
+    seen = _gathered(frame, cross @ v_inverse[track] @ np.swapaxes(cross, 1, 2), n)
+    turned = np.swapaxes(cross, 1, 2)
+
+    def apply(x):
+        full = np.concatenate([np.zeros((1, 6)), x])
+        pulled = (v_inverse @ _gathered(track, (turned @ full[frame][:, :, None])[:, :, 0], len(v_inverse))[:, :, None])[:, :, 0]
+        out = (u @ full[:, :, None])[:, :, 0] - _gathered(frame, (cross @ pulled[track][:, :, None])[:, :, 0], n)
+        out[:-1] += (upper @ full[1:, :, None])[:, :, 0]
+        out[1:] += (np.swapaxes(upper, 1, 2) @ full[:-1, :, None])[:, :, 0]
+        return out[1:]
+
+    right = gp - _gathered(frame, (cross @ (v_inverse @ gx[:, :, None])[track])[:, :, 0], n)
+    nearly = BlockTridiagonal((u - seen)[1:], upper[1:])
+    size = float((right[1:] * nearly.solve(right[1:])).sum())
+    return -conjugate_gradients(apply, right[1:], rounds, max(tolerance * size, 1e-300), nearly.solve)
+
+
+def _adjusted(start, given, obs, k, rounds, huber, prior, chain=None):
     """The joint solve: normal equations of poses and points, points eliminated track by track."""
     poses, points, damping, n = start.copy(), given.copy(), 1e-6, len(start)
 
     def cost(poses, points):
-        return _robust(_residuals(points, poses, obs, k), huber)[1] + prior / 2 * float(((poses - start) ** 2).sum() + ((points - given) ** 2).sum())
+        own = _robust(_residuals(points, poses, obs, k), huber)[1] + prior / 2 * float(((poses - start) ** 2).sum() + ((points - given) ** 2).sum())
+        return own + (chain.cost(poses) if chain else 0.0)
 
     now = cost(poses, points)
-    order = np.argsort(obs[:, 1], kind="stable")
-    obs = obs[order]
-    cuts = np.flatnonzero(np.diff(obs[:, 1])) + 1
     for _ in range(rounds if len(obs) and n > 1 else 0):
         base = _residuals(points, poses, obs, k)
         frame, track, jp, jx = _jacobians(points, poses, obs, k, base)
@@ -309,18 +458,12 @@ def _adjusted(start, given, obs, k, rounds, huber, prior):
         v = np.linalg.inv(_gathered(track, tx @ (w * jx), len(points)) + (prior + damping) * np.eye(3))
         gp = _gathered(frame, (tp @ (w * e))[:, :, 0], n) + prior * (poses - start)
         gx = _gathered(track, (tx @ (w * e))[:, :, 0], len(points)) + prior * (points - given)
-        cross = tp @ (w * jx)
-        s, right = np.zeros((n, 6, n, 6)), gp.copy()
-        s[np.arange(n), :, np.arange(n), :] = u
-        for some in np.split(np.arange(len(obs)), cuts):
-            t = track[some[0]]
-            c = _gathered(frame[some], cross[some], n)
-            seen = np.unique(frame[some])
-            half = c[seen] @ v[t]
-            s[seen[:, None], :, seen[None, :], :] -= np.einsum("aij,bkj->abik", half, c[seen])
-            right[seen] -= half @ gx[t]
+        cross, upper = tp @ (w * jx), np.zeros((n - 1, 6, 6))
+        if chain:
+            gradient, diagonal, upper = chain.blocks(poses)
+            gp, u = gp + gradient, u + diagonal
         step = np.zeros_like(poses)
-        step[1:] = -np.linalg.solve(s[1:, :, 1:, :].reshape(6 * (n - 1), -1), right[1:].reshape(-1)).reshape(-1, 6)
+        step[1:] = _pose_step(u, v, cross, frame, track, gp, gx, upper)
         pull = gx + _gathered(track, (np.swapaxes(cross, 1, 2) @ step[frame][:, :, None])[:, :, 0], len(points))
         moved = points - (v @ pull[:, :, None])[:, :, 0]
         then = cost(poses + step, moved)
