@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -136,14 +136,16 @@ def pose_comparison(pairs: DataFrame) -> DataFrame:
     return own.groupBy("scan_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.percentile("e", F.lit(0.5)).alias("median"), F.max("e").alias("largest"))
 
 
-def revisit_verification(matches: DataFrame, trials: int = 64, inlier: float = 0.025, least_matches: int = 40, least: int = 24, share: float = 0.6, holdout: int = 5, close: float = 0.04) -> DataFrame:
+def revisit_verification(matches: DataFrame, trials: int = 64, inlier: float = 0.025, least_matches: int = 40, least: int = 24, share: float = 0.6, holdout: int = 5, close: float = 0.04,
+                         most_shift: float = 0.15, most_degrees: float = 5.0) -> DataFrame:
     """Rigid motion of each revisit pair by RANSAC over 3-D matches (pair_id, x, y, z, rx, ry, rz), refitted on the inliers.
 
     A pair needs ``least_matches``. Every ``holdout``-th match, from the first
     in order of place, only judges. Of the others ``least`` and a ``share``
     must lie within ``inlier``; the held-out matches must have been over 5 mm
     apart (median) and come within ``inlier`` and under 0.8 of that, three
-    quarters of them within ``close``. Trials are seeded by the pair; a
+    quarters of them within ``close``. A motion of over ``most_shift`` metres or
+    ``most_degrees`` is no correction but a wrong place. Trials are seeded by the pair; a
     rejected pair keeps the identity.
     """
 
@@ -163,7 +165,8 @@ def revisit_verification(matches: DataFrame, trials: int = 64, inlier: float = 0
                 found = horn(a[best], b[best])
                 before, after = _apart(a[held], b[held], motion), _apart(a[held], b[held], found)
                 was, now = np.median(before), np.median(after)
-                ok = bool(was > 0.005 and now < inlier and now < 0.8 * was and (after < close).mean() >= 0.75)
+                small = np.linalg.norm(found[1]) <= most_shift and np.degrees(np.linalg.norm(rotation_vector(found[0]))) <= most_degrees
+                ok = bool(small and was > 0.005 and now < inlier and now < 0.8 * was and (after < close).mean() >= 0.75)
                 motion = found if ok else motion
         return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "inliers": [len(best)], "accepted": [ok], "motion": [[*motion[0].reshape(-1), *motion[1]]]})
 
@@ -246,6 +249,56 @@ def pose_graph(frames: DataFrame, loops: DataFrame, chain_weight: float = 100.0,
     return frames.groupBy("scan_id").cogroup(loops.groupBy("scan_id")).applyInPandas(solve, f"scan_id {kind}, id long, " + ", ".join(f"c{i} double" for i in range(6)))
 
 
+def corrected_poses(poses: DataFrame, corrections: DataFrame, most_shift: float = 0.15, most_degrees: float = 5.0, step_shift: float = 0.02, step_turn: float = 0.01) -> DataFrame:
+    """C13's guard: (scan_id, id, qw..qz, tx, ty, tz, status) of poses moved by their corrections, a scan as a whole or not at all.
+
+    poses: scan_id, id, qw, qx, qy, qz, tx, ty, tz (camera to world);
+    corrections: scan_id, id, c0..c5 as ``pose_graph`` gives them, applied from
+    the left. A scan keeps its poses with status ``excessiveCorrection`` if a
+    centre moves over ``most_shift`` or a frame turns over ``most_degrees``, and
+    with ``odometryChanged`` if the motion between neighbours (by id) changes
+    by ``step_shift`` metres or ``step_turn`` radians. Frames without a
+    correction stay as they are. All of it is expressions and windows.
+    """
+    q, t, d = ("qw", "qx", "qy", "qz"), ("tx", "ty", "tz"), ("dw", "dx", "dy", "dz")
+    own = poses.select("scan_id", "id", *q, *t).join(corrections.select("scan_id", "id", *[f"c{i}" for i in range(6)]), ["scan_id", "id"], "left").na.fill(0.0, [f"c{i}" for i in range(6)])
+    own = own.withColumn("turn", F.sqrt(F.col("c0") ** 2 + F.col("c1") ** 2 + F.col("c2") ** 2))
+    half = F.when(F.col("turn") > 1e-12, F.sin(F.col("turn") / 2) / F.col("turn")).otherwise(0.5)
+    own = own.withColumns({"dw": F.cos(F.col("turn") / 2)} | {n: F.col(f"c{i}") * half for i, n in enumerate(d[1:])})
+    columns = lambda names, by="": [F.col(by + n) for n in names]
+    moved = _turned(columns(d), columns(t))
+    own = own.withColumns({f"n{a}": b for a, b in zip(q, _quaternion_product(columns(d), columns(q)), strict=True)} | {f"n{n}": m + F.col(f"c{i + 3}") for i, (n, m) in enumerate(zip(t, moved, strict=True))})
+    before = Window.partitionBy("scan_id").orderBy("id")
+    names = (*q, *t, *[f"n{n}" for n in (*q, *t)])
+    own = own.withColumns({f"l{n}": F.lag(n).over(before) for n in names})
+
+    def step(kind):
+        back = [F.col(f"l{kind}qw"), *[-F.col(f"l{kind}{n}") for n in q[1:]]]
+        return _turned(back, [F.col(kind + n) - F.col(f"l{kind}{n}") for n in t]), _quaternion_product(back, columns(q, kind))
+
+    (s0, r0), (s1, r1) = step(""), step("n")
+    own = own.withColumns({f"s{i}": a - b for i, (a, b) in enumerate(zip(s1, s0, strict=True))} | {f"r{i}": x for i, x in enumerate(r0)} | {f"u{i}": x for i, x in enumerate(r1)})
+    cosine = sum((F.col(f"r{i}") * F.col(f"u{i}") for i in range(1, 4)), F.col("r0") * F.col("u0"))
+    length = lambda xs: F.sqrt(sum((x * x for x in xs[1:]), xs[0] * xs[0]))
+    far = (length([F.col(f"n{n}") - F.col(n) for n in t]) > most_shift) | (F.degrees("turn") > most_degrees)
+    bent = (length([F.col(f"s{i}") for i in range(3)]) >= step_shift) | (2 * F.acos(F.least(F.abs(cosine), F.lit(1.0))) >= step_turn)
+    whole = Window.partitionBy("scan_id")
+    judged = own.withColumn("status", F.when(F.max(far).over(whole), "excessiveCorrection").when(F.coalesce(F.max(bent).over(whole), F.lit(False)), "odometryChanged").otherwise("corrected"))
+    return judged.select("scan_id", "id", *[F.when(F.col("status") == "corrected", F.col(f"n{n}")).otherwise(F.col(n)).alias(n) for n in (*q, *t)], "status")
+
+
+def _quaternion_product(a, b):
+    (aw, ax, ay, az), (bw, bx, by, bz) = a, b
+    return [aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw]
+
+
+def _turned(q, v):
+    """A vector turned by a unit quaternion."""
+    w, x, y, z = q
+    c = [2 * (y * v[2] - z * v[1]), 2 * (z * v[0] - x * v[2]), 2 * (x * v[1] - y * v[0])]
+    return [v[0] + w * c[0] + y * c[2] - z * c[1], v[1] + w * c[1] + z * c[0] - x * c[2], v[2] + w * c[2] + x * c[1] - y * c[0]]
+
+
 def _between(times: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Corrections at the ``wanted`` times from those at the ascending ``times``."""
     out = np.zeros((len(wanted), 6))
@@ -598,8 +651,6 @@ def feature_tracks(matches: DataFrame, features: DataFrame) -> DataFrame:
     scan. Tracks with two features in a frame are split off: only each
     frame's first feature stays.
     """
-    from pyspark.sql import Window
-
     from stereoloom.operators.graph import connected_components
 
     named = connected_components(matches.select("a", "b"), features.select(F.col("feature_id").alias("node")))

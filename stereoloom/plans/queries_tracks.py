@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stereoloom.operators import camera_tracks, stereo, tracking
+from stereoloom.operators import camera_tracks, kernels, stereo, surfaces, tracking
 from stereoloom.plans import scenes
 from stereoloom.plans.registry import query, r6
 
@@ -60,3 +60,26 @@ def c17_confirmed(spark, sf):
     views = durable(views, "views")  # read by the maps and twice by the join
     maps = durable(stereo.depth_maps(views, pairs), "maps")
     return stereo.confirmed(maps, views, pairs).select("frame_id", "u", "v", "n", r6(F.col("depth")).alias("depth"))
+
+
+ROOM_FRAMES = 9
+
+
+def room_frames(spark, sf, walls=3):
+    return scenes.rooms(spark, sf, ROOM_FRAMES, 80, 60, walls)
+
+
+@query("c11_surface_refinement", None)
+def c11_surfaces(spark, sf):
+    return surfaces.surface_refinement(room_frames(spark, sf)).select("scan_id", "frame_id", "status", r6(F.col("before")).alias("before"), r6(F.col("after")).alias("after"))
+
+
+#: Scenes of 72 points; those whose points are complete must be accepted and bring the held-out error near the noise.
+C10 = "SELECT s AS scan_id, true AS accepted, true AS better, true AS near_noise FROM (SELECT DISTINCT vec_id // 72 AS s FROM embeddings)"
+
+
+@query("c10_noisy_adjustment", C10)
+def c10_noisy(spark, sf):
+    """Noise, outliers and disturbed starts in every scene; the oracle holds the outcome by tolerance."""
+    found = kernels.bundle_adjustment(scenes.disturbed_tracks(spark, sf), motion=kernels.MotionPrior(0.02, 0.4)).groupBy("scan_id").agg(F.min("accepted").alias("accepted"), F.first("before").alias("b"), F.first("after").alias("a"))
+    return found.select("scan_id", "accepted", (F.col("a") < 0.5 * F.col("b")).alias("better"), (F.col("a") < 1.0).alias("near_noise"))
