@@ -111,14 +111,15 @@ def model(spark, sf):
     scan = (F.col("id") % 10).cast("string").alias("scan_id")
     images = ad.poses(spark, sf).select(scan, F.col("id").alias("image_id"), g.colmap_pose("pose").alias("p"), F.lit(1).cast("long").alias("camera_id"), F.format_string("f %d.jpg", "id").alias("name"))
     images = images.select("scan_id", "image_id", *[F.col(f"p.{c}") for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")], "camera_id", "name")
-    cameras = spark.range(10).select(F.col("id").cast("string").alias("scan_id"), (F.col("id") + 1).alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array((F.col("id") + 500).cast("double"), F.lit(501.5), F.lit(320.0), F.lit(240.0)).alias("params"))
+    scans = ad.poses(spark, sf).groupBy((F.col("id") % 10).alias("id")).agg(F.count("*").alias("n"))  # a camera a scan, its focal length from the scan's size
+    cameras = scans.select(F.col("id").cast("string").alias("scan_id"), (F.col("id") + 1).alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array((F.col("n") + 500).cast("double"), F.lit(501.5), F.lit(320.0), F.lit(240.0)).alias("params"))
     own = ad.points(spark, sf).select("scan_id", F.col("ordinal").alias("point_id"), "x", "y", "z", *[((F.col("ordinal") + i) % 256).cast("int").alias(c) for i, c in enumerate("rgb")], F.lit(0.5).alias("error"))
     return cameras, images, own
 
 
 POINTS_BACK = f"WITH {P} SELECT ordinal AS point_id, x, z, CAST((ordinal + 2) % 256 AS INT) AS b FROM points"
 IMAGES_BACK = f"WITH {Q} SELECT id AS image_id, 'f ' || id || '.jpg' AS name, round(sqrt(tx*tx+ty*ty+tz*tz), 6) AS away FROM poses"
-CAMERAS_BACK = "SELECT i + 1 AS camera_id, 'PINHOLE' AS model, CAST(i + 500 AS DOUBLE) AS fx FROM range(10) t(i)"
+CAMERAS_BACK = "SELECT vec_id % 10 + 1 AS camera_id, 'PINHOLE' AS model, CAST(count(*) + 500 AS DOUBLE) AS fx FROM embeddings GROUP BY 1"
 
 
 def away(images):

@@ -277,14 +277,14 @@ def io5(spark, sf):
 
 
 @query("io9_colmap_binary", f"""WITH {P}, i AS (SELECT CAST(vec_id % 10 AS VARCHAR) AS scan_id, count(*) AS n, sum(length('f' || vec_id || '.jpg')) AS names FROM embeddings GROUP BY 1), p AS (SELECT scan_id, count(*) AS n FROM points GROUP BY scan_id)
- SELECT CAST(s AS VARCHAR) AS scan_id, 'cameras.bin' AS name, CAST(8 + 24 + 4*8 AS INT) AS bytes FROM range(10) t(s) UNION ALL SELECT scan_id, 'images.bin', CAST(8 + n*(4 + 7*8 + 4 + 1 + 8) + names AS INT) FROM i UNION ALL SELECT scan_id, 'points3D.bin', CAST(8 + n*(8 + 3*8 + 3 + 8 + 8) AS INT) FROM p""")
+ SELECT CAST(s AS VARCHAR) AS scan_id, 'cameras.bin' AS name, CAST(8 + 24 + 4*8 AS INT) AS bytes FROM (SELECT DISTINCT vec_id % 10 AS s FROM embeddings) UNION ALL SELECT scan_id, 'images.bin', CAST(8 + n*(4 + 7*8 + 4 + 1 + 8) + names AS INT) FROM i UNION ALL SELECT scan_id, 'points3D.bin', CAST(8 + n*(8 + 3*8 + 3 + 8 + 8) AS INT) FROM p""")
 def io9(spark, sf):
     p = ad.points(spark, sf)
     pts = p.select("scan_id", F.col("ordinal").alias("point_id"), "x", "y", "z", *[F.lit(9).alias(c) for c in "rgb"], F.lit(0.5).alias("error"))
     scan = (F.col("id") % 10).cast("string").alias("scan_id")
     poses = ad.poses(spark, sf).select(scan, F.col("id").alias("image_id"), g.colmap_pose("pose").alias("p"))
     images = poses.select("scan_id", "image_id", *[F.col(f"p.{c}") for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")], F.lit(1).cast("long").alias("camera_id"), F.format_string("f%d.jpg", "image_id").alias("name"))
-    cameras = spark.range(10).select(F.col("id").cast("string").alias("scan_id"), F.lit(1).cast("long").alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array(*[F.lit(v) for v in (500.0, 500.0, 320.0, 240.0)]).alias("params"))
+    cameras = poses.select("scan_id").distinct().select("scan_id", F.lit(1).cast("long").alias("camera_id"), F.lit("PINHOLE").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array(*[F.lit(v) for v in (500.0, 500.0, 320.0, 240.0)]).alias("params"))
     return colmap.model_files(cameras, images, pts).select("scan_id", "name", F.length("content").alias("bytes"))
 
 
@@ -300,12 +300,12 @@ def io20(spark, sf):
     return scans.floor_plan_svg(own).select("scan_id", (F.size(F.split("svg", "<line")) - 1).cast("long").alias("lines"))
 
 
-@query("io23_synthetic_scan", "SELECT CAST(i AS INT) AS id, 2.0::DOUBLE AS towards_centre, 0.0::DOUBLE AS dy, 4000 AS points FROM range(36) t(i)")
+@query("io23_synthetic_scan", f"WITH {P}, n AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY ordinal) - 1 AS id, count(*) OVER (PARTITION BY scan_id) AS frames FROM points) SELECT scan_id, CAST(id AS INT) AS id, 2.0::DOUBLE AS towards_centre, 0.0::DOUBLE AS dy, round(2*cos(id*2*pi()/frames),6) + 0.0 AS x FROM n")
 def io23(spark, sf):
-    frames, cloud = scans.synthetic_orbit(spark, 36)
+    """A circle of as many frames as a scan has points, for every scan."""
+    frames = scans.orbits(ad.points(spark, sf).groupBy("scan_id").agg(F.count("*").alias("frames")))
     x, y, z = g.forward("transform")
-    facing = frames.select("id", r6(-(x * F.col("transform")[3] + z * F.col("transform")[11])).alias("towards_centre"), (r6(y) + 0.0).alias("dy"))
-    return facing.crossJoin(F.broadcast(cloud.agg(F.count("*").alias("points"))))  # one row
+    return frames.select("scan_id", "id", r6(-(x * F.col("transform")[3] + z * F.col("transform")[11])).alias("towards_centre"), (r6(y) + 0.0).alias("dy"), (r6(F.col("transform")[3]) + 0.0).alias("x"))
 
 
 @query("a30_stencil", f"WITH {NB} SELECT frame_id, count(l) AS l, count(r) AS r, count(t) AS t, count(b) AS b FROM nb GROUP BY frame_id")

@@ -226,17 +226,22 @@ def floor_plan_dxf(walls: DataFrame) -> DataFrame:
     return own.select("scan_id", F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), "body", F.lit("\n0\nENDSEC\n0\nEOF\n")).alias("dxf"))
 
 
-def synthetic_orbit(spark: SparkSession, frames: int = 36, radius: float = 2.0, points: int = 4000, seed: int = 1, scan_id: str = "scan_orbit") -> tuple[DataFrame, DataFrame]:
-    """IO23: poses on a circle looking at its centre, and points on a unit sphere; all from hashes of (seed, row)."""
-    from stereoloom.functions.numeric import hash_uniform
-
-    a = F.col("id") * F.lit(2 * np.pi / frames)
-    own = spark.range(frames).select(F.lit(scan_id).alias("scan_id"), F.col("id").cast("int").alias("id"))
+def orbits(scans: DataFrame, radius: float = 2.0) -> DataFrame:
+    """IO23: for each scan (scan_id, frames) that many poses on a circle, looking at its centre."""
+    own = scans.withColumn("id", F.explode(F.sequence(F.lit(0), (F.col("frames") - 1).cast("int")))).filter("frames > 0")
+    a = F.col("id") * F.lit(2 * np.pi) / F.col("frames")
     # backward axis points from the centre to the camera, right is perpendicular in the plane
     bx, bz = F.cos(a), F.sin(a)
     pose = g.matrix([bz, 0, bx, bx * radius, 0, 1, 0, 0, -bx, 0, bz, bz * radius, 0, 0, 0, 1])
     k = F.struct(F.lit(400.0).alias("fx"), F.lit(400.0).alias("fy"), F.lit(238.5).alias("cx"), F.lit(181.25).alias("cy"), F.lit(480).alias("width"), F.lit(360).alias("height"))
-    out = own.select("scan_id", "id", (F.col("id") * 0.5).alias("timestamp"), pose.alias("transform"), k.alias("intrinsics"), F.format_string("frame_%05d.jpg", "id").alias("imageFile"))
+    return own.select("scan_id", "id", (F.col("id") * 0.5).alias("timestamp"), pose.alias("transform"), k.alias("intrinsics"), F.format_string("frame_%05d.jpg", "id").alias("imageFile"))
+
+
+def synthetic_orbit(spark: SparkSession, frames: int = 36, radius: float = 2.0, points: int = 4000, seed: int = 1, scan_id: str = "scan_orbit") -> tuple[DataFrame, DataFrame]:
+    """IO23: poses on a circle looking at its centre, and points on a unit sphere; all from hashes of (seed, row)."""
+    from stereoloom.functions.numeric import hash_uniform
+
+    out = orbits(spark.range(1).select(F.lit(scan_id).alias("scan_id"), F.lit(frames).alias("frames")), radius)
     u, v = hash_uniform(F.lit(seed), "id"), hash_uniform(F.lit(seed + 1), "id")
     z, t = 2 * u - 1, 2 * F.pi() * v
     r = F.sqrt(1 - z * z)
