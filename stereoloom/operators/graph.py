@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stereoloom.functions import voxels as vx
 from stereoloom.plans.durable import durable
@@ -100,6 +103,79 @@ def kmeans(rows: DataFrame, k: int, rounds: int, columns: list[str], key: str =
     return assigned(centres), centres
 
 
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Index of each row's nearest centre, the lower of equal ones, by matrix products over blocks of centres."""
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    own = (x * x).sum(axis=1)
+    for k in range(0, len(centres), block):
+        some = centres[k : k + block]
+        d = own[:, None] - 2 * (x @ some.T) + (some * some).sum(axis=1)
+        i = d.argmin(axis=1)
+        near = d[np.arange(len(x)), i]
+        closer = near < best
+        best[closer], at[closer] = near[closer], i[closer] + k
+    return at
+
+
+def palette(rows: DataFrame, column: str, entries: int = 16_384, rounds: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """SP6: Lloyd's algorithm over vectors (array<double> ``column``, all of one length): (rows + ``entry``, centres).
+
+    Starts from the ``entries`` distinct vectors of least hash, so it depends
+    on no order; an entry without members keeps its value. The centres, whose
+    size the parameters fix, are broadcast as one matrix in each round;
+    assignment is a matrix product over an Arrow batch, and a task hands on
+    one partial sum for each entry it met. Rows without a vector get no entry.
+    """
+    spark = rows.sparkSession
+    vector = F.col(column)
+    first = rows.filter(vector.isNotNull()).select(column).distinct().orderBy(F.xxhash64(column), column).limit(entries).collect()
+    centres = np.array([r[0] for r in first], dtype=float)
+    if not len(centres):
+        return rows.withColumn("entry", F.lit(None).cast("int")), centres
+    size = centres.shape[1]
+
+    def matrix(batch, i):
+        return np.asarray(batch.column(i).flatten(), dtype=float).reshape(batch.num_rows, size)
+
+    def sums(held):
+        def run(batches):
+            total, count = np.zeros((len(held.value), size)), np.zeros(len(held.value), np.int64)
+            for batch in batches:
+                x = matrix(batch, 0)
+                at = _nearest_centres(x, held.value)
+                count += np.bincount(at, minlength=len(count))
+                order = np.argsort(at, kind="stable")
+                met, starts = np.unique(at[order], return_index=True)
+                if len(met):
+                    total[met] += np.add.reduceat(x[order], starts, axis=0)
+            met = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(count[met], pa.int64()), pa.array(list(total[met]), pa.list_(pa.float64()))], names=["entry", "n", "total"])
+
+        return run
+
+    own = rows.filter(vector.isNotNull()).select(column)
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast(centres)
+        parts = own.mapInArrow(sums(held), "entry long, n long, total array<double>").groupBy("entry").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(size)]).alias("total"))
+        centres = centres.copy()
+        for r in parts.collect():  # at most a row an entry
+            centres[r.entry] = np.array(r.total) / r.n
+    held = spark.sparkContext.broadcast(centres)
+
+    def labelled(batches):
+        for batch in batches:
+            given = batch.column(batch.schema.get_field_index(column))
+            known = given.is_valid()
+            at = np.zeros(batch.num_rows, np.int64)
+            x = np.asarray(given.filter(known).flatten(), dtype=float).reshape(-1, size)
+            mask = np.asarray(known)
+            at[mask] = _nearest_centres(x, held.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32(), mask=~mask)], names=[*batch.schema.names, "entry"])
+
+    schema = StructType([*rows.schema.fields, StructField("entry", IntegerType())])
+    return rows.mapInArrow(labelled, schema), centres
+
+
 def codebook(rows: DataFrame, value: str, entries: int = 256, rounds: int = 10, sample_accuracy: int = 10_000) -> list[float]:
     """One-dimensional codebook: quantile start, nearest-entry assignment by the midpoints between entries, means, sorted."""
     entries = min(entries, rows.select(value).distinct().limit(entries).count())

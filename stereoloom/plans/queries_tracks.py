@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stereoloom.operators import camera_tracks, kernels, stereo, surfaces, tracking
+from stereoloom.operators import camera_tracks, graph, kernels, stereo, surfaces, tracking
 from stereoloom.plans import scenes
 from stereoloom.plans.registry import query, r6
 
@@ -83,3 +83,13 @@ def c10_noisy(spark, sf):
     """Noise, outliers and disturbed starts in every scene; the oracle holds the outcome by tolerance."""
     found = kernels.bundle_adjustment(scenes.disturbed_tracks(spark, sf), motion=kernels.MotionPrior(0.02, 0.4)).groupBy("scan_id").agg(F.min("accepted").alias("accepted"), F.first("before").alias("b"), F.first("after").alias("a"))
     return found.select("scan_id", "accepted", (F.col("a") < 0.5 * F.col("b")).alias("better"), (F.col("a") < 1.0).alias("near_noise"))
+
+
+def harmonics(spark, sf):
+    """45 numbers a splat, from its vector."""
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 45), lambda x: x.cast("double")).alias("sh"))
+
+
+@query("sp6_palette", None)
+def sp6_palette(spark, sf):
+    return graph.palette(harmonics(spark, sf), "sh", entries=64)[0].select("vec_id", "entry")
