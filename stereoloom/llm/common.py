@@ -154,6 +154,29 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table:
     return mix(reduced(times(total, down[starts])) + (ends - starts).astype(np.uint64))
 
 
+class WrappedPowers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            run = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, b, dtype=np.uint64)]))
+            self.up, self.down = run(self.base), run(self.inverse)
+        return self.up, self.down
+
+
+def wrapped_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: WrappedPowers) -> np.ndarray:
+    """As ``span_hashes`` modulo 2**64, for buckets of features only: some sequences collide, so nothing may be told by these."""
+    up, down = table.upto(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def separator_table(kind: str) -> np.ndarray:
     """Which bytes end a word: ``space`` is ASCII white space, ``plain`` all ASCII but letters, digits, ``_``."""
     out = np.zeros(256, dtype=bool)

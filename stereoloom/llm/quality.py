@@ -35,7 +35,7 @@ GRAM_LENGTHS = (2, 3, 4)
 CACHE_TOKENS = 200_000
 #: Texts whose unseen tokens are scored together.
 TEXTS = 256
-_POWERS = c.PowerTable(0x9E3779B97F4A7C15)
+_POWERS = c.WrappedPowers(0x9E3779B97F4A7C15)
 #: What a token that equals the one before it is read as; it holds white space, so no token of a text is written so.
 REPEAT = " repeat "
 
@@ -53,7 +53,7 @@ def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate([[0], ends[:-1]])
         owner = np.repeat(np.arange(i, j), ends - starts)
         owners.append(np.arange(i, j))
-        buckets.append(c.span_hashes(codes, starts, ends, _POWERS) % np.uint64(BUCKETS))
+        buckets.append(c.wrapped_hashes(codes, starts, ends, _POWERS) % np.uint64(BUCKETS))
         for n in GRAM_LENGTHS:
             if len(codes) < n:
                 continue
