@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stereoloom.operators import camera_tracks, graph, kernels, stereo, surfaces, tracking
+from stereoloom.operators import camera_tracks, graph, kernels, refinement, stereo, surfaces, tracking
 from stereoloom.plans import scenes
 from stereoloom.plans.registry import query, r6
 
@@ -93,3 +93,20 @@ def harmonics(spark, sf):
 @query("sp6_palette", None)
 def sp6_palette(spark, sf):
     return graph.palette(harmonics(spark, sf), "sh", entries=64)[0].select("vec_id", "entry")
+
+
+def splat_windows(spark, sf):
+    """A splat for each vector, with a window's statistics from its components."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    own = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return own.select(F.col("vec_id").alias("row"), *[e(i).alias(c) for i, c in enumerate("xyz")], *[(e(3 + i) - 3).alias(f"s{i}") for i in range(3)], *[(e(6 + i) + (1.0 if i == 0 else 0.0)).alias(c) for i, c in enumerate(("qw", "qx", "qy", "qz"))],
+                      (e(10) * 30).alias("opacity"), F.greatest(e(11) * 100, F.lit(0.05)).alias("visibility"), F.abs(e(12)).alias("error_max"), F.abs(e(13) * 100).alias("error_sum"), F.abs(e(14) * 2).alias("share_max"), F.abs(e(15)).alias("edge_sum"), F.lit(10.0).alias("views"), F.pmod("vec_id", F.lit(3)).cast("int").alias("low_windows"))
+
+
+@query("sp4_refine_window", None)
+def sp4_window(spark, sf):
+    """One refinement of a model at its ceiling."""
+    own = splat_windows(spark, sf)
+    n = own.count()
+    out, _ = refinement.refine_window(own, 5.0, refinement.RefineRules(capacity=n, ceiling=n, most_moved=0.05))
+    return out.select("row", *[r6(F.col(c)).alias(c) for c in ("x", "y", "z", "opacity", "s0")], "low_windows")
