@@ -159,3 +159,26 @@ def front_to_back(pairs: DataFrame, keys: list[str], least: float = 1e-4) -> Dat
     w = Window.partitionBy(*keys).orderBy("depth", "row").rowsBetween(Window.unboundedPreceding, -1)
     t = F.coalesce(F.exp(F.sum(F.log(1 - F.col("alpha"))).over(w)), F.lit(1.0))
     return pairs.withColumn("transmittance", t).withColumn("weight", F.when(F.col("transmittance") >= least, F.col("transmittance") * F.col("alpha")).otherwise(0.0))
+
+
+def stability_gate(events: DataFrame, seconds: float = 0.6, gap: float = 0.25, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """W4 over a table: ``open`` after ``seconds`` of normal tracking without a break (a step that is not forward, or longer than ``gap``)."""
+    w = Window.partitionBy("scan_id").orderBy(*order)
+    step = F.col("timestamp") - F.lag("timestamp").over(w)
+    goes_on = F.col("normal") & F.coalesce(F.lag("normal").over(w), F.lit(False)) & F.coalesce((step > 0) & (step <= gap), F.lit(False))
+    runs = events.withColumn("goes_on", goes_on).withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
+    since = F.first("timestamp").over(Window.partitionBy("scan_id", "run").orderBy(*order))
+    return runs.withColumn("open", F.coalesce(F.col("normal") & (F.col("timestamp") - since >= seconds), F.lit(False))).drop("goes_on", "run")
+
+
+def previous_views(events: DataFrame, longest: float = 0.5, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """W6 over a table: (scan_id, timestamp, view_id, previous_id) where the view before is of the same epoch and at most ``longest`` old."""
+    w = Window.partitionBy("scan_id").orderBy(*order)
+    seen = events.withColumns({"previous_id": F.lag("view_id").over(w), "was": F.lag("epoch").over(w), "step": F.col("timestamp") - F.lag("timestamp").over(w)})
+    return seen.filter((F.col("was") == F.col("epoch")) & (F.col("step") > 0) & (F.col("step") <= longest)).select("scan_id", "timestamp", "view_id", "previous_id")
+
+
+def fenced(events: DataFrame, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """W14 over a table: events whose epoch is not older than the newest so far."""
+    w = Window.partitionBy("scan_id").orderBy(*order)
+    return events.withColumn("newest", F.max("epoch").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("epoch") >= F.col("newest")).drop("newest")

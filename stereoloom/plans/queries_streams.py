@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stereoloom.operators import kernels
+from stereoloom.operators import kernels, sequence
 from stereoloom.plans import adapters as ad
 from stereoloom.plans.registry import query, r6
 from stereoloom.streaming import state
@@ -37,17 +37,17 @@ W6 = f"WITH {FR}, e AS (SELECT scan_id, id, timestamp/10000 AS t, CAST(trunc(id/
 
 @query("w4_stability_gate", W4)
 def w4(spark, sf):
-    return machine("w4")(spark, sf).groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if("open").alias("open_"))
+    return sequence.stability_gate(events(spark, sf), order=("timestamp", "id")).groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if("open").alias("open_"))
 
 
 @query("w6_previous_view", W6)
 def w6(spark, sf):
-    return machine("w6")(spark, sf).select("scan_id", "view_id", "previous_id")
+    return sequence.previous_views(events(spark, sf), order=("timestamp", "id")).select("scan_id", "view_id", "previous_id")
 
 
 @query("w14_epoch_fence", W14)
 def w14(spark, sf):
-    return machine("w14")(spark, sf).groupBy("scan_id").agg(F.count("*").alias("n"))
+    return sequence.fenced(events(spark, sf), order=("timestamp", "id")).groupBy("scan_id").agg(F.count("*").alias("n"))
 
 
 #: Events with their place in their scan, for oracles that step from one to the next.
