@@ -188,7 +188,8 @@ def surface_refinement(frames: DataFrame, order: str = "timestamp", rules: Surfa
     own = whole.select("scan_id", "frame_id", *DEPTH_FRAME)
     anchors = places.filter("anchor").select("scan_id", "n", "frame_id").join(own, ["scan_id", "frame_id"]).select("scan_id", F.col("n").cast("long").alias("k"), F.struct(*DEPTH_FRAME).alias("frame"))
     asked = places.filter("not anchor").select("scan_id", "frame_id", F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("k")).join(anchors, ["scan_id", "k"])
-    rows = own.join(asked.groupBy("scan_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("k", "frame"))).alias("anchors")), ["scan_id", "frame_id"])  # two a frame
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or few bytes with much work would end in one task
+    rows = own.join(asked.groupBy("scan_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("k", "frame"))).alias("anchors")), ["scan_id", "frame_id"]).repartition(tasks, "scan_id", "frame_id")  # two anchors a frame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -222,7 +222,8 @@ def _folded(frames: DataFrame, order: str, report: bool, **options):
     kind = frames.schema["scan_id"].dataType.simpleString()
     schema = f"scan_id {kind}, " + ("frame_id long, looked long, hidden long, none long, low long, ambiguous long, refused long, matched long" if report else f"{_OBSERVED}, seq long")
     columns = [c.split()[0] for c in schema.split(", ")]
-    rows = frames.repartition("scan_id").sortWithinPartitions("scan_id", order)
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or few bytes with much work would end in one task
+    rows = frames.repartition(tasks, "scan_id").sortWithinPartitions("scan_id", order)
     return rows.mapInPandas(lambda b: (p[columns] for p in run(b)), schema)
 
 
