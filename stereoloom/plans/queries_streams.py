@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stereoloom.operators import kernels, sequence
 from stereoloom.plans import adapters as ad
+from stereoloom.plans.queries_files import folder
 from stereoloom.plans.registry import query, r6
-from stereoloom.streaming import state
+from stereoloom.streaming import landmarks, state
 
 FR = ad.CTES["frames"]
 
@@ -116,6 +117,28 @@ def w7(spark, sf):
     return state.replay(own, state.LandmarkAdmission, order=("time", "cam_x"))
 
 
+@query("w7_scan_landmarks", None)
+def w7_scan(spark, sf):
+    """Every frame of a scan sees eight of 776 landmarks; a fifth of them wander."""
+    fr = ad.frames(spark, sf).withColumn("landmark_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.col("id") * (i + 1), F.lit(97)).cast("long") + 100 * i)))
+    wander = F.when(F.col("landmark_id") % 5 == 0, F.col("dx") / 4).otherwise(F.col("dx") / 500)
+    own = fr.select("scan_id", "landmark_id", (F.col("timestamp") / 100_000).alias("time"), (F.col("id") / 2000).cast("int").alias("epoch"), wander.alias("x"), F.lit(0.0).alias("y"), F.lit(-2.0).alias("z"), (F.col("x") / 4).alias("cam_x"), (F.col("y") / 4).alias("cam_y"), (F.col("z") / 4).alias("cam_z"))
+    return landmarks.replay(own, most_pending=300)
+
+
+@query("w15_resumed_log", W4)
+def w15(spark, sf):
+    """A capture log of JSON lines, read by a streaming query that ends, is started again over the log's second half and goes on from its checkpoint."""
+    own = events(spark, sf).select("scan_id", "id", "timestamp", "normal")
+    middle = own.groupBy("scan_id").agg(F.percentile("timestamp", 0.5).alias("middle"))
+    halves = own.join(middle, "scan_id").withColumn("late", F.col("timestamp") > F.col("middle")).drop("middle")
+    log, out, at = (folder(spark, n) for n in ("log", "gate", "gate-state"))
+    for late in (False, True):
+        halves.filter(F.col("late") == late).drop("late").write.mode("append").json(log)
+        state.run_available(state.stream(state.follow(spark, log, own.schema, None), state.StabilityGate, order=("timestamp", "id")), out, at)
+    return spark.read.parquet(out).groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if("open").alias("open_"))
+
+
 @query("w9_conflating_queue", W9)
 def w9(spark, sf):
     own = events(spark, sf).select("scan_id", "timestamp", F.when(F.col("kind") == "view", "done").otherwise("submit").alias("kind"), F.col("id").alias("job"))
