@@ -54,36 +54,81 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: str = "sca
     return pairs.withColumn("d2", _d2("a", "b")).filter(F.col("d2") <= radius * radius).select(F.col(f"a.{on}").alias(on), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.sqrt("d2").alias("d"))
 
 
+#: Levels of the tree of cells of ``nearest``: cells of level n are 2**n of the finest, which are 256 to a radius. At the last level a scan is eight cells.
+LEVELS = [*range(15), 16, 20, 24, 30, 36, 44, 62]
+FINER = 8
+_FAR = 1 << 61
+
+
+def _fine_cell(radius: float) -> list[Column]:
+    """Indices ix, iy, iz of the finest cell. Cells of no level but the last have an edge near zero, where scans start."""
+    edge = _d(radius) / 2**FINER
+    return [F.least(F.greatest(F.floor(F.col(c).cast("double") / edge).cast("long") + (1 << 60) // 3, F.lit(-_FAR)), F.lit(_FAR - 1)).alias(f"i{c}") for c in "xyz"]
+
+
+_FINE = ["ix", "iy", "iz"]
+_CELL = ["scan_id", "level", "jx", "jy", "jz"]
+
+
+def _above(level: Column, *moves: Column) -> Column:
+    """The cell of a level that holds a fine cell, or one some cells from it."""
+    moves = moves or (F.lit(0),) * 3
+    return F.struct(level.alias("level"), *[(F.call_function("shiftright", F.col(i), level) + m).cast("long").alias(f"j{i[1]}") for i, m in zip(_FINE, moves, strict=True)])
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int | None = None, same_table: bool = False, left_id: str = "ordinal") -> DataFrame:
     """The k nearest points of ``right`` for each of ``left``: ``scan_id, a, b, d, rank``.
 
-    Rows with fewer than k hits search again with twice the radius, until
-    each has k or all that its scan holds (or ``rings`` searches are done);
-    ``radius`` decides the cost and not the result. Points that are not finite have no neighbours and are none.
+    Each point searches at its own scale: the finest level of a tree of cells
+    at which its cell holds as many points as it needs. What it needs lies
+    within the diagonal of that cell, so those that a radius of one cell does
+    not serve are served by twice that; there is no third search. ``radius``
+    sets the scale of the levels and not the result; with ``rings`` nothing
+    beyond ``radius * 2 ** (rings - 1)`` is looked for. Of points at the very
+    same place the first k + 1 are enough for everyone. Points that are not
+    finite have no neighbours and are none.
     """
     from stereoloom.functions.numeric import all_finite
     from stereoloom.plans.durable import durable
 
-    right = right.filter(all_finite("x", "y", "z"))
-    held = right.groupBy("scan_id").agg((F.count("*") - int(same_table)).alias("n")).filter("n > 0").select("scan_id", F.least("n", F.lit(k)).alias("need"))
-    held = durable(held)  # a row a scan
-    todo = left.filter(all_finite("x", "y", "z")).join(held, "scan_id", "left_semi")
-    out, ring = None, 0
-    w = Window.partitionBy("scan_id", "a")
-    while True:
-        pairs = radius_join(todo, right, radius * 2**ring, left_id=left_id)
+    reach = math.inf if rings is None else radius * 2 ** (rings - 1)
+    steps = [n for n in LEVELS if n <= FINER or radius * 2.0 ** (n - FINER) < reach]
+    steps += LEVELS[len(steps) : len(steps) + 1]  # the first that goes as far as reach
+    top = steps[-1]
+    place = Window.partitionBy("scan_id", "x", "y", "z").orderBy("ordinal")
+    finite = right.filter(all_finite("x", "y", "z")).select("scan_id", "ordinal", "x", "y", "z", *_fine_cell(radius))
+    cells = durable(finite.groupBy("scan_id", *_FINE).agg(F.count("*").alias("n")))
+    held = cells.groupBy("scan_id").agg((F.sum("n") - int(same_table)).alias("n")).filter("n > 0").select("scan_id", F.least("n", F.lit(k)).alias("need"))
+    points = durable(finite.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k + 1).drop("place"))
+
+    def at_levels(fine: DataFrame, *carry: str) -> DataFrame:
+        every = F.transform(F.array(*map(F.lit, steps)), lambda n: _above(n))
+        return fine.select("scan_id", *carry, F.explode(every).alias("at")).select("scan_id", *carry, "at.*")
+
+    asking = left.filter(all_finite("x", "y", "z")).select("scan_id", F.col(left_id).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *_fine_cell(radius))
+    within = F.greatest(*[F.abs(F.col(i)) for i in _FINE]) < _FAR - 1
+    counts = at_levels(cells.filter(within), "n").groupBy(_CELL).agg(F.sum("n").alias("n"))
+    enough = counts.join(held, "scan_id").filter(F.col("n") >= F.col("need") + int(same_table)).select(_CELL)
+    scale = at_levels(asking.filter(within).select("scan_id", *_FINE).distinct(), *_FINE).join(enough, _CELL).groupBy("scan_id", *_FINE).agg(F.min("level").alias("level"))
+    todo = durable(asking.join(held, "scan_id").join(scale, ["scan_id", *_FINE], "left").withColumn("level", F.coalesce("level", F.lit(top))))
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", (x, y, z), strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+
+    def search(rows: DataFrame) -> DataFrame:
+        met = rows.select("scan_id", "a", "ax", "ay", "az", "need", F.explode(F.transform(around, lambda m: _above(F.col("level"), m["x"], m["y"], m["z"]))).alias("at")).select("scan_id", "a", "ax", "ay", "az", "need", "at.*")
+        there = at_levels(cells, *_FINE).join(met.select(_CELL).distinct(), _CELL, "left_semi")
+        pairs = met.join(points.join(there, ["scan_id", *_FINE]), _CELL)
+        pairs = pairs.withColumn("d", F.sqrt(sum(((F.col(f"a{c}") - F.col(c)) ** 2 for c in "yz"), (F.col("ax") - F.col("x")) ** 2)))
+        pairs = pairs.filter((F.col("d") <= F.lit(radius / 2**FINER) * F.pow(F.lit(2.0), F.col("level"))) | (F.col("level") == LEVELS[-1])).filter(F.col("d") <= reach)
         if same_table:
-            pairs = pairs.filter("a <> b")
-        ranked = pairs.withColumns({"rank": F.row_number().over(w.orderBy("d", "b")), "met": F.count("*").over(w)}).filter(F.col("rank") <= k)
-        found = durable(ranked.join(held, "scan_id").withColumn("full", F.col("met") >= F.col("need")).drop("met", "need"))
-        full = found.filter("full and rank = 1").select("scan_id", F.col("a").alias(left_id))
-        rest = durable(todo.join(full, ["scan_id", left_id], "left_anti"))
-        last = ring + 1 == rings or rest.isEmpty()
-        part = (found if last else found.filter("full")).drop("full")
-        out = part if out is None else out.unionByName(part)
-        if last:
-            return out
-        todo, ring = rest, ring + 1
+            pairs = pairs.filter(F.col("a") != F.col("ordinal"))
+        w = Window.partitionBy("scan_id", "a")
+        ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d", "ordinal"))).filter(F.col("rank") <= k)
+        return ranked.select("scan_id", "a", F.col("ordinal").alias("b"), "d", "rank", (F.col("level") == top).alias("last"), (F.max("rank").over(w) >= F.col("need")).alias("full"))
+
+    first = durable(search(todo)).filter("full or last").drop("full", "last")
+    rest = todo.filter(F.col("level") < top).join(first.filter("rank = 1"), ["scan_id", "a"], "left_anti")
+    coarser = F.element_at(F.create_map(*[F.lit(v) for pair in zip(steps, steps[1:], strict=False) for v in pair]), F.col("level"))
+    return first.unionByName(search(rest.withColumn("level", coarser)).drop("full", "last"))
 
 
 def neighbour_frames(frames: DataFrame, distance: float = 0.5, degrees: float = 30.0, carry: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
