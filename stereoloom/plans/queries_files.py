@@ -168,11 +168,10 @@ def io10_cameras(spark, sf):
 
 
 def cloud(spark, sf) -> str:
-    """The points as one PLY file, on a local path (the writer joins its parts there)."""
-    ply.register(spark)
+    """The points as one PLY file in the shared folder, which its tasks write side by side."""
     path = folder(spark, "cloud").removeprefix("file:") + ".ply"
-    own = ad.points(spark, sf).select(*[F.col(c).cast("float") for c in "xyz"], *[((F.col("ordinal") + i) % 256).cast("int").alias(c) for i, c in enumerate(("red", "green", "blue"))])
-    own.write.format("ply").mode("append").option("path", path).save()
+    own = ad.points(spark, sf).select(F.col("ordinal").alias("row"), *[F.col(c).cast("float") for c in "xyz"], *[((F.col("ordinal") + i) % 256).cast("int").alias(c) for i, c in enumerate(("red", "green", "blue"))])
+    ply.write(own, path, ["row"])
     return path
 
 
@@ -200,7 +199,7 @@ def io18(spark, sf):
     path = folder(spark, "splats").removeprefix("file:") + ".ply"
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     own = ad.points(spark, sf).select(F.col("ordinal").alias("row"), F.array("x", "y", "z").alias("mean"), F.array("x", "y", "z").alias("log_scale"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("quat"), F.col("score").alias("opacity"), zeros(3).alias("sh0"), zeros(9).alias("sh_rest"))
-    ply.splat_rows(own, 1).drop("row").write.format("ply").mode("append").option("path", path).save()
+    ply.write(ply.splat_rows(own, 1), path, ["row"])
     return spark.read.format("ply").load(path).select(*[F.col(c).cast("double").alias(c) for c in ("x", "opacity", "scale_1", "rot_0")])
 
 

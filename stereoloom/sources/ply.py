@@ -1,5 +1,8 @@
 """PLY point files: reader and writer as Spark data sources.
 
+A row's place in a file follows from its ``ordinal``, so tasks write into one
+file side by side and a task that runs again writes the same bytes there.
+
 The reader splits a binary file into ranges of whole vertices, so one large
 file is read by many tasks. Files are opened through Hadoop-style paths that
 Python can reach (``file:`` and plain paths); other stores go through
@@ -12,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 # Scalar type names of the PLY format.
@@ -72,9 +75,39 @@ def parse(data: bytes) -> np.ndarray:
 
 def encode(columns: list[tuple[str, str]], rows: np.ndarray) -> bytes:
     """A binary little-endian file of a structured array."""
+    return _head(columns, len(rows)) + rows.tobytes()
+
+
+def _head(columns: list[tuple[str, str]], count: int, size: int | None = None) -> bytes:
+    """The header, filled up to ``size`` bytes by a comment if that is given."""
     names = {"i1": "char", "u1": "uchar", "i2": "short", "u2": "ushort", "i4": "int", "u4": "uint", "f4": "float", "f8": "double"}
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *[f"property {names[k]} {n}" for n, k in columns], "end_header", ""]
-    return "\n".join(head).encode() + rows.tobytes()
+    lines = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *[f"property {names[k]} {n}" for n, k in columns], "end_header", ""]
+    if size is not None:
+        lines.insert(2, "comment" + " " * (size - len("\n".join(lines)) - len("comment\n")))
+    return "\n".join(lines).encode()
+
+
+def _placed_size(columns: list[tuple[str, str]]) -> int:
+    """Bytes of a header that has room for any count."""
+    return len(_head(columns, 0)) + 64
+
+
+def _record(batch: pa.RecordBatch, columns: list[tuple[str, str]]) -> np.ndarray:
+    """Rows of a batch as they lie in the file. Null floats are not numbers; whole numbers that do not fit, or are null, are refused."""
+    out = np.empty(batch.num_rows, dtype=[(n, f"<{k}") for n, k in columns])
+    for name, kind in columns:
+        values = batch.column(batch.schema.get_field_index(name))
+        if kind[0] == "f":
+            out[name] = values.to_numpy(zero_copy_only=False)
+            continue
+        limit = np.iinfo(kind)
+        if values.null_count:
+            raise ValueError(f"{name} is null")
+        numbers = values.to_numpy(zero_copy_only=False)
+        if len(numbers) and not (limit.min <= numbers.min() and numbers.max() <= limit.max):
+            raise ValueError(f"{name} does not fit {kind}")
+        out[name] = numbers
+    return out
 
 
 def _local(path: str) -> str:
@@ -121,35 +154,105 @@ class _Reader(DataSourceReader):
 
 
 class _Message(WriterCommitMessage):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, rows: int, last: int = -1, sums: tuple = (0, 0, 0)):
+        self.path, self.rows, self.last, self.sums = path, rows, last, sums
+
 
+def _kinds(schema: StructType) -> list[tuple[str, str]]:
+    return [(f.name, {"float": "f4", "double": "f8", "bigint": "i4", "int": "u1" if f.name in ("red", "green", "blue") else "i4"}[f.dataType.simpleString()]) for f in schema.fields if f.name != "ordinal"]
 
-class _Writer(DataSourceWriter):
-    """Each task writes its part beside the target; the commit joins the parts in partition order and renames."""
+
+class _PlacedWriter(DataSourceArrowWriter):
+    """Rows go where their ``ordinal`` says, into one file that all tasks have open; the commit writes the header and renames. Nothing is copied."""
 
     def __init__(self, path: str, schema: StructType):
-        self.path = _local(path)
-        self.columns = [(f.name, {"float": "f4", "double": "f8", "bigint": "i4", "int": "u1" if f.name in ("red", "green", "blue") else "i4"}[f.dataType.simpleString()]) for f in schema.fields if f.name != "ordinal"]
+        import uuid
+
+        self.path, self.columns = _local(path), _kinds(schema)
+        self.target = f"{self.path}.placed-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        import os
+
+        rows, last, sums, start = 0, -1, np.zeros(3, dtype=np.uint64), _placed_size(self.columns)
+        file = os.open(self.target, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            for batch in iterator:
+                at = batch.column(batch.schema.get_field_index("ordinal"))
+                if at.null_count:
+                    raise ValueError("ordinal is null")
+                at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                at, data = at[order], _record(batch, self.columns)[order]
+                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                    if len(run):
+                        self._put(file, data[run[0] : run[-1] + 1].tobytes(), start + int(at[run[0]]) * data.dtype.itemsize)
+                rows, wide = rows + len(at), at.astype(np.uint64)
+                sums += np.array([wide.sum(), (wide * wide).sum(), (wide * wide * wide).sum()], dtype=np.uint64)
+                last = max(last, int(at[-1]) if len(at) else -1)
+            os.fsync(file)
+        finally:
+            os.close(file)
+        return _Message(self.target, rows, last, tuple(map(int, sums)))
+
+    @staticmethod
+    def _put(file: int, data: bytes, at: int) -> None:
+        import os
+
+        while data:
+            done = os.pwrite(file, data, at)
+            data, at = data[done:], at + done
+
+    def commit(self, messages):
+        import os
+
+        messages = [m for m in messages if m]
+        n, size = sum(m.rows for m in messages), _placed_size(self.columns)
+        want = (n * (n - 1) // 2, n * (n - 1) * (2 * n - 1) // 6, (n * (n - 1) // 2) ** 2)
+        found = [sum(m.sums[i] for m in messages) for i in range(3)]  # of ordinals, their squares and cubes modulo 2**64
+        if max((m.last for m in messages), default=-1) != n - 1 or any((a - b) % 2**64 for a, b in zip(want, found, strict=True)):
+            self.abort(messages)
+            raise ValueError("ordinals must run from 0 without gaps")
+        file = os.open(self.target, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            self._put(file, _head(self.columns, n, size), 0)
+            os.ftruncate(file, size + n * np.dtype([(c, k) for c, k in self.columns]).itemsize)
+            os.fsync(file)
+        finally:
+            os.close(file)
+        os.replace(self.target, self.path)
+
+    def abort(self, messages):
+        import contextlib
+        import os
+
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self.target)
+
+
+class _Writer(DataSourceArrowWriter):
+    """Rows without places: each task writes its part beside the target; the commit joins the parts in partition order and renames."""
+
+    def __init__(self, path: str, schema: StructType):
+        self.path, self.columns = _local(path), _kinds(schema)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        rows = np.array([tuple(r[n] for n, _ in self.columns) for r in iterator], dtype=[(n, f"<{k}") for n, k in self.columns])
-        part = f"{self.path}.part-{TaskContext.get().partitionId():06d}"
+        rows, part = 0, f"{self.path}.part-{TaskContext.get().partitionId():06d}"
         with open(part, "wb") as f:
-            f.write(rows.tobytes())
-        return _Message(part, len(rows))
+            for batch in iterator:
+                f.write(_record(batch, self.columns).tobytes())
+                rows += batch.num_rows
+        return _Message(part, rows)
 
     def commit(self, messages):
         import os
         import shutil
 
         messages = sorted((m for m in messages if m), key=lambda m: m.path)
-        empty = np.empty(0, dtype=[(n, f"<{k}") for n, k in self.columns])
-        head = encode(self.columns, empty).replace(b"element vertex 0", f"element vertex {sum(m.rows for m in messages)}".encode())
         with open(f"{self.path}.partial", "wb") as out:
-            out.write(head)
+            out.write(_head(self.columns, sum(m.rows for m in messages)))
             for m in messages:
                 with open(m.path, "rb") as f:
                     shutil.copyfileobj(f, out)
@@ -167,7 +270,10 @@ class _Writer(DataSourceWriter):
 
 
 class PlySource(DataSource):
-    """IO6, IO8: ``spark.read.format("ply").load(path)``; writing needs a folder that all tasks share."""
+    """IO6, IO8: ``spark.read.format("ply").load(path)``; writing needs a folder that all tasks share.
+
+    A table with an ``ordinal`` (0, 1, ... each once) is written in place by its tasks; ``write`` gives it one.
+    """
 
     @classmethod
     def name(cls):
@@ -181,7 +287,19 @@ class PlySource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], schema)
+        return (_PlacedWriter if "ordinal" in schema.names else _Writer)(self.options["path"], schema)
+
+
+def write(df: DataFrame, path: str, order: list[str]) -> None:
+    """IO8, IO18: one file with the columns that are not in ``order``, its rows sorted by those; tasks write side by side, the driver copies nothing.
+
+    Ties lie in any order. Numbering range-partitions; only counts of partitions meet.
+    """
+    from stereoloom.operators.sampling import numbered
+
+    register(df.sparkSession)
+    placed = numbered(df, order).drop("__n", *order).withColumnRenamed("__i", "ordinal")
+    placed.write.format("ply").mode("append").option("path", path).save()
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

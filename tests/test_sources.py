@@ -24,6 +24,24 @@ def test_ply_round_trip_and_ranges(spark, tmp_path, monkeypatch):
     assert ply.strict_preview(spark, path, 10).count() == 10
 
 
+def test_ply_is_written_in_place(spark, tmp_path):
+    """Tasks write where ordinals say; rows come back in order, and what does not fit is refused without a trace."""
+    rows = [(i * 7919 % 3001, float(i), i % 256, i - 50) for i in range(3001)]
+    df = spark.createDataFrame(rows, "row long, x double, red int, n long").repartition(5)
+    path = tmp_path / "p.ply"
+    ply.write(df, str(path), ["row"])
+    back = spark.read.format("ply").load(str(path)).orderBy("ordinal").collect()
+    assert [tuple(r) for r in back] == [(k, *r[1:]) for k, r in enumerate(sorted(rows))]
+    assert len(path.read_bytes()) == ply.Header(path.read_bytes()).offset + 3001 * 13
+    ply.write(df.limit(0), str(tmp_path / "e.ply"), ["row"])
+    assert spark.read.format("ply").load(str(tmp_path / "e.ply")).count() == 0
+    put = lambda sql: spark.sql(sql).write.format("ply").mode("append").option("path", str(tmp_path / "bad.ply")).save()
+    for sql in ("SELECT 0L ordinal, 256 red", "SELECT 0L ordinal, 1L << 31 n", "SELECT 0L ordinal, CAST(NULL AS INT) n", "SELECT 1L ordinal, 1 n", "SELECT explode(array(0L, 0L, 3L, 3L)) ordinal, 1 n", "SELECT 300 red", "SELECT CAST(NULL AS BIGINT) ordinal, 1 n"):
+        with pytest.raises(Exception):
+            put(sql)
+    assert {p.name for p in tmp_path.iterdir() if "bad" in p.name and "part" not in p.name} == set()
+
+
 def test_ply_ascii_short_and_broken_files(spark, tmp_path):
     a = tmp_path / "a.ply"
     a.write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n")
