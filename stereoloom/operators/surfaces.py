@@ -1,8 +1,9 @@
 """Local surface refinement: each frame between two anchors is fitted to their depth images.
 
 Correspondences are looked for anew in every step, by projection into the
-anchors, where each pixel with a stable normal is a small surface. A frame
-meets its two anchors by an equi-join; a task holds three frames at a time.
+anchors, where each pixel with a stable normal is a small surface. The frames
+between two anchors come to one task behind them, so that normals are made once
+a window; a task holds three frames at a time.
 """
 
 from __future__ import annotations
@@ -178,26 +179,38 @@ def surface_refinement(frames: DataFrame, order: str = "timestamp", rules: Surfa
     width, height, depth (float32 bytes) and luma (bytes). Frames with both
     rasters whole are numbered in order (ties by frame_id) within a scan;
     every ``rules.every``-th and the last are anchors. Others are left out.
+    ``frames`` is read twice, once for its order alone.
     """
     size = F.col("width") * F.col("height")
     whole = frames.filter((F.octet_length("depth") == 4 * size) & (F.octet_length("luma") == size))
     in_order = Window.partitionBy("scan_id").orderBy(order, "frame_id")
-    places = whole.select("scan_id", "frame_id", order).withColumn("n", F.row_number().over(in_order) - 1).withColumn("last", F.count("*").over(Window.partitionBy("scan_id")) - 1).drop(order)
-    first = F.expr(f"n div {rules.every}") * rules.every
-    places = places.withColumn("anchor", (F.col("n") % rules.every == 0) | (F.col("n") == F.col("last"))).withColumns({"a": first, "b": F.least(first + rules.every, F.col("last"))})
-    own = whole.select("scan_id", "frame_id", *DEPTH_FRAME)
-    anchors = places.filter("anchor").select("scan_id", "n", "frame_id").join(own, ["scan_id", "frame_id"]).select("scan_id", F.col("n").cast("long").alias("k"), F.struct(*DEPTH_FRAME).alias("frame"))
-    asked = places.filter("not anchor").select("scan_id", "frame_id", F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("k")).join(anchors, ["scan_id", "k"])
+    places = whole.select("scan_id", "frame_id", order).withColumn("n", F.row_number().over(in_order) - 1).withColumn("last", F.count("*").over(Window.partitionBy("scan_id")) - 1)
+    first = (F.expr(f"n div {rules.every}") * rules.every).cast("long")
+    anchor = (F.col("n") % rules.every == 0) | (F.col("n") == F.col("last"))
+    closes = (F.col("n") % rules.every == 0) & (F.col("n") > 0)
+    # a frame's own window, and the one before that it closes as an anchor
+    windows = F.when(closes, F.array(F.struct(first.alias("window"), F.lit(True).alias("own")), F.struct((first - rules.every).alias("window"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(first.alias("window"), F.lit(True).alias("own"))))
+    places = places.select("scan_id", "frame_id", "n", anchor.alias("anchor"), F.explode(windows).alias("w"))
     tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or few bytes with much work would end in one task
-    rows = own.join(asked.groupBy("scan_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("k", "frame"))).alias("anchors")), ["scan_id", "frame_id"]).repartition(tasks, "scan_id", "frame_id")  # two anchors a frame
+    rows = whole.select("scan_id", "frame_id", *DEPTH_FRAME).join(places, ["scan_id", "frame_id"]).select("scan_id", "frame_id", *DEPTH_FRAME, "n", "anchor", "w.window", "w.own")
+    rows = rows.repartition(tasks, "scan_id", "window").sortWithinPartitions("scan_id", "window", F.desc("anchor"), "n", "frame_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        window, anchors = None, []
         for pdf in batches:
+            out = []
             for row in pdf.to_dict("records"):
-                pose, status, before, after = surface_aligned(DepthFrame(row, rules), [DepthFrame(a["frame"], rules).with_normals() for a in row["anchors"]], rules)
-                yield pd.DataFrame([{"scan_id": row["scan_id"], "frame_id": row["frame_id"], "pose": pose.reshape(-1).tolist(), "status": status, "before": before, "after": after}])
+                if window != (row["scan_id"], row["window"]):
+                    window, anchors = (row["scan_id"], row["window"]), []
+                if row["anchor"]:
+                    anchors.append(row)
+                    if row["own"]:
+                        out.append((row["scan_id"], row["frame_id"], row["pose"], "anchor", 0.0, 0.0))
+                    continue
+                anchors = [a if isinstance(a, DepthFrame) else DepthFrame(a, rules).with_normals() for a in anchors]
+                pose, status, before, after = surface_aligned(DepthFrame(row, rules), anchors, rules)
+                out.append((row["scan_id"], row["frame_id"], pose.reshape(-1).tolist(), status, before, after))
+            yield pd.DataFrame(out, columns=["scan_id", "frame_id", "pose", "status", "before", "after"])
 
     kind, frame = (frames.schema[c].dataType.simpleString() for c in ("scan_id", "frame_id"))
-    fitted = rows.mapInPandas(run, f"scan_id {kind}, frame_id {frame}, pose array<double>, status string, before double, after double")
-    kept = places.filter("anchor").select("scan_id", "frame_id").join(whole.select("scan_id", "frame_id", F.col("pose").cast("array<double>").alias("pose")), ["scan_id", "frame_id"])
-    return fitted.unionByName(kept.select("scan_id", "frame_id", "pose", F.lit("anchor").alias("status"), F.lit(0.0).alias("before"), F.lit(0.0).alias("after")))
+    return rows.mapInPandas(run, f"scan_id {kind}, frame_id {frame}, pose array<double>, status string, before double, after double")

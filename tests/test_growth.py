@@ -13,3 +13,9 @@ def test_pixels_of_neighbour_frames_meet_without_a_broadcast(spark):
     """A small file of vectors gives 64 pixels a vector: many times what the planner takes the side for."""
     p = plan(catalog.queries()["j23_depth_cross_check"](spark, DATA))
     assert "Broadcast" not in p and "SortMergeJoin" in p
+
+
+def test_room_images_are_drawn_once(spark):
+    """The refinement reads its frames for their order and for the fit; the drawing must not run again for each."""
+    p = plan(catalog.queries()["c11_surface_refinement"](spark, DATA))
+    assert "FlatMapGroupsInPandas" not in p and p.count("Scan parquet") == 2
