@@ -1,8 +1,10 @@
 """Plans and results that must hold on larger tables than the test ones."""
 
+import numpy as np
 from conftest import DATA
 
 from stereoloom import catalog
+from stereoloom.operators import stereo
 
 
 def plan(df) -> str:
@@ -19,3 +21,47 @@ def test_room_images_are_drawn_once(spark):
     """The refinement reads its frames for their order and for the fit; the drawing must not run again for each."""
     p = plan(catalog.queries()["c11_surface_refinement"](spark, DATA))
     assert "FlatMapGroupsInPandas" not in p and p.count("Scan parquet") == 2
+
+
+def test_stereo_views_are_drawn_once(spark):
+    assert "FlatMapGroupsInPandas" not in plan(catalog.queries()["c17_depth_maps"](spark, DATA))
+
+
+def test_costs_of_one_view_are_those_of_all():
+    """Windows that leave a view, or lie behind it, are told by their corners; one view asked for gives that view's column."""
+    r = np.random.default_rng(0)
+
+    def view(x, size):
+        pose = np.eye(4)
+        pose[0, 3] = x
+        return stereo.View(r.random(size), 40.0, 42.0, size[1] / 2 + 10 * x, size[0] / 2 + x, pose)
+
+    m = stereo.PlaneSweep(view(0.0, (36, 48)), [view(0.2, (36, 48)), view(-0.2, (30, 40)), view(2.5, (36, 48))], stereo.StereoRules(), 1)
+    at = r.integers(0, len(m.u), 500)
+    depth, normal = r.uniform(0.2, 6, 500), r.normal(size=(500, 3)) - [0, 0, 2]
+    normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+    every = m.costs(at, depth, normal)
+    assert all((m.costs(at, depth, normal, only=s)[:, 0] == every[:, s]).all() for s in range(3))
+    for n, k in enumerate(at):
+        offset, along = normal[n] @ m.ray[k] * depth[n], m.rays[k] @ normal[n]
+        for s, other in enumerate(m.others):
+            inside = offset < -1e-6 and (along < -1e-9).all()
+            if inside:
+                x = (m.rays[k] * (offset / along)[:, None]) @ (other.axes.T @ m.view.axes).T + other.axes.T @ (m.view.centre - other.centre)
+                u, v = other.fx * x[:, 0] / x[:, 2] + other.cx, other.fy * x[:, 1] / x[:, 2] + other.cy
+                inside = ((x[:, 2] > 1e-6) & (u >= 0) & (v >= 0) & (u < other.luma.shape[1] - 1) & (v < other.luma.shape[0] - 1)).all()
+            if not inside:
+                assert every[n, s] == stereo.INVALID
+                continue
+            i, j = v.astype(int), u.astype(int)
+            a, b, l = u - j, v - i, other.luma
+            value = (l[i, j] * (1 - a) + l[i, j + 1] * a) * (1 - b) + (l[i + 1, j] * (1 - a) + l[i + 1, j + 1] * a) * b
+            w, c = m.weight[k] / m.total[k], m.view.luma[m.v[k] + stereo.REACH[:, 1], m.u[k] + stereo.REACH[:, 0]]
+            off, own = value - w @ value, c - w @ c
+            assert abs(every[n, s] - (1 - (w * off) @ own / np.sqrt((w @ off**2) * (w @ own**2)))) < 1e-6
+
+
+def test_depth_maps_are_dealt_by_number(spark):
+    """The exchange before the search is one that the planner may not size by bytes."""
+    p = plan(catalog.queries()["c17_depth_maps"](spark, DATA))
+    assert "REPARTITION_BY_NUM" in p[p.index("MapInPandas") :].split("Join")[0]
