@@ -89,3 +89,18 @@ def test_few_points_meet_every_tile_of_their_cells(spark, monkeypatch):
     monkeypatch.setattr(fusion, "_tile_by_cells", lambda points, *rest: met.append(points.count()) or whole(points, *rest))
     assert fusion.tile_of(cloud, tiles, 0.3).filter("tile_id is not null").count() == 1500
     assert met and met[0] < 20
+
+
+def test_last_scene_of_few_vectors_is_complete(spark, tmp_path):
+    """Scenes of one to eight vectors still have points to solve and tracks to hold out; whole scenes stay a point a vector."""
+    from stereoloom.plans import scenes
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(80)
+    vectors = [r.embedding for r in e.orderBy("vec_id").collect()]
+    sizes = [1, 2, 3, 4, 5, 7, 8, 72]
+    rows = [(72 * s + i, vectors[(7 * s + i) % len(vectors)], 0) for s, n in enumerate(sizes) for i in range(n)]
+    spark.createDataFrame(rows, e.schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = {r.scan_id: r.tracks for r in scenes.disturbed_tracks(spark, str(tmp_path)).groupBy("scan_id").agg(F.collect_set("track_id").alias("tracks")).collect()}
+    assert sorted(seen[7]) == list(range(504, 576)) and all(len(seen[s]) >= min(21 * n, 72) for s, n in enumerate(sizes))
+    got = catalog.queries()["c10_noisy_adjustment"](spark, str(tmp_path)).collect()
+    assert sorted(r.scan_id for r in got) == list(range(8)) and all(r.accepted and r.better and r.near_noise for r in got)
