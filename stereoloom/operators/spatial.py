@@ -213,16 +213,87 @@ def source_view_scores(frames: DataFrame, samples: DataFrame, cos: float = 0.707
     The weight rises to 10 degrees and falls beyond. samples: scan_id, id,
     px, py, pz (points seen by the frame). Candidates lie within ``reach``.
     """
-    pairs = neighbour_frames(frames, reach, math.degrees(math.acos(cos))).filter(F.col("d") >= baseline)
-    at = lambda n: frames.select("scan_id", F.col("id").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
-    rays = pairs.join(at("a"), ["scan_id", "a"]).join(at("b"), ["scan_id", "b"]).join(samples.withColumnRenamed("id", "a"), ["scan_id", "a"])
-    va = [F.col(f"p{c}") - F.col(f"a{c}") for c in "xyz"]
-    vb = [F.col(f"p{c}") - F.col(f"b{c}") for c in "xyz"]
+    pairs = neighbour_frames(frames, reach, math.degrees(math.acos(cos)), ("x", "y", "z")).filter(F.col("d") >= baseline)
+    rays = pairs.join(samples.withColumnRenamed("id", "a"), ["scan_id", "a"])
+    va = [F.col(f"p{c}") - F.col(f"a_{c}") for c in "xyz"]
+    vb = [F.col(f"p{c}") - F.col(f"b_{c}") for c in "xyz"]
     angle = F.degrees(F.acos(clamp(g.dot(va, vb) / F.sqrt(g.dot(va, va) * g.dot(vb, vb)), -1.0, 1.0)))
     weight = F.when(angle <= 10, angle / 10).otherwise(F.greatest(F.lit(0.0), 1 - (angle - 10) / 30))
     return rays.groupBy("scan_id", "a", "b").agg(F.sum(weight).alias("score"), F.first("d").alias("d"))
 
 
+#: Values of one block of correlations in ``_best_matches``.
+BLOCK = 1 << 20
+
+
+def _best_matches(left: DataFrame, right: DataFrame, on: str, place: tuple[str, ...], radius: float, mutual: bool = True) -> DataFrame:
+    """The best partner of each left point within ``radius``, if ``mutual`` only where it is also best for its partner: ``on, a, b, d, ncc, second``.
+
+    Both sides: ``on``, id, the coordinates of ``place``, patch. A left point
+    meets its cell and those around it in one group, so its best two are known
+    there; what is best for a right point comes from a few groups, as one row
+    of each. Groups are taken block by block, and no pair leaves its task.
+    Equal correlations go to the smaller id.
+    """
+    import itertools
+
+    import numpy as np
+    import pandas as pd
+
+    cells = [f"c{i}" for i in range(len(place))]
+    cell = lambda c: F.floor(F.col(c) / _d(radius)).cast("long")
+    sound = F.col(on).isNotNull() & F.forall("patch", lambda x: x.isNotNull())
+    for c in place:
+        sound &= F.abs(F.col(c).cast("double")) < float("inf")  # not so if it is no number
+    own = lambda df: df.filter(sound).select(on, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in place], F.col("patch").cast("array<double>").alias("patch"), *[cell(c).alias(n) for c, n in zip(place, cells, strict=True)])
+    around = F.array(*[F.array(*map(F.lit, m)) for m in itertools.product((-1, 0, 1), repeat=len(place))])
+    spread = own(right).withColumn("m", F.explode(around)).select(on, "id", *place, "patch", *[(F.col(c) + F.col("m")[i]).alias(c) for i, c in enumerate(cells)])
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["a", "b", "d", "ncc", "second", "side"]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[on, *names])
+        a, b = a.sort_values("id", ignore_index=True), b.sort_values("id", ignore_index=True)
+        ai, bi, at, bt = a["id"].to_numpy(), b["id"].to_numpy(), a[list(place)].to_numpy(), b[list(place)].to_numpy()
+        out, top = [], [np.full(len(b), -np.inf), np.zeros(len(b), np.int64)]
+        sizes = [x.patch.map(len).to_numpy() for x in (a, b)]
+        for size in np.intersect1d(*sizes):
+            ra, rb = (np.flatnonzero(s == size) for s in sizes)
+            pa, pb = np.stack(a.patch.to_numpy()[ra]), np.ascontiguousarray(np.stack(b.patch.to_numpy()[rb]).T)
+            for start in range(0, len(ra), max(1, BLOCK // len(rb))):
+                rows = ra[start : start + max(1, BLOCK // len(rb))]
+                d2 = sum((at[rows, c][:, None] - bt[rb, c][None, :]) ** 2 for c in range(len(place)))
+                ncc = np.zeros(d2.shape)
+                for k in range(size):  # one after another, as a fold does, so that equal patches correlate equally
+                    ncc += pa[start : start + len(rows), k][:, None] * pb[k][None, :]
+                near = d2 <= radius * radius
+                ncc = np.where(near & ~np.isnan(ncc), ncc, -np.inf)
+                every = np.arange(len(rows))
+                best = ncc.argmax(axis=1)
+                score = ncc[every, best]
+                column = ncc.argmax(axis=0)
+                peak = ncc[column, np.arange(len(rb))]
+                better = peak > top[0][rb]
+                top[0][rb[better]], top[1][rb[better]] = peak[better], ai[rows[column[better]]]
+                ncc[every, best] = -np.inf
+                second = ncc.max(axis=1)
+                hit = score > -np.inf
+                out.append(pd.DataFrame({"a": ai[rows[hit]], "b": bi[rb[best[hit]]], "d": np.sqrt(d2[every, best][hit]), "ncc": score[hit], "second": np.where(second > -np.inf, second, -1.0)[hit], "side": 0}))
+        seen = top[0] > -np.inf
+        out.append(pd.DataFrame({"a": top[1][seen], "b": bi[seen], "d": 0.0, "ncc": top[0][seen], "second": 0.0, "side": 1}))
+        out = pd.concat([o for o in out if len(o)] or out[-1:], ignore_index=True)
+        out.insert(0, on, key[0])
+        return out
+
+    kind = left.schema[on].dataType.simpleString()
+    keys = [on, *cells]
+    tops = own(left).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(run, f"{on} {kind}, a long, b long, d double, ncc double, second double, side int")
+    if not mutual:
+        return tops.filter("side = 0").select(on, "a", "b", "d", "ncc", "second")
+    theirs = F.max(F.when(F.col("side") == 1, F.struct("ncc", (-F.col("a")).alias("least")))).over(Window.partitionBy(on, "b"))
+    return tops.withColumn("theirs", theirs).filter((F.col("side") == 0) & (F.col("theirs.least") == -F.col("a"))).select(on, "a", "b", "d", "ncc", "second")
+
+
 def feature_match(features: DataFrame, predictions: DataFrame, radius: float = 28.0, least: float = 0.70, ratio: float = 0.9, reciprocal: bool = True) -> DataFrame:
     """Predicted image positions to features of the frame, by descriptor correlation.
 
@@ -230,17 +301,8 @@ def feature_match(features: DataFrame, predictions: DataFrame, radius: float = 2
     values). Best correlation of at least ``least``, the second at most
     ``ratio`` of it; with ``reciprocal`` also best for the feature.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    p = predictions.select("frame_id", F.col("id").alias("p"), F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("patch").alias("pp"), near("u").alias("cu"), F.col("v").alias("v")).withColumn("cv", near("v")).drop("v")
-    f = features.select("frame_id", F.col("id").alias("f"), F.col("u").alias("fu"), F.col("v").alias("fv"), F.col("patch").alias("fp"), cell("u").alias("cu"), cell("v").alias("cv"))
-    d2 = (F.col("pu") - F.col("fu")) ** 2 + (F.col("pv") - F.col("fv")) ** 2
-    scored = p.join(f, ["frame_id", "cu", "cv"]).filter(d2 <= radius * radius).withColumn("ncc", F.aggregate(F.zip_with("pp", "fp", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    by_p = Window.partitionBy("frame_id", "p").orderBy(F.desc("ncc"), "f")
-    best = scored.withColumns({"r": F.row_number().over(by_p), "second": F.coalesce(F.lead("ncc").over(by_p), F.lit(-1.0))})
-    if reciprocal:
-        best = best.withColumn("rf", F.row_number().over(Window.partitionBy("frame_id", "f").orderBy(F.desc("ncc"), "p"))).filter("rf = 1")
-    return best.filter((F.col("r") == 1) & (F.col("ncc") >= least) & (F.col("second") <= ratio * F.col("ncc"))).select("frame_id", "p", "f", "ncc")
+    best = _best_matches(predictions, features, "frame_id", ("u", "v"), radius, reciprocal)
+    return best.filter((F.col("ncc") >= least) & (F.col("second") <= ratio * F.col("ncc"))).select("frame_id", F.col("a").alias("p"), F.col("b").alias("f"), "ncc")
 
 
 def reciprocal_match(a: DataFrame, b: DataFrame, radius: float = 0.30, least: float = 0.8, ratio: float = 0.9, most: int = 256) -> DataFrame:
@@ -249,13 +311,9 @@ def reciprocal_match(a: DataFrame, b: DataFrame, radius: float = 0.30, least: fl
     Both sides: scan_id, ordinal, x, y, z, patch. The ratio test compares the
     first and second best of the left point.
     """
-    pairs = radius_join(a, b, radius)
-    patch = lambda df, n: df.select("scan_id", F.col("ordinal").alias(n), F.col("patch").alias(f"{n}p"))
-    ncc = F.aggregate(F.zip_with("ap", "bp", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(patch(a, "a"), ["scan_id", "a"]).join(patch(b, "b"), ["scan_id", "b"]).withColumn("ncc", ncc)
-    wa, wb = Window.partitionBy("scan_id", "a").orderBy(F.desc("ncc"), "b"), Window.partitionBy("scan_id", "b").orderBy(F.desc("ncc"), "a")
-    ranked = scored.withColumns({"ra": F.row_number().over(wa), "rb": F.row_number().over(wb), "second": F.coalesce(F.lead("ncc").over(wa), F.lit(-1.0))})
-    good = ranked.filter((F.col("ra") == 1) & (F.col("rb") == 1) & (F.col("ncc") >= least) & (F.col("second") < ratio * F.col("ncc")))
+    side = lambda df: df.select("scan_id", F.col("ordinal").alias("id"), "x", "y", "z", "patch")
+    best = _best_matches(side(a), side(b), "scan_id", ("x", "y", "z"), radius)
+    good = best.filter((F.col("ncc") >= least) & (F.col("second") < ratio * F.col("ncc")))
     top = Window.partitionBy("scan_id").orderBy(F.desc("ncc"), "a")
     return good.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).select("scan_id", "a", "b", "d", "ncc")
 

@@ -1,5 +1,7 @@
 """Plans and results that must hold on larger tables than the test ones."""
 
+import functools
+
 import numpy as np
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -104,3 +106,33 @@ def test_last_scene_of_few_vectors_is_complete(spark, tmp_path):
     assert sorted(seen[7]) == list(range(504, 576)) and all(len(seen[s]) >= min(21 * n, 72) for s, n in enumerate(sizes))
     got = catalog.queries()["c10_noisy_adjustment"](spark, str(tmp_path)).collect()
     assert sorted(r.scan_id for r in got) == list(range(8)) and all(r.accepted and r.better and r.near_noise for r in got)
+
+
+def test_matches_of_a_crowded_frame_stay_in_their_task(spark):
+    """Pairs of points of one frame grow with its square: only the best of each point may leave a task. Copies, ties and unsound rows as in a plain search."""
+    from stereoloom.operators import spatial
+
+    for name in ("j9_feature_match", "j10_reciprocal_match"):
+        p = plan(catalog.queries()[name](spark, DATA))
+        assert "FlatMapCoGroupsInPandas" in p and "Join" not in p
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(160):
+        patch = r.normal(size=4)
+        patch = (patch / np.linalg.norm(patch)).round(3).tolist()
+        if i >= 80:
+            patch = rows[i - 80][4]  # a copy, so that correlations are equal
+        rows.append((int(i % 3), i, float(r.uniform(-3, 3)), float(r.uniform(-3, 3)), patch))
+    rows += [(0, 900, 0.0, 0.0, None), (0, 901, float("inf"), 0.0, [1.0, 0.0, 0.0, 0.0]), (0, 902, float("nan"), 0.0, [1.0, 0.0, 0.0, 0.0]), (0, 903, 0.0, 0.0, [None, 1.0, 0.0, 0.0]), (None, 904, 0.0, 0.0, [1.0, 0.0, 0.0, 0.0])]
+    own = spark.createDataFrame(rows, "frame_id int, id int, u double, v double, patch array<double>")
+    good = [x for x in rows if x[1] < 900]
+    for mutual in (True, False):
+        got = {(x.a, x.b): (x.ncc, x.second) for x in spatial._best_matches(own.filter("id % 2 = 0"), own.filter("id % 2 = 1"), "frame_id", ("u", "v"), 1.0, mutual).collect()}
+        score = {(a[1], b[1]): functools.reduce(lambda s, xy: s + xy[0] * xy[1], zip(a[4], b[4], strict=True), 0.0) for a in good for b in good if a[1] % 2 == 0 and b[1] % 2 == 1 and a[0] == b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 1}
+        want = {}
+        for a in {k[0] for k in score}:
+            of_a = sorted((-s, k[1]) for k, s in score.items() if k[0] == a)
+            b = of_a[0][1]
+            if not mutual or min((-s, k[0]) for k, s in score.items() if k[1] == b)[1] == a:
+                want[a, b] = (-of_a[0][0], -of_a[1][0] if len(of_a) > 1 else -1.0)
+        assert got == want and len(want) > 10
