@@ -106,23 +106,19 @@ def reference_views(frames: DataFrame, near: float = 0.06, far: float = 0.4, cos
     """
     import math
 
-    import pandas as pd
-
     pairs = spatial.neighbour_frames(frames, far, math.degrees(math.acos(cos)), ("timestamp", "x", "y", "z")).filter(F.col("d") >= near)
-    own = pairs.filter(F.abs(F.col("a_timestamp") - F.col("b_timestamp")) >= seconds).select("scan_id", "a", "b", "d", *[F.col(f"b_{c}").alias(f"b{c}") for c in "xyz"])
+    own = pairs.filter(F.abs(F.col("a_timestamp") - F.col("b_timestamp")) >= seconds).select("scan_id", "a", "b", F.abs(F.col("d") - ideal).alias("r"), *[F.col(f"b_{c}").alias(c) for c in "xyz"])
+    return _taken_apart(own, ["r", "b"], apart, most).select("scan_id", "a", "taken.b", F.col("place").cast("int").alias("place"))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(r=(pdf.d - ideal).abs()).sort_values(["r", "b"])
-        taken = []
-        for row in pdf.itertuples():
-            if all((row.bx - o.bx) ** 2 + (row.by - o.by) ** 2 + (row.bz - o.bz) ** 2 >= apart * apart for o in taken):
-                taken.append(row)
-                if len(taken) == most:
-                    break
-        return pd.DataFrame({"scan_id": [t.scan_id for t in taken], "a": [t.a for t in taken], "b": [t.b for t in taken], "place": range(len(taken))})
 
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.select("scan_id", "a", "b", "d", "bx", "by", "bz").groupBy("scan_id", "a").applyInPandas(pick, f"scan_id {kinds['scan_id']}, a {kinds['a']}, b {kinds['b']}, place int")
+def _taken_apart(candidates: DataFrame, order: list[str], apart: float, most: int) -> DataFrame:
+    """Greedy choice for each (scan_id, a) of its candidates by ``order``, each at x, y, z at least ``apart`` from those taken: ``scan_id, a, place, taken``."""
+    fields = [*order, *[c for c in candidates.columns if c not in ("scan_id", "a", *order)]]
+    far = lambda o: lambda t: sum(((o[c] - t[c]) ** 2 for c in "yz"), (o["x"] - t["x"]) ** 2) >= apart * apart
+    in_turn = F.array_sort(F.collect_list(F.struct(*fields)))
+    taken = F.aggregate("all", F.slice("all", 1, 0), lambda taken, o: F.when((F.size(taken) < most) & F.forall(taken, far(o)), F.concat(taken, F.array(o))).otherwise(taken))
+    groups = candidates.groupBy("scan_id", "a").agg(in_turn.alias("all"))
+    return groups.select("scan_id", "a", F.posexplode(taken).alias("place", "taken"))
 
 
 def spaced_references(frames: DataFrame, seconds: float = 0.25, apart: float = 0.08, most: int = 64) -> DataFrame:
@@ -168,18 +164,9 @@ def separated_revisits(candidates: DataFrame, gap: int = 10, most: int = 64) ->
 
 def sources_apart(scores: DataFrame, frames: DataFrame, apart: float = 0.02, most: int = 4) -> DataFrame:
     """J13, second part: the best-scored source views of each frame, ``apart`` from one another."""
-    import pandas as pd
-
     own = scores.join(frames.select("scan_id", F.col("id").alias("b"), "x", "y", "z"), ["scan_id", "b"])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list = []
-        for row in pdf.sort_values(["score", "b"], ascending=[False, True]).itertuples():
-            if len(taken) < most and all((row.x - t.x) ** 2 + (row.y - t.y) ** 2 + (row.z - t.z) ** 2 >= apart * apart for t in taken):
-                taken.append(row)
-        return pdf.loc[[t.Index for t in taken]]
-
-    return own.groupBy("scan_id", "a").applyInPandas(pick, own.schema)
+    last, first = F.col("score").isNull().alias("none"), (-F.col("score")).alias("first")
+    return _taken_apart(own.select("*", last, first), ["none", "first", "b"], apart, most).select("scan_id", "taken.b", "a", *[f"taken.{c}" for c in own.columns if c not in ("scan_id", "a", "b")])
 
 
 def _checks(df: DataFrame, checks: list[tuple]) -> DataFrame:

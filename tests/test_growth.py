@@ -136,3 +136,9 @@ def test_matches_of_a_crowded_frame_stay_in_their_task(spark):
             if not mutual or min((-s, k[0]) for k, s in score.items() if k[1] == b)[1] == a:
                 want[a, b] = (-of_a[0][0], -of_a[1][0] if len(of_a) > 1 else -1.0)
         assert got == want and len(want) > 10
+
+
+def test_greedy_choices_need_no_python_group_a_frame(spark):
+    """A frame's candidates are few and frames many: a Python group for each of them costs far more than the choice."""
+    for name in ("j5_reference_views", "j13_source_views"):
+        assert "InPandas" not in plan(catalog.queries()[name](spark, DATA))
