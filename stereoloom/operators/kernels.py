@@ -157,10 +157,7 @@ def revisit_verification(matches: DataFrame, trials: int = 64, inlier: float = 0
         motion, ok = (np.eye(3), np.zeros(3)), False
         if len(a) >= least_matches:
             random = np.random.default_rng(int(pdf.pair_id.iloc[0]))
-            for _ in range(trials):
-                guess = _sample(a, b, fit, random)
-                hit = fit[_apart(a[fit], b[fit], guess) < inlier] if guess else best
-                best = hit if len(hit) > len(best) else best
+            best = fit[_most_inliers(a, b, fit, random, trials, inlier)]
             if len(best) >= least and len(best) >= share * len(fit):
                 found = horn(a[best], b[best])
                 before, after = _apart(a[held], b[held], motion), _apart(a[held], b[held], found)
@@ -177,13 +174,30 @@ def _apart(a: np.ndarray, b: np.ndarray, motion: tuple[np.ndarray, np.ndarray])
     return np.linalg.norm(a @ motion[0].T + motion[1] - b, axis=1)
 
 
-def _sample(a, b, fit, random, least_area: float = 0.01):
-    """Motion of three matches, None if they are nearly in line."""
-    three = random.choice(fit, 3, replace=False)
-    around = b[three] - b[three].mean(0)
-    if max(np.linalg.norm(np.cross(around[i], around[j])) for i, j in ((0, 1), (0, 2), (1, 2))) <= least_area:
-        return None
-    return horn(a[three], b[three])
+def _most_inliers(a, b, fit, random, trials: int, inlier: float, least_area: float = 0.01) -> np.ndarray:
+    """Which of ``fit`` lie within ``inlier`` under the best of the motions of three matches each, the first of equal ones; threes nearly in line give none. All trials at once."""
+    three = np.stack([random.choice(fit, 3, replace=False) for _ in range(trials)])
+    p, q = a[three], b[three]
+    around = q - q.mean(axis=1, keepdims=True)
+    area = np.max([np.linalg.norm(np.cross(around[:, i], around[:, j]), axis=1) for i, j in ((0, 1), (0, 2), (1, 2))], axis=0)
+    turn, shift = _horns(p, q)
+    near = np.linalg.norm(a[fit] @ np.swapaxes(turn, 1, 2) + shift[:, None] - b[fit], axis=2) < inlier
+    near[~(area > least_area)] = False
+    return near[near.sum(axis=1).argmax()]
+
+
+def _horns(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``horn`` of many sets of points (n, points, 3)."""
+    ca, cb = a.mean(1), b.mean(1)
+    s = np.swapaxes(a - ca[:, None], 1, 2) @ (b - cb[:, None])
+    trace = np.trace(s, axis1=1, axis2=2)
+    d = np.stack([s[:, 1, 2] - s[:, 2, 1], s[:, 2, 0] - s[:, 0, 2], s[:, 0, 1] - s[:, 1, 0]], axis=1)
+    n = np.empty((len(a), 4, 4))
+    n[:, 0, 0], n[:, 0, 1:], n[:, 1:, 0] = trace, d, d
+    n[:, 1:, 1:] = s + np.swapaxes(s, 1, 2) - trace[:, None, None] * np.eye(3)
+    w, x, y, z = np.linalg.eigh(n)[1][:, :, -1].T
+    r = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)], axis=1).reshape(-1, 3, 3)
+    return r, cb - (r @ ca[:, :, None])[:, :, 0]
 
 
 def conjugate_gradients(apply, right: np.ndarray, rounds: int = 200, tolerance: float = 1e-10, nearly=None) -> np.ndarray:
