@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +26,8 @@ RECENT = 4
 ANCHORS = 4
 PER_FRAME = 2400
 PER_SCAN = 200_000
+#: Frames that are Python objects at one time, in a task.
+FEW = 8
 
 FRAME = "frame_id long, pose array<double>, fx double, fy double, cx double, cy double, width int, height int, features array<struct<id:long,u:double,v:double,depth:double,patch:binary>>, last boolean"
 _KEPT = "seq long, pose binary, camera binary, id binary, u binary, v binary, depth binary, patch binary, track binary"
@@ -205,8 +208,8 @@ def _folded(frames: DataFrame, order: str, report: bool, **options):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan, fold = None, None
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
+        for batch in batches:
+            for row in _rows_of(batch):
                 if fold is None or row["scan_id"] != scan:
                     if fold is not None and not report:
                         yield fold.observations(fold.rest()).assign(scan_id=scan)
@@ -224,7 +227,17 @@ def _folded(frames: DataFrame, order: str, report: bool, **options):
     columns = [c.split()[0] for c in schema.split(", ")]
     tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or few bytes with much work would end in one task
     rows = frames.repartition(tasks, "scan_id").sortWithinPartitions("scan_id", order)
-    return rows.mapInPandas(lambda b: (p[columns] for p in run(b)), schema)
+    arrow = pa.schema([(c, _ARROW[k]) for c, k in (x.split() for x in schema.split(", "))])
+    return rows.mapInArrow(lambda b: (pa.RecordBatch.from_pandas(p[columns], arrow, preserve_index=False) for p in run(b)), schema)
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as Python objects, a few at a time: a frame's features are far larger so than in the batch."""
+    for at in range(0, batch.num_rows, FEW):
+        yield from batch.slice(at, FEW).to_pylist()
 
 
 def feature_tracker(frames: DataFrame, order: str = "frame_id", least: int = 3, per_scan: int = PER_SCAN, **options) -> DataFrame:

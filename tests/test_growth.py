@@ -142,3 +142,40 @@ def test_greedy_choices_need_no_python_group_a_frame(spark):
     """A frame's candidates are few and frames many: a Python group for each of them costs far more than the choice."""
     for name in ("j5_reference_views", "j13_source_views"):
         assert "InPandas" not in plan(catalog.queries()[name](spark, DATA))
+
+
+def test_all_trials_at_once_find_what_one_after_another_finds():
+    from stereoloom.operators import kernels
+
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        a = r.uniform(-1, 1, (60, 3)) * (1.0 if seed % 3 else [1.0, 0.01, 0.01])  # some sets are nearly in line
+        b = a + [0.05, 0.0, 0.02] + np.where(np.arange(60)[:, None] % 3 == 0, r.normal(0, 0.5, (60, 3)), r.normal(0, 0.008, (60, 3)))
+        fit, best, random = np.flatnonzero(np.arange(60) % 5 > 0), np.empty(0, int), np.random.default_rng(seed)
+        for _ in range(64):
+            three = random.choice(fit, 3, replace=False)
+            around = b[three] - b[three].mean(0)
+            if max(np.linalg.norm(np.cross(around[i], around[j])) for i, j in ((0, 1), (0, 2), (1, 2))) > 0.01:
+                hit = fit[kernels._apart(a[fit], b[fit], kernels.horn(a[three], b[three])) < 0.025]
+                best = hit if len(hit) > len(best) else best
+        assert (fit[kernels._most_inliers(a, b, fit, np.random.default_rng(seed), 64, 0.025)] == best).all()
+
+
+def test_tracker_holds_few_frames_as_objects(spark, monkeypatch):
+    """A batch of thousands of frames is read a few at a time; the rows are those of the whole batch."""
+    import pyarrow as pa
+
+    from stereoloom.operators import tracking
+
+    whole = pa.RecordBatch.from_pylist([{"frame_id": i, "features": [{"id": i, "patch": bytes(81)}] * 3} for i in range(50)])
+
+    class Seen:
+        num_rows, sizes = 50, []
+
+        def slice(self, at, n):
+            self.sizes.append(n)
+            return whole.slice(at, n)
+
+    assert list(tracking._rows_of(Seen())) == whole.to_pylist() and max(Seen.sizes) == tracking.FEW
+    frames = spark.createDataFrame([], f"scan_id long, {tracking.FRAME}")
+    assert "MapInArrow" in plan(tracking.tracker_report(frames)) and "MapInPandas" not in plan(tracking.tracker_report(frames))
