@@ -179,3 +179,15 @@ def test_tracker_holds_few_frames_as_objects(spark, monkeypatch):
     assert list(tracking._rows_of(Seen())) == whole.to_pylist() and max(Seen.sizes) == tracking.FEW
     frames = spark.createDataFrame([], f"scan_id long, {tracking.FRAME}")
     assert "MapInArrow" in plan(tracking.tracker_report(frames)) and "MapInPandas" not in plan(tracking.tracker_report(frames))
+
+
+def test_machines_are_fed_only_what_they_read(spark):
+    """Columns that a machine does not look at are neither shuffled nor turned into Python objects; rows are the same without the rule."""
+    from stereoloom.streaming import state
+
+    class Whole(state.MotionEstimator):
+        READS = ()
+
+    own = spark.createDataFrame([(i % 2, i * 0.03 + (i > 40), float(i % 7), float(i % 5), 0.0, 0.1 * i, "wide") for i in range(80)], "scan_id int, timestamp double, x double, y double, z double, yaw double, unread string")
+    narrow, whole = (state.replay(own, m) for m in (state.MotionEstimator, Whole))
+    assert "unread" not in narrow._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0] and sorted(narrow.collect()) == sorted(whole.collect())
