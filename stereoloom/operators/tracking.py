@@ -231,7 +231,7 @@ def _folded(frames: DataFrame, order: str, report: bool, **options):
     return rows.mapInArrow(lambda b: (pa.RecordBatch.from_pandas(p[columns], arrow, preserve_index=False) for p in run(b)), schema)
 
 
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8(), "date": pa.date32(), "binary": pa.binary()}
 
 
 def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
