@@ -276,8 +276,31 @@ def test_a_group_of_near_copies_gives_a_row_each(spark):
     assert all(x.links >= 60 for x in group if x.kind == "query")
 
 
+def test_copies_lose_no_link(spark, monkeypatch):
+    """Pairs and votes are those of all pairs of descriptors within the distance, in one block or many; groups are the pairs' classes."""
+    r = np.random.default_rng(4)
+    near = r.normal(0, 0.125, 64)
+    rows = [(i, [float(x) for x in near + r.normal(0, 0.01, 64)]) for i in range(30)] + [(i, [float(x) for x in r.normal(0, 0.125, 64)]) for i in range(30, 50)] + [(i, [float(x) for x in near]) for i in range(50, 60)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q, b = media.media_of(e.filter("vec_id % 4 = 0"), edit=True), media.media_of(e)
+    q = q.unionAll(q.filter("image_id < 20")).unionAll(q.filter("image_id = 52").withColumn("image_id", F.lit(8).cast("long"))).unionAll(q.filter("image_id = 40").withColumn("image_id", F.lit(1000).cast("long")))
+    once = ["image_id", "digest", "side", "y", "x", "level", "angle", *media.WORDS]
+    one = media.descriptors(b).groupBy(*once[1:]).agg(F.min("image_id").alias("image_id"))
+    every = media.descriptors(q).select(once).distinct().alias("q").crossJoin(one.alias("b")).filter(media.distance("q", "b") <= media.HAMMING)
+    force = sorted((x.query_id, x.image_id, x.votes) for x in media.agreeing(every.select(F.struct("q.*").alias("q"), F.struct("b.*").alias("b"))).collect())
+    assert len({x[0] for x in force}) >= 12 and any(x[0] == 1000 for x in force)
+    for blocks in ({}, {"QUERY_BLOCK": 5, "IMAGE_BLOCK": 7, "STEP": 100, "VOTES": 50}):
+        for name, value in blocks.items():
+            monkeypatch.setattr(media, name, value)
+        found = media.copies(q, b)
+        assert sorted((x.query_id, x.image_id, x.votes) for x in found.collect()) == force
+        groups = sorted(media.copy_groups(q, b).collect())
+        assert groups == sorted(media.copy_classes(found).collect()) and len(groups) > 40
+
+
 def test_media_of_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert media.copy_groups(media.media_of(none, edit=True), media.media_of(none)).count() == 0
     assert media.copies(media.media_of(none, edit=True), media.media_of(none)).count() == 0
 
 
