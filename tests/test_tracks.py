@@ -166,6 +166,18 @@ def test_most_tracks_of_a_still_scene_go_on(spark):
     assert r.followed / (r.followed + r.way_back + r.unlike + r.off_line) >= 0.9
 
 
+def test_windows_are_the_bilinear_values_inside_and_beyond_the_edge():
+    r = np.random.default_rng(3)
+    image, at, reach = r.random((24, 31)), np.concatenate([r.uniform(-12, 40, (60, 2)), r.uniform(7, 15, (20, 2)), [[7, 7], [22.999, 15.999], [30, 23]]]), 7
+    du, dv = np.meshgrid(np.arange(-reach, reach + 1), np.arange(-reach, reach + 1))
+    u, v = np.clip(at[:, 0, None, None] + du, 0, 31 - 1.001), np.clip(at[:, 1, None, None] + dv, 0, 24 - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    a, b = u - j, v - i
+    plain = (image[i, j] * (1 - a) + image[i, j + 1] * a) * (1 - b) + (image[i + 1, j] * (1 - a) + image[i + 1, j + 1] * a) * b
+    for some in (slice(None), slice(60, 81), slice(0, 0)):
+        assert np.allclose(camera_tracks._around(image, at[some], reach), plain[some], rtol=0, atol=1e-12)
+
+
 def test_points_are_followed_through_a_known_shift():
     random = np.random.default_rng(3)
     s, t = np.meshgrid(np.arange(160) / 40.0, np.arange(120) / 40.0)
