@@ -115,3 +115,17 @@ def test_entries_of_the_store():
     assert e.get(3) is None and e.size == 1
     e.write()
     assert store == {(2,): (8.0,)}
+
+
+def test_a_scan_streams_by_in_batches(spark):
+    """No scan is held whole; null and NaN places, and scans without an id, count as before."""
+    rows = samples(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([*rows, (0, 3, None, 0, *[0.0] * 6), (0, 3, float("nan"), 0, *[0.0] * 6), (0, 3, 1e9, 9, None, *[0.0] * 5), (None, 1, 1.0, 0, *[0.0] * 6)], SCHEMA).repartition(3)
+        out = landmarks.replay(df, most_pending=12)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r[:2] for r in got] == [r[:2] for r in plain(rows, 12)] and np.allclose([r[2:] for r in got], [r[2:] for r in plain(rows, 12)]) and got
