@@ -60,10 +60,10 @@ FINER = 8
 _FAR = 1 << 61
 
 
-def _fine_cell(radius: float) -> list[Column]:
+def _fine_cell(radius: float, of: str = "") -> list[Column]:
     """Indices ix, iy, iz of the finest cell. Cells of no level but the last have an edge near zero, where scans start."""
     edge = _d(radius) / 2**FINER
-    return [F.least(F.greatest(F.floor(F.col(c).cast("double") / edge).cast("long") + (1 << 60) // 3, F.lit(-_FAR)), F.lit(_FAR - 1)).alias(f"i{c}") for c in "xyz"]
+    return [F.least(F.greatest(F.floor(F.col(of + c).cast("double") / edge).cast("long") + (1 << 60) // 3, F.lit(-_FAR)), F.lit(_FAR - 1)).alias(f"i{c}") for c in "xyz"]
 
 
 _FINE = ["ix", "iy", "iz"]
@@ -76,27 +76,71 @@ def _above(level: Column, *moves: Column) -> Column:
     return F.struct(level.alias("level"), *[(F.call_function("shiftright", F.col(i), level) + m).cast("long").alias(f"j{i[1]}") for i, m in zip(_FINE, moves, strict=True)])
 
 
+#: Scans of at most so many points, asked by at most 16 times as many, are searched as one block.
+FEW = 512
+#: Points in one array of a cell, and rows of the cells around askers in one task.
+CHUNK, ROWS = 512, 1 << 20
+
+
+def _closest(near: str, k: int, limit: Column, skip: bool) -> Column:
+    """Up to k structs (d, ordinal) of the points in an array, nearest first, within ``limit`` of ax, ay, az; with ``skip`` without a itself."""
+    apart = lambda p, c: (F.col(f"a{c}") - p[c]) * (F.col(f"a{c}") - p[c])
+    every = F.transform(near, lambda p: F.struct(F.sqrt(apart(p, "x") + apart(p, "y") + apart(p, "z")).alias("d"), p["ordinal"].alias("ordinal")))
+    some = F.filter(every, lambda p: (p["d"] <= limit) & (p["ordinal"] != F.col("a")) if skip else p["d"] <= limit)
+    return F.filter(F.array(F.array_min(some)), lambda p: p.isNotNull()) if k == 1 else F.slice(F.array_sort(some), 1, k)
+
+
+def _ranked_rows(found: DataFrame, *more: Column) -> DataFrame:
+    """A row for each struct of ``near``: ``scan_id, a, b, d, rank`` and more."""
+    rows = found.select("scan_id", "a", *more, F.posexplode("near").alias("place", "it"))
+    return rows.select("scan_id", "a", F.col("it.ordinal").alias("b"), F.col("it.d").alias("d"), (F.col("place") + 1).alias("rank"), *[c for c in rows.columns if c not in ("scan_id", "a", "place", "it")])
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int | None = None, same_table: bool = False, left_id: str = "ordinal") -> DataFrame:
     """The k nearest points of ``right`` for each of ``left``: ``scan_id, a, b, d, rank``.
 
-    Each point searches at its own scale: the finest level of a tree of cells
-    at which its cell holds as many points as it needs. What it needs lies
-    within the diagonal of that cell, so those that a radius of one cell does
-    not serve are served by twice that; there is no third search. ``radius``
-    sets the scale of the levels and not the result; with ``rings`` nothing
-    beyond ``radius * 2 ** (rings - 1)`` is looked for. Of points at the very
-    same place the first k + 1 are enough for everyone. Points that are not
-    finite have no neighbours and are none.
+    A scan of few points is one array, which its askers look through. In
+    others each point searches at its own scale (``_by_scale``). Either way
+    no pair leaves its task but the k best. With ``rings`` nothing beyond
+    ``radius * 2 ** (rings - 1)`` is looked for; otherwise ``radius`` does
+    not matter to the result. Points that are not finite have no neighbours
+    and are none.
     """
     from stereoloom.functions.numeric import all_finite
     from stereoloom.plans.durable import durable
 
     reach = math.inf if rings is None else radius * 2 ** (rings - 1)
+    finite = right.filter(all_finite("x", "y", "z") & F.col("scan_id").isNotNull()).select("scan_id", "ordinal", "x", "y", "z")
+    asking = left.filter(all_finite("x", "y", "z") & F.col("scan_id").isNotNull()).select("scan_id", F.col(left_id).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    sizes = finite.groupBy("scan_id").agg(F.count("*").alias("n"))
+    asked = sizes.withColumnRenamed("n", "m") if same_table else asking.groupBy("scan_id").agg(F.count("*").alias("m"))
+    sizes = durable(sizes.join(asked, "scan_id").select("scan_id", ((F.col("n") <= FEW) & (F.col("m") <= 16 * FEW)).alias("few")))
+    kinds = {r["few"] for r in sizes.select("few").distinct().collect()}
+    of = lambda df, few: df if len(kinds) < 2 else df.join(sizes.filter("few" if few else "not few").hint("merge"), "scan_id", "left_semi")
+    parts = []
+    if kinds != {False}:
+        block = of(finite, True).groupBy("scan_id").agg(F.collect_list(F.struct("ordinal", "x", "y", "z")).alias("points"))
+        parts.append(_ranked_rows(of(asking, True).join(block, "scan_id").select("scan_id", "a", _closest("points", k, F.lit(reach), same_table).alias("near"))))
+    if False in kinds:
+        parts.append(_by_scale(of(asking, False), of(finite, False), k, radius, reach, same_table))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _by_scale(asking: DataFrame, finite: DataFrame, k: int, radius: float, reach: float, same_table: bool) -> DataFrame:
+    """``nearest`` of finite points, each at its own scale: the finest level of a tree of cells at which its cell holds as many points as it needs.
+
+    What it needs lies within the diagonal of that cell, so those that a
+    radius of one cell does not serve are served by twice that; there is no
+    third search. ``radius`` sets the scale of the levels. Of points at the
+    very same place the first k + 1 are enough for everyone.
+    """
+    from stereoloom.plans.durable import durable
+
     steps = [n for n in LEVELS if n <= FINER or radius * 2.0 ** (n - FINER) < reach]
     steps += LEVELS[len(steps) : len(steps) + 1]  # the first that goes as far as reach
     top = steps[-1]
     place = Window.partitionBy("scan_id", "x", "y", "z").orderBy("ordinal")
-    finite = right.filter(all_finite("x", "y", "z")).select("scan_id", "ordinal", "x", "y", "z", *_fine_cell(radius))
+    finite = finite.select("*", *_fine_cell(radius))
     cells = durable(finite.groupBy("scan_id", *_FINE).agg(F.count("*").alias("n")))
     held = cells.groupBy("scan_id").agg((F.sum("n") - int(same_table)).alias("n")).filter("n > 0").select("scan_id", F.least("n", F.lit(k)).alias("need"))
     points = durable(finite.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k + 1).drop("place"))
@@ -105,27 +149,28 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rings: int
         every = F.transform(F.array(*map(F.lit, steps)), lambda n: _above(n))
         return fine.select("scan_id", *carry, F.explode(every).alias("at")).select("scan_id", *carry, "at.*")
 
-    asking = left.filter(all_finite("x", "y", "z")).select("scan_id", F.col(left_id).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *_fine_cell(radius))
+    asking = asking.select("scan_id", "a", "ax", "ay", "az", *_fine_cell(radius, "a"))
     within = F.greatest(*[F.abs(F.col(i)) for i in _FINE]) < _FAR - 1
     counts = at_levels(cells.filter(within), "n").groupBy(_CELL).agg(F.sum("n").alias("n"))
     enough = counts.join(held, "scan_id").filter(F.col("n") >= F.col("need") + int(same_table)).select(_CELL)
     scale = at_levels(asking.filter(within).select("scan_id", *_FINE).distinct(), *_FINE).join(enough, _CELL).groupBy("scan_id", *_FINE).agg(F.min("level").alias("level"))
     todo = durable(asking.join(held, "scan_id").join(scale, ["scan_id", *_FINE], "left").withColumn("level", F.coalesce("level", F.lit(top))))
     around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", (x, y, z), strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    # The rows of a cell's surroundings are alike and so few bytes when compressed: the number of tasks is given, by rows.
+    tasks = max(int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-27 * todo.count() // ROWS))
+    within_level = F.when(F.col("level") == LEVELS[-1], F.lit(math.inf)).otherwise(F.lit(radius / 2**FINER) * F.pow(F.lit(2.0), F.col("level")))
 
     def search(rows: DataFrame) -> DataFrame:
         met = rows.select("scan_id", "a", "ax", "ay", "az", "need", F.explode(F.transform(around, lambda m: _above(F.col("level"), m["x"], m["y"], m["z"]))).alias("at")).select("scan_id", "a", "ax", "ay", "az", "need", "at.*")
         there = at_levels(cells, *_FINE).join(met.select(_CELL).distinct(), _CELL, "left_semi")
-        pairs = met.join(points.join(there, ["scan_id", *_FINE]), _CELL)
-        pairs = pairs.withColumn("d", F.sqrt(sum(((F.col(f"a{c}") - F.col(c)) ** 2 for c in "yz"), (F.col("ax") - F.col("x")) ** 2)))
-        pairs = pairs.filter((F.col("d") <= F.lit(radius / 2**FINER) * F.pow(F.lit(2.0), F.col("level"))) | (F.col("level") == LEVELS[-1])).filter(F.col("d") <= reach)
-        if same_table:
-            pairs = pairs.filter(F.col("a") != F.col("ordinal"))
-        w = Window.partitionBy("scan_id", "a")
-        ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy("d", "ordinal"))).filter(F.col("rank") <= k)
-        return ranked.select("scan_id", "a", F.col("ordinal").alias("b"), "d", "rank", (F.col("level") == top).alias("last"), (F.max("rank").over(w) >= F.col("need")).alias("full"))
-
-    first = durable(search(todo)).filter("full or last").drop("full", "last")
+        placed = points.join(there, ["scan_id", *_FINE]).withColumn("part", F.floor(F.row_number().over(Window.partitionBy(*_CELL).orderBy("ordinal")) / CHUNK))
+        block = placed.groupBy(*_CELL, "part").agg(F.collect_list(F.struct("ordinal", "x", "y", "z")).alias("points"))
+        some = met.repartition(tasks, *_CELL).join(block.repartition(tasks, *_CELL).hint("merge"), _CELL)
+        some = some.select("scan_id", "a", "level", "need", _closest("points", k, F.least(within_level, F.lit(reach)), same_table).alias("near")).filter(F.size("near") > 0)
+        best = some.repartition(tasks, "scan_id", "a").groupBy("scan_id", "a", "level", "need").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        return _ranked_rows(best, (F.col("level") == top).alias("last"), (F.size("near") >= F.col("need")).alias("full"))
+
+    first = durable(search(todo).filter("full or last").drop("full", "last"))
     rest = todo.filter(F.col("level") < top).join(first.filter("rank = 1"), ["scan_id", "a"], "left_anti")
     coarser = F.element_at(F.create_map(*[F.lit(v) for pair in zip(steps, steps[1:], strict=False) for v in pair]), F.col("level"))
     return first.unionByName(search(rest.withColumn("level", coarser)).drop("full", "last"))

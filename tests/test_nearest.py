@@ -54,3 +54,34 @@ def test_no_products(spark):
     df = spark.createDataFrame(table(spark, uneven(1)), SCHEMA)
     plan = spatial.nearest(df, df, 2, 0.1, same_table=True)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_scans_of_many_points_search_by_scale(spark, monkeypatch, k):
+    """As the other tests, which small scans serve as one block, with cells cut into arrays of seven points."""
+    monkeypatch.setattr(spatial, "FEW", 2)
+    monkeypatch.setattr(spatial, "CHUNK", 7)
+    test_equals_all_pairs(spark, k)
+    test_two_tables_and_a_bound(spark)
+
+
+def test_pairs_stay_in_their_task(spark, monkeypatch):
+    """Only the best of an asker's cell are sorted and shuffled, in a given number of tasks; a small scan needs no levels of cells at all."""
+    df = spark.createDataFrame(table(spark, uneven(1)), SCHEMA)
+    plan = lambda: spatial.nearest(df, df, 2, 0.1, same_table=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("Generate") == 1
+    monkeypatch.setattr(spatial, "FEW", 0)
+    assert "REPARTITION_BY_NUM" in plan() and "Window [row_number() windowspecdefinition(scan_id" not in plan().split("ObjectHashAggregate")[0]
+
+
+def test_extrapolation_is_not_joined_back(spark):
+    """Directions go with the ids, so frames are read once and pairs meet no frames again."""
+    from stereoloom.operators import metrics
+
+    rows = [(s, i, *map(float, p), 0.6, 0.0, 0.8, i % 3 == 1) for s in (0, 1) for i, p in enumerate(np.random.default_rng(s).normal(size=(20, 3)))]
+    frames = spark.createDataFrame(rows, "scan_id int, id int, x double, y double, z double, dx double, dy double, dz double, holdout boolean")
+    out = metrics.extrapolation(frames)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {(r.scan_id, r.id): (r.nearest, round(r.d, 9), round(r.degrees, 3)) for r in out.collect()}
+    split = lambda held: [r[:5] for r in rows if r[8] == held]
+    assert got == {(s, a): (b, d, 0.0) for s, a, b, d, _ in by_force(split(True), split(False), 1)}
