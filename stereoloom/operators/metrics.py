@@ -393,11 +393,12 @@ def render_report(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def extrapolation(frames: DataFrame, start: float = 0.25) -> DataFrame:
     """Distance and angle to the nearest training frame of each held-out frame (frames: + holdout)."""
     from stereoloom.operators.spatial import nearest
+    from stereoloom.plans.durable import durable
 
-    found = nearest(frames.filter("holdout"), frames.filter("not holdout").withColumnRenamed("id", "ordinal"), 1, start, left_id="id")
-    own = lambda n: frames.select("scan_id", F.col("id").alias(n), *[F.col(f"d{c}").alias(f"{n}{c}") for c in "xyz"])
-    cos = sum((F.col(f"a{c}") * F.col(f"b{c}") for c in "yz"), F.col("ax") * F.col("bx"))
-    return found.join(own("a"), ["scan_id", "a"]).join(own("b"), ["scan_id", "b"]).select("scan_id", F.col("a").alias("id"), F.col("b").alias("nearest"), "d", F.degrees(F.acos(clamp(cos, -1.0, 1.0))).alias("degrees"))
+    own = durable(frames.select("scan_id", F.struct("id", "dx", "dy", "dz").alias("ordinal"), "x", "y", "z", "holdout"), "held")  # an id with its direction, so that pairs are not joined back
+    found = nearest(own.filter("holdout"), own.filter("not holdout"), 1, start)
+    cos = sum((F.col(f"a.d{c}") * F.col(f"b.d{c}") for c in "yz"), F.col("a.dx") * F.col("b.dx"))
+    return found.select("scan_id", F.col("a.id").alias("id"), F.col("b.id").alias("nearest"), "d", F.degrees(F.acos(clamp(cos, -1.0, 1.0))).alias("degrees"))
 
 
 def splat_statistics(samples: DataFrame) -> DataFrame:
