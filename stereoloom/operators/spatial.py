@@ -22,21 +22,36 @@ def _d(radius: float) -> float:
     return radius * (1 + 1e-6)  # float32 cell edges never hide a pair at the rim
 
 
+#: Scans of at most so many points meet as a whole; ``nearest`` has them asked by at most 16 times as many.
+FEW = 512
+
+
 def near_pairs(points: DataFrame, radius: float, carry: tuple[str, ...] = (), on: str = "scan_id", id_column: str = "id") -> DataFrame:
     """Pairs of two points of one table within ``radius``, each once with a < b: ``scan_id, a, b, d`` and the columns of ``carry`` as a_..., b_....
 
-    A point meets its own cell and the half of the 26 around it that follow,
-    so a pair is found once; what is known of its ends goes through the one
-    join with it.
+    The points of a scan of few meet one another, a row a point. In others a
+    point meets its own cell and the half of the 26 around it that follow, so
+    a pair is found once; what is known of its ends goes through the one join
+    with it.
     """
-    own = points.select(F.col(on), F.struct(F.col(id_column).alias("id"), *dict.fromkeys(("x", "y", "z", *carry))).alias("p"), vx.voxel_key("x", "y", "z", _d(radius)).alias("own"))
-    here = own.filter("own is not null").select(F.col(on), F.col("p").alias("left"), F.col("own").alias("key"))
-    there = own.select(F.col(on), F.col("p").alias("right"), "own", F.explode(F.filter(vx.neighbour_keys("own"), lambda k: k >= F.col("own"))).alias("key"))
-    met = here.join(there, [on, "key"]).filter((F.col("key") != F.col("own")) | (F.col("left.id") < F.col("right.id"))).filter("left.id <> right.id")
-    d2 = sum(((F.col(f"left.{c}") - F.col(f"right.{c}")) ** 2 for c in "yz"), (F.col("left.x") - F.col("right.x")) ** 2)
+    own = points.select(F.col(on), F.struct(F.col(id_column).alias("id"), *dict.fromkeys(("x", "y", "z", *carry))).alias("p"), vx.voxel_key("x", "y", "z", _d(radius)).alias("own")).filter(F.col(on).isNotNull() & F.col("own").isNotNull())
+    sizes = own.groupBy(on).agg((F.count("*") <= FEW).alias("few"))
+    kinds = {r["few"] for r in sizes.select("few").distinct().collect()}
+    of = lambda few: own if len(kinds) < 2 else own.join(sizes.filter("few" if few else "not few").hint("merge"), on, "left_semi")
+    met = []
+    if kinds != {False}:
+        side = lambda n: of(True).select(on, F.col("p").alias(n))
+        met.append(side("left").join(side("right").hint("merge"), on).filter("left.id < right.id"))
+    if False in kinds:
+        here = of(False).select(on, F.col("p").alias("left"), F.col("own").alias("key"))
+        there = of(False).select(on, F.col("p").alias("right"), "own", F.explode(F.filter(vx.neighbour_keys("own"), lambda k: k >= F.col("own"))).alias("key"))
+        half = here.join(there, [on, "key"]).filter((F.col("key") != F.col("own")) | (F.col("left.id") < F.col("right.id"))).filter("left.id <> right.id")
+        met.append(half.select(on, "left", "right"))
     first = F.col("left.id") < F.col("right.id")
     a, b = F.when(first, F.col("left")).otherwise(F.col("right")), F.when(first, F.col("right")).otherwise(F.col("left"))
-    close = met.withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(on, a.alias("a"), b.alias("b"), F.sqrt("d2").alias("d"))
+    d2 = sum(((F.col(f"left.{c}") - F.col(f"right.{c}")) ** 2 for c in "yz"), (F.col("left.x") - F.col("right.x")) ** 2)
+    near = [m.withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(on, a.alias("a"), b.alias("b"), F.sqrt("d2").alias("d")) for m in met]
+    close = near[0] if len(near) == 1 else near[0].unionByName(near[1])
     return close.select(on, F.col("a.id").alias("a"), F.col("b.id").alias("b"), "d", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in carry])
 
 
@@ -76,8 +91,6 @@ def _above(level: Column, *moves: Column) -> Column:
     return F.struct(level.alias("level"), *[(F.call_function("shiftright", F.col(i), level) + m).cast("long").alias(f"j{i[1]}") for i, m in zip(_FINE, moves, strict=True)])
 
 
-#: Scans of at most so many points, asked by at most 16 times as many, are searched as one block.
-FEW = 512
 #: Points in one array of a cell, and rows of the cells around askers in one task.
 CHUNK, ROWS = 512, 1 << 20
 
@@ -382,11 +395,16 @@ def playback(images: DataFrame, frames: DataFrame) -> DataFrame:
     return images.join(frames.withColumnRenamed("imageFile", "name"), "name", "left")
 
 
-def merged_records(raw: DataFrame, corrected: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """IO3: records by key, the corrected one if there is one; ``incomplete`` says that corrections exist but not for all."""
+def corrected_records(raw: DataFrame, corrected: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """IO3: records by key, the corrected one if there is one, which ``corrected`` says."""
     c = corrected.select(key, *[F.col(x).alias(f"c_{x}") for x in columns], F.lit(True).alias("__c"))
     both = raw.join(c, key, "full")
-    merged = both.select(key, *[F.when(F.col("__c"), F.col(f"c_{x}")).otherwise(F.col(x)).alias(x) for x in columns], F.coalesce("__c", F.lit(False)).alias("corrected"))
+    return both.select(key, *[F.when(F.col("__c"), F.col(f"c_{x}")).otherwise(F.col(x)).alias(x) for x in columns], F.coalesce("__c", F.lit(False)).alias("corrected"))
+
+
+def merged_records(raw: DataFrame, corrected: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """IO3: records by key, the corrected one if there is one; ``incomplete`` says that corrections exist but not for all."""
+    merged = corrected_records(raw, corrected, columns, key)
     state = merged.agg((F.max("corrected") & F.max(~F.col("corrected"))).alias("incomplete"))
     return merged.join(F.broadcast(state))  # one row
 

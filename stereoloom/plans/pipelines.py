@@ -250,7 +250,7 @@ def dataset_preparation(raw: DataFrame, corrected: DataFrame, columns: list[str]
     from stereoloom.operators.sequence import holdout_every
     from stereoloom.plans.durable import durable
 
-    merged = spatial.merged_records(raw, corrected, columns).drop("incomplete", "corrected")
+    merged = durable(spatial.corrected_records(raw, corrected, columns).drop("corrected"), "merged")
     judged = durable(blur_verdicts(merged))
     chosen = training_selection(judged).filter("selected").select("scan_id", "id")
     kept = judged.join(chosen, ["scan_id", "id"], "left_semi")

@@ -191,3 +191,30 @@ def test_machines_are_fed_only_what_they_read(spark):
     own = spark.createDataFrame([(i % 2, i * 0.03 + (i > 40), float(i % 7), float(i % 5), 0.0, 0.1 * i, "wide") for i in range(80)], "scan_id int, timestamp double, x double, y double, z double, yaw double, unread string")
     narrow, whole = (state.replay(own, m) for m in (state.MotionEstimator, Whole))
     assert "unread" not in narrow._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0] and sorted(narrow.collect()) == sorted(whole.collect())
+
+
+def test_scans_of_few_points_meet_without_copies(spark, monkeypatch):
+    """A small scan needs no row for each neighbouring cell; both ways give all pairs, also at the rim, of copies and beside points off the grid."""
+    from stereoloom.operators import spatial
+
+    r = np.random.default_rng(6)
+    rows = [(s, i, *map(float, p)) for s, n in ((0, 3), (1, 40), (2, 90)) for i, p in enumerate(r.normal(0, 0.4, (n, 3)))]
+    rows += [(1, 50, *rows[5][2:]), (1, 51, 0.0, 0.0, 0.0), (1, 52, 0.25, 0.0, 0.0), (1, 53, float("nan"), 0.0, 0.0), (1, 54, 1e12, 0.0, 0.0), (1, 55, None, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "scan_id int, id int, x double, y double, z double")
+    sound = [x for x in rows if x[0] is not None and x[2] is not None and abs(x[2]) < 1e9]
+    want = {(p[0], p[1], q[1], p[2], q[2]) for p in sound for q in sound if p[0] == q[0] and p[1] < q[1] and sum((a - b) ** 2 for a, b in zip(p[2:], q[2:], strict=True)) <= 0.0625}
+    for few in (512, 50, 2):
+        monkeypatch.setattr(spatial, "FEW", few)
+        out = spatial.near_pairs(df, 0.25, ("x",))
+        assert ("Generate" in plan(out)) == (few < 512)
+        assert sorted((x.scan_id, x.a, x.b, x.a_x, x.b_x) for x in out.collect()) == sorted(want)
+    assert (1, 51, 52) in {w[:3] for w in want}
+
+
+def test_prepared_records_need_no_flag_of_all(spark):
+    """Whether all records are corrected is not asked, so the merge runs once and meets no other row."""
+    from stereoloom.operators import spatial
+
+    raw = spark.createDataFrame([(i, float(i)) for i in range(6)], "id int, v double")
+    out = spatial.corrected_records(raw, raw.filter("id > 3").withColumn("v", F.lit(-1.0)), ["v"])
+    assert plan(out).count("Join") == 1 and sorted(out.collect()) == [(i, -1.0 if i > 3 else float(i), i > 3) for i in range(6)]
