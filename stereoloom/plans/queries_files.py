@@ -25,7 +25,7 @@ def folder(spark, name: str) -> str:
 
 def scan_lines(df, path: str, value) -> None:
     """Lines of text in a folder for each scan, ``scan_id=...``, one file each."""
-    df.select("scan_id", value.alias("value")).repartition("scan_id").write.partitionBy("scan_id").text(path)
+    scans.write_lines(df.select("scan_id", value.alias("value")), path)
 
 
 @query("io1_scan_listing", f"WITH {P}, s AS (SELECT 'scan_id=' || scan_id AS scan_id, '{{\"id\":' || ordinal || '}}' AS line FROM points) SELECT scan_id, 1 AS files, CAST(sum(length(line) + 1) AS BIGINT) AS bytes FROM s GROUP BY scan_id")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import re
+import uuid
 import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,10 @@ SESSION = """app string, version int, device string, osVersion string, startedAt
 depthFormat string, lidarAvailable boolean, lidarEnabled boolean, rgbReconstructionEnabled boolean, debugAssertionsEnabled boolean"""
 
 
+#: Characters of a folder's name that Spark's writer escapes.
+_ESCAPED = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
 def _scan_of(path):
     return F.regexp_extract(path, r".*/(scan_[^/]+)/", 1)
 
@@ -31,6 +39,57 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("id is not null").withColumn("scan_id", _scan_of(F.col("_metadata.file_path")))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """IO2: lines (scan_id, value) as one file in a folder for each scan, ``scan_id=...``.
+
+    Where Python can reach the path (``file:`` and plain ones), tasks write
+    the files side by side and rename each when it is whole, which spares the
+    two processes a file that a local file system's permissions cost and the
+    driver's renames. Other stores go through Spark's writer.
+    """
+    own = lines.select(F.coalesce(F.nullif(F.col("scan_id").cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("scan_id"), F.col("value").cast("string").alias("value")).filter("value is not null")
+    if "://" in path.removeprefix("file://") or not path.startswith(("/", "file:")):
+        own.repartition("scan_id").write.partitionBy("scan_id").text(path)
+        return
+    root = path.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        written, file, scan, done = 0, None, None, None
+        part = f".{uuid.uuid4().hex}"
+
+        def close():
+            file.close()
+            os.replace(file.name, done)
+
+        try:
+            for batch in batches:
+                scans, values = batch.column(0), batch.column(1).to_pylist()
+                ends = pc.run_end_encode(scans)
+                at = 0
+                for end, name in zip(ends.run_ends.to_pylist(), ends.values.to_pylist(), strict=True):
+                    if name != scan:
+                        if file is not None:
+                            close()
+                            written += 1
+                        folder = f"{root}/scan_id={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', name)}"
+                        os.makedirs(folder, exist_ok=True)
+                        scan, done = name, f"{folder}/lines.txt"
+                        file = open(f"{folder}/{part}", "w", encoding="utf-8", newline="")  # noqa: SIM115
+                    file.write("\n".join(values[at:end]) + "\n")
+                    at = end
+            if file is not None:
+                close()
+                written += 1
+        finally:
+            if file is not None and not file.closed:
+                file.close()
+                os.remove(file.name)
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["files"])
+
+    os.makedirs(root)
+    own.repartition("scan_id").sortWithinPartitions("scan_id").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def count_bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """IO2: lines a file that ``read_poses`` leaves out: those that do not parse and those without an id."""
     rows = spark.read.schema(FRAME + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

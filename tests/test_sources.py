@@ -123,3 +123,17 @@ def test_publish_replaces_whole(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "poses")).first()[0].startswith('{"a":1,"b":')
     scans.write_metrics(spark.range(2), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_scan_files_are_written_by_the_tasks(spark, tmp_path):
+    """Folders, names and lines are those of Spark's writer; nothing half-written stays; a file is made without a change of its permissions."""
+    rows = [(s, f"{s} line {i}\nmore" if i == 3 else f"{s} line {i}") for s in ("7", "a b", "x/y:z", "Zoë", "", None) for i in range(5)] + [("7", None)]
+    df = spark.createDataFrame(rows, "scan_id string, value string").repartition(3)
+    scans.write_lines(df, f"file://{tmp_path}/own")
+    df.filter("value is not null").repartition("scan_id").write.partitionBy("scan_id").text(f"{tmp_path}/spark")
+    lines = lambda name: {p.name: sorted(x for f in p.iterdir() if not f.name.startswith(".") for x in f.read_text().splitlines()) for p in (tmp_path / name).iterdir() if p.is_dir()}
+    assert lines("own") == lines("spark") and len(lines("own")) == 5
+    assert [f.name for f in (tmp_path / "own").rglob("*") if f.is_file()] == ["lines.txt"] * 5
+    assert sorted(spark.read.text(f"{tmp_path}/own").select("value").collect()) == sorted(spark.read.text(f"{tmp_path}/spark").select("value").collect())
+    scans.write_lines(df.limit(0), str(tmp_path / "none"))
+    assert scans.read_poses(spark, str(tmp_path / "none")).count() == 0
