@@ -293,3 +293,18 @@ def test_window_forms_equal_the_machines(spark):
         want = state.replay(df, state.MACHINES[name], order=order)
         key = lambda d, columns=columns: sorted(map(tuple, d.select(*columns).collect()))
         assert key(got) == key(want) and got.count() > 0
+
+
+def test_streamed_machines_take_rows_without_a_frame_a_scan(spark, tmp_path):
+    """A log of many short scans costs no pandas frame for each; nulls and disorder give what a replay gives."""
+    rows = [(s, 0.1 * ((7 * i) % 20) if (s, i) != (3, 5) else None, i, (s + i) % 9 > 0) for s in range(30) for i in range(20)]
+    own = spark.createDataFrame(rows, "scan_id int, timestamp double, id long, normal boolean")
+    own.write.json(str(tmp_path / "log"))
+    source = state.follow(spark, str(tmp_path / "log"), own.schema, None)
+    streamed = state.stream(source, state.StabilityGate, order=("timestamp", "id"))
+    assert ", pandas," not in streamed._jdf.queryExecution().analyzed().toString()
+    state.run_available(streamed, str(tmp_path / "out"), str(tmp_path / "at"))
+    key = lambda r: (r.scan_id, r.timestamp is None or r.timestamp != r.timestamp, r.timestamp or 0.0, r.open)
+    got, want = (sorted(map(key, df.collect())) for df in (spark.read.parquet(str(tmp_path / "out")), state.replay(own, state.StabilityGate, order=("timestamp", "id"))))
+    same = lambda x: [tuple(0.0 if v != v else v for v in r) for r in x]
+    assert same(got) == same(want) and len(got) == 600
