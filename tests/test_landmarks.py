@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stereoloom.plans import queries_streams as qs
 from stereoloom.streaming import landmarks, state
 
 SCHEMA = "scan_id long, landmark_id long, time double, epoch int, x double, y double, z double, cam_x double, cam_y double, cam_z double"
@@ -129,3 +130,20 @@ def test_a_scan_streams_by_in_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [r[:2] for r in got] == [r[:2] for r in plain(rows, 12)] and np.allclose([r[2:] for r in got], [r[2:] for r in plain(rows, 12)]) and got
+
+
+def test_the_query_turns_no_landmark_away(spark, tmp_path):
+    """Over 300 landmarks wait at one time."""
+    sf = str(tmp_path)
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").write.parquet(f"{sf}/embeddings.parquet")
+    own = spark.range(0, 400, 1, 1).selectExpr("id AS event_id", "CAST(timestamp_seconds(1700000000 + 1000 * id) AS TIMESTAMP_NTZ) AS ts", "1L AS user_id", "'view' AS event_type", "1D AS value")
+    own.write.parquet(f"{sf}/events.parquet")
+    rows = [tuple(r) for r in qs.scan_samples(spark, sf).collect()]
+    whole = plain(rows, 1_000_000)
+    assert sorted(map(tuple, qs.w7_scan(spark, sf).collect())) == whole and len(whole) > len(plain(rows, 300))
+
+
+def test_any_number_of_landmarks_may_wait(spark):
+    marks = 20_003
+    seen = spark.range(4 * marks).selectExpr("7L AS scan_id", f"id % {marks} AS landmark_id", f"id div {marks} * 0.3D AS time", "0 AS epoch", "0D AS x", "0D AS y", "-2D AS z", f"id div {marks} * 0.1D AS cam_x", "0D AS cam_y", "0D AS cam_z")
+    assert landmarks.replay(seen).count() == marks
