@@ -298,6 +298,15 @@ def test_copies_lose_no_link(spark, monkeypatch):
         assert groups == sorted(media.copy_classes(found).collect()) and len(groups) > 40
 
 
+def test_blocks_of_images_are_not_copied_for_each_block_of_queries(spark, monkeypatch):
+    """However many pairs of blocks there are, an exchange sees an image and a query once: no row is multiplied before one."""
+    monkeypatch.setattr(media, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(media, "IMAGE_BLOCK", 10)
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id < 60")
+    plan = media.copies(media.media_of(e.filter("vec_id % 4 = 0"), edit=True), media.media_of(e))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("CartesianProduct") == 1
+
+
 def test_media_of_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert media.copy_groups(media.media_of(none, edit=True), media.media_of(none)).count() == 0
