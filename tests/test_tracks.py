@@ -229,3 +229,33 @@ def test_stereo_needs_two_sources_with_a_baseline(spark):
     assert stereo.depth_maps(views.limit(0), pairs).count() == 0
     same = views.withColumn("pose", F.first("pose").over(Window.partitionBy("scan_id").orderBy("frame_id")))
     assert stereo.depth_maps(same, pairs).count() == 0
+
+
+def test_costs_are_those_of_a_plain_warp(spark):
+    """Every sample of a window is sent through the plane by itself; views pass as Arrow rows, without a pandas frame for each."""
+    rows = scenes.views(spark, DATA, 4, 48, 36).filter("scan_id = 1").orderBy("frame_id").collect()
+    view, *others = [stereo.View.of(r.asDict()) for r in rows]
+    sweep = stereo.PlaneSweep(view, others, stereo.StereoRules(rounds=0), 1)
+    at = np.flatnonzero(sweep.active)[::7]
+    depth, normal = np.linspace(1.2, 3.0, len(at)), np.tile([0.1, -0.05, -0.99], (len(at), 1))
+    got, seen = sweep.costs(at, depth, normal), 0
+    for k, (p, d) in enumerate(zip(at, depth, strict=True)):
+        for s, o in enumerate(others):
+            u, v = sweep.u[p] + stereo.REACH[:, 0], sweep.v[p] + stereo.REACH[:, 1]
+            ray = view.rays(u.astype(float), v.astype(float))
+            far = (normal[k] @ sweep.ray[p]) * d / (ray @ normal[k])
+            eye = ((ray * far[:, None]) @ view.axes.T + view.centre - o.centre) @ o.axes
+            x, y = o.fx * eye[:, 0] / eye[:, 2] + o.cx, o.fy * eye[:, 1] / eye[:, 2] + o.cy
+            if x.min() < 0 or y.min() < 0 or x.max() >= o.luma.shape[1] - 1 or y.max() >= o.luma.shape[0] - 1:
+                assert got[k, s] == stereo.INVALID
+                continue
+            i, j = y.astype(int), x.astype(int)
+            a, b = x - j, y - i
+            value = (o.luma[i, j] * (1 - a) + o.luma[i, j + 1] * a) * (1 - b) + (o.luma[i + 1, j] * (1 - a) + o.luma[i + 1, j + 1] * a) * b
+            w, own = sweep.weight[p], view.luma[v, u]
+            mean, other = (w * own).sum() / w.sum(), (w * value).sum() / w.sum()
+            same = (w * (own - mean) * (value - other)).sum() / np.sqrt((w * (own - mean) ** 2).sum() * (w * (value - other) ** 2).sum())
+            assert abs(got[k, s] - (1 - same)) < 1e-6
+            seen += 1
+    assert seen > 80
+    assert "MapInPandas" not in stereo.depth_maps(*queries_tracks.stereo_views(spark, DATA))._jdf.queryExecution().executedPlan().toString()
