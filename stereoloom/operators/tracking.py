@@ -105,16 +105,31 @@ def _nearby(at: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i[order], j[order]
 
 
-def _top_two(scores: np.ndarray) -> tuple[int, float, float]:
-    best = int(scores.argmax())
-    second = float(np.delete(scores, best).max()) if len(scores) > 1 else -1.0
-    return best, float(scores[best]), second
+def _top_two(to: list[int], scores: list[float], taken: list[bool] | None = None) -> tuple[int, float, float]:
+    """The first of the best that are not taken (-1: none is free), its score and the next one's; candidates are few, so that plain lists are faster than arrays."""
+    hit, best, second = -1, -1.0, -1.0
+    for k, s in zip(to, scores, strict=True):
+        if taken is not None and taken[k]:
+            continue
+        if hit < 0 or s > best:
+            hit, best, second = k, s, best if hit >= 0 else -1.0
+        elif s > second:
+            second = s
+    return hit, best, second
 
 
 def _clear(best: float, second: float) -> bool:
     return best >= LEAST_NCC and not (second > 0 and second / best > RATIO)
 
 
+def _candidates(at: np.ndarray, visible: np.ndarray, patch: np.ndarray, seen: TrackedFrame) -> tuple[list, list, list, list]:
+    """The visible places, and for the k-th of them candidates ``cuts[k]`` to ``cuts[k + 1]``: features near it and their correlations."""
+    rows = np.flatnonzero(visible)
+    i, j = _nearby(at[rows], np.stack([seen.u, seen.v], axis=1))
+    score = np.einsum("ij,ij->i", patch[rows[i]], seen.patch[j]) if len(i) else np.empty(0)
+    return np.searchsorted(i, np.arange(len(rows) + 1)).tolist(), rows.tolist(), j.tolist(), score.tolist()
+
+
 class TrackFold:
     """The state between frames, and what one more frame does to it.
 
@@ -149,43 +164,38 @@ class TrackFold:
         at, visible = new.seen_by(old.world)
         n["looked"] += len(visible)
         n["hidden"] += int((~visible).sum())
-        rows = np.flatnonzero(visible)
-        i, j = _nearby(at[rows], np.stack([new.u, new.v], axis=1))
-        score = np.einsum("ij,ij->i", old.patch[rows[i]], new.patch[j]) if len(i) else np.empty(0)
-        cuts = np.searchsorted(i, np.arange(len(rows) + 1))
-        for r, a, b in zip(rows.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            free = new.track[j[a:b]] < 0
-            if not free.any():
+        cuts, rows, j, score = _candidates(at, visible, old.patch, new)
+        taken = (new.track >= 0).tolist()
+        back = self._ways_back(old, new) if self.reciprocal else None
+        for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            hit, best, second = _top_two(j[a:b], score[a:b], taken)
+            if hit < 0:
                 n["none"] += 1
                 continue
-            to, s = j[a:b][free], score[a:b][free]
-            k, best, second = _top_two(s)
             if not _clear(best, second):
                 n["low" if best < LEAST_NCC else "ambiguous"] += 1
                 continue
-            hit = int(to[k])
-            if self.reciprocal and not self._confirmed(old, r, new, hit, given):
+            if self.reciprocal and (back[hit] != r or int(old.track[r]) in given or np.linalg.norm(new.world[hit] - old.world[r]) >= max(0.08, 0.04 * old.depth[r])):
                 n["refused"] += 1
                 continue
             if old.track[r] < 0:
                 old.track[r] = self.next_track
                 self.next_track += 1
             new.track[hit] = old.track[r]
+            taken[hit] = True
             given.add(int(old.track[r]))
             n["matched"] += 1
 
-    def _confirmed(self, old: TrackedFrame, r: int, new: TrackedFrame, hit: int, given: set[int]) -> bool:
-        """The track is new to this frame, both places in the world agree, and the way back ends where it began."""
-        if int(old.track[r]) in given or np.linalg.norm(new.world[hit] - old.world[r]) >= max(0.08, 0.04 * old.depth[r]):
-            return False
-        at, visible = old.seen_by(new.world[hit : hit + 1])
-        if not visible[0]:
-            return False
-        _, back = _nearby(at, np.stack([old.u, old.v], axis=1))
-        if not len(back):
-            return False
-        k, best, second = _top_two(old.patch[back] @ new.patch[hit])
-        return int(back[k]) == r and _clear(best, second)
+    @staticmethod
+    def _ways_back(old: TrackedFrame, new: TrackedFrame) -> list[int]:
+        """For each feature of the new frame the old one's feature that is clearly the best where the old pose puts it, or -1. What is taken does not count."""
+        cuts, rows, j, score = _candidates(*old.seen_by(new.world), new.patch, old)
+        out = [-1] * len(new.id)
+        for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            hit, best, second = _top_two(j[a:b], score[a:b])
+            if hit >= 0 and _clear(best, second):
+                out[r] = hit
+        return out
 
     def rest(self) -> list[TrackedFrame]:
         out, self.kept = self.kept, []

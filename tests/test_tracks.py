@@ -259,3 +259,13 @@ def test_costs_are_those_of_a_plain_warp(spark):
             seen += 1
     assert seen > 80
     assert "MapInPandas" not in stereo.depth_maps(*queries_tracks.stereo_views(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ways_back_are_looked_for_once_a_pair_of_frames(frames, monkeypatch):
+    """Not once a match: a frame and each kept one ask twice for what is near."""
+    asked, near = [], tracking._nearby
+    monkeypatch.setattr(tracking, "_nearby", lambda *a: asked.append(1) or near(*a))
+    fold, rows = tracking.TrackFold(reciprocal=True), [r.asDict(recursive=True) for r in frames.filter("scan_id = 0").orderBy("frame_id").collect()]
+    for row in rows:
+        fold.add(tracking.TrackedFrame.of(row))
+    assert fold.next_track > 20 and len(asked) <= 2 * tracking.RECENT * len(rows)
