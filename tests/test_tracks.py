@@ -269,3 +269,12 @@ def test_ways_back_are_looked_for_once_a_pair_of_frames(frames, monkeypatch):
     for row in rows:
         fold.add(tracking.TrackedFrame.of(row))
     assert fold.next_track > 20 and len(asked) <= 2 * tracking.RECENT * len(rows)
+
+
+def test_points_beside_the_other_camera_confirm_nothing(spark):
+    """A point nearly in the plane of the other camera's centre is seen far outside any integer's range there."""
+    pose = lambda z: [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, z, 0.0, 0.0, 0.0, 1.0]
+    views = spark.createDataFrame([(0, 0, pose(0.0), 40.0, 40.0, 24.0, 18.0), (0, 1, pose(-1.9999999999999), 40.0, 40.0, 24.0, 18.0)], "scan_id long, frame_id long, pose array<double>, fx double, fy double, cx double, cy double")
+    maps = spark.createDataFrame([(0, f, 9, 9, 2.0) for f in (0, 1)], "scan_id long, frame_id long, u int, v int, depth double")
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "scan_id long, frame_id long, source_id long")
+    assert stereo.confirmed(maps, views, pairs, least=1).count() == 0
